@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs, vocab
 from ..plans.storage import materialise
-from .ordering import match_on
 
 TIERS = {1: "exact", 2: "synonym", 3: "partial"}
 
@@ -71,7 +70,7 @@ def resolve_crop(
         F.lit("none"),
     )
     return (
-        match_on(requests.withColumn("_asked", exprs.normalise_text(requested)), found, ["_asked"], "left")
+        requests.withColumn("_asked", exprs.normalise_text(requested)).join(found, ["_asked"], "left")
         .withColumns({"resolved": F.col("_best._crop"), "tier": tier})
         .drop("_asked", "_best")
     )

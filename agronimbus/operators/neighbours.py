@@ -20,17 +20,19 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.storage import materialise
-from .ordering import first_n, match_on
 
 BLOCK_ROWS = 50_000
-BLOCK_QUERIES = 20_000
+BLOCK_QUERIES = 5_000
+LEAF_ROWS = 256  # of the tree inside a block
 MAX_LEAVES = 8_192
+SCAN_QUERIES = 10_000  # this many are sent to every task
 COPY_SALTS = 8  # at most k * COPY_SALTS copies of a point remain
 SAMPLE_PER_LEAF = 32
 
@@ -92,41 +94,125 @@ def _leaves_within(tree, points: np.ndarray, bound: np.ndarray):
             todo.append((node[child], 2 * number + step, rows[near], g[near]))
 
 
-def _nearest_in_block(history: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """k nearest per query by (distance, id), within the query's bound."""
-    history = history.sort_values("hist_id", kind="stable").reset_index(drop=True)
-    points = np.stack(history["vec"].to_numpy())
-    asked = np.stack(queries["vec"].to_numpy())
-    bound = queries["bound"].to_numpy(dtype=float) + SLACK
-    chunk = max(1, 4_000_000 // max(1, len(points)))
-    k_here = min(k, len(points))
-    which, found, dist = [], [], []
+def _nearest(points: np.ndarray, asked: np.ndarray, bound: np.ndarray, k: int):
+    """(query, point, distance) of up to k nearest points within each query's bound."""
+    k = min(k, len(points))
+    chunk = max(1, 2_000_000 // len(points))
+    found = []
     for start in range(0, len(asked), chunk):
         part = asked[start:start + chunk]
         total = np.zeros((len(part), len(points)))
         for j in range(points.shape[1]):
             step = part[:, j][:, None] - points[:, j][None, :]
             total += step * step
-        total = np.round(np.sqrt(total), DIGITS)
-        kth = np.partition(total, k_here - 1, axis=1)[:, k_here - 1]
-        row, col = np.nonzero(total <= np.minimum(kth, bound[start:start + chunk])[:, None])
-        d = total[row, col]
-        order = np.lexsort((col, d, row))  # rows are sorted by id, so col breaks ties
-        row, col, d = row[order], col[order], d[order]
-        first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, dtype=bool)
-        place = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
-        keep = place < k_here
-        which.append(row[keep] + start)
-        found.append(col[keep])
-        dist.append(d[keep])
-    which, found = np.concatenate(which), np.concatenate(found)
-    out = queries.drop(columns=["vec", "bound"]).iloc[which].reset_index(drop=True)
+        # The k-th smallest square bounds the rest; the slack keeps ties at DIGITS.
+        kth = np.sqrt(np.partition(total, k - 1, axis=1)[:, k - 1])
+        limit = np.minimum(kth, bound[start:start + chunk]) + SLACK
+        row, col = np.nonzero(total <= (limit * limit)[:, None])
+        found.append((row + start, col, np.round(np.sqrt(total[row, col]), DIGITS)))
+    return _first_k(*map(np.concatenate, zip(*found)), k)
+
+
+def _place(row: np.ndarray) -> np.ndarray:
+    """Position 0, 1, ... of each entry within its run of equal rows."""
+    at = np.arange(len(row))
+    first = np.r_[True, row[1:] != row[:-1]][: len(row)]
+    return at - np.maximum.accumulate(np.where(first, at, 0))
+
+
+def _first_k(row, col, dist, k):
+    """The k best per row by (distance, point); points are in id order."""
+    order = np.lexsort((col, dist, row))
+    row, col, dist = row[order], col[order], dist[order]
+    keep = _place(row) < k
+    return row[keep], col[keep], dist[keep]
+
+
+def _search(points: np.ndarray, asked: np.ndarray, bound: np.ndarray, k: int):
+    """``_nearest`` for many points: the same two steps at a smaller size, the
+    query's own leaf first and then the leaves within the bound."""
+    bound = bound.copy()
+    tree = _cut(points, len(points) // LEAF_ROWS, max(2 * k, LEAF_ROWS // 4))
+    home, leaf_of = _leaf_of(tree, asked), _leaf_of(tree, points)
+    members = {leaf: np.flatnonzero(leaf_of == leaf) for leaf in np.unique(leaf_of)}
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+
+    def ask(rows, leaf):
+        if leaf in members and len(rows):
+            at = members[leaf]
+            row, col, dist = _nearest(points[at], asked[rows], bound[rows], k)
+            found.append((rows[row], at[col], dist))
+            _tighten(bound, *found[-1][::2], k)
+
+    for leaf in np.unique(home):
+        ask(np.flatnonzero(home == leaf), leaf)
+    for rows, leaf in _leaves_within(tree, asked, bound):
+        ask(rows[home[rows] != leaf[0]], leaf[0])
+    return _first_k(*map(np.concatenate, zip(*found)), k)
+
+
+def _tighten(bound: np.ndarray, row: np.ndarray, dist: np.ndarray, k: int) -> None:
+    """Lower the bound of queries that have k answers to the distance of their last."""
+    far, count = np.zeros(len(bound)), np.zeros(len(bound), dtype=np.int64)
+    np.maximum.at(far, row, dist)
+    np.add.at(count, row, 1)
+    full = count >= k
+    bound[full] = np.minimum(bound[full], far[full])
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.concatenate(vectors.to_numpy()).reshape(len(vectors), -1)
+
+
+def _nearest_in_block(history: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """k nearest rows of one block per query, ranked."""
+    history = history.sort_values("hist_id", kind="stable").reset_index(drop=True)
+    bound = queries["bound"].to_numpy(dtype=float)
+    row, col, dist = _search(_matrix(history["vec"]), _matrix(queries["vec"]), bound, k)
+    out = queries.drop(columns=["vec", "bound"]).iloc[row].reset_index(drop=True)
     for name in ["hist_id", *[c for c in history.columns if c.startswith("p_")]]:
-        out[name] = history[name].to_numpy()[found]
-    out["distance"] = np.concatenate(dist)
+        out[name] = history[name].to_numpy()[col]
+    out["rank"] = (_place(row) + 1).astype(np.int32)
+    out["distance"] = dist
     return out
 
 
+def _best_of_partition(batches, asked: dict, k: int, kept: list[str], names: list[str]):
+    """One pass over a history partition against a few queries: k rows per query."""
+    best = {g: pd.DataFrame({n: [] for n in ["at", *kept, "distance"]}) for g in asked}
+    bound = {g: np.full(len(points), np.inf) for g, (_, points) in asked.items()}
+
+    def take(parts):
+        table = pa.Table.from_batches(parts)
+        vec = table["vec"].combine_chunks()
+        points = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
+        frame = table.select(["g", *kept]).to_pandas()
+        for g, rows in frame.groupby("g").indices.items():
+            if g not in asked:
+                continue
+            rows = rows[np.argsort(frame["hist_id"].to_numpy()[rows], kind="stable")]
+            row, col, dist = _search(points[rows], asked[g][1], bound[g], k)
+            new = frame[kept].iloc[rows[col]].assign(at=row, distance=dist)
+            both = pd.concat([best[g], new]) if len(best[g]) else new
+            both = both.sort_values(["at", "distance", "hist_id"], kind="stable")
+            best[g] = both[_place(both["at"].to_numpy()) < k]
+            _tighten(bound[g], best[g]["at"].to_numpy(), best[g]["distance"].to_numpy(), k)
+
+    parts, size = [], 0
+    for batch in batches:
+        parts.append(batch)
+        size += len(batch)
+        if size >= BLOCK_ROWS:
+            take(parts)
+            parts, size = [], 0
+    if size:
+        take(parts)
+    for g, rows in best.items():
+        if len(rows):
+            out = rows.assign(g=g, qid=asked[g][0][rows["at"].to_numpy(dtype=int)])
+            yield pa.RecordBatch.from_pandas(out[names], preserve_index=False)
+
+
 # --- the plan ----------------------------------------------------------------
 
 def _group_key(by: list[str]) -> Column:
@@ -144,7 +230,7 @@ def _fit_trees(history: DataFrame, rows: int, dims: int, k: int, block_rows: int
     sample = history.filter(pick).select("g", "vec").toPandas()
     trees = {}
     for g, part in sample.groupby("g"):
-        points = np.unique(np.stack(part["vec"].to_numpy()), axis=0)
+        points = np.unique(_matrix(part["vec"]), axis=0)
         budget = max(1, round(leaves * len(part) / len(sample)))
         tree = _cut(points, 1 << (budget - 1).bit_length(), max(2 * k, SAMPLE_PER_LEAF // 4))
         if tree is not None:
@@ -157,15 +243,18 @@ def _with_leaf(df: DataFrame, trees: dict) -> DataFrame:
         return df.withColumn("leaf", F.lit(0).cast("bigint"))
 
     def assign(batches):
-        for pdf in batches:
-            leaf = np.zeros(len(pdf), dtype=np.int64)
-            for g, rows in pdf.groupby("g").indices.items():
+        for batch in batches:
+            vec = batch.column("vec")
+            points = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
+            groups = batch.column("g").to_pandas()
+            leaf = np.zeros(len(vec), dtype=np.int64)
+            for g, rows in groups.groupby(groups).indices.items():
                 if g in trees:
-                    leaf[rows] = _leaf_of(trees[g], np.stack(pdf["vec"].to_numpy()[rows]))
-            yield pdf.assign(leaf=leaf)
+                    leaf[rows] = _leaf_of(trees[g], points[rows])
+            yield batch.append_column("leaf", pa.array(leaf))
 
     schema = T.StructType([*df.schema.fields, T.StructField("leaf", T.LongType())])
-    return df.mapInPandas(assign, schema)
+    return df.mapInArrow(assign, schema)
 
 
 def _other_leaves(df: DataFrame, trees: dict) -> DataFrame:
@@ -177,7 +266,7 @@ def _other_leaves(df: DataFrame, trees: dict) -> DataFrame:
                 if g not in trees:
                     continue
                 part = pdf.iloc[rows].reset_index(drop=True)
-                points, bound = np.stack(part["vec"].to_numpy()), part["bound"].to_numpy(dtype=float)
+                points, bound = _matrix(part["vec"]), part["bound"].to_numpy(dtype=float)
                 own = part["leaf"].to_numpy()
                 for hit, leaf in _leaves_within(trees[g], points, bound):
                     other = leaf != own[hit]
@@ -186,9 +275,7 @@ def _other_leaves(df: DataFrame, trees: dict) -> DataFrame:
     return df.mapInPandas(route, df.schema)
 
 
-def _ask_blocks(
-    blocks: DataFrame, asked: DataFrame, k: int, block_queries: int, split: bool
-) -> DataFrame:
+def _ask_blocks(blocks: DataFrame, asked: DataFrame, k: int, block_queries: int) -> DataFrame:
     """Answer queries (g, leaf, salt, qid, vec, bound) within their blocks."""
     place = ["g", "leaf", "salt"]
     load = asked.groupBy(*place).agg(
@@ -196,23 +283,26 @@ def _ask_blocks(
     )
     # Crowded blocks are copied, one copy per share of their queries; blocks
     # nobody asks drop out.
-    if split:
-        load = materialise(load)
-    history = match_on(blocks, load, place).withColumn(
+    load = materialise(load)
+    history = blocks.join(load, place).withColumn(
         "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
     ).drop("shares")
-    queries = match_on(asked, load, place).withColumn(
+    queries = asked.join(load, place).withColumn(
         "share", F.pmod(F.xxhash64("qid", F.lit("share")), F.col("shares")).cast("int")
     ).drop("shares")
     keep = [f for f in queries.schema.fields if f.name not in ("vec", "bound")]
     extra = [f for f in history.schema.fields if f.name == "hist_id" or f.name.startswith("p_")]
-    schema = T.StructType([*keep, *extra, T.StructField("distance", T.DoubleType())])
+    schema = T.StructType(
+        [*keep, *extra, T.StructField("rank", T.IntegerType()), T.StructField("distance", T.DoubleType())]
+    )
     at = [*place, "share"]
     # Spread by block and share; a join above may have left all shares together.
+    # The number is given because AQE would merge by bytes what is costly to compute.
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        history.repartition(*at)
+        history.repartition(tasks, *at)
         .groupBy(*at)
-        .cogroup(queries.repartition(*at).groupBy(*at))
+        .cogroup(queries.repartition(tasks, *at).groupBy(*at))
         .applyInPandas(
             lambda h, q: _nearest_in_block(h, q, k) if len(h) and len(q) else pd.DataFrame(columns=schema.names),
             schema,
@@ -220,6 +310,69 @@ def _ask_blocks(
     )
 
 
+def _scan_history(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Answer a counted, small number of queries without moving the history.
+
+    The queries go to every task; each returns its k best per query, which are
+    few against its rows, and those are merged.
+    """
+    sent = {}
+    for g, part in asked.select("g", "qid", "vec").toPandas().groupby("g"):
+        sent[g] = (part["qid"].to_numpy(), _matrix(part["vec"].map(np.asarray)))
+    kept = [c for c in points.columns if c not in ("g", "vec")]
+    schema = T.StructType(
+        [
+            *[T.StructField(c, T.StringType()) for c in ("g", "qid")],
+            *[points.schema[c] for c in kept],
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
+    given = points.sparkSession.sparkContext.broadcast(sent)
+    names = schema.names
+    near = points.mapInArrow(lambda b: _best_of_partition(b, given.value, k, kept, names), schema)
+    w = Window.partitionBy("g", "qid").orderBy("distance", "hist_id")
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _route(
+    points: DataFrame, asked: DataFrame, dims: int, k: int, block_rows: int, block_queries: int, max_leaves: int
+) -> DataFrame:
+    """Answer any number of queries block by block (steps 1 to 5)."""
+    same = Window.partitionBy("g", "vec", F.pmod(F.xxhash64("hist_id"), F.lit(COPY_SALTS)))
+    points = points.withColumn("copy", F.row_number().over(same.orderBy("hist_id")))
+    points = materialise(points.filter(F.col("copy") <= k).drop("copy"))
+    rows = points.count()
+    trees = _fit_trees(points, rows, dims, k, block_rows, max_leaves)
+    points, asked = _with_leaf(points, trees), _with_leaf(asked, trees)
+    if rows <= block_rows:  # one block per group
+        zero = F.lit(0)
+        return _ask_blocks(points.withColumn("salt", zero), asked.withColumn("salt", zero), k, block_queries)
+
+    points, asked = materialise(points), materialise(asked)
+    leaf = ["g", "leaf"]
+    salts = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
+    sizes = materialise(points.groupBy(*leaf).agg(salts.alias("salts")))
+
+    def salted(df, key):
+        return df.join(sizes, leaf).withColumn("salt", F.pmod(F.xxhash64(key), F.col("salts")).cast("int"))
+
+    blocks, own = salted(points, "hist_id").drop("salts"), salted(asked, "qid")
+    near = materialise(_ask_blocks(blocks, own.drop("salts"), k, block_queries))
+    reach = near.groupBy("g", "qid").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n"))
+    bound = F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf")))
+    bounded = own.drop("bound").join(reach, ["g", "qid"], "left").withColumn("bound", bound)
+    further = _other_leaves(bounded.select("g", "leaf", "qid", "vec", "bound"), trees).join(sizes, leaf)
+    place = ["g", "leaf", "qid", "vec", "bound", "salt"]
+    each = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    rest = further.select(*place[:-1], each).unionByName(
+        bounded.withColumnRenamed("salt", "done").select(*place[:-1], each, "done").filter("salt != done").drop("done")
+    )
+    more = _ask_blocks(blocks, materialise(rest), k, block_queries)
+    w = Window.partitionBy("g", "qid").orderBy("distance", "hist_id")
+    found = near.unionByName(more).withColumn("rank", F.row_number().over(w))
+    return found.filter(F.col("rank") <= k)
+
+
 def knn_join(
     history: DataFrame,
     queries: DataFrame,
@@ -232,12 +385,14 @@ def knn_join(
     block_rows: int = BLOCK_ROWS,
     block_queries: int = BLOCK_QUERIES,
     max_leaves: int = MAX_LEAVES,
+    scan_queries: int = SCAN_QUERIES,
 ) -> DataFrame:
     """Rows (by, query id, hist_id, payload, rank, distance), rank 1..min(k, n).
 
     ``features`` are already scaled columns, or one array column of a fixed
     length. Ids are unique within a group; ties go to the smaller ``hist_id``.
-    The block sizes never change the result.
+    Up to ``scan_queries`` distinct queries are sent to the history instead of
+    being routed. No size setting changes the result.
     """
     by, payload = by or [], payload or []
     query_ids = [query_id] if isinstance(query_id, str) else query_id
@@ -254,63 +409,21 @@ def knn_join(
         F.col(hist_id).alias("hist_id"),
         *[F.col(c).alias(f"p_{c}") for c in payload],
     )
-    same = Window.partitionBy("g", "vec", F.pmod(F.xxhash64("hist_id"), F.lit(COPY_SALTS)))
-    points = points.withColumn("copy", F.row_number().over(same.orderBy("hist_id")))
-    points = materialise(points.filter(F.col("copy") <= k).drop("copy"))
-    rows = points.count()
-    trees = _fit_trees(points, rows, len(features), k, block_rows, max_leaves)
-    if trees:
-        points = materialise(_with_leaf(points, trees))
-    else:
-        points = _with_leaf(points, trees)
-    sizes = points.groupBy("g", "leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("salts"))
-    split = rows > block_rows
-    if split:
-        sizes = materialise(sizes)
-        blocks = match_on(points, sizes, ["g", "leaf"]).withColumn(
-            "salt", F.pmod(F.xxhash64("vec", "hist_id"), F.col("salts")).cast("int")
-        ).drop("salts")
-    else:
-        blocks = points.withColumn("salt", F.lit(0))
-
-    # Equal questions get one number, so each is answered once.
     named = queries.select(
         *by, *query_ids, _group_key(by).alias("g"), vector(queries).alias("vec")
-    ).withColumn("qid", F.md5(F.to_json(F.struct("g", "vec"))))
-    asked = _with_leaf(named.select("qid", "g", "vec").distinct().withColumn("bound", F.lit(float("inf"))), trees)
-    if not split:
-        found = _ask_blocks(blocks, asked.withColumn("salt", F.lit(0)), k, block_queries, split)
+    )
+    named = materialise(named.withColumn("qid", F.md5(F.to_json(F.struct("g", "vec")))))
+    # Equal questions have one number, so each is answered once.
+    asked = named.select("qid", "g", "vec").distinct().withColumn("bound", F.lit(float("inf")))
+    few = asked.limit(scan_queries + 1).count() <= scan_queries
+    if few:
+        found = _scan_history(points, asked, k)
     else:
-        asked = materialise(asked)
-        own = match_on(asked, sizes, ["g", "leaf"]).withColumn(
-            "salt", F.pmod(F.xxhash64("qid"), F.col("salts")).cast("int")
-        ).drop("salts")
-        near = materialise(_ask_blocks(blocks, own, k, block_queries, split))
-        bounds = near.groupBy("g", "qid").agg(
-            F.max("distance").alias("far"), F.count(F.lit(1)).alias("n")
-        )
-        bounded = match_on(own.drop("bound"), bounds, ["g", "qid"], "left").withColumn(
-            "bound", F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf")))
-        ).drop("far", "n")
-        bounded = bounded.withColumnRenamed("salt", "done")
-        siblings = match_on(bounded, sizes, ["g", "leaf"])
-        further = match_on(
-            _other_leaves(bounded.select("g", "leaf", "qid", "vec", "bound"), trees), sizes, ["g", "leaf"]
-        ).withColumn("done", F.lit(-1))
-        rest = (
-            siblings.unionByName(further, allowMissingColumns=True)
-            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            .filter(F.col("salt") != F.col("done"))
-            .drop("salts", "done")
-        )
-        more = _ask_blocks(blocks, materialise(rest), k, block_queries, split)
-        found = near.unionByName(more)
-
-    best = first_n(found, ["g", "qid"], ["distance", "hist_id"], k, salts=1)
-    answers = best.select(
+        found = _route(points, asked, len(features), k, block_rows, block_queries, max_leaves)
+    answers = found.select(
         "g", "qid", F.col("hist_id").alias(hist_id), *[F.col(f"p_{c}").alias(c) for c in payload],
         "rank", "distance",
     )
     # hist ids may share a name with query ids; the query side keeps its own.
-    out = match_on(named.select(*by, *query_ids, "g", "qid"), answers, ["g", "qid"])
+    out = named.select(*by, *query_ids, "g", "qid").join(answers, ["g", "qid"])
     return out.drop("g", "qid")

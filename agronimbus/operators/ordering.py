@@ -20,7 +20,11 @@ def _columns(names) -> list[Column]:
 
 
 def match_on(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner"):
-    """Equi join on ``names`` that also pairs NULL with NULL; keeps left's keys."""
+    """Equi join on ``names`` that also pairs NULL with NULL; keeps left's keys.
+
+    For small right sides only: the null-safe keys keep Spark from reusing a
+    partitioning by ``names``. Elsewhere plain joins are used.
+    """
     if not names:
         raise ValueError("a join needs at least one key")
     renamed = right.select(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs, vocab
-from .ordering import match_on
 from .season import season_day
 from .suitability import predict_viability
 
@@ -20,7 +19,7 @@ def lookup_with_default(df: DataFrame, table: dict, key: str, out: str, default)
 
 def join_lookup(df: DataFrame, table: DataFrame, on: list[str], column: str, default) -> DataFrame:
     """The same for a table: left join, missing becomes the default."""
-    found = match_on(df, table.select(*on, column), on, "left")
+    found = df.join(table.select(*on, column), on, "left")
     return found.withColumn(column, F.coalesce(F.col(column), F.lit(default)))
 
 
@@ -78,7 +77,7 @@ def start_windows(requests: DataFrame, forecast: DataFrame, sites: list[str], of
         date,
         F.explode(F.sequence("window_start", F.date_add("window_start", (F.col(duration) - 1).cast("int")))),
     )
-    return match_on(asked, forecast, [*sites, date])
+    return asked.join(forecast, [*sites, date])
 
 
 def recommend_starts(

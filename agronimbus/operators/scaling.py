@@ -58,7 +58,7 @@ def apply_scaler(
     if any(c not in stats.columns for c in wanted):
         raise ValueError("the scaler has not been fitted yet on these features")
     if by:
-        joined = match_on(df, stats.select(*by, *wanted), by)
+        joined = df.join(stats.select(*by, *wanted), by)
         z = [z_score(f, F.col(f"{f}__mean{mark}"), F.col(f"{f}__sd{mark}")) for f in features]
         return joined.withColumns({f"{prefix}{f}": x for f, x in zip(features, z)}).drop(*wanted)
     fit = stats.select(F.struct(*wanted).alias("s")).scalar()

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from ..plans.storage import materialise
 from .aggregates import group_means
-from .ordering import first_n, match_on, number_rows
+from .ordering import first_n, number_rows
 
 
 def derive_bounds(
@@ -59,7 +60,7 @@ def pad_season(
     """Exactly ``duration`` rows per key: the first rows in order, then the last
     ``last`` of them over and over. ``duration`` is a number or a column."""
     length = F.lit(duration) if isinstance(duration, int) else F.col(duration)
-    head = first_n(df, keys, order, length, day)
+    head = materialise(first_n(df, keys, order, length, day))
     sizes = head.groupBy(*keys).agg(F.max(day).alias("_n"), F.max(length).alias("_d"))
     short = sizes.filter(F.col("_n") < F.col("_d")).select(
         *keys, F.explode(F.sequence(F.col("_n") + 1, F.col("_d").cast("int"))).alias("_day"), "_n"
@@ -67,7 +68,7 @@ def pad_season(
     pool = F.least(F.lit(last), F.col("_n"))
     source = F.col("_n") - pool + 1 + F.pmod(F.col("_day") - F.col("_n") - 1, pool)
     wanted = short.select(*keys, "_day", source.cast("int").alias(day))
-    pad = match_on(wanted, head, [*keys, day]).drop(day).withColumnRenamed("_day", day)
+    pad = wanted.join(head, [*keys, day]).drop(day).withColumnRenamed("_day", day)
     return head.unionByName(pad)
 
 

@@ -207,7 +207,7 @@ def compare_crops(
     named = means.select(*sites, *[F.col(m).alias(f"forecast_{m}") for m in measures])
     best_first = Window.partitionBy(*sites).orderBy(F.desc("similarity_score"), F.col(crop))
     return (
-        match_on(match_on(scored, materialise(optimal), [crop]), named, sites)
+        scored.join(materialise(optimal), [crop]).join(named, sites)
         .withColumn("rank", F.row_number().over(best_first))
     )
 
@@ -230,7 +230,7 @@ def match_sequence(
     """
     profile = crop_profile(history, features, crop) if profile is None else profile
     asked = forecast if crop in forecast.columns else with_candidates(forecast, profile, crops, crop)
-    rows = match_on(history, profile.select(crop, "any_success"), [crop])
+    rows = history.join(profile.select(crop, "any_success"), [crop])
     patterns = rows.filter(~F.col("any_success") | (F.col("result") == 1)).drop("any_success")
     found = knn_join(
         apply_scaler(patterns, profile, features, [crop], mark="_ok"),
@@ -254,8 +254,8 @@ def scaled_pairs(
     ahead = apply_scaler(forecast, stats, features, prefix="forecast_")
     back = apply_scaler(history, stats, features, prefix="history_")
     pairs = matches.select(*ids, hist_id)
-    pairs = match_on(pairs, ahead.select(*ids, *[f"forecast_{f}" for f in features]), ids)
-    return match_on(pairs, back.select(hist_id, *[f"history_{f}" for f in features]), [hist_id])
+    pairs = pairs.join(ahead.select(*ids, *[f"forecast_{f}" for f in features]), ids)
+    return pairs.join(back.select(hist_id, *[f"history_{f}" for f in features]), [hist_id])
 
 
 def nested_matches(
@@ -263,7 +263,7 @@ def nested_matches(
 ) -> DataFrame:
     """One row per query: its ranked matches as an array (k entries) and the best."""
     ids = [query_id] if isinstance(query_id, str) else query_id
-    rows = match_on(materialise(matches), history.select(hist_id, *measures), [hist_id])
+    rows = materialise(matches).join(history.select(hist_id, *measures), [hist_id])
     entry = F.struct("rank", hist_id, "distance", "similarity", *measures)
     return (
         rows.groupBy(*ids)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs, vocab
-from .ordering import first_n, match_on
+from .ordering import first_n
 
 
 def first_per_day(
@@ -33,20 +33,21 @@ def first_per_day(
 
 
 def calendar(df: DataFrame, keys: list[str], date: str) -> DataFrame:
-    """Every day from a key's first to its last."""
-    span = df.groupBy(*keys).agg(F.min(date).alias("_a"), F.max(date).alias("_z"))
+    """Every day from a key's first to its last. Rows without a key or a date belong
+    to no series."""
+    span = df.dropna(subset=[*keys, date]).groupBy(*keys).agg(F.min(date).alias("_a"), F.max(date).alias("_z"))
     days = F.sequence("_a", "_z", F.expr("interval 1 day"))
-    return span.filter(F.col("_a").isNotNull()).select(*keys, F.explode(days).alias(date))
+    return span.select(*keys, F.explode(days).alias(date))
 
 
 def fill_calendar(df: DataFrame, keys: list[str], date: str) -> DataFrame:
     """Insert the missing days, empty. The join is on (key, day), never on a key."""
-    return match_on(calendar(df, keys, date), df, [*keys, date], "left")
+    return calendar(df, keys, date).join(df, [*keys, date], "left")
 
 
 def align_to(df: DataFrame, reference: DataFrame, on: list[str]) -> DataFrame:
     """Bring ``df`` to the reference's (keys, dates); days it lacks are empty."""
-    return match_on(reference.select(*on).distinct(), df, on, "left")
+    return reference.select(*on).distinct().join(df, on, "left")
 
 
 def _sides(keys: list[str], order: str):
@@ -114,14 +115,14 @@ def equalise_length(df: DataFrame, reference: DataFrame, keys: list[str], date:
         one = [d.withColumn("_all", F.lit(0)) for d in (df, reference)]
         return equalise_length(*one, ["_all"], date).drop("_all")
     count = lambda d, name: d.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    sizes = match_on(count(reference, "_want"), count(df, "_have"), keys, "left")
-    sized = match_on(df, sizes, keys)
+    sizes = count(reference, "_want").join(count(df, "_have"), keys, "left")
+    sized = df.join(sizes, keys)
     long = sized.filter(F.col("_have") >= F.col("_want"))
     by_day = Window.partitionBy(*keys).orderBy(date)
     long = long.withColumn("_rn", F.row_number().over(by_day)).filter(F.col("_rn") <= F.col("_want"))
     short = sizes.filter(F.coalesce("_have", F.lit(0)) < F.col("_want")).select(*keys)
-    wanted = match_on(reference.select(*keys, date), short, keys)
-    aligned = match_on(wanted, df, [*keys, date], "left")
+    wanted = reference.select(*keys, date).join(short, keys)
+    aligned = wanted.join(df, [*keys, date], "left")
     return long.select(*df.columns).unionByName(aligned.select(*df.columns))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import exprs, vocab
 from ..operators import schema as S
 from ..operators.aggregates import water_requirement
-from ..operators.ordering import match_on
 from ..operators.planning import irrigation_schedule, recommend_starts
 from ..operators.season import derive_bounds, pad_season
 from ..operators.suitability import (
@@ -44,16 +43,16 @@ def season_etl(
         sized = history.withColumn("growth_duration", length)
     else:
         hint = durations.select("crop", exprs.truthy_or("growth_duration", vocab.DEFAULT_DURATION).cast("int").alias("growth_duration"))
-        sized = match_on(history, materialise(hint), ["crop"], "left").withColumn(
+        sized = history.join(materialise(hint), ["crop"], "left").withColumn(
             "growth_duration", F.coalesce("growth_duration", length)
         )
     season = pad_season(sized, ["crop"], order, "growth_duration")
     season = derive_bounds(season, ["crop", "season_day"], low, high)
-    season = match_on(season, starts, ["crop"]).withColumn(
+    season = season.join(starts, ["crop"]).withColumn(
         "date", F.date_add("start_date", F.col("season_day") - 1)
     )
     season = materialise(season.drop("season_day", "start_date", *order))
-    season = match_on(season, water_requirement(season, ["crop"], "growth_duration"), ["crop"])
+    season = season.join(water_requirement(season, ["crop"], "growth_duration"), ["crop"])
     crop = clean(season, ["crop"])
     crop = materialise(crop)
 
@@ -63,7 +62,7 @@ def season_etl(
         F.max("growth_duration").alias("growth_duration"),
     )
     kept = [c for c in weather.columns if c not in ("soil_ph", "water_requirement", "growth_duration")]
-    observed = clean(match_on(weather.select(*kept), means, ["crop"]), ["crop"])
+    observed = materialise(clean(weather.select(*kept).join(means, ["crop"]), ["crop"]))
     aligned = clean(equalise_length(observed, crop, ["crop"], "date"), ["crop"])
     return _finish(crop), _finish(aligned)
 
@@ -140,24 +139,21 @@ def similarity_requests(
     requests = materialise(requests)
     profile = crop_profile(history, features)
     first = forecast.groupBy("site_id").agg(F.min("date").alias("_first"))
-    begun = match_on(requests, first, ["site_id"]).withColumn("_from", F.coalesce("start_date", "_first"))
+    begun = requests.join(first, ["site_id"]).withColumn("_from", F.coalesce("start_date", "_first"))
     days = begun.withColumn(
         "date", F.explode(F.sequence("_from", F.date_add("_from", (F.col("duration") - 1).cast("int"))))
     ).select("request_id", "site_id", F.col("crop").alias("target_crop"), "duration", "date")
-    days = materialise(match_on(days, forecast, ["site_id", "date"]))
+    days = materialise(days.join(forecast, ["site_id", "date"]))
     compared = materialise(
         compare_crops(
             history, days, hist_id, ["request_id"], features, measures, crops=crops, profile=profile, **blocks
         )
     )
     starts = recommend_starts(history, forecast, requests, hist_id, features=features, **blocks)
-    own = match_on(
-        compared.select("request_id", "crop", "similarity_score", "risk_level"),
-        requests.select("request_id", "crop"),
-        ["request_id", "crop"],
-    ).drop("crop")
+    scores = compared.select("request_id", "crop", "similarity_score", "risk_level")
+    own = scores.join(requests.select("request_id", "crop"), ["request_id", "crop"]).drop("crop")
     plan = irrigation_schedule(
-        match_on(days.withColumnRenamed("target_crop", "crop"), own, ["request_id"], "left"),
+        days.withColumnRenamed("target_crop", "crop").join(own, ["request_id"], "left"),
         ["request_id"], "duration",
     )
     target = days.withColumnRenamed("target_crop", "crop")
@@ -197,13 +193,20 @@ def planting_advice(
         requests = requests.withColumn("planting_date", F.coalesce("planting_date", F.current_date()))
     requests = materialise(requests.withColumn("crop", exprs.normalise_text("crop")))
     weather = [f for f in features if f != "soil_ph"]
-    numbered = forecast.withColumn(
-        "_day", F.row_number().over(Window.partitionBy("site_id").orderBy("date"))
+    # Mean of a site's first n days for every n; a request picks its n.
+    by_day = Window.partitionBy("site_id").orderBy("date")
+    upto = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    means = materialise(
+        forecast.select(
+            "site_id",
+            F.row_number().over(by_day).alias("_day"),
+            *[F.avg(f).over(upto).alias(f) for f in weather],
+        )
     )
-    days = match_on(requests.withColumnRenamed("crop", "target_crop"), numbered, ["site_id"])
-    days = days.filter(F.col("_day") <= F.col("forecast_days"))
-    means = days.groupBy("request_id", "target_crop").agg(
-        *[F.avg(f).alias(f) for f in weather], F.max("soil_ph").alias("soil_ph")
+    known = means.groupBy("site_id").agg(F.max("_day").alias("_last"))
+    placed = requests.join(known, ["site_id"]).withColumn("_day", F.least("forecast_days", "_last"))
+    means = placed.join(means, ["site_id", "_day"]).select(
+        "request_id", F.col("crop").alias("target_crop"), *weather, "soil_ph"
     )
     offered = F.array_distinct(F.array(F.col("target_crop"), *[F.lit(c) for c in crops]))
     asked = means.withColumn("crop", F.explode(offered)).drop("target_crop")

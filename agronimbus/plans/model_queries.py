@@ -20,6 +20,7 @@ from .table_queries import rounded
 
 SITE_DAY = ["site_id", "date"]
 Z = [f"z_{f}" for f in FEATURES]
+LINE_FEATURES = ["l_quantity", "l_extendedprice"]
 H_AND_F = f"h AS ({X.HISTORY}), f AS ({X.FORECAST})"
 OK = "ok AS (SELECT h.* FROM h JOIN (SELECT crop, max(result) AS best FROM h GROUP BY 1) USING (crop) WHERE result = 1 OR best = 0)"
 OK_ALL = "ok AS (SELECT * FROM h WHERE result = 1 OR (SELECT max(result) FROM h) = 0)"
@@ -57,7 +58,29 @@ def knn_join_tabular(spark, folder):
 @query("knn_join_pruned", TABULAR)
 def knn_join_pruned(spark, folder):
     """The same with blocks small enough that every step of the pruned join runs."""
-    return _tabular(spark, folder, block_rows=250, block_queries=500)
+    return _tabular(spark, folder, block_rows=250, block_queries=500, scan_queries=0)
+
+
+def _line_queries(spark, folder):
+    """Every lineitem as history, each supplier's mean line as a query."""
+    lines = table(spark, folder, "lineitem")
+    stats = fit_scaler(lines, LINE_FEATURES)
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate"))
+    h = lines.select(key.alias("hist_id"), *LINE_FEATURES)
+    q = lines.groupBy("l_suppkey").agg(*[F.avg(f).alias(f) for f in LINE_FEATURES])
+    return apply_scaler(h, stats, LINE_FEATURES), apply_scaler(q, stats, LINE_FEATURES)
+
+
+@query("knn_join_lines", f"""
+WITH h AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS hist_id,
+                  0 AS result, l_quantity, l_extendedprice FROM lineitem),
+q AS (SELECT l_suppkey, avg(l_quantity) AS l_quantity, avg(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1),
+{X.neighbours_sql('h', 'q', ['l_suppkey'], 5, features=LINE_FEATURES)}
+SELECT l_suppkey, hist_id, rank::INT AS rank, round(distance, 6) AS distance FROM nn""")
+def knn_join_lines(spark, folder):
+    h, q = _line_queries(spark, folder)
+    out = knn_join(h, q, [f"z_{f}" for f in LINE_FEATURES], "hist_id", "l_suppkey", 5)
+    return rounded(out, "distance")
 
 
 @query("knn_similarity", f"""

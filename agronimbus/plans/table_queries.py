@@ -447,7 +447,7 @@ FROM (SELECT *, count(*) OVER (PARTITION BY site_id) AS days FROM ({X.FORECAST})
 def water_requirement(spark, folder):
     days = X.forecast(spark, folder)
     size = days.groupBy("site_id").agg(F.count(F.lit(1)).alias("days"))
-    return A.water_requirement(O.match_on(days, size, ["site_id"]), ["site_id"], "days")
+    return A.water_requirement(days.join(size, ["site_id"]), ["site_id"], "days")
 
 
 # --- series ---------------------------------------------------------------------------
@@ -533,7 +533,7 @@ FROM (SELECT site_id, date, row_number() OVER (PARTITION BY site_id ORDER BY dat
 def growth_stage(spark, folder):
     days = X.forecast(spark, folder).select("site_id", "date")
     size = days.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
-    days = O.match_on(W.season_day(days, ["site_id"]), size, ["site_id"])
+    days = W.season_day(days, ["site_id"]).join(size, ["site_id"])
     return days.withColumn("stage", exprs.growth_stage("day", "n")).drop("n")
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import first_n, match_on
+from ..operators.ordering import first_n
 from ..plans.storage import materialise
 
 
@@ -26,12 +26,12 @@ def arbitrate(df: DataFrame, sites: list[str], priority: str, measures: list[str
     """
     gate = quality_gate(df, [*sites, priority], measures).filter("usable")
     chosen = materialise(gate.groupBy(*sites).agg(F.min(priority).alias(priority)))
-    return match_on(df, chosen, [*sites, priority], "left_semi")
+    return df.join(chosen, [*sites, priority], "left_semi")
 
 
 def top_up(primary: DataFrame, reserve: DataFrame, keys: list[str], date: str, days) -> DataFrame:
     """Primary rows, the reserve's rows for days the primary lacks, first ``days``."""
-    missing = match_on(reserve, primary.select(*keys, date).distinct(), [*keys, date], "left_anti")
+    missing = reserve.join(primary.select(*keys, date).distinct(), [*keys, date], "left_anti")
     both = primary.unionByName(missing, allowMissingColumns=True)
     return first_n(both, keys, [date], days, "rn").drop("rn")
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import schema as S
-from ..operators.ordering import match_on
 from .selection import equality_filter
 
 
@@ -48,7 +47,7 @@ def matched_patterns(
         hist_id, F.col(date).alias("matched_hist_date"),
         *[F.col(m).alias(f"matched_hist_{s}") for m, s in measures.items()],
     )
-    pairs = match_on(match_on(best, ahead, [query_id]), back, [hist_id])
+    pairs = best.join(ahead, [query_id]).join(back, [hist_id])
     return pairs.select(
         "forecast_date", "crop", *[f"forecast_{s}" for s in measures.values()],
         "matched_hist_date", *[f"matched_hist_{s}" for s in measures.values()],
