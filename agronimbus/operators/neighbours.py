@@ -410,7 +410,7 @@ def knn_join(
         *[F.col(c).alias(f"p_{c}") for c in payload],
     )
     named = queries.select(
-        *by, *query_ids, _group_key(by).alias("g"), vector(queries).alias("vec")
+        F.struct(*by, *query_ids).alias("ids"), _group_key(by).alias("g"), vector(queries).alias("vec")
     )
     named = materialise(named.withColumn("qid", F.md5(F.to_json(F.struct("g", "vec")))))
     # Equal questions have one number, so each is answered once.
@@ -420,10 +420,10 @@ def knn_join(
         found = _scan_history(points, asked, k)
     else:
         found = _route(points, asked, len(features), k, block_rows, block_queries, max_leaves)
-    answers = found.select(
-        "g", "qid", F.col("hist_id").alias(hist_id), *[F.col(f"p_{c}").alias(c) for c in payload],
-        "rank", "distance",
+    return named.select("ids", "g", "qid").join(found, ["g", "qid"]).select(
+        "ids.*",
+        F.col("hist_id").alias(hist_id),
+        *[F.col(f"p_{c}").alias(c) for c in payload],
+        "rank",
+        "distance",
     )
-    # hist ids may share a name with query ids; the query side keeps its own.
-    out = named.select(*by, *query_ids, "g", "qid").join(answers, ["g", "qid"])
-    return out.drop("g", "qid")
