@@ -85,9 +85,18 @@ def block_offsets(blocks: DataFrame, keys: list[str], weight: Column) -> DataFra
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: list, weight, out: str = "running", total: str | None = None
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    weight,
+    out: str = "running",
+    total: str | None = None,
+    block: str | None = None,
 ) -> DataFrame:
-    """Running sum of ``weight`` per key in the given (unique) order."""
+    """Running sum of ``weight`` per key in the given (unique) order.
+
+    ``total`` and ``block`` name columns to keep: the key's sum, the row's block.
+    """
     blocks = in_blocks(df, keys, order)
     weight = F.col(weight) if isinstance(weight, str) else weight
     w = (
@@ -99,14 +108,69 @@ def running_total(
     rows = blocks.withColumn("_here", F.sum(weight).over(w))
     joined = match_on(rows, offsets, [*keys, "_block"])
     joined = joined.withColumn(out, F.col("_before") + F.col("_here"))
-    if total:
-        joined = joined.withColumnRenamed("_total", total)
+    for name, kept in (("_total", total), ("_block", block)):
+        joined = joined.withColumnRenamed(name, kept) if kept else joined
     return joined.drop("_block", "_here", "_before", "_total")
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list, out: str = "rn", total: str | None = None):
+def number_rows(
+    df: DataFrame, keys: list[str], order: list, out: str = "rn", total: str | None = None, block: str | None = None
+) -> DataFrame:
     """``row_number`` per key for keys of any size; the order must be unique."""
-    return running_total(df, keys, order, F.lit(1).cast("bigint"), out, total)
+    return running_total(df, keys, order, F.lit(1).cast("bigint"), out, total, block)
+
+
+# Frames that grow with the row; a frame that shrinks towards the end of a key
+# would be computed anew for every row.
+GROWING = (Window.unboundedPreceding, Window.currentRow)
+
+
+def _known(column: str) -> Column:
+    return F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("v"), F.col("_pos").alias("p")))
+
+
+def _both_ways(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    front = Window.partitionBy(*keys).orderBy(order).rowsBetween(*GROWING)
+    back = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(*GROWING)
+    out = {}
+    for c in columns:
+        out[f"{c}__prev"] = F.last(_known(c), True).over(front)
+        out[f"{c}__next"] = F.last(_known(c), True).over(back)
+    return df.withColumns(out)
+
+
+def nearest_known(df: DataFrame, keys: list[str], order: str, columns: list[str], short: bool) -> DataFrame:
+    """Per column the nearest known value up to and from each row on.
+
+    Adds ``_pos`` (the row's position in its key) and, per column, ``__prev`` and
+    ``__next``: the value ``v`` and its position ``p``. With ``short`` keys (one
+    row a day) two windows do it. Otherwise the windows run within blocks, and
+    what a block does not know comes from the blocks before and after it.
+    """
+    if short:
+        by_key = Window.partitionBy(*keys).orderBy(order)
+        return _both_ways(df.withColumn("_pos", F.row_number().over(by_key)), keys, order, columns)
+    rows = materialise(number_rows(df, keys, [order], "_pos", block="_b"))
+    ends = {}
+    for c in columns:
+        at = F.when(F.col(c).isNotNull(), F.col("_pos"))
+        ends[f"{c}__last"], ends[f"{c}__first"] = F.max_by(_known(c), at), F.min_by(_known(c), at)
+    per_block = rows.groupBy(*keys, "_b").agg(*[x.alias(n) for n, x in ends.items()])
+    w = Window.partitionBy(*keys)
+    earlier = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    later = w.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_block.select(
+        *keys,
+        "_b",
+        *[F.last(f"{c}__last", True).over(earlier).alias(f"{c}__in") for c in columns],
+        *[F.last(f"{c}__first", True).over(later).alias(f"{c}__out") for c in columns],
+    )
+    both = match_on(_both_ways(rows, [*keys, "_b"], order, columns), carried, [*keys, "_b"])
+    fill = {}
+    for c in columns:
+        fill[f"{c}__prev"] = F.coalesce(f"{c}__prev", f"{c}__in")
+        fill[f"{c}__next"] = F.coalesce(f"{c}__next", f"{c}__out")
+    return both.withColumns(fill).drop("_b", *[f"{c}__{s}" for c in columns for s in ("in", "out")])
 
 
 def exact_median(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:

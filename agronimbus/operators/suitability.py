@@ -33,7 +33,7 @@ def success_or_all(history: DataFrame, by: list[str] | None = None, label: str =
         flags = materialise(history.groupBy(*by).agg(seen.alias("_any")))
         marked = match_on(history, flags, by)
         return marked.filter(~F.col("_any") | (F.col(label) == 1)).drop("_any")
-    found = history.agg(seen.alias("_any")).scalar()
+    found = materialise(history.agg(seen.alias("_any"))).scalar()
     return history.filter(~found | (F.col(label) == 1))
 
 
@@ -49,8 +49,7 @@ def knn_similarity(
 ) -> DataFrame:
     """k most similar successful rows per query, with similarity in percent."""
     patterns = success_or_all(history, by)
-    stats = fit_scaler(patterns, features, by)
-    stats = materialise(stats) if by else stats
+    stats = materialise(fit_scaler(patterns, features, by))
     found = knn_join(
         apply_scaler(patterns, stats, features, by),
         apply_scaler(queries, stats, features, by),
@@ -107,8 +106,7 @@ def success_probability(
 ) -> DataFrame:
     """The predictor's vote per query: raw probability and mean distance."""
     if stats is None:
-        stats = fit_scaler(history, features, by)
-        stats = materialise(stats) if by else stats
+        stats = materialise(fit_scaler(history, features, by))
     ids = [query_id] if isinstance(query_id, str) else query_id
     found = knn_join(
         apply_scaler(history, stats, features, by),

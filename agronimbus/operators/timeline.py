@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs, vocab
-from .ordering import first_n
+from .ordering import first_n, nearest_known
 
 
 def first_per_day(
@@ -50,38 +50,34 @@ def align_to(df: DataFrame, reference: DataFrame, on: list[str]) -> DataFrame:
     return reference.select(*on).distinct().join(df, on, "left")
 
 
-def _sides(keys: list[str], order: str):
-    """Windows up to the row from the front and from the back (each grows, so both
-    are linear in the number of rows)."""
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    front = Window.partitionBy(*keys).orderBy(order).rowsBetween(*upto)
-    back = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(*upto)
-    return front, back
-
-
-def interpolate(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
-    """Straight line between the neighbours by row position; ends take the nearest.
+def settle(
+    df: DataFrame, keys: list[str], order: str, measures: list[str], labels: list[str], daily: bool = True
+) -> DataFrame:
+    """Interpolate the measures and fill the labels in one pass.
 
-    ``df`` has one row per key and ``order`` value (a day).
+    Measures lie on a straight line between their neighbours by row position and
+    take the nearest value at the ends; labels take the last value seen, else the
+    next one to come. ``daily`` says that a key has one row a day; without it a
+    key may be of any size and ``order`` only has to be unique in it.
     """
-    front, back = _sides(keys, order)
-    df = df.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    out = {}
-    for c in columns:
-        at = F.when(F.col(c).isNotNull(), F.col("_pos"))
-        before, after = F.last(c, True).over(front), F.last(c, True).over(back)
-        p, n = F.last(at, True).over(front), F.last(at, True).over(back)
+    if not measures and not labels:
+        return df
+    near = nearest_known(df, keys, order, [*measures, *labels], daily)
+    out = {c: F.coalesce(F.col(f"{c}__prev.v"), F.col(f"{c}__next.v")) for c in labels}
+    for c in measures:
+        before, after = F.col(f"{c}__prev.v"), F.col(f"{c}__next.v")
+        p, n = F.col(f"{c}__prev.p"), F.col(f"{c}__next.p")
         line = before + (after - before) * (F.col("_pos") - p) / F.nullif(n - p, F.lit(0))
         out[c] = F.coalesce(F.col(c), line, before, after)
-    return df.withColumns(out).drop("_pos")
+    return near.withColumns(out).select(*df.columns)
 
 
-def fill_forward_back(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
-    """Last value seen, else the next one to come."""
-    front, back = _sides(keys, order)
-    return df.withColumns(
-        {c: F.coalesce(F.last(c, True).over(front), F.last(c, True).over(back)) for c in columns}
-    )
+def interpolate(df: DataFrame, keys: list[str], order: str, columns: list[str], daily: bool = True) -> DataFrame:
+    return settle(df, keys, order, columns, [], daily)
+
+
+def fill_forward_back(df: DataFrame, keys: list[str], order: str, columns: list[str], daily: bool = True) -> DataFrame:
+    return settle(df, keys, order, [], columns, daily)
 
 
 def fill_defaults(df: DataFrame, defaults: dict = vocab.MEASURE_DEFAULTS) -> DataFrame:
@@ -163,6 +159,4 @@ def clean(
     fill = labels
     if fill is None:
         fill = [c for c in df.columns if c not in (*keys, date, *order, *measures, "result")]
-    df = interpolate(df, keys, along, measures)
-    df = fill_forward_back(df, keys, along, fill) if fill else df
-    return fill_defaults(df, defaults)
+    return fill_defaults(settle(df, keys, along, measures, fill, daily=along == date), defaults)

@@ -40,7 +40,7 @@ def knn_join_vectors(spark, folder):
 
 def _tabular(spark, folder, **blocks):
     h, f = X.history(spark, folder), X.forecast(spark, folder)
-    stats = fit_scaler(h, FEATURES)
+    stats = materialise(fit_scaler(h, FEATURES))
     h, f = (apply_scaler(df, stats, FEATURES) for df in (h, f))
     return rounded(knn_join(h, f, Z, "hist_id", SITE_DAY, 5, **blocks), "distance")
 
@@ -64,7 +64,7 @@ def knn_join_pruned(spark, folder):
 def _line_queries(spark, folder):
     """Every lineitem as history, each supplier's mean line as a query."""
     lines = table(spark, folder, "lineitem")
-    stats = fit_scaler(lines, LINE_FEATURES)
+    stats = materialise(fit_scaler(lines, LINE_FEATURES))
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate"))
     h = lines.select(key.alias("hist_id"), *LINE_FEATURES)
     q = lines.groupBy("l_suppkey").agg(*[F.avg(f).alias(f) for f in LINE_FEATURES])
@@ -348,7 +348,7 @@ def planting_advice(spark, folder):
 def similarity_requests(spark, folder):
     """Every request answered; one summary row each."""
     out = jobs.similarity_requests(
-        X.history(spark, folder), X.forecast(spark, folder), X.requests(spark, folder), features=FEATURES,
+        X.history(spark, folder), materialise(X.forecast(spark, folder)), X.requests(spark, folder), features=FEATURES,
         measures=FEATURES,
     )
     best = out["crop_comparisons"].filter("rank = 1").select(

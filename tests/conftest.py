@@ -14,6 +14,15 @@ def spark():
     return session()
 
 
+@pytest.fixture
+def many_blocks(spark):
+    """Keep small tables in as many range partitions as large ones would have."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
 @pytest.fixture(scope="session")
 def rows(spark):
     """Build a DataFrame from tuples and a DDL schema."""

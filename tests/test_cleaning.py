@@ -92,6 +92,17 @@ def test_interpolation_by_position_with_nearest_ends(rows):
     assert [r.x for r in out] == [1, 1, 2, 3, 4, 4]
 
 
+def test_long_series_are_filled_across_blocks(spark, many_blocks):
+    df = spark.range(4000).select(
+        (F.col("id") % 2).alias("k"), "id", F.when(F.xxhash64("id") % 700 == 0, F.col("id") * 1.5).alias("x"),
+        F.when(F.xxhash64("id") % 900 == 1, F.col("id").cast("string")).alias("t"),
+    )
+    cut = L.settle(df, ["k"], "id", ["x"], ["t"], daily=False)
+    whole = L.settle(df, ["k"], "id", ["x"], ["t"], daily=True)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+    assert cut.filter("x is null or t is null").count() == 0
+
+
 def test_fill_goes_forward_then_back(rows):
     df = rows([(i, x) for i, x in enumerate([None, "a", None, "b", None])], "n int, x string")
     assert [r.x for r in L.fill_forward_back(df, [], "n", ["x"]).orderBy("n").collect()] == ["a", "a", "a", "b", "b"]

@@ -22,6 +22,37 @@ def test_query_equals_its_sql(spark, con, name):
     assert not wrong and n > 0
 
 
+@pytest.fixture
+def plans(monkeypatch, spark):
+    """Plans of everything that is written while the test runs."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen = []
+    for how in ("parquet", "save"):
+        original = getattr(DataFrameWriter, how)
+
+        def spy(self, *args, _original=original, **kwargs):
+            seen.append(self._df._jdf.queryExecution().executedPlan().toString())
+            return _original(self, *args, **kwargs)
+
+        monkeypatch.setattr(DataFrameWriter, how, spy)
+    return seen
+
+
+@pytest.mark.parametrize("name", ["crop_comparison", "knn_join_pruned", "match_sequence", "resolve_crop", "season_etl",
+                                  "similarity_requests", "start_date_recommendations", "planting_advice", "clean_series"])
+def test_no_plan_pairs_everything_with_everything(spark, plans, name):
+    entry.queries()[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
+    assert plans
+    for plan in plans:
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_scans_read_only_the_columns_they_need(spark, plans):
+    entry.queries()["start_window_join"](spark, FOLDER).write.format("noop").mode("overwrite").save()
+    assert "event_type" not in plans[-1] and "PushedFilters: [IsNotNull(user_id)" in plans[-1]
+
+
 def test_every_sql_text_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

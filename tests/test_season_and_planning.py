@@ -19,8 +19,9 @@ def day(n):
 
 # --- ordered operators ------------------------------------------------------------
 
-def test_rows_are_numbered_across_blocks(spark):
+def test_rows_are_numbered_across_blocks(spark, many_blocks):
     df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.lit(None)).alias("k"), (F.lit(9999) - F.col("id")).alias("o"))
+    assert O.in_blocks(df, ["k"], ["o"]).select("_block").distinct().count() > 4
     out = O.number_rows(df, ["k"], ["o"], total="n").orderBy("k", "o").collect()
     for k in ("hot", None):
         mine = [r for r in out if r.k == k]
@@ -34,7 +35,7 @@ def test_median_of_even_odd_and_repeated_values(rows):
     assert out == {"a": (3.0, 6.0), "b": (3.0, None)}
 
 
-def test_median_agrees_with_the_built_in_one(spark):
+def test_median_agrees_with_the_built_in_one(spark, many_blocks):
     df = spark.range(3000).select((F.col("id") % 4).alias("k"), (F.xxhash64("id") % 1000).cast("double").alias("x"))
     got = {r.k: r.x for r in O.exact_median(df, ["k"], ["x"]).collect()}
     assert got == {r.k: r.x for r in df.groupBy("k").agg(F.median("x").alias("x")).collect()}
@@ -83,7 +84,7 @@ def test_bounds_depend_on_the_key_only(spark):
     assert W.derive_bounds(given, ["id"]).select("min_temp").distinct().count() == 1
 
 
-def test_redating_by_day_and_by_hour(spark):
+def test_redating_by_day_and_by_hour(spark, many_blocks):
     df = spark.range(50).withColumn("k", F.lit("x"))
     days = [r.date for r in W.redate(df, ["k"], ["id"], "2026-05-01").orderBy("id").collect()]
     assert days == [day(n) for n in range(1, 51)]
