@@ -227,7 +227,7 @@ def _fit_trees(history: DataFrame, rows: int, dims: int, k: int, block_rows: int
     wanted = leaves * SAMPLE_PER_LEAF * max(1, k // 8)
     share = min(1.0, wanted / rows)
     pick = F.pmod(F.xxhash64("g", "vec"), F.lit(1_000_000_000)) < F.lit(int(share * 1e9))
-    sample = history.filter(pick).select("g", "vec").toPandas()
+    sample = history.filter(pick).select("g", "vec").toArrow().to_pandas()
     trees = {}
     for g, part in sample.groupby("g"):
         points = np.unique(_matrix(part["vec"]), axis=0)
@@ -298,7 +298,8 @@ def _ask_blocks(blocks: DataFrame, asked: DataFrame, k: int, block_queries: int)
     at = [*place, "share"]
     # Spread by block and share; a join above may have left all shares together.
     # The number is given because AQE would merge by bytes what is costly to compute.
-    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = load.agg(F.sum("shares")).first()[0] or 1
+    tasks = min(2 * groups, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (
         history.repartition(tasks, *at)
         .groupBy(*at)
@@ -310,15 +311,14 @@ def _ask_blocks(blocks: DataFrame, asked: DataFrame, k: int, block_queries: int)
     )
 
 
-def _scan_history(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Answer a counted, small number of queries without moving the history.
+def _scan_history(points: DataFrame, asked: pa.Table, k: int) -> DataFrame:
+    """Answer a small number of queries without moving the history.
 
     The queries go to every task; each returns its k best per query, which are
     few against its rows, and those are merged.
     """
-    sent = {}
-    for g, part in asked.select("g", "qid", "vec").toPandas().groupby("g"):
-        sent[g] = (part["qid"].to_numpy(), _matrix(part["vec"].map(np.asarray)))
+    frame = asked.to_pandas()
+    sent = {g: (part["qid"].to_numpy(), _matrix(part["vec"])) for g, part in frame.groupby("g")}
     kept = [c for c in points.columns if c not in ("g", "vec")]
     schema = T.StructType(
         [
@@ -415,9 +415,9 @@ def knn_join(
     named = materialise(named.withColumn("qid", F.md5(F.to_json(F.struct("g", "vec")))))
     # Equal questions have one number, so each is answered once.
     asked = named.select("qid", "g", "vec").distinct().withColumn("bound", F.lit(float("inf")))
-    few = asked.limit(scan_queries + 1).count() <= scan_queries
-    if few:
-        found = _scan_history(points, asked, k)
+    few = asked.select("g", "qid", "vec").limit(scan_queries + 1).toArrow()
+    if len(few) <= scan_queries:
+        found = _scan_history(points, few, k)
     else:
         found = _route(points, asked, len(features), k, block_rows, block_queries, max_leaves)
     return named.select("ids", "g", "qid").join(found, ["g", "qid"]).select(

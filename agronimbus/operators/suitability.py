@@ -205,7 +205,7 @@ def compare_crops(
     named = means.select(*sites, *[F.col(m).alias(f"forecast_{m}") for m in measures])
     best_first = Window.partitionBy(*sites).orderBy(F.desc("similarity_score"), F.col(crop))
     return (
-        scored.join(materialise(optimal), [crop]).join(named, sites)
+        scored.join(optimal, [crop]).join(named, sites)
         .withColumn("rank", F.row_number().over(best_first))
     )
 
@@ -238,6 +238,23 @@ def match_sequence(
     return found.withColumn("similarity", match_similarity()).drop("rank")
 
 
+def nested_comparisons(
+    compared: DataFrame, sequence: DataFrame, keys: list[str], measures: list[str], date: str = "date"
+) -> DataFrame:
+    """Comparisons in their nested form: optimal and forecast weather as structs and
+    the match sequence as an array with one entry per forecast day."""
+    at = [c for c in sequence.columns if c not in (*keys, date)]
+    days = sequence.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(date, *at))).alias("historical_match_sequence")
+    )
+    weather = {
+        f"{side}_weather": F.struct(*[F.col(f"{side}_{m}").alias(m) for m in measures])
+        for side in ("optimal", "forecast")
+    }
+    flat = [f"{side}_{m}" for side in ("optimal", "forecast") for m in measures]
+    return compared.withColumns(weather).drop(*flat).join(days, keys, "left")
+
+
 def scaled_pairs(
     history: DataFrame,
     forecast: DataFrame,

@@ -126,7 +126,7 @@ def neighbours_sql(h: str, q: str, ids: list[str], k: int, by: str | None = None
     link = f"JOIN st USING ({by})" if by else "CROSS JOIN st"
     stats = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in features)
     z = ", ".join(f"({f} - m_{f}) / coalesce(nullif(s_{f}, 0), 1) AS z_{f}" for f in features)
-    d = "round(sqrt(" + " + ".join(f"(a.z_{f} - b.z_{f}) * (a.z_{f} - b.z_{f})" for f in features) + "), 9)"
+    d = "round_even(sqrt(" + " + ".join(f"(a.z_{f} - b.z_{f}) * (a.z_{f} - b.z_{f})" for f in features) + "), 9)"
     who = ", ".join(f"b.{i}" for i in ids)
     pair = f"JOIN qz b ON a.{by} = b.{by}" if by else "CROSS JOIN qz b"
     at = (f"a.{by}, " if by else "") + who

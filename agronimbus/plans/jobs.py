@@ -150,13 +150,10 @@ def similarity_requests(
         )
     )
     starts = recommend_starts(history, forecast, requests, hist_id, features=features, **blocks)
-    scores = compared.select("request_id", "crop", "similarity_score", "risk_level")
-    own = scores.join(requests.select("request_id", "crop"), ["request_id", "crop"]).drop("crop")
-    plan = irrigation_schedule(
-        days.withColumnRenamed("target_crop", "crop").join(own, ["request_id"], "left"),
-        ["request_id"], "duration",
-    )
     target = days.withColumnRenamed("target_crop", "crop")
+    day = ["request_id", "date"]
+    daily = predict_viability(history, target, hist_id, day, features, **blocks)
+    plan = irrigation_schedule(target.join(daily, day, "left"), ["request_id"], "duration")
     sequence = match_sequence(
         history, target, hist_id, ["request_id"], "date", features, profile=profile, **blocks
     )
@@ -171,6 +168,25 @@ def similarity_requests(
     }
 
 
+def response_records(answers: dict[str, DataFrame]) -> DataFrame:
+    """One nested row per request. Its lists hold a row per crop, season day or
+    start offset, so their length does not grow with the data."""
+    parts = {
+        "crop_comparisons": ["rank", "crop"],
+        "schedule": ["day"],
+        "recommendations": ["success_probability"],
+        "scaled_pairs": ["date"],
+    }
+    out = None
+    for name, first in parts.items():
+        df = answers[name]
+        rest = [c for c in df.columns if c not in ("request_id", *first)]
+        rows = F.sort_array(F.collect_list(F.struct(*first, *rest)), asc=name != "recommendations")
+        part = df.groupBy("request_id").agg(rows.alias(name))
+        out = part if out is None else out.join(part, ["request_id"], "left")
+    return out
+
+
 def planting_advice(
     history: DataFrame,
     forecast: DataFrame,

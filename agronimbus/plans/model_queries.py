@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import vocab
+from ..functions import exprs, vocab
 from ..operators import suitability as U
 from ..operators.aggregates import daily_resample
 from ..operators.neighbours import knn_join
@@ -27,9 +27,9 @@ OK_ALL = "ok AS (SELECT * FROM h WHERE result = 1 OR (SELECT max(result) FROM h)
 
 
 @query("knn_join", """
-SELECT query_id, hist_id, rank, round(distance, 6) AS distance FROM (
-  SELECT b.vec_id AS query_id, a.vec_id AS hist_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance,
-         row_number() OVER (PARTITION BY b.vec_id ORDER BY round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), a.vec_id)::INT AS rank
+SELECT query_id, hist_id, rank, round_even(distance, 6) AS distance FROM (
+  SELECT b.vec_id AS query_id, a.vec_id AS hist_id, round_even(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance,
+         row_number() OVER (PARTITION BY b.vec_id ORDER BY round_even(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), a.vec_id)::INT AS rank
   FROM embeddings a, embeddings b) WHERE rank <= 5""")
 def knn_join_vectors(spark, folder):
     v = table(spark, folder, "embeddings")
@@ -47,7 +47,7 @@ def _tabular(spark, folder, **blocks):
 
 TABULAR = f"""
 WITH {H_AND_F}, {X.neighbours_sql('h', 'f', SITE_DAY, 5)}
-SELECT site_id, date, hist_id, rank::INT AS rank, round(distance, 6) AS distance FROM nn"""
+SELECT site_id, date, hist_id, rank::INT AS rank, round_even(distance, 6) AS distance FROM nn"""
 
 
 @query("knn_join_tabular", TABULAR)
@@ -76,7 +76,7 @@ WITH h AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
                   0 AS result, l_quantity, l_extendedprice FROM lineitem),
 q AS (SELECT l_suppkey, avg(l_quantity) AS l_quantity, avg(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1),
 {X.neighbours_sql('h', 'q', ['l_suppkey'], 5, features=LINE_FEATURES)}
-SELECT l_suppkey, hist_id, rank::INT AS rank, round(distance, 6) AS distance FROM nn""")
+SELECT l_suppkey, hist_id, rank::INT AS rank, round_even(distance, 6) AS distance FROM nn""")
 def knn_join_lines(spark, folder):
     h, q = _line_queries(spark, folder)
     out = knn_join(h, q, [f"z_{f}" for f in LINE_FEATURES], "hist_id", "l_suppkey", 5)
@@ -85,7 +85,7 @@ def knn_join_lines(spark, folder):
 
 @query("knn_similarity", f"""
 WITH {H_AND_F}, {OK_ALL}, {X.neighbours_sql('ok', 'f', SITE_DAY, 5)}
-SELECT site_id, date, hist_id, rank::INT AS rank, round(distance, 6) AS distance,
+SELECT site_id, date, hist_id, rank::INT AS rank, round_even(distance, 6) AS distance,
        round_even(exp(-distance / 6) * 100, 2) AS similarity FROM nn""")
 def knn_similarity(spark, folder):
     out = U.knn_similarity(X.history(spark, folder), X.forecast(spark, folder), "hist_id", SITE_DAY, FEATURES)
@@ -94,7 +94,7 @@ def knn_similarity(spark, folder):
 
 @query("knn_success_probability", f"""
 WITH {H_AND_F}, {X.neighbours_sql('h', 'f', SITE_DAY, 5)}, {X.vote_sql(SITE_DAY)}
-SELECT v.site_id, v.date, round(p, 6) AS raw_probability, round(d, 6) AS mean_distance FROM vote v
+SELECT v.site_id, v.date, round_even(p, 6) AS raw_probability, round_even(d, 6) AS mean_distance FROM vote v
 JOIN (SELECT site_id, date, avg(distance) AS d FROM nn GROUP BY 1, 2) USING (site_id, date)""")
 def knn_success_probability(spark, folder):
     out = U.success_probability(X.history(spark, folder), X.forecast(spark, folder), "hist_id", SITE_DAY, FEATURES)
@@ -114,8 +114,8 @@ def _means(view):
 COMPARED = f"""
 {H_AND_F}, m AS (SELECT s.*, c.crop FROM {_means('f')} s, (SELECT DISTINCT crop FROM h) c),
 {X.neighbours_sql('h', 'm', ['site_id'], 5, by='crop')}, {X.vote_sql(['crop', 'site_id'])},
-opt AS (SELECT crop, {', '.join(f'round(median({m}), 9) AS optimal_{m}' for m in FEATURES)} FROM h GROUP BY 1),
-fm AS (SELECT site_id, {', '.join(f'round({m}, 9) AS forecast_{m}' for m in FEATURES)} FROM {_means('f')})"""
+opt AS (SELECT crop, {', '.join(f'round_even(median({m}), 9) AS optimal_{m}' for m in FEATURES)} FROM h GROUP BY 1),
+fm AS (SELECT site_id, {', '.join(f'round_even({m}, 9) AS forecast_{m}' for m in FEATURES)} FROM {_means('f')})"""
 
 
 def _compared(spark, folder):
@@ -165,9 +165,9 @@ def _best(spark, folder):
 
 @query("export_matched_patterns", f"""
 WITH {BEST}
-SELECT f.date AS "Forecast Date", 'Unknown' AS "Crop", round(f.temp, 6) AS "Forecast Temp", round(f.rainfall, 6) AS "Forecast Rain",
-  round(f.humidity, 6) AS "Forecast Hum", h.date AS "Matched Hist Date", h.temp AS "Matched Hist Temp",
-  h.rainfall AS "Matched Hist Rain", round(h.humidity, 6) AS "Matched Hist Hum", round(distance, 6) AS "Distance",
+SELECT f.date AS "Forecast Date", 'Unknown' AS "Crop", round_even(f.temp, 6) AS "Forecast Temp", round_even(f.rainfall, 6) AS "Forecast Rain",
+  round_even(f.humidity, 6) AS "Forecast Hum", h.date AS "Matched Hist Date", h.temp AS "Matched Hist Temp",
+  h.rainfall AS "Matched Hist Rain", round_even(h.humidity, 6) AS "Matched Hist Hum", round_even(distance, 6) AS "Distance",
   round_even(exp(-distance / 6) * 100, 2) AS "Similarity Score"
 FROM b JOIN f USING (site_id, date) JOIN h USING (hist_id)""")
 def export_matched_patterns(spark, folder):
@@ -180,7 +180,7 @@ def export_matched_patterns(spark, folder):
 
 @query("nested_matches", f"""
 WITH {H_AND_F}, {OK_ALL}, {X.neighbours_sql('ok', 'f', SITE_DAY, 5)}
-SELECT site_id || '/' || date AS query_id, count(*)::INT AS n_matched, round(min(distance), 6) AS best_distance,
+SELECT site_id || '/' || date AS query_id, count(*)::INT AS n_matched, round_even(min(distance), 6) AS best_distance,
   arg_min(hist_id, rank) AS best_hist, string_agg(hist_id, ',' ORDER BY rank) AS ranked FROM nn GROUP BY 1""")
 def nested_matches(spark, folder):
     h, _, matches = _best(spark, folder)
@@ -188,7 +188,7 @@ def nested_matches(spark, folder):
     return nested.select(
         "query_id",
         F.size("matched_patterns").alias("n_matched"),
-        F.round("best_match.distance", 6).alias("best_distance"),
+        exprs.half_even("best_match.distance", 6).alias("best_distance"),
         F.col("best_match.hist_id").alias("best_hist"),
         F.array_join(F.transform("matched_patterns", lambda m: m["hist_id"].cast("string")), ",").alias("ranked"),
     )
@@ -197,7 +197,7 @@ def nested_matches(spark, folder):
 @query("match_sequence", f"""
 WITH {H_AND_F}, {OK}, q AS (SELECT f.*, c.crop FROM f, (SELECT DISTINCT crop FROM h) c),
 {X.neighbours_sql('ok', 'q', SITE_DAY, 1, by='crop')}
-SELECT crop, site_id, date, hist_id, round(distance, 6) AS distance,
+SELECT crop, site_id, date, hist_id, round_even(distance, 6) AS distance,
        round_even(exp(-distance / 6) * 100, 2) AS similarity FROM nn""")
 def match_sequence(spark, folder):
     out = U.match_sequence(
@@ -208,8 +208,8 @@ def match_sequence(spark, folder):
 
 @query("scaled_pair_series", f"""
 WITH {BEST}, s AS (SELECT {', '.join(f'avg({m}) AS a_{m}, stddev_pop({m}) AS d_{m}' for m in FEATURES)} FROM h)
-SELECT f.site_id, f.date, hist_id, {', '.join(f'round((f.{m} - a_{m}) / d_{m}, 6) AS forecast_{m}' for m in FEATURES)},
-  {', '.join(f'round((h.{m} - a_{m}) / d_{m}, 6) AS history_{m}' for m in FEATURES)}
+SELECT f.site_id, f.date, hist_id, {', '.join(f'round_even((f.{m} - a_{m}) / d_{m}, 6) AS forecast_{m}' for m in FEATURES)},
+  {', '.join(f'round_even((h.{m} - a_{m}) / d_{m}, 6) AS history_{m}' for m in FEATURES)}
 FROM b JOIN f USING (site_id, date) JOIN h USING (hist_id), s""")
 def scaled_pair_series(spark, folder):
     h, f = X.history(spark, folder), X.forecast(spark, folder)
@@ -249,7 +249,7 @@ v AS (SELECT *, round_even(greatest(0, need - rainfall), 2) AS mm FROM d WHERE d
 SELECT site_id, day, date,
   CASE WHEN day <= 3 THEN 'Germination & Emergence' WHEN day <= 9 THEN 'Vegetative Growth'
        WHEN day <= 15 THEN 'Flowering & Pollination' ELSE 'Yield Formation & Ripening' END AS stage,
-  round(temp, 6) AS temperature, round(rainfall, 6) AS rainfall, round(humidity, 6) AS humidity,
+  round_even(temp, 6) AS temperature, round_even(rainfall, 6) AS rainfall, round_even(humidity, 6) AS humidity,
   75.0::DOUBLE AS similarity_score, risk AS risk_level, need > rainfall AS irrigation_needed, mm AS irrigation_volume_mm,
   concat_ws(' | ', CASE WHEN need > rainfall THEN 'Apply ' || regexp_replace(printf('%.2f', mm), '0$', '') || ' mm of targeted irrigation.'
        ELSE '{vocab.NO_IRRIGATION_TEXT}' END,
@@ -344,18 +344,43 @@ def planting_advice(spark, folder):
     )
 
 
-@query("similarity_requests")
+DAY_RISK = f"""
+dp AS (WITH {X.neighbours_sql('h', 'f', SITE_DAY, 5)}, {X.vote_sql(SITE_DAY)} SELECT * FROM score)"""
+BETTER = f"""
+better AS (WITH w AS (SELECT rq.*, o AS "offset", start_date + o::INT AS window_start FROM rq, (VALUES (0), (7), (14)) v(o)),
+m AS (SELECT request_id, w.crop, "offset", {', '.join(f'avg({m}) AS {m}' for m in FEATURES)}
+      FROM w JOIN f ON f.site_id = w.site_id AND f.date BETWEEN window_start AND window_start + duration - 1 GROUP BY 1, 2, 3),
+{X.neighbours_sql('h', 'm', ['request_id', '"offset"'], 5, by='crop')}, {X.vote_sql(['crop', 'request_id', '"offset"'])}
+SELECT a.request_id, count(*) AS better_starts FROM score a LEFT JOIN score b ON a.request_id = b.request_id AND b."offset" = 0
+WHERE a."offset" > 0 AND a.success_probability > coalesce(b.success_probability, 0) GROUP BY 1)"""
+
+
+@query("similarity_requests", f"""
+WITH {H_AND_F}, rq AS ({X.REQUESTS}), {DAY_RISK}, {BETTER},
+days AS (SELECT rq.request_id, f.* FROM rq JOIN f ON f.site_id = rq.site_id AND f.date BETWEEN start_date AND start_date + duration - 1),
+m AS (SELECT s.*, c.crop FROM (SELECT request_id, {', '.join(f'avg({m}) AS {m}' for m in FEATURES)} FROM days GROUP BY 1) s,
+      (SELECT DISTINCT crop FROM h) c),
+{X.neighbours_sql('h', 'm', ['request_id'], 5, by='crop')}, {X.vote_sql(['crop', 'request_id'])},
+best AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY similarity_score DESC, crop) AS n FROM score)
+SELECT best.request_id, crop AS best_crop, similarity_score, success_probability, best.risk_level, d.days, irrigation_mm,
+       high_risk_days, coalesce(better_starts, 0) AS better_starts, d.days AS matched_days
+FROM best JOIN (SELECT request_id, count(*) AS days, round_even(sum(round_even(greatest(0, 4.5::DOUBLE - rainfall), 2)), 6) AS irrigation_mm,
+                       count(*) FILTER (WHERE risk_level = 'high') AS high_risk_days
+                FROM days JOIN dp USING (site_id, date) GROUP BY 1) d USING (request_id)
+LEFT JOIN better USING (request_id) WHERE n = 1""")
 def similarity_requests(spark, folder):
     """Every request answered; one summary row each."""
     out = jobs.similarity_requests(
-        X.history(spark, folder), materialise(X.forecast(spark, folder)), X.requests(spark, folder), features=FEATURES,
-        measures=FEATURES,
+        X.history(spark, folder), materialise(X.forecast(spark, folder)), X.requests(spark, folder),
+        features=FEATURES, measures=FEATURES,
     )
     best = out["crop_comparisons"].filter("rank = 1").select(
         "request_id", F.col("crop").alias("best_crop"), "similarity_score", "success_probability", "risk_level"
     )
     plan = out["schedule"].groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("days"), F.round(F.sum("irrigation_volume_mm"), 6).alias("irrigation_mm")
+        F.count(F.lit(1)).alias("days"),
+        exprs.half_even(F.sum("irrigation_volume_mm"), 6).alias("irrigation_mm"),
+        F.count_if(F.col("risk_level") == "high").alias("high_risk_days"),
     )
     later = out["recommendations"].groupBy("request_id").agg(F.count(F.lit(1)).alias("better_starts"))
     pairs = out["scaled_pairs"].groupBy("request_id").agg(F.count(F.lit(1)).alias("matched_days"))
@@ -365,6 +390,30 @@ def similarity_requests(spark, folder):
     return joined.fillna({"better_starts": 0})
 
 
+@query("export_daily_predictions", f"""
+WITH {H_AND_F}, {DAY_RISK} SELECT date AS "Date", site_id AS "Site Id", similarity_score AS "Similarity Score",
+  success_probability AS "Success Probability", risk_level AS "Risk Level" FROM dp""")
+def export_daily_predictions(spark, folder):
+    daily = U.predict_viability(X.history(spark, folder), X.forecast(spark, folder), "hist_id", SITE_DAY, FEATURES)
+    return sinks.S.title_headers(daily)
+
+
+@query("batch_calculation", f"""
+WITH h AS ({X.HISTORY}), f AS (SELECT date, {', '.join(f'avg({m}) AS {m}' for m in FEATURES)} FROM ({X.FORECAST}) GROUP BY 1),
+mt AS (WITH {OK_ALL}, {X.neighbours_sql('ok', 'f', ['date'], 5)} SELECT date, hist_id, distance FROM nn WHERE rank = 1),
+dp AS (WITH {X.neighbours_sql('h', 'f', ['date'], 5)}, {X.vote_sql(['date'])} SELECT * FROM score)
+SELECT date, 'promo' AS crop, similarity_score, success_probability, risk_level, hist_id,
+       round_even(exp(-distance / 6) * 100, 2) AS similarity FROM dp JOIN mt USING (date)""")
+def batch_calculation(spark, folder):
+    """The batch run for one forecast, the mean over all sites."""
+    days = U.forecast_means(X.forecast(spark, folder), FEATURES, ["date"])
+    out = jobs.batch_calculation(
+        X.history(spark, folder), materialise(days), target_crop="promo", features=FEATURES, crops=X.CROPS
+    )
+    best = out["matches"].filter("rank = 1").select("date", "hist_id", "similarity")
+    return out["daily_predictions"].join(best, "date")
+
+
 def flagship(spark, folder):
-    """The batch calculation: match, predict and compare every crop for all sites."""
+    """Every crop's own model against every site's forecast, ranked."""
     return _compared(spark, folder)

@@ -23,12 +23,12 @@ from .registry import query
 
 
 def rounded(df, *names, digits=6):
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    return df.withColumns({n: exprs.half_even(n, digits) for n in names})
 
 
-def r(names, digits=6, alias=True):
+def r(names, digits=6):
     """SQL: the names rounded."""
-    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
+    return ", ".join(f"round_even({n}, {digits}) AS {n}" for n in names)
 
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -140,7 +140,7 @@ def two_sources(spark, folder):
 WITH {TWO_SOURCES},
 b AS (SELECT * FROM p UNION ALL SELECT * FROM s
       WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.site_id = s.site_id AND p.date = s.date))
-SELECT site_id, date, round(temp, 6) AS temp, origin FROM (
+SELECT site_id, date, round_even(temp, 6) AS temp, origin FROM (
   SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY date) AS rn FROM b) WHERE rn <= 14""")
 def source_topup(spark, folder):
     primary, reserve = two_sources(spark, folder)
@@ -234,7 +234,7 @@ def derive_bounds(spark, folder):
 
 
 @query("attach_group_means", """
-SELECT l_returnflag, l_linestatus, count(*) AS n, round(min(q), 6) AS l_quantity_mean, round(max(d), 6) AS l_discount_mean,
+SELECT l_returnflag, l_linestatus, count(*) AS n, round_even(min(q), 6) AS l_quantity_mean, round_even(max(d), 6) AS l_discount_mean,
        sum(CASE WHEN l_quantity > q THEN 1 ELSE 0 END)::BIGINT AS above
 FROM (SELECT l_returnflag, l_linestatus, l_quantity, avg(l_quantity) OVER g AS q, avg(l_discount) OVER g AS d
       FROM lineitem WINDOW g AS (PARTITION BY l_returnflag)) GROUP BY 1, 2""")
@@ -243,8 +243,8 @@ def attach_group_means_query(spark, folder):
     df = attach_group_means(df, ["l_quantity", "l_discount"], ["l_returnflag"])
     return df.groupBy("l_returnflag", "l_linestatus").agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.min("l_quantity_mean"), 6).alias("l_quantity_mean"),
-        F.round(F.max("l_discount_mean"), 6).alias("l_discount_mean"),
+        exprs.half_even(F.min("l_quantity_mean"), 6).alias("l_quantity_mean"),
+        exprs.half_even(F.max("l_discount_mean"), 6).alias("l_discount_mean"),
         F.count_if(F.col("l_quantity") > F.col("l_quantity_mean")).alias("above"),
     )
 
@@ -350,7 +350,7 @@ def calendar_fill(spark, folder):
 
 
 @query("align_to_dates", f"""
-WITH {TWO_SOURCES} SELECT s.site_id, s.date, round(p.temp, 6) AS temp FROM s LEFT JOIN p USING (site_id, date)""")
+WITH {TWO_SOURCES} SELECT s.site_id, s.date, round_even(p.temp, 6) AS temp FROM s LEFT JOIN p USING (site_id, date)""")
 def align_to_dates(spark, folder):
     first, second = two_sources(spark, folder)
     aligned = L.align_to(first, second, ["site_id", "date"])
@@ -375,7 +375,7 @@ c AS (SELECT site_id, count(DISTINCT s.date) AS want, count(DISTINCT p.date) AS
 cut AS (SELECT p.*, row_number() OVER (PARTITION BY site_id ORDER BY date) AS rn FROM p),
 res AS (SELECT site_id, date, temp FROM cut JOIN c USING (site_id) WHERE have >= want AND rn <= want
   UNION ALL SELECT s.site_id, s.date, p.temp FROM s JOIN c USING (site_id) LEFT JOIN p USING (site_id, date) WHERE have < want)
-SELECT site_id, date, round(temp, 6) AS temp FROM res""")
+SELECT site_id, date, round_even(temp, 6) AS temp FROM res""")
 def equalise_length(spark, folder):
     first, second = two_sources(spark, folder)
     return rounded(L.equalise_length(first.drop("origin"), second, ["site_id"], "date"), "temp")
@@ -384,13 +384,13 @@ def equalise_length(spark, folder):
 @query("start_window_join", f"""
 WITH f AS ({X.FORECAST}), q AS ({X.REQUESTS}),
 w AS (SELECT q.*, o AS "offset", start_date + o::INT AS window_start FROM q, (VALUES (0), (7), (14)) v(o))
-SELECT request_id, "offset", window_start, count(*) AS n_days, {r(['temp', 'rainfall', 'humidity']).replace('round(', 'round(avg(').replace(', 6)', '), 9)')}
+SELECT request_id, "offset", window_start, count(*) AS n_days, {r(['temp', 'rainfall', 'humidity']).replace('round_even(', 'round_even(avg(').replace(', 6)', '), 9)')}
 FROM w JOIN f ON f.site_id = w.site_id AND f.date BETWEEN window_start AND window_start + duration - 1
 GROUP BY 1, 2, 3""")
 def start_window_join(spark, folder):
     days = P.start_windows(X.requests(spark, folder), X.forecast(spark, folder), ["site_id"])
     return days.groupBy("request_id", "offset", "window_start").agg(
-        F.count(F.lit(1)).alias("n_days"), *[F.round(F.avg(m), 9).alias(m) for m in X.FEATURES]
+        F.count(F.lit(1)).alias("n_days"), *[exprs.half_even(F.avg(m), 9).alias(m) for m in X.FEATURES]
     )
 
 
@@ -402,14 +402,14 @@ def daily_resample(spark, folder):
 
 
 @query("optimal_conditions", """
-SELECT p_type AS crop, median(p_size) AS p_size, round(median(p_retailprice), 6) AS p_retailprice FROM part GROUP BY 1""")
+SELECT p_type AS crop, median(p_size) AS p_size, round_even(median(p_retailprice), 6) AS p_retailprice FROM part GROUP BY 1""")
 def optimal_conditions(spark, folder):
     part = table(spark, folder, "part").withColumnRenamed("p_type", "crop")
     return rounded(O.exact_median(part, ["crop"], ["p_size", "p_retailprice"]), "p_retailprice")
 
 
 @query("forecast_mean", f"""
-SELECT site_id, {', '.join(f'round(avg({m}), 9) AS {m}' for m in DAILY)} FROM ({X.FORECAST}) GROUP BY 1""")
+SELECT site_id, {', '.join(f'round_even(avg({m}), 9) AS {m}' for m in DAILY)} FROM ({X.FORECAST}) GROUP BY 1""")
 def forecast_mean(spark, folder):
     return rounded(forecast_means(X.forecast(spark, folder), DAILY, ["site_id"]), *DAILY, digits=9)
 
@@ -421,7 +421,7 @@ def distinct_count(spark, folder):
 
 
 @query("scaler_stats", f"""
-SELECT l_returnflag, {', '.join(f'round(avg({n}), 6) AS {n}__mean, round(stddev_pop({n}), 6) AS {n}__sd' for n in NUMBERS)}
+SELECT l_returnflag, {', '.join(f'round_even(avg({n}), 6) AS {n}__mean, round_even(stddev_pop({n}), 6) AS {n}__sd' for n in NUMBERS)}
 FROM lineitem GROUP BY 1""")
 def scaler_stats(spark, folder):
     stats = fit_scaler(table(spark, folder, "lineitem"), NUMBERS, ["l_returnflag"])
@@ -469,7 +469,7 @@ LERP_H = "coalesce(humidity, hb + (ha - hb) * (pos - qb) / nullif(qa - qb, 0), h
 
 
 @query("interpolate_linear", f"""
-WITH {DAYS}, {SPINE}, {SIDES} SELECT site_id, date, round({LERP_T}, 6) AS temp, round({LERP_H}, 6) AS humidity FROM n""")
+WITH {DAYS}, {SPINE}, {SIDES} SELECT site_id, date, round_even({LERP_T}, 6) AS temp, round_even({LERP_H}, 6) AS humidity FROM n""")
 def interpolate_linear(spark, folder):
     days = L.fill_calendar(good_days(spark, folder), ["site_id"], "date")
     out = L.interpolate(days, ["site_id"], "date", ["temp", "humidity"])
@@ -493,7 +493,7 @@ def fill_defaults(spark, folder):
 
 @query("clean_series", f"""
 WITH {DAYS}, {SPINE}, {SIDES}
-SELECT site_id, date, round(coalesce({LERP_T}, 25), 6) AS temp, round(coalesce({LERP_H}, 65), 6) AS humidity,
+SELECT site_id, date, round_even(coalesce({LERP_T}, 25), 6) AS temp, round_even(coalesce({LERP_H}, 65), 6) AS humidity,
        lower(trim(coalesce(sb, sa))) AS weather_condition FROM n""")
 def clean_series(spark, folder):
     raw = X.readings(spark, folder).select(
@@ -508,7 +508,7 @@ def clean_series(spark, folder):
 WITH s AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY date) AS rn,
                   count(*) OVER (PARTITION BY site_id) AS n FROM ({X.FORECAST})),
 t AS (SELECT site_id, unnest(range(1, 41))::INT AS season_day, n FROM (SELECT DISTINCT site_id, n FROM s))
-SELECT t.site_id, season_day, s.date, round(temp, 6) AS temp FROM t JOIN s ON s.site_id = t.site_id AND s.rn =
+SELECT t.site_id, season_day, s.date, round_even(temp, 6) AS temp FROM t JOIN s ON s.site_id = t.site_id AND s.rn =
   CASE WHEN season_day <= t.n THEN season_day
        ELSE t.n - least(10, t.n) + 1 + (season_day - t.n - 1) % least(10, t.n) END""")
 def season_pad(spark, folder):
@@ -586,8 +586,8 @@ m AS (SELECT crop, avg(temp) AS t, avg(humidity) AS h, avg(rainfall) AS r FROM h
 u AS (SELECT crop, temp, min_temp, max_temp, rainfall, humidity, result, date FROM h
   UNION ALL SELECT crop, t + 15, t + 10, t + 20, 0, h / 2, 0, DATE '2025-01-01' FROM m
   UNION ALL SELECT crop, t - 15, t - 20, t - 10, r * 3, 98, 0, DATE '2025-01-01' FROM m)
-SELECT crop, round(temp, 6) AS temp, round(min_temp, 6) AS min_temp, round(max_temp, 6) AS max_temp,
-       round(rainfall, 6) AS rainfall, round(humidity, 6) AS humidity, result, date FROM u""")
+SELECT crop, round_even(temp, 6) AS temp, round_even(min_temp, 6) AS min_temp, round_even(max_temp, 6) AS max_temp,
+       round_even(rainfall, 6) AS rainfall, round_even(humidity, 6) AS humidity, result, date FROM u""")
 def augment_failures(spark, folder):
     size = F.col("p_size").cast("double")
     h = table(spark, folder, "part").select(
@@ -614,15 +614,15 @@ def string_functions(spark, folder):
 
 
 @query("decay_score", """
-SELECT vec_id, round(exp(-d / 6) * 100, 6) AS per_neighbour, round(exp(-d / 3) * 100, 6) AS mean_based
+SELECT vec_id, round_even(exp(-d / 6) * 100, 6) AS per_neighbour, round_even(exp(-d / 3) * 100, 6) AS mean_based
 FROM (SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS d FROM embeddings)""")
 def decay_score(spark, folder):
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     d = F.sqrt(square)
     return table(spark, folder, "embeddings").select(
         "vec_id",
-        F.round(exprs.decay_percent(d, 6.0), 6).alias("per_neighbour"),
-        F.round(exprs.decay_percent(d, 3.0), 6).alias("mean_based"),
+        exprs.half_even(exprs.decay_percent(d, 6.0), 6).alias("per_neighbour"),
+        exprs.half_even(exprs.decay_percent(d, 3.0), 6).alias("mean_based"),
     )
 
 
@@ -664,7 +664,7 @@ LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 @query("standard_scale", f"""
 WITH s AS (SELECT {', '.join(f'avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}' for n in NUMBERS)} FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS l_shipdate,
-  {', '.join(f'round(({n} - m_{n}) / coalesce(nullif(s_{n}, 0), 1), 6) AS z_{n}' for n in NUMBERS)} FROM lineitem, s""")
+  {', '.join(f'round_even(({n} - m_{n}) / coalesce(nullif(s_{n}, 0), 1), 6) AS z_{n}' for n in NUMBERS)} FROM lineitem, s""")
 def standard_scale(spark, folder):
     df = table(spark, folder, "lineitem").select(*LINE, *NUMBERS).withColumn("l_shipdate", F.to_date("l_shipdate"))
     z = apply_scaler(df, fit_scaler(df, NUMBERS), NUMBERS).drop(*NUMBERS)
@@ -674,7 +674,7 @@ def standard_scale(spark, folder):
 @query("min_max_scale", f"""
 WITH s AS (SELECT {', '.join(f'min({n}) AS a_{n}, max({n}) AS z_{n}' for n in NUMBERS)} FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS l_shipdate,
-  {', '.join(f'round(({n} - a_{n}) / (z_{n} - a_{n}), 6) AS {n}' for n in NUMBERS)}, CAST(0 AS DOUBLE) AS constant
+  {', '.join(f'round_even(({n} - a_{n}) / (z_{n} - a_{n}), 6) AS {n}' for n in NUMBERS)}, CAST(0 AS DOUBLE) AS constant
 FROM lineitem, s""")
 def min_max_scale_query(spark, folder):
     df = table(spark, folder, "lineitem").select(*LINE, *NUMBERS).withColumn("l_shipdate", F.to_date("l_shipdate"))

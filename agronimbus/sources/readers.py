@@ -13,7 +13,7 @@ from ..operators.season import augment_failures, derive_bounds, redate
 
 def read_csv(spark: SparkSession, path: str, columns: T.StructType | None = None) -> DataFrame:
     """Rows under their header names, as text unless ``columns`` gives types."""
-    reader = spark.read.option("header", True)
+    reader = spark.read.options(header=True, escape='"')
     return (reader.schema(columns) if columns is not None else reader).csv(path)
 
 

@@ -16,7 +16,7 @@ def write_season(crop: DataFrame, weather: DataFrame, folder: str, fmt: str = "p
     for name, df in (("crop_data", crop), ("weather_data", weather)):
         spread = df.repartition("crop", "date")  # a crop may be most of the rows
         writer = spread.write.mode("overwrite").partitionBy("crop")
-        (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(f"{folder}/{name}")
+        (writer.options(header=True, escape='"') if fmt == "csv" else writer).format(fmt).save(f"{folder}/{name}")
 
 
 def comparison_export(comparisons: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def matched_patterns(
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, escape='"').csv(path)
     return path
 
 

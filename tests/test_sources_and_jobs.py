@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agronimbus.operators import schema as S
 from agronimbus.operators.aggregates import daily_resample
+from agronimbus.operators.suitability import compare_crops, match_sequence, nested_comparisons, predict_viability
 from agronimbus.plans import jobs, storage
 from agronimbus.sources import payloads, readers, selection, sinks
 
@@ -84,7 +85,7 @@ def test_exports_have_title_headers_and_read_back(spark, rows, tmp_path):
     df = rows(EXPORT, "crop string, similarity_score double, success_probability double, risk_level string")
     nested = df.withColumn("optimal_weather", F.struct(F.lit(1.5).alias("temp")))
     path = sinks.export_similarity_results(nested, str(tmp_path))
-    back = spark.read.option("header", True).csv(path)
+    back = spark.read.options(header=True, escape='"').csv(path)
     assert back.columns == ["Crop", "Similarity Score", "Success Probability", "Risk Level", "Optimal Weather"]
     assert json.loads(back.first()["Optimal Weather"]) == {"temp": 1.5}
     daily = df.withColumn("date", F.lit("2026-05-01"))
@@ -144,9 +145,26 @@ def test_requests_as_a_table(spark, farm):
     plan = {r.request_id: r["count"] for r in out["schedule"].groupBy("request_id").count().collect()}
     assert plan == {"r1": 10, "r2": 38, "r3": 5}
     assert {r.request_id for r in out["scaled_pairs"].collect()} == {"r1", "r2"}
-    risk = {r.request_id: r.risk_level for r in out["schedule"].filter("day = 1").collect()}
-    own = {r.request_id: r.risk_level for r in compared if (r.request_id, r.crop) in (("r1", "wheat"), ("r2", "rice"))}
-    assert risk == {**own, "r3": "medium"}
+    days = predict_viability(history, forecast, "hist_id", ["site_id", "date"]).collect()
+    risk = {(r.site_id, r.date): (r.similarity_score, r.risk_level) for r in days}
+    site = {"r1": "s1", "r2": "s2", "r3": "s1"}
+    for r in out["schedule"].collect():
+        assert (r.similarity_score, r.risk_level) == risk[site[r.request_id], r.date]
+    nested = {r.request_id: r for r in jobs.response_records(out).collect()}
+    assert [d.day for d in nested["r1"].schedule] == list(range(1, 11))
+    assert [c["rank"] for c in nested["r3"].crop_comparisons] == [1, 2, 3] and nested["r3"].scaled_pairs is None
+
+
+def test_comparisons_in_nested_form_can_be_exported(spark, farm, tmp_path):
+    history, forecast = farm
+    flat = compare_crops(history, forecast, "hist_id", ["site_id"])
+    sequence = match_sequence(history, forecast, "hist_id", ["site_id"])
+    nested = nested_comparisons(flat, sequence, ["site_id", "crop"], ["temp", "humidity", "rainfall"])
+    for r in nested.collect():
+        assert len(r.historical_match_sequence) == 40 and r.optimal_weather.temp > 0
+        assert [d.date for d in r.historical_match_sequence] == [day(n) for n in range(1, 41)]
+    back = spark.read.option("header", True).option("escape", '"').csv(sinks.export_similarity_results(nested, str(tmp_path)))
+    assert len(json.loads(back.first()["Historical Match Sequence"])) == 40
 
 
 def test_advice_fills_in_defaults(spark, farm):
