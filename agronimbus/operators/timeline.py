@@ -32,17 +32,18 @@ def first_per_day(
     )
 
 
-def calendar(df: DataFrame, keys: list[str], date: str) -> DataFrame:
-    """Every day from a key's first to its last. Rows without a key or a date belong
-    to no series."""
-    span = df.dropna(subset=[*keys, date]).groupBy(*keys).agg(F.min(date).alias("_a"), F.max(date).alias("_z"))
-    days = F.sequence("_a", "_z", F.expr("interval 1 day"))
-    return span.select(*keys, F.explode(days).alias(date))
-
-
 def fill_calendar(df: DataFrame, keys: list[str], date: str) -> DataFrame:
-    """Insert the missing days, empty. The join is on (key, day), never on a key."""
-    return calendar(df, keys, date).join(df, [*keys, date], "left")
+    """Insert the days missing between a key's first and last, empty.
+
+    Each row stands for the days up to the next row of its key, so the series is
+    read once and joined with nothing.
+    """
+    ahead = F.lead(date).over(Window.partitionBy(*keys).orderBy(date))
+    gap = F.coalesce(F.date_diff("_ahead", date), F.lit(1))
+    offsets = F.when(gap > 1, F.sequence(F.lit(0), gap - 1)).otherwise(F.array(F.lit(0)))
+    days = df.withColumn("_ahead", ahead).withColumn("_gap", F.explode(offsets)).drop("_ahead")
+    empty = {c: F.when(F.col("_gap") == 0, F.col(c)) for c in df.columns if c not in (*keys, date)}
+    return days.withColumns({**empty, date: F.date_add(date, F.col("_gap"))}).drop("_gap")
 
 
 def align_to(df: DataFrame, reference: DataFrame, on: list[str]) -> DataFrame:
@@ -142,12 +143,13 @@ def clean(
     """
     from .schema import apply_aliases, plain_headers
 
-    df = apply_aliases(replace_sentinels(plain_headers(df)), aliases)
+    order = [order] if isinstance(order, str) else (order or [])
+    df = apply_aliases(plain_headers(df), aliases)
+    df = replace_sentinels(df, [c for c in df.columns if c not in (*keys, *order)])
     measures = [m for m in measures if m in df.columns]
     df = df.withColumns({m: exprs.to_number(m) for m in measures}) if measures else df
     texts = [c for c in ("crop", "weather_condition") if c in df.columns]
     df = df.withColumns({c: exprs.normalise_text(c) for c in texts}) if texts else df
-    order = [order] if isinstance(order, str) else (order or [])
     along = order[0] if order else date
     if date in df.columns:
         if not isinstance(df.schema[date].dataType, T.DateType):
