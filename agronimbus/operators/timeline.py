@@ -106,21 +106,26 @@ def equalise_length(df: DataFrame, reference: DataFrame, keys: list[str], date:
     """As many days per key as the reference has: cut a longer series to its first
     days, bring a shorter one to the reference's dates (new days are empty).
 
-    Both inputs have one row per key and day.
+    Both inputs have one row per key and day; each is read once.
     """
-    if not keys:
-        one = [d.withColumn("_all", F.lit(0)) for d in (df, reference)]
-        return equalise_length(*one, ["_all"], date).drop("_all")
-    count = lambda d, name: d.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    sizes = count(reference, "_want").join(count(df, "_have"), keys, "left")
-    sized = df.join(sizes, keys)
-    long = sized.filter(F.col("_have") >= F.col("_want"))
-    by_day = Window.partitionBy(*keys).orderBy(date)
-    long = long.withColumn("_rn", F.row_number().over(by_day)).filter(F.col("_rn") <= F.col("_want"))
-    short = sizes.filter(F.coalesce("_have", F.lit(0)) < F.col("_want")).select(*keys)
-    wanted = reference.select(*keys, date).join(short, keys)
-    aligned = wanted.join(df, [*keys, date], "left")
-    return long.select(*df.columns).unionByName(aligned.select(*df.columns))
+    values = [c for c in df.columns if c not in (*keys, date)]
+    rows = df.select(*keys, date, F.struct(F.lit(1).alias("_"), *values).alias("_row")).unionByName(
+        reference.select(*keys, date), allowMissingColumns=True
+    )
+    own = F.col("_row").isNotNull()
+    by_key = Window.partitionBy(*keys)
+    in_order = Window.partitionBy(*keys, own).orderBy(date)
+    sized = rows.withColumns(
+        {
+            "_have": F.count_if(own).over(by_key),
+            "_want": F.count_if(~own).over(by_key),
+            "_rn": F.row_number().over(in_order),
+            "_same": F.first("_row", True).over(Window.partitionBy(*keys, date)),
+        }
+    )
+    enough = F.col("_have") >= F.col("_want")
+    kept = sized.filter((own & enough & (F.col("_rn") <= F.col("_want"))) | (~own & ~enough))
+    return kept.select(*[F.col(c) if c in (*keys, date) else F.col(f"_same.{c}").alias(c) for c in df.columns])
 
 
 def clean(

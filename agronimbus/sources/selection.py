@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import first_n
@@ -30,10 +30,16 @@ def arbitrate(df: DataFrame, sites: list[str], priority: str, measures: list[str
 
 
 def top_up(primary: DataFrame, reserve: DataFrame, keys: list[str], date: str, days) -> DataFrame:
-    """Primary rows, the reserve's rows for days the primary lacks, first ``days``."""
-    missing = reserve.join(primary.select(*keys, date).distinct(), [*keys, date], "left_anti")
-    both = primary.unionByName(missing, allowMissingColumns=True)
-    return first_n(both, keys, [date], days, "rn").drop("rn")
+    """Primary rows, the reserve's rows for days the primary lacks, first ``days``.
+
+    Both have one row per key and day; each is read once.
+    """
+    both = primary.withColumn("_first", F.lit(True)).unionByName(
+        reserve.withColumn("_first", F.lit(False)), allowMissingColumns=True
+    )
+    held = F.max("_first").over(Window.partitionBy(*keys, date))
+    wanted = both.withColumn("_held", held).filter(F.col("_first") | ~F.col("_held"))
+    return first_n(wanted.drop("_first", "_held"), keys, [date], days, "rn").drop("rn")
 
 
 def equality_filter(df: DataFrame, query: dict | None = None) -> DataFrame:
