@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import exprs, vocab
 from .ordering import first_n, nearest_known
+from .schema import apply_aliases, plain_headers
 
 
 def first_per_day(
@@ -128,6 +129,35 @@ def equalise_length(df: DataFrame, reference: DataFrame, keys: list[str], date:
     return kept.select(*[F.col(c) if c in (*keys, date) else F.col(f"_same.{c}").alias(c) for c in df.columns])
 
 
+def clean_rows(
+    df: DataFrame, keep: list[str], measures: list[str] = vocab.MEASURES, aliases: dict[str, str] = vocab.ALIASES
+) -> DataFrame:
+    """What cleaning does to each row alone: headers, sentinels, numbers, text.
+
+    ``keep`` names the columns (keys, order) that hold no readings.
+    """
+    df = apply_aliases(plain_headers(df), aliases)
+    df = replace_sentinels(df, [c for c in df.columns if c not in keep])
+    out = {m: exprs.to_number(m) for m in measures if m in df.columns}
+    out |= {c: exprs.normalise_text(c) for c in ("crop", "weather_condition") if c in df.columns}
+    return df.withColumns(out) if out else df
+
+
+def complete(
+    df: DataFrame, keys: list[str], order: str, labels: list[str] | None = None, daily: bool = True,
+    measures: list[str] = vocab.MEASURES, defaults: dict = vocab.MEASURE_DEFAULTS, skip: list[str] = (),
+) -> DataFrame:
+    """No empty measure: interpolation, fills and at last the defaults.
+
+    ``labels`` (default: the remaining columns except ``result`` and ``skip``) are
+    filled from the same key.
+    """
+    measures = [m for m in measures if m in df.columns]
+    if labels is None:
+        labels = [c for c in df.columns if c not in (*keys, order, *skip, *measures, "result")]
+    return fill_defaults(settle(df, keys, order, measures, labels, daily), defaults)
+
+
 def clean(
     df: DataFrame,
     keys: list[str],
@@ -146,24 +176,12 @@ def clean(
     ``result`` is left as it is, empty on inserted days. Without a date column,
     ``order`` numbers the rows and nothing is inserted.
     """
-    from .schema import apply_aliases, plain_headers
-
     order = [order] if isinstance(order, str) else (order or [])
-    df = apply_aliases(plain_headers(df), aliases)
-    df = replace_sentinels(df, [c for c in df.columns if c not in (*keys, *order)])
-    measures = [m for m in measures if m in df.columns]
-    df = df.withColumns({m: exprs.to_number(m) for m in measures}) if measures else df
-    texts = [c for c in ("crop", "weather_condition") if c in df.columns]
-    df = df.withColumns({c: exprs.normalise_text(c) for c in texts}) if texts else df
-    along = order[0] if order else date
-    if date in df.columns:
-        if not isinstance(df.schema[date].dataType, T.DateType):
-            df = df.withColumn(date, exprs.leading_date(F.col(date).cast("string")))
-        columns = [c for c in df.columns if c not in (*keys, date, *order)]
-        df = first_per_day(df, keys, date, order or columns, columns)
-        df = fill_calendar(df, keys, date)
-        along = date
-    fill = labels
-    if fill is None:
-        fill = [c for c in df.columns if c not in (*keys, date, *order, *measures, "result")]
-    return fill_defaults(settle(df, keys, along, measures, fill, daily=along == date), defaults)
+    df = clean_rows(df, [*keys, *order], measures, aliases)
+    if date not in df.columns:
+        return complete(df, keys, order[0], labels, False, measures, defaults, order)
+    if not isinstance(df.schema[date].dataType, T.DateType):
+        df = df.withColumn(date, exprs.leading_date(F.col(date).cast("string")))
+    columns = [c for c in df.columns if c not in (*keys, date, *order)]
+    df = fill_calendar(first_per_day(df, keys, date, order or columns, columns), keys, date)
+    return complete(df, keys, date, labels, True, measures, defaults)

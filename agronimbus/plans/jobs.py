@@ -18,7 +18,7 @@ from ..operators.suitability import (
     predict_viability,
     scaled_pairs,
 )
-from ..operators.timeline import clean, equalise_length
+from ..operators.timeline import clean, clean_rows, complete, equalise_length
 from ..sources import sinks
 from .storage import materialise
 
@@ -53,8 +53,8 @@ def season_etl(
     )
     season = materialise(season.drop("season_day", "start_date", *order))
     season = season.join(water_requirement(season, ["crop"], "growth_duration"), ["crop"])
-    crop = clean(season, ["crop"])
-    crop = materialise(crop)
+    # One row a day by construction, so the days need no merging and have no gaps.
+    crop = materialise(complete(clean_rows(season, []), ["crop"], "date"))
 
     means = crop.groupBy("crop").agg(
         F.avg("soil_ph").alias("soil_ph"),
@@ -63,7 +63,7 @@ def season_etl(
     )
     kept = [c for c in weather.columns if c not in ("soil_ph", "water_requirement", "growth_duration")]
     observed = materialise(clean(weather.select(*kept).join(means, ["crop"]), ["crop"]))
-    aligned = clean(equalise_length(observed, crop, ["crop"], "date"), ["crop"])
+    aligned = complete(equalise_length(observed, crop, ["crop"], "date"), ["crop"], "date")
     return _finish(crop), _finish(aligned)
 
 
