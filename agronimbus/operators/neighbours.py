@@ -317,7 +317,7 @@ def _scan_history(points: DataFrame, asked: pa.Table, k: int) -> DataFrame:
     The queries go to every task; each returns its k best per query, which are
     few against its rows, and those are merged.
     """
-    frame = asked.to_pandas()
+    frame = asked.to_pandas().drop_duplicates("qid")
     sent = {g: (part["qid"].to_numpy(), _matrix(part["vec"])) for g, part in frame.groupby("g")}
     kept = [c for c in points.columns if c not in ("g", "vec")]
     schema = T.StructType(
@@ -414,11 +414,15 @@ def knn_join(
     )
     named = materialise(named.withColumn("qid", F.md5(F.to_json(F.struct("g", "vec")))))
     # Equal questions have one number, so each is answered once.
-    asked = named.select("qid", "g", "vec").distinct().withColumn("bound", F.lit(float("inf")))
-    few = asked.select("g", "qid", "vec").limit(scan_queries + 1).toArrow()
+    asked = named.select("g", "qid", "vec")
+    few = asked.limit(scan_queries + 1).toArrow()
+    if len(few) > scan_queries:  # perhaps many equal ones
+        asked = materialise(asked.distinct())
+        few = asked.limit(scan_queries + 1).toArrow()
     if len(few) <= scan_queries:
         found = _scan_history(points, few, k)
     else:
+        asked = asked.withColumn("bound", F.lit(float("inf")))
         found = _route(points, asked, len(features), k, block_rows, block_queries, max_leaves)
     return named.select("ids", "g", "qid").join(found, ["g", "qid"]).select(
         "ids.*",

@@ -64,20 +64,29 @@ def irrigation_schedule(
     )
 
 
-def start_windows(requests: DataFrame, forecast: DataFrame, sites: list[str], offsets=(0, 7, 14),
-                  start: str = "start_date", duration: str = "duration", date: str = "date") -> DataFrame:
-    """Forecast days of each request and start offset.
+def start_windows(requests: DataFrame, offsets=(0, 7, 14), start: str = "start_date") -> DataFrame:
+    """One row per request and offset with the window's first day."""
+    asked = requests.withColumn("offset", F.explode(F.array(*[F.lit(o) for o in offsets])))
+    return asked.withColumn("window_start", F.date_add(F.col(start), F.col("offset")))
+
+
+def window_means(
+    asked: DataFrame, forecast: DataFrame, sites: list[str], measures: list[str],
+    duration: str = "duration", date: str = "date",
+) -> DataFrame:
+    """Mean forecast over ``duration`` days from ``window_start``, and the days known.
 
-    The range condition is turned into an equi join on (site, day): a request
-    lists the days of its windows, at most offsets x duration of them.
+    The range condition becomes an equi join on (site, day): a window lists its
+    days. Windows are made distinct first, so however many requests ask for the
+    same one, it is listed and averaged once.
     """
-    begin = F.date_add(F.col(start), F.col("offset"))
-    asked = requests.withColumn("offset", F.explode(F.array(*[F.lit(o) for o in offsets])))
-    asked = asked.withColumn("window_start", begin).withColumn(
-        date,
-        F.explode(F.sequence("window_start", F.date_add("window_start", (F.col(duration) - 1).cast("int")))),
+    window = [*sites, "window_start", duration]
+    last = F.date_add("window_start", (F.col(duration) - 1).cast("int"))
+    days = asked.select(*window).distinct().withColumn(date, F.explode(F.sequence("window_start", last)))
+    means = days.join(forecast, [*sites, date]).groupBy(*window).agg(
+        F.count(F.lit(1)).alias("n_days"), *[F.avg(m).alias(m) for m in measures]
     )
-    return asked.join(forecast, [*sites, date])
+    return asked.join(means, window)
 
 
 def recommend_starts(
@@ -98,10 +107,8 @@ def recommend_starts(
     Requests: id, site, crop, start_date, duration. All requests and offsets are
     scored in one job; requests without a start date have no alternatives.
     """
-    windows = start_windows(requests.filter(F.col("start_date").isNotNull()), forecast, sites, (0, *offsets))
-    asked = windows.groupBy(request_id, crop, "offset", "window_start").agg(
-        *[F.avg(f).alias(f) for f in features]
-    )
+    starts = start_windows(requests.filter(F.col("start_date").isNotNull()), (0, *offsets))
+    asked = window_means(starts, forecast, sites, features)
     scored = predict_viability(
         history, asked, hist_id, [request_id, "offset", "window_start"], features, k, [crop], **blocks
     )

@@ -198,7 +198,7 @@ def planting_advice(
     k: int = 5,
     **blocks,
 ) -> DataFrame:
-    """Advice per request and crop from the farmer's inputs; empty fields get defaults.
+    """Advice per request and crop from the grower's inputs; empty fields get defaults.
 
     The soil reading is a feature of the query; history must carry ``soil_ph``.
     """

@@ -388,9 +388,10 @@ SELECT request_id, "offset", window_start, count(*) AS n_days, {r(['temp', 'rain
 FROM w JOIN f ON f.site_id = w.site_id AND f.date BETWEEN window_start AND window_start + duration - 1
 GROUP BY 1, 2, 3""")
 def start_window_join(spark, folder):
-    days = P.start_windows(X.requests(spark, folder), X.forecast(spark, folder), ["site_id"])
-    return days.groupBy("request_id", "offset", "window_start").agg(
-        F.count(F.lit(1)).alias("n_days"), *[exprs.half_even(F.avg(m), 9).alias(m) for m in X.FEATURES]
+    asked = P.start_windows(X.requests(spark, folder))
+    means = P.window_means(asked, X.forecast(spark, folder), ["site_id"], X.FEATURES)
+    return rounded(means, *X.FEATURES, digits=9).select(
+        "request_id", "offset", "window_start", "n_days", *X.FEATURES
     )
 
 

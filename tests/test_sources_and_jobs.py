@@ -110,7 +110,7 @@ def test_scratch_folder_is_the_one_the_cluster_names(spark):
 
 
 @pytest.fixture(scope="module")
-def farm(spark):
+def plains(spark):
     h = [(i, D(2025, 1, 1) + dt.timedelta(days=i % 60), c, 15.0 + i % 17 + s, 10.0 + i % 17 + s, 22.0 + i % 17 + s,
           float(i % 9) * s / 3, 40.0 + i % 31 + s, 6.0 + (i % 5) / 10, int(i % 4 > 0))
          for s, c in ((0, "wheat"), (5, "rice"), (9, "maize")) for i in range(s * 1000, s * 1000 + 60)]
@@ -120,8 +120,8 @@ def farm(spark):
     return history, forecast
 
 
-def test_batch_run_exports_and_logs(spark, farm, tmp_path):
-    history, forecast = farm
+def test_batch_run_exports_and_logs(spark, plains, tmp_path):
+    history, forecast = plains
     one = forecast.filter("site_id = 's1'").drop("site_id")
     out = jobs.batch_calculation(history, one, target_crop="wheat", folder=str(tmp_path))
     assert out["matches"].count() == 200 and out["daily_predictions"].count() == 40
@@ -133,8 +133,8 @@ def test_batch_run_exports_and_logs(spark, farm, tmp_path):
     assert len(run.daily_forecast_summary) == 40 and len(run.crops_comparisons) == 3
 
 
-def test_requests_as_a_table(spark, farm):
-    history, forecast = farm
+def test_requests_as_a_table(spark, plains):
+    history, forecast = plains
     asked = spark.createDataFrame(
         [("r1", "s1", "Wheat", day(1), 10), ("r2", "s2", "rice ", day(3), None), ("r3", "s1", "kale", None, 5)],
         "request_id string, site_id string, crop string, start_date date, duration int",
@@ -155,8 +155,8 @@ def test_requests_as_a_table(spark, farm):
     assert [c["rank"] for c in nested["r3"].crop_comparisons] == [1, 2, 3] and nested["r3"].scaled_pairs is None
 
 
-def test_comparisons_in_nested_form_can_be_exported(spark, farm, tmp_path):
-    history, forecast = farm
+def test_comparisons_in_nested_form_can_be_exported(spark, plains, tmp_path):
+    history, forecast = plains
     flat = compare_crops(history, forecast, "hist_id", ["site_id"])
     sequence = match_sequence(history, forecast, "hist_id", ["site_id"])
     nested = nested_comparisons(flat, sequence, ["site_id", "crop"], ["temp", "humidity", "rainfall"])
@@ -167,8 +167,8 @@ def test_comparisons_in_nested_form_can_be_exported(spark, farm, tmp_path):
     assert len(json.loads(back.first()["Historical Match Sequence"])) == 40
 
 
-def test_advice_fills_in_defaults(spark, farm):
-    history, forecast = farm
+def test_advice_fills_in_defaults(spark, plains):
+    history, forecast = plains
     asked = spark.createDataFrame([("r1", "s1", "Maize", None, None, None), ("r2", "s2", "millet", 6.2, 7, None)],
                                   "request_id string, site_id string, crop string, soil_ph double, forecast_days int, land_area double")
     out = jobs.planting_advice(history, forecast, asked).collect()
@@ -176,8 +176,8 @@ def test_advice_fills_in_defaults(spark, farm):
     assert {r.recommended for r in out} <= {"yes", "no", "alternative option like this"}
 
 
-def test_season_tables_share_schema_and_dates(spark, farm, tmp_path):
-    history, forecast = farm
+def test_season_tables_share_schema_and_dates(spark, plains, tmp_path):
+    history, forecast = plains
     raw = history.select("hist_id", "crop", "temp", "rainfall", "humidity", "soil_ph")
     weather = forecast.filter("site_id = 's1'").drop("site_id").withColumn("crop", F.lit("wheat"))
     weather = weather.unionByName(weather.withColumn("crop", F.lit("rice")).filter(F.col("date") < day(11)))
