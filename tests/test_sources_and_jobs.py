@@ -109,6 +109,23 @@ def test_scratch_folder_is_the_one_the_cluster_names(spark):
     assert kept.schema.simpleString() == df.schema.simpleString() and kept.count() == 3
 
 
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        def __init__(self, master, **conf):
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+            self.sparkContext = type("Context", (), {"master": master})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Session("yarn"))
+    assert storage.shared_folder(Session("yarn", spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
+    local = Session("local[2]")
+    assert storage.shared_folder(local) == storage.shared_folder(local)
+
+
 @pytest.fixture(scope="module")
 def plains(spark):
     h = [(i, D(2025, 1, 1) + dt.timedelta(days=i % 60), c, 15.0 + i % 17 + s, 10.0 + i % 17 + s, 22.0 + i % 17 + s,

@@ -108,6 +108,13 @@ def test_comparison_without_sites_is_one_forecast(history, forecast):
     assert [r.crop for r in one] == ["rice", "wheat"] and "site_id" not in one[0].asDict()
 
 
+def test_equal_scores_rank_by_name(spark, history, forecast):
+    twins = history.filter("crop = 'rice'")
+    twins = twins.unionByName(twins.withColumn("crop", F.lit("barley"))).unionByName(twins.withColumn("crop", F.lit("sorghum")))
+    out = U.compare_crops(twins, forecast, "hist_id", ["site_id"]).orderBy("rank").collect()
+    assert [r.crop for r in out] == ["barley", "rice", "sorghum"] and len({r.similarity_score for r in out}) == 1
+
+
 def test_match_sequence_takes_the_best_successful_row_per_day(spark, history):
     days = spark.createDataFrame(
         [("s", "d1", 28.0, 24.0, 32.0, 150.0, 80.0), ("s", "d2", 30.0, 26.0, 34.0, 180.0, 85.0)], ASK
