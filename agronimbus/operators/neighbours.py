@@ -142,7 +142,9 @@ def _search(points: np.ndarray, asked: np.ndarray, bound: np.ndarray, k: int):
             at = members[leaf]
             row, col, dist = _nearest(points[at], asked[rows], bound[rows], k)
             found.append((rows[row], at[col], dist))
-            _tighten(bound, *found[-1][::2], k)
+            lower = bound[rows]
+            _tighten(lower, row, dist, k)
+            bound[rows] = lower
 
     for leaf in np.unique(home):
         ask(np.flatnonzero(home == leaf), leaf)
