@@ -7,10 +7,14 @@ can say it, ``SQL``.
 from . import (
     fingerprints,
     html_extract,
+    language_id,
+    mixing,
+    packing,
+    quality,
     token_output,
 )
 
-MODULES = (token_output, fingerprints, html_extract)
+MODULES = (language_id, token_output, fingerprints, html_extract, mixing, quality, packing)
 
 
 def queries() -> dict:
