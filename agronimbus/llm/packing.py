@@ -13,6 +13,7 @@ counted first and dealt out by copy, so that no shard grows with repeated rows.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,18 @@ from pyspark.sql import functions as F
 
 from .mixing import words_and_end
 
-#: Permitted sequence lengths, and what a sequence costs besides its tokens.
+#: Permitted sequence lengths.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
-OVERHEAD = 32
 
 
-def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def attention_cost(length: int) -> float:
+    """Cost of a sequence in tokens: its own, attention over them, and a fixed part."""
+    return length + length * length / 32_768 + 32
+
+
+def pack(
+    sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, cost: Callable[[int], float] = attention_cost
+) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Bin and offset of each piece, and each bin's final length.
 
     ``sizes`` are whole numbers between 1 and the longest length; ties are packed in
@@ -55,9 +62,9 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, overhead: int =
                 if c >= n:
                     rest = c - n
                     fill = min(rest, below[rest + 1] if rest < n else left - n)
-                    cost = (c + overhead) / (n + max(fill, 0))
-                    if best is None or cost < best[0] - 1e-12:
-                        best = (cost, c)
+                    price = cost(c) / (n + max(fill, 0))
+                    if best is None or price < best[0] - 1e-12:
+                        best = (price, c)
             b, free = len(used), best[1]
             used.append(0)
         taken_here[n] = taken_here.get(n, 0) + n
@@ -73,7 +80,7 @@ def pack_documents(
     key: str = "doc_id",
     size: str = "n_tokens",
     lengths: tuple[int, ...] = LENGTHS,
-    overhead: int = OVERHEAD,
+    cost: Callable[[int], float] = attention_cost,
     shard_docs: int = 4_096,
 ) -> DataFrame:
     """One row per piece: key, copy, piece, n_tokens, shard, bin, offset, length.
@@ -99,7 +106,7 @@ def pack_documents(
         doc = np.repeat(np.arange(len(n)), pieces)
         piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         sizes = np.where(piece < whole[doc], longest, n[doc] % longest)
-        bins, offsets, final = pack(sizes, lengths, overhead)
+        bins, offsets, final = pack(sizes, lengths, cost)
         return pa.table(
             {
                 "key": table.column("key").take(pa.array(doc)),

@@ -5,6 +5,7 @@ can say it, ``SQL``.
 """
 
 from . import (
+    embedding_dedup,
     fingerprints,
     html_extract,
     language_id,
@@ -14,7 +15,7 @@ from . import (
     token_output,
 )
 
-MODULES = (language_id, token_output, fingerprints, html_extract, mixing, quality, packing)
+MODULES = (language_id, embedding_dedup, token_output, fingerprints, html_extract, mixing, quality, packing)
 
 
 def queries() -> dict:
