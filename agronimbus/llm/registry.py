@@ -8,6 +8,7 @@ from . import (
     embedding_dedup,
     fingerprints,
     html_extract,
+    jaccard_join,
     language_id,
     mixing,
     packing,
@@ -15,7 +16,7 @@ from . import (
     token_output,
 )
 
-MODULES = (language_id, embedding_dedup, token_output, fingerprints, html_extract, mixing, quality, packing)
+MODULES = (language_id, jaccard_join, embedding_dedup, token_output, fingerprints, html_extract, mixing, quality, packing)
 
 
 def queries() -> dict:

@@ -41,5 +41,5 @@ def shingles(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     h, n = hashes(found), len(found) - size + 1
     total = np.zeros(n, dtype=np.uint64)
     for j in range(size):
-        total += mixed(h[j : j + n] + _PLACES[j % 5] * np.uint64(j + 1))
+        total += mixed(h[j : j + n] + _PLACES[j % 5 : j % 5 + 1] * np.uint64(j + 1))
     return np.unique(mixed(total))
