@@ -7,6 +7,7 @@ can say it, ``SQL``.
 from . import (
     embedding_dedup,
     fingerprints,
+    hidden_markov,
     html_extract,
     jaccard_join,
     language_id,
@@ -16,7 +17,7 @@ from . import (
     token_output,
 )
 
-MODULES = (language_id, jaccard_join, embedding_dedup, token_output, fingerprints, html_extract, mixing, quality, packing)
+MODULES = (language_id, jaccard_join, hidden_markov, embedding_dedup, token_output, fingerprints, html_extract, mixing, quality, packing)
 
 
 def queries() -> dict:
