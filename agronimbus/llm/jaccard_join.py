@@ -44,6 +44,10 @@ PAGE, TILE = 32, 1_024
 FILES = 8
 #: A shingle that this many sets of one batch share may be frequent; so many are kept.
 LOCAL_REPEATS, MOST_FREQUENT = 4, 400_000
+#: Parts that a frequent shingle's file is dealt into.
+SALTS = 64
+#: Stands for a null doc_id where the smallest is sought.
+NO_ID = (1 << 63) - 1
 
 
 def group_count(n: np.ndarray | int) -> np.ndarray:
@@ -183,18 +187,19 @@ def first_shingles(found: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np
     return found[np.lexsort((mixed(found), late))[:first]]
 
 
-def filed_sets(docs: DataFrame, frequent: np.ndarray, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(grp, cls) of every set and shingle it is filed under, for shingles of two sets or more.
+def filed_sets(docs: DataFrame, frequent: np.ndarray, text: str = "text") -> DataFrame:
+    """(grp, cls, n, hub, n_hub) of every set and shingle it is filed under together with others.
 
-    Frequent shingles are known to be shared and pass by; the others are gathered once,
-    in order, and a task holds one batch of them at a time.
+    n is the set's size; the hub is one of the sets in the file. Files are gathered
+    once, in order, and a task holds one batch of rows at a time. Frequent shingles are
+    known to be shared: their files are dealt out in SALTS parts with a hub each.
     """
     by_value = np.argsort(frequent)
     order, rank = frequent[by_value], by_value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            groups, classes, seen = [], [], set()
+            groups, classes, sizes, seen = [], [], [], set()
             for x in b.column("text").to_pylist():
                 found = shingles(x)
                 c = xxhash.xxh3_64_intdigest(found.tobytes())
@@ -203,43 +208,54 @@ def filed_sets(docs: DataFrame, frequent: np.ndarray, text: str = "text") -> tup
                     first = first_shingles(found, order, rank)
                     groups.append(first)
                     classes.append(np.full(len(first), c, np.uint64))
+                    sizes.append(np.full(len(first), len(found), np.int32))
             if groups:
-                g = np.concatenate(groups)
+                g, c = np.concatenate(groups), np.concatenate(classes)
                 known = np.isin(g, order) if len(order) else np.zeros(len(g), bool)
+                salt = np.where(known, 1 + (c % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
                 yield pa.record_batch(
-                    [pa.array(g.view(np.int64)), pa.array(np.concatenate(classes).view(np.int64)), pa.array(known)], ["grp", "cls", "known"]
+                    [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(salt)],
+                    ["grp", "cls", "n", "salt"],
                 )
 
-    filed = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(
-        run, "grp bigint, cls bigint, known boolean"
-    )
-
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted; a row stays if a neighbour has its group and another set."""
-        last: tuple[int, int] | None = None  # the last row, not given out yet
+        """Rows come sorted; one stays if a neighbour has its file and another set."""
+        names = ["grp", "salt", "cls", "n"]
+        held: dict | None = None  # the last row, not given out yet, and what is known of its file
+
+        def out(rows: dict[str, np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+            kept = ["grp", "cls", "n", "hub", "n_hub"]
+            return pa.record_batch([pa.array(rows[k][keep]) for k in kept], kept)
+
         for b in batches:
-            g, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if last is not None:
-                g, c = np.r_[last[0], g], np.r_[last[1], c]
-            if len(g) == 0:
+            rows = {k: b.column(k).to_numpy() for k in names}
+            if held is not None:
+                rows = {k: np.concatenate([held[k], rows[k]]) for k in names}
+            if not len(rows["grp"]):
                 continue
-            fresh = np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])]
-            g, c = g[fresh], c[fresh]
-            with_before = np.r_[False, g[1:] == g[:-1]]
-            if last is not None:
-                with_before[0] = joined
-            keep = with_before | np.r_[with_before[1:], False]
+            same = (rows["grp"][1:] == rows["grp"][:-1]) & (rows["salt"][1:] == rows["salt"][:-1])
+            fresh = np.r_[True, ~(same & (rows["cls"][1:] == rows["cls"][:-1]))]
+            start = np.r_[True, ~same]
+            first = np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))
+            rows["hub"], rows["n_hub"] = rows["cls"][first], rows["n"][first]
+            if held is not None:
+                rows["hub"][first == 0], rows["n_hub"][first == 0] = held["hub"][0], held["n_hub"][0]
+            rows = {k: v[fresh] for k, v in rows.items()}
+            joined = ~start[fresh]
+            if held is not None:
+                joined[0] = held["joined"]
+            keep = joined | np.r_[joined[1:], False] | (rows["salt"] > 0)
+            held = {k: v[-1:] for k, v in rows.items()} | {"joined": bool(joined[-1])}
             keep[-1] = False
-            last, joined = (g[-1], c[-1]), bool(with_before[-1])
-            if keep.any():
-                yield pa.record_batch([pa.array(g[keep]), pa.array(c[keep])], ["grp", "cls"])
-        if last is not None and joined:
-            yield pa.record_batch([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["grp", "cls"])
-
-    rare = filed.filter("not known").select("grp", "cls").repartition("grp").sortWithinPartitions("grp", "cls")
-    return materialise(rare.mapInArrow(shared, "grp bigint, cls bigint")), materialise(
-        filed.filter("known").select("grp", "cls").distinct()
+            yield out(rows, keep)
+        if held is not None and (held["joined"] or held["salt"][0] > 0):
+            yield out(held, np.array([True]))
+
+    filed = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(
+        run, "grp bigint, cls bigint, n int, salt int"
     )
+    rows = filed.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "cls")
+    return materialise(rows.mapInArrow(shared, "grp bigint, cls bigint, n int, hub bigint, n_hub int"))
 
 
 def _bound_stage(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -256,8 +272,6 @@ def _bound_stage(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     for side in "ab":
         known = classes.select(F.col("cls").alias(f"_{side}"), F.col("n").alias(f"n_{side}"), F.col("counts").alias(f"v_{side}"))
         pairs = pairs.join(known, F.col(side) == F.col(f"_{side}")).drop(f"_{side}")
-        if side == "b":
-            pairs = pairs.filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
     return pairs.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -281,19 +295,38 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _tiles(filed: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of every tile pair of files with two components or more: what tree_pairs needs."""
-    labelled = filed.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    open_files = labelled.groupBy("grp").agg(F.count("cls").alias("k"), F.min("comp").alias("_x"), F.max("comp").alias("_y"))
-    open_files = materialise(open_files.filter("_x <> _y").select(F.col("grp").alias("_grp"), F.ceil(F.col("k") / TILE).cast("int").alias("tiles")))
-    rows = materialise(labelled.join(open_files, F.col("grp") == F.col("_grp")).select("grp", "cls", "comp", "tiles"))
+def _open_files(filed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(grp, cls, n, comp, k, hub) of the files with two components or more.
+
+    k is the number of sets in the file, hub the (comp, cls, n) of its first component.
+    """
+    rows = filed.select("grp", "cls", "n").join(labels.withColumnRenamed("cls", "_cls"), F.col("cls") == F.col("_cls"), "left")
+    rows = rows.select("grp", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
+    files = rows.groupBy("grp").agg(
+        F.count("cls").alias("k"), F.min(F.struct("comp", "cls", "n")).alias("hub"), F.max("comp").alias("_last")
+    )
+    files = files.filter(F.col("hub.comp") != F.col("_last")).select(F.col("grp").alias("_grp"), "k", "hub")
+    return materialise(rows.join(files, F.col("grp") == F.col("_grp")).select("grp", "cls", "n", "comp", "k", "hub"))
+
+
+def _pairs(rows: DataFrame, hub: str, n_hub: str) -> DataFrame:
+    """Distinct (a, b) of each row's set and its hub, where the sizes allow a link."""
+    fits = 100 * F.least("n", F.col(n_hub)) >= PERCENT * F.greatest("n", F.col(n_hub))
+    rows = rows.filter((F.col("cls") != F.col(hub)) & fits)
+    return rows.select(F.least("cls", hub).alias("a"), F.greatest("cls", hub).alias("b")).distinct()
+
+
+def _tiles(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of every tile pair of open files: what the trees need."""
     first = _first_files(rows)
-    known = classes.select(F.col("cls").alias("_cls"), "n", "counts").join(first, F.col("_cls") == F.col("_c")).drop("_c")
+    known = classes.select(F.col("cls").alias("_cls"), "counts").join(first, F.col("_cls") == F.col("_c")).drop("_c")
+    rows = rows.select("grp", "cls", F.col("n").cast("bigint").alias("n"), "comp", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
     rows = rows.join(known, F.col("cls") == F.col("_cls")).drop("_cls")
     rows = rows.withColumn("t", F.pmod(F.xxhash64("cls", "grp"), F.col("tiles")).cast("int"))
     # Each tile meets the later ones and itself; with one tile that is one row.
     meets = F.explode(F.expr("transform(sequence(0, tiles - 1), o -> struct(least(t, o) as i, greatest(t, o) as j))")).alias("at")
-    return rows.select("grp", meets, "t", "cls", "comp", "n", "counts", "files").select("grp", "at.i", "at.j", "t", "cls", "comp", "n", "counts", "files")
+    rows = rows.select("grp", meets, "t", "cls", "comp", "n", "counts", "files")
+    return rows.select("grp", "at.i", "at.j", "t", "cls", "comp", "n", "counts", "files")
 
 
 def _first_files(rows: DataFrame) -> DataFrame:
@@ -367,53 +400,56 @@ def _search(tiles: DataFrame) -> DataFrame:
     return tiles.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "cls").mapInArrow(run, "a bigint, b bigint")
 
 
-def _hubs(filed: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs of each file's hub with its members of other components."""
-    rows = filed
-    if labels is not None:
-        rows = rows.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    else:
-        rows = rows.withColumn("comp", F.col("cls"))
-    hub = rows.groupBy("grp").agg(F.min(F.struct("comp", "cls")).alias("hub")).select(F.col("grp").alias("_g"), "hub")
-    pairs = rows.join(hub, F.col("grp") == F.col("_g")).filter(F.col("comp") != F.col("hub.comp"))
-    return pairs.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
+def _labels(links: DataFrame) -> DataFrame:
+    found = connected_components(links)
+    return materialise(found.select(F.col("node").alias("cls"), F.col("component").alias("comp")))
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", hub_rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; see the module's notes.
+def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, row_key.
 
     ``docs``: doc_id and the text column. component_id is the smallest doc_id that can
-    be reached by links.
+    be reached by links. kept marks one row of each component, that with its
+    component_id (of equal doc_ids the least row_key, a hash of doc_id and text; equal
+    rows share the mark), and every row without words.
     """
     sets, frequent = shingle_sets(docs, text)
+    worded = sets.filter("cls is not null")
+    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("key").alias("key"))
     classes = materialise(
-        sets.filter("cls is not null").groupBy("cls").agg(
-            F.min("doc_id").alias("least_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("counts").alias("counts")
-        )
+        worded.groupBy("cls").agg(F.min(place).alias("least"), F.first("n").alias("n"), F.first("counts").alias("counts"))
+    )
+    filed = filed_sets(docs, frequent, text)
+    keys = filed.select("cls").distinct().join(classes.select("cls", F.col("least.key").alias("_key")), "cls")
+    # Joined and thinned by the same key, so that texts are shuffled once.
+    texts = _keyed(docs, text).select("key", "text").join(keys, F.col("key") == F.col("_key"))
+    texts = materialise(texts.select("key", "cls", "text").dropDuplicates(["key"]).select("cls", "text"))
+
+    # First each file's hub, then hubs of what is still apart, then all the rest.
+    links = materialise(verified(_bound_stage(_pairs(filed, "hub", "n_hub"), classes), texts))
+    still_open = _open_files(filed, _labels(links))
+    more = materialise(verified(_bound_stage(_pairs(still_open, "hub.cls", "hub.n"), classes), texts))
+    links = links.unionByName(more)
+    still_open = _open_files(still_open, _labels(links))
+    rest = materialise(_search(_tiles(still_open, classes)).distinct())
+    labels = _labels(links.unionByName(materialise(verified(rest, texts))))
+
+    member = classes.select("cls", "least").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    first = member.groupBy(F.col("comp").alias("_comp")).agg(F.min("least").alias("first"))
+    member = member.join(first, F.col("comp") == F.col("_comp")).select(F.col("cls").alias("_cls"), "first")
+    placed = sets.select("doc_id", "key", "n", "cls").join(member, F.col("cls") == F.col("_cls"), "left")
+    return placed.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.nullif("first.id", F.lit(NO_ID))).alias("component_id"),
+        F.coalesce(F.col("key") == F.col("first.key"), F.lit(True)).alias("kept"),
+        F.col("key").alias("row_key"),
     )
-    rare, common = filed_sets(docs, frequent, text)
-    filed = rare.unionByName(common)
-    keys = filed.select("cls").distinct().join(classes.select("cls", "key"), "cls").withColumnRenamed("key", "_key")
-    texts = _keyed(docs, text).select("key", "text").join(keys, F.col("key") == F.col("_key")).select("cls", "text")
-    texts = materialise(texts.dropDuplicates(["cls"]))
-    links, labels = None, None
-    for step in range(hub_rounds + 1):
-        if step < hub_rounds:
-            pairs = _bound_stage(_hubs(filed, labels), classes)
-        else:
-            pairs = _search(_tiles(filed, classes, labels)).distinct()
-        found = materialise(verified(pairs, texts))
-        links = found if links is None else links.unionByName(found)
-        labels = materialise(connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("comp")))
-    member = classes.select("cls", "least_id").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = member.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    member = member.join(least, "comp").select("cls", "component_id")
-    placed = sets.select("doc_id", "n", "cls").join(member, "cls", "left")
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def document_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERY = ("op2_jaccard_join", document_components)
