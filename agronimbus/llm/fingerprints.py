@@ -102,20 +102,19 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     near = with_next(docs).select(
-        _key("doc_id", "tie").alias("k"),
-        _key("next_doc", "next_tie").alias("next_k"),
-        _key("prior_doc", "prior_tie").alias("prior_k"),
-        "prior_n",
+        _key("doc_id", "tie").alias("near_k"), _key("prior_doc", "prior_tie").alias("prior_k"), "prior_n"
     )
-    keyed = docs.withColumn("tie", F.xxhash64("text")).select(_key("doc_id", "tie").alias("k"), "doc_id", "text").join(near, "k")
-    own = keyed.select("k", "doc_id", "text")
-    heads = keyed.dropDuplicates(["k"]).select(
-        F.col("prior_k").alias("k"),
+    # Both joins read this with the same columns, so that texts are shuffled once.
+    own = docs.withColumn("tie", F.xxhash64("text")).select(_key("doc_id", "tie").alias("k"), "text")
+    heads = own.join(near, F.col("k") == F.col("near_k")).select(
+        "prior_k",
         F.expr("substring(text, 1, cast(floor(prior_n / 3) as int))").alias("head"),
-        sketch("text").alias("next_hashes"),
+        sketch("text").alias("hashes"),
     )
-    both = own.join(heads, "k").select(
-        "doc_id",
+    # Equal rows have equal heads; this shuffle by the prior document is also the join's.
+    heads = heads.groupBy("prior_k").agg(F.first("head").alias("head"), F.first("hashes").alias("next_hashes"))
+    both = own.join(heads, F.col("k") == F.col("prior_k")).select(
+        F.expr("if(k.o, null, k.d)").alias("doc_id"),
         "text",
         F.length("text").cast("bigint").alias("n_chars"),
         F.expr("concat(substring(text, 1, length(text) - cast(floor(length(text) / 3) as int)), head)").alias("edited"),
