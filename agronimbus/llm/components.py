@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise
+from ..plans.storage import materialise, release
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             pairs.select("a", F.col("m").alias("b"))
         )
-        links = materialise(small.filter("a <> b").distinct())
+        older, links = links, materialise(small.filter("a <> b").distinct())
+        release(older)
         state = links.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import materialise
 from .components import connected_components, local_roots
+from .shipping import ship
 
 #: Axes that are summed before a pair is looked at again.
 STRIDE = 8
@@ -128,6 +129,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile_rows: int
 
     ``vectors``: vec_id, embedding, label.
     """
+    ship(vectors.sparkSession)
     vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
     classes = materialise(vector_classes(vectors))
     axes = principal_axes(classes)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import materialise
 from .quality import held_out
+from .shipping import ship
 from .text import words
 
 #: States, words that are classes of their own, classes of all others.
@@ -231,6 +232,7 @@ def train(docs: DataFrame, warm_rounds: int = 8, rounds: int = 2, warm_tokens: i
     The first ``warm_rounds`` of Baum-Welch see about ``warm_tokens`` tokens, to come
     near; the last ``rounds`` see all.
     """
+    ship(docs.sparkSession)
     vocabulary = materialise(count_words(docs))
     model = untrained(class_model(vocabulary))
     if model.tokens:
@@ -271,6 +273,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
     table once for each of its words and is scored by one task. One shuffle of the
     texts serves both, the asking and the scoring.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // BLOCK_BYTES) + 1

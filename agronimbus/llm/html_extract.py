@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shipping import ship
+
 # Element and attribute names of HTML and usual names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
@@ -256,6 +258,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
                 ["page_id", "url", "text", "n_chars"],
             )
 
+    ship(pages.sparkSession)
     types = dict(pages.select(key, url).dtypes)
     return pages.select(key, url, F.col(html).cast("string")).mapInArrow(
         run, f"page_id {types[key]}, url {types[url]}, text string, n_chars bigint"

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import first_n
 from .quality import held_out
+from .shipping import ship
 
 UNDETERMINED = "und"
 #: Places that byte pairs and triples are hashed into.
@@ -111,6 +112,7 @@ def train(docs: DataFrame, rows: int = 400, most_places: int = 2_000) -> Model:
     has the smallest hashes of doc_id of each language, whole texts; a document gives
     the driver its ``most_places`` most frequent places.
     """
+    ship(docs.sparkSession)
     known = docs.select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("tie")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
@@ -196,6 +198,7 @@ def predict(model: Model, text: str | None, slab: int = 1 << 18) -> tuple[str, f
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, lang_pred and score of every document, without a shuffle."""
+    ship(docs.sparkSession)
     kind = dict(docs.select(key).dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +220,7 @@ def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose language can be told, with all their columns."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise
 from .mixing import words_and_end
+from .shipping import ship
 
 #: Permitted sequence lengths.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -89,9 +91,10 @@ def pack_documents(
     about ``shard_docs`` documents, dealt by hash, are packed each by one task; only
     keys and counts travel. ``copy`` numbers rows that are equal.
     """
+    ship(docs.sparkSession)
     longest = max(lengths)
     counted = docs.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(size), F.lit(1)), F.lit(1)).cast("bigint").alias("n"))
-    counted = counted.groupBy("key", "n").agg(F.count(F.lit(1)).alias("times"))
+    counted = materialise(counted.groupBy("key", "n").agg(F.count(F.lit(1)).alias("times")))
     rows = counted.agg(F.sum("times")).first()[0] or 0
     shards = max(1, -(-rows // shard_docs))
     dealt = counted.select("key", "n", F.explode(F.expr("sequence(1L, times)")).alias("copy"))

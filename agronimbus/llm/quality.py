@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shipping import ship
+
 #: Numbers per byte, filters, bytes per step (a filter sees two), steps per half chunk.
 VECTOR, FILTERS, STEP, HALF = 6, 24, 4, 48
 BLANK = 32
@@ -173,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 1_500, chunks: int = 1
     with more chunks, evenly spaced ones are taken. So the driver gets at most
     2 x rows x chunks x 388 bytes. Scores are set to the true share of label 1.
     """
+    ship(docs.sparkSession)
     marked = labels.filter("quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     marked = marked.filter("doc_id is not null")
     totals = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("label").alias("n")).collect()}
@@ -203,6 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 1_500, chunks: int = 1
 
 def score(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and score (0 to 1) of every document, from its whole text, without a shuffle."""
+    ship(docs.sparkSession)
     kind = dict(docs.select(key).dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +233,7 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``least``, with all their columns."""
+    ship(docs.sparkSession)
     kinds = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
