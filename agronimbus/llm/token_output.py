@@ -19,7 +19,8 @@ kept, ordered by doc_id and a hash of the text. An empty table gives empty files
 from __future__ import annotations
 
 import hashlib
-import uuid
+import unicodedata
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,43 +29,98 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import shared_folder
+from ..plans.storage import new_folder
+from .shipping import ship
 
-#: Words whose ids a worker remembers; beyond that it starts anew.
-MEMO_WORDS = 300_000
+#: Words whose ids a worker remembers, each of at most so many bytes; when full it starts anew.
+MEMO_WORDS, MEMO_BYTES = 1_500_000, 64
+#: Documents whose new words are encoded together.
+ENCODED_AT_ONCE = 128
+#: ASCII signs at a word's end that the tokenizer always parts from letters before them.
+SIGNS = b".,;:!?*&%$#|\"()[]{}<>/-_+=@~^`"
 _memo: dict[bytes, bytes] = {}
-_tokenizers: dict[str, object] = {}
+_tokenizers: dict[str, tuple] = {}
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer and, by id, whether the token ends a word."""
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
         _tokenizers.clear()
         _memo.clear()
-        _tokenizers[path] = Tokenizer.from_file(path)
+        found = Tokenizer.from_file(path)
+        last = np.zeros(found.get_vocab_size(), bool)
+        last[[i for token, i in found.get_vocab().items() if token.endswith("</w>")]] = True
+        _tokenizers[path] = (found, last)
     return _tokenizers[path]
 
 
+def _encode_words(path: str, found: list[bytes]) -> list[bytes]:
+    encoded = _tokenizer(path)[0].encode_batch_fast([w.decode() for w in found], add_special_tokens=False)
+    return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+
+def _encode_letters(path: str, found: list[bytes], at_once: int = 2_000) -> list[bytes]:
+    """Ids of words of letters only: encoded as one text, cut after each word's last token."""
+    tokenizer, last = _tokenizer(path)
+    out: list[bytes] = []
+    for i in range(0, len(found), at_once):
+        part = found[i : i + at_once]
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(last[ids]) + 1)).tolist()
+        if len(ends) == len(part):
+            body = ids.tobytes()
+            out.extend([body[a:b] for a, b in zip([0, *ends], ends)])
+        else:  # a letter that becomes more than letters
+            out.extend(_encode_words(path, part))
+    return out
+
+
+def _letters(core: bytes) -> bool:
+    """Whether a word is nothing but letters, also after the tokenizer's normal form and lower case."""
+    return core.isalpha() or not core.isascii() and unicodedata.normalize("NFC", core.decode()).lower().isalpha()
+
+
+def _learn(path: str, new: set[bytes]) -> dict[bytes, bytes]:
+    """Ids of new words; letters and the signs that follow them are encoded apart."""
+    cores = {w: w.rstrip(SIGNS) for w in new}
+    plain = {c for c in cores.values() if _letters(c)}
+    rest = {w[len(c) :] if c in plain else w for w, c in cores.items()}
+    letters, others = list(plain.difference(_memo)), list(rest.difference(_memo, [b""]))
+    ids = dict(zip(letters, _encode_letters(path, letters))) | dict(zip(others, _encode_words(path, others)))
+    known = ChainMap(ids, _memo, {b"": b""})
+    for w, c in cores.items():
+        if c in plain and w is not c:
+            ids[w] = known[c] + known[w[len(c) :]]
+    return ids
+
+
 def encode(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
     """Ids of each text and the end id, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer must split at white space and drop it (as the word vocabularies
-    do); each word is then encoded once per worker.
+    The tokenizer must split at white space, drop it and lower-case (as the word
+    vocabularies do); each word is then encoded once per worker.
     """
-    tokenizer, end = _tokenizer(path), np.array([end_id], dtype="<u4").tobytes()
-    out = []
+    _tokenizer(path)
+    end = np.array([end_id], dtype="<u4").tobytes()
+    split = []
     for text in texts:
-        found = (text or "").encode("utf-8").split()
-        new = list(set(found).difference(_memo)) if found else []
-        if new:
-            if len(_memo) + len(new) > MEMO_WORDS:
-                _memo.clear()
-                new = list(set(found))
-            encoded = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            _memo.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, encoded))
-        out.append(b"".join(map(_memo.__getitem__, found)) + end)
-    return out
+        body = (text or "").encode("utf-8")
+        # The names of special tokens, in <| and |>, are told by their case.
+        split.append((body if b"<|" in body else body.lower()).split())
+    known, new = _memo, set().union(*split).difference(_memo)
+    if len(_memo) + len(new) > MEMO_WORDS:
+        _memo.clear()
+        new = set().union(*split)
+    if new:
+        learned = _learn(path, new)
+        if max(map(len, new)) > MEMO_BYTES:
+            known = ChainMap(learned, _memo)
+            _memo.update((w, ids) for w, ids in learned.items() if len(w) <= MEMO_BYTES)
+        else:
+            _memo.update(learned)
+    return [b"".join(map(known.__getitem__, found)) + end for found in split]
 
 
 def _sample(docs: DataFrame, path: str, end_id: int, width: int, rows: int, ids: int) -> list[bytes]:
@@ -116,36 +172,19 @@ def write_tokens(
     """Write ``docs`` (doc_id, text) in the format above; see the module's notes.
 
     The dictionary is trained on the driver on at most ``sample_rows`` x
-    ``sample_ids`` ids; everything else covers all rows. Frames are made before the
-    one shuffle, so that compressed ids move and not texts.
+    ``sample_ids`` ids; everything else covers all rows. Texts are ordered first and
+    encoded after, for the range shuffle looks at its input twice to find the ranges.
     """
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select("doc_id", "text")
-    width = 2 if _tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+    width = 2 if _tokenizer(tokenizer_path)[0].get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     body = train_dictionary(_sample(docs, tokenizer_path, end_id, width, sample_rows, sample_ids), dictionary_bytes)
     digest = hashlib.sha256(body).hexdigest()
     spark.createDataFrame([(digest, width, bytearray(body))], "hash string, width int, body binary").write.parquet(
         f"{folder}/dictionary"
     )
 
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=level, dict_data=_loaded(body), write_dict_id=False)
-        for b in batches:
-            found = encode(b.column("text").to_pylist(), tokenizer_path, end_id)
-            yield pa.record_batch(
-                [
-                    b.column("doc_id"),
-                    b.column("tie"),
-                    pa.array([len(x) // 4 for x in found], pa.int64()),
-                    pa.array([packer.compress(_narrow(x, width)) for x in found], pa.binary()),
-                ],
-                ["doc_id", "tie", "n", "frame"],
-            )
-
-    framed = docs.withColumn("tie", F.xxhash64("text")).mapInArrow(
-        frames, "doc_id bigint, tie bigint, n bigint, frame binary"
-    )
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -160,18 +199,22 @@ def write_tokens(
             }
             return pa.RecordBatch.from_pylist([row], schema=BLOCK_ARROW)
 
-        for b in batches:
-            for doc_id, n, frame in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "frame"))):
+        packer, weight = zstandard.ZstdCompressor(level=level, dict_data=_loaded(body), write_dict_id=False), 0
+        parts = (b.slice(i, ENCODED_AT_ONCE) for b in batches for i in range(0, b.num_rows, ENCODED_AT_ONCE))
+        for b in parts:
+            found = encode(b.column("text").to_pylist(), tokenizer_path, end_id)
+            for doc_id, encoded in zip(b.column("doc_id").to_pylist(), found):
                 ids.append(doc_id)
-                counts.append(n)
-                bodies.append(frame)
-                if len(ids) >= block_docs or sum(map(len, bodies[-1:])) >= block_bytes or (len(ids) % 64 == 0 and sum(map(len, bodies)) >= block_bytes):
+                counts.append(len(encoded) // 4)
+                bodies.append(packer.compress(_narrow(encoded, width)))
+                weight += len(bodies[-1])
+                if len(ids) >= block_docs or weight >= block_bytes:
                     yield made()
-                    block, before, ids, counts, bodies = block + 1, before + sum(counts), [], [], []
+                    block, before, ids, counts, bodies, weight = block + 1, before + sum(counts), [], [], [], 0
         if ids:
             yield made()
 
-    ordered = framed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     written = spark.read.schema(BLOCK_SCHEMA).parquet(f"{folder}/blocks")
     shards = written.groupBy("shard").agg(
@@ -206,6 +249,7 @@ def read_tokens(spark: SparkSession, folder: str, doc_ids: list[int] | None = No
     others by first and last doc) and only their frames decompressed. Fails when a
     block names another dictionary than the folder has.
     """
+    ship(spark)
     held = spark.read.parquet(f"{folder}/dictionary").toArrow().to_pylist()[0]
     digest, width, body = held["hash"], held["width"], bytes(held["body"])
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{folder}/blocks")
@@ -248,7 +292,7 @@ def token_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids, read them back and digest them."""
     import public_tokenizers
 
-    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     back = read_tokens(spark, folder)
