@@ -20,7 +20,6 @@ ALIASES = {
 
 # Readings that mean "missing".
 SENTINELS = [-999.0, -9999.0]
-SENTINEL_TEXTS = ["-999.0", "-9999.0"]
 
 # What a measure becomes when a whole series is missing.
 MEASURE_DEFAULTS = {
@@ -63,8 +62,6 @@ SCHEDULE_DEFAULTS = {
 
 # Season lengths in days when no hint is known.
 DEFAULT_DURATION = 100
-UNKNOWN_CROP_DURATION = 110
-UNKNOWN_CROP_TEMP = 25.0
 
 # Planting-advice defaults for fields left empty.
 ADVICE_DEFAULTS = {

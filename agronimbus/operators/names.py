@@ -11,13 +11,22 @@ from ..plans.storage import materialise
 TIERS = {1: "exact", 2: "synonym", 3: "partial"}
 
 
-def _substrings(df: DataFrame, name: str) -> DataFrame:
-    """Every distinct substring of a name, the empty one included."""
-    x = F.col(name)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1)))
-    lengths = lambda s: F.sequence(F.lit(0), F.greatest(F.length(x) - s + 1, F.lit(0)))
-    pieces = F.flatten(F.transform(starts, lambda s: F.transform(lengths(s), lambda n: F.substr(x, s, n))))
-    return df.select(name, F.explode(F.array_distinct(pieces)).alias("_piece"))
+def _lengths(df: DataFrame, name: str) -> list[int]:
+    """The lengths that occur; as many as the longest name has letters at most."""
+    return sorted(r[0] for r in df.select(F.length(name)).distinct().collect())
+
+
+def _substrings(df: DataFrame, name: str, lengths: list[int]) -> DataFrame:
+    """Every substring of a name that has one of the ``lengths``.
+
+    One row per name and length is cut into its pieces, so that an array holds no
+    more than one piece per letter.
+    """
+    sized = df.select(name, F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.lit(None).cast("array<int>")).alias("_n"))
+    sized = sized.filter(F.length(name) >= F.col("_n"))
+    last = F.when(F.col("_n") == 0, F.lit(1)).otherwise(F.length(name) - F.col("_n") + 1)
+    pieces = F.transform(F.sequence(F.lit(1), last), lambda s: F.substr(name, s, F.col("_n")))
+    return sized.select(name, F.explode(F.array_distinct(pieces)).alias("_piece"))
 
 
 def resolve_crop(
@@ -31,9 +40,10 @@ def resolve_crop(
 ) -> DataFrame:
     """Requests with ``resolved`` crop and ``tier``: exact, synonym, partial, none.
 
-    A partial match holds when either name contains the other. It is found by
-    equi joins on the substrings of the distinct names, not by comparing every
-    request with every crop. Of several, ``mode="longest"`` takes the longest
+    Tiers are tried in turn: only what neither the name nor a synonym resolves goes
+    on to partial matches. One holds when either name contains the other. It is found
+    by equi joins on the substrings of the distinct names that are as long as a name
+    of the other side, not by comparing every request with every crop. Of several, ``mode="longest"`` takes the longest
     name, then the first in the alphabet; ``mode="first"`` the one with the
     smallest ``position``.
     """
@@ -55,8 +65,10 @@ def resolve_crop(
     synonym = (
         renamed.join(crops, F.col("_other") == F.col("_crop")).drop("_other").withColumn("_tier", F.lit(2))
     )
-    inside = _substrings(crops, "_crop").join(asked, F.col("_piece") == F.col("_asked"))
-    around = _substrings(asked, "_asked").join(crops, F.col("_piece") == F.col("_crop"))
+    known = exact.unionByName(synonym).select(F.col("_asked").alias("_known")).distinct()
+    rest = materialise(asked.join(known, F.col("_asked") == F.col("_known"), "left_anti"))
+    inside = _substrings(crops, "_crop", _lengths(rest, "_asked")).join(rest, F.col("_piece") == F.col("_asked"))
+    around = _substrings(rest, "_asked", _lengths(crops, "_crop")).join(crops, F.col("_piece") == F.col("_crop"))
     names = inside.select("_asked", "_crop").unionByName(around.select("_asked", "_crop"))
     partial = names.join(crops, "_crop").withColumn("_tier", F.lit(3))
 

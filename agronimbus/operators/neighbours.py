@@ -1,17 +1,23 @@
 """Exact k-nearest-neighbour join without comparing every pair.
 
-Outline
+Outline, the same for every size:
 1. Copies of a point are cut to the smallest ids: as ties go to the smaller id, a
    copy beyond the k-th is nobody's neighbour. Equal queries are asked once.
 2. A k-d tree over a bounded sample cuts the space into leaves of similar size.
    Rows go to leaves; large leaves are split by hash into blocks.
 3. Each query is answered within one block of its own leaf. The distance of its
    k-th neighbour there is a bound no true neighbour exceeds.
-4. The query visits only those other blocks whose region lies within the bound.
+4. The query visits only those other blocks whose region lies within the bound
+   (none, if there is one block).
 5. The best k of what the blocks returned (k rows per query and block) are kept.
 
 A block and the queries sent to it have a target size, so no task grows with
-the data, with a hot group or with a hot region.
+the data, with a hot group or with a hot region. With few features most leaves are
+out of reach; with many (some tens) a query reaches nearly all of them, and the join
+becomes a comparison in blocks of all queries with all rows.
+
+Vectors that are null or empty or hold a null, NaN or infinite number are nobody's
+neighbour and have none; vectors of different length are not compared.
 """
 
 from __future__ import annotations
@@ -30,16 +36,15 @@ from ..plans.storage import materialise
 
 BLOCK_ROWS = 50_000
 BLOCK_QUERIES = 5_000
-LEAF_ROWS = 256  # of the tree inside a block
-MAX_LEAVES = 8_192
-SCAN_QUERIES = 10_000  # this many are sent to every task
 COPY_SALTS = 8  # at most k * COPY_SALTS copies of a point remain
 SAMPLE_PER_LEAF = 32
+SAMPLE_BYTES = 64 << 20  # of vectors that the driver sees
+PAIRS_AT_ONCE = 2_000_000  # inside a task
 
-# Distances are compared and reported at this many decimals, so that the last
-# bits, which depend on the order of a distributed sum, decide no tie.
+# Distances are compared and reported to nine decimals of the power of ten below the
+# group's largest coordinate, so that the last bits, which depend on the order of a
+# distributed sum, decide no tie, whatever the scale of the data.
 DIGITS = 9
-SLACK = 1e-7
 
 
 # Tasks get the helpers below with their code, so executors need no installation.
@@ -90,27 +95,39 @@ def _leaves_within(tree, points: np.ndarray, bound: np.ndarray):
         for child, step, away in ((2, 1, np.maximum(offset, 0)), (3, 2, np.maximum(-offset, 0))):
             g = gap.copy()
             g[:, node[0]] = np.maximum(g[:, node[0]], away)
-            near = np.sqrt((g * g).sum(axis=1)) <= bound[rows] + SLACK
+            near = np.sqrt((g * g).sum(axis=1)) <= bound[rows]
             todo.append((node[child], 2 * number + step, rows[near], g[near]))
 
 
-def _nearest(points: np.ndarray, asked: np.ndarray, bound: np.ndarray, k: int):
-    """(query, point, distance) of up to k nearest points within each query's bound."""
-    k = min(k, len(points))
-    chunk = max(1, 2_000_000 // len(points))
-    found = []
+def _nearest(points: np.ndarray, asked: np.ndarray, k: int, digits: int):
+    """(query, point, distance) of the k nearest points of each query.
+
+    Products of matrices find what can be among the k nearest; exact differences
+    decide. As many queries are looked at as make PAIRS_AT_ONCE pairs, and each is cut
+    to k before the next, so that ties need no more memory than that.
+    """
+    k, unit = min(k, len(points)), 10.0 ** -digits
+    chunk = max(1, PAIRS_AT_ONCE // len(points))
+    middle = points.mean(axis=0)  # products lose less near the origin
+    centred = points - middle
+    squares = np.einsum("ij,ij->i", centred, centred)
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
     for start in range(0, len(asked), chunk):
         part = asked[start:start + chunk]
-        total = np.zeros((len(part), len(points)))
+        moved = part - middle
+        rough = squares[None, :] - 2 * (moved @ centred.T)
+        own = np.einsum("ij,ij->i", moved, moved)
+        kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+        # Room for what the products lose, and for distances that round to one value.
+        far = np.sqrt(np.maximum(kth + own, 0))
+        room = 1e-11 * (own + squares.max()) + 4 * unit * far + 4 * unit * unit
+        row, col = np.nonzero(rough <= (kth + room)[:, None])
+        total = np.zeros(len(row))
         for j in range(points.shape[1]):
-            step = part[:, j][:, None] - points[:, j][None, :]
+            step = part[row, j] - points[col, j]
             total += step * step
-        # The k-th smallest square bounds the rest; the slack keeps ties at DIGITS.
-        kth = np.sqrt(np.partition(total, k - 1, axis=1)[:, k - 1])
-        limit = np.minimum(kth, bound[start:start + chunk]) + SLACK
-        row, col = np.nonzero(total <= (limit * limit)[:, None])
-        found.append((row + start, col, np.round(np.sqrt(total[row, col]), DIGITS)))
-    return _first_k(*map(np.concatenate, zip(*found)), k)
+        found.append(_first_k(row + start, col, np.round(np.sqrt(total), digits), k))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def _place(row: np.ndarray) -> np.ndarray:
@@ -128,40 +145,6 @@ def _first_k(row, col, dist, k):
     return row[keep], col[keep], dist[keep]
 
 
-def _search(points: np.ndarray, asked: np.ndarray, bound: np.ndarray, k: int):
-    """``_nearest`` for many points: the same two steps at a smaller size, the
-    query's own leaf first and then the leaves within the bound."""
-    bound = bound.copy()
-    tree = _cut(points, len(points) // LEAF_ROWS, max(2 * k, LEAF_ROWS // 4))
-    home, leaf_of = _leaf_of(tree, asked), _leaf_of(tree, points)
-    members = {leaf: np.flatnonzero(leaf_of == leaf) for leaf in np.unique(leaf_of)}
-    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
-
-    def ask(rows, leaf):
-        if leaf in members and len(rows):
-            at = members[leaf]
-            row, col, dist = _nearest(points[at], asked[rows], bound[rows], k)
-            found.append((rows[row], at[col], dist))
-            lower = bound[rows]
-            _tighten(lower, row, dist, k)
-            bound[rows] = lower
-
-    for leaf in np.unique(home):
-        ask(np.flatnonzero(home == leaf), leaf)
-    for rows, leaf in _leaves_within(tree, asked, bound):
-        ask(rows[home[rows] != leaf[0]], leaf[0])
-    return _first_k(*map(np.concatenate, zip(*found)), k)
-
-
-def _tighten(bound: np.ndarray, row: np.ndarray, dist: np.ndarray, k: int) -> None:
-    """Lower the bound of queries that have k answers to the distance of their last."""
-    far, count = np.zeros(len(bound)), np.zeros(len(bound), dtype=np.int64)
-    np.maximum.at(far, row, dist)
-    np.add.at(count, row, 1)
-    full = count >= k
-    bound[full] = np.minimum(bound[full], far[full])
-
-
 def _matrix(vectors) -> np.ndarray:
     return np.concatenate(vectors.to_numpy()).reshape(len(vectors), -1)
 
@@ -169,9 +152,9 @@ def _matrix(vectors) -> np.ndarray:
 def _nearest_in_block(history: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """k nearest rows of one block per query, ranked."""
     history = history.sort_values("hist_id", kind="stable").reset_index(drop=True)
-    bound = queries["bound"].to_numpy(dtype=float)
-    row, col, dist = _search(_matrix(history["vec"]), _matrix(queries["vec"]), bound, k)
-    out = queries.drop(columns=["vec", "bound"]).iloc[row].reset_index(drop=True)
+    digits = int(history["digits"].iloc[0])
+    row, col, dist = _nearest(_matrix(history["vec"]), _matrix(queries["vec"]), k, digits)
+    out = queries.drop(columns=["vec"]).iloc[row].reset_index(drop=True)
     for name in ["hist_id", *[c for c in history.columns if c.startswith("p_")]]:
         out[name] = history[name].to_numpy()[col]
     out["rank"] = (_place(row) + 1).astype(np.int32)
@@ -179,55 +162,25 @@ def _nearest_in_block(history: pd.DataFrame, queries: pd.DataFrame, k: int) -> p
     return out
 
 
-def _best_of_partition(batches, asked: dict, k: int, kept: list[str], names: list[str]):
-    """One pass over a history partition against a few queries: k rows per query."""
-    best = {g: pd.DataFrame({n: [] for n in ["at", *kept, "distance"]}) for g in asked}
-    bound = {g: np.full(len(points), np.inf) for g, (_, points) in asked.items()}
-
-    def take(parts):
-        table = pa.Table.from_batches(parts)
-        vec = table["vec"].combine_chunks()
-        points = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
-        frame = table.select(["g", *kept]).to_pandas()
-        for g, rows in frame.groupby("g").indices.items():
-            if g not in asked:
-                continue
-            rows = rows[np.argsort(frame["hist_id"].to_numpy()[rows], kind="stable")]
-            row, col, dist = _search(points[rows], asked[g][1], bound[g], k)
-            new = frame[kept].iloc[rows[col]].assign(at=row, distance=dist)
-            both = pd.concat([best[g], new]) if len(best[g]) else new
-            both = both.sort_values(["at", "distance", "hist_id"], kind="stable")
-            best[g] = both[_place(both["at"].to_numpy()) < k]
-            _tighten(bound[g], best[g]["at"].to_numpy(), best[g]["distance"].to_numpy(), k)
-
-    parts, size = [], 0
-    for batch in batches:
-        parts.append(batch)
-        size += len(batch)
-        if size >= BLOCK_ROWS:
-            take(parts)
-            parts, size = [], 0
-    if size:
-        take(parts)
-    for g, rows in best.items():
-        if len(rows):
-            out = rows.assign(g=g, qid=asked[g][0][rows["at"].to_numpy(dtype=int)])
-            yield pa.RecordBatch.from_pandas(out[names], preserve_index=False)
-
-
 # --- the plan ----------------------------------------------------------------
 
 def _group_key(by: list[str]) -> Column:
-    return F.to_json(F.struct(*by)) if by else F.lit("")
+    """Group and vector length as text."""
+    return F.to_json(F.struct(*by, F.size("vec").alias("_size")))
+
+
+def _usable() -> Column:
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.col("vec").isNotNull() & (F.size("vec") > 0) & finite
 
 
-def _fit_trees(history: DataFrame, rows: int, dims: int, k: int, block_rows: int, max_leaves: int):
-    """Trees of the groups worth splitting, from a sample of bounded size."""
-    if rows <= block_rows:
+def _fit_trees(history: DataFrame, rows: int, dims: int, k: int, block_rows: int):
+    """Trees of the groups worth splitting, from a sample of at most SAMPLE_BYTES."""
+    per_leaf = SAMPLE_PER_LEAF * max(1, k // 8)
+    leaves = min(-(-rows // block_rows), max(1, SAMPLE_BYTES // (8 * max(dims, 1) * per_leaf)))
+    if leaves < 2:
         return {}
-    leaves = min(max_leaves, -(-rows // block_rows))
-    wanted = leaves * SAMPLE_PER_LEAF * max(1, k // 8)
-    share = min(1.0, wanted / rows)
+    share = min(1.0, leaves * per_leaf / rows)
     pick = F.pmod(F.xxhash64("g", "vec"), F.lit(1_000_000_000)) < F.lit(int(share * 1e9))
     sample = history.filter(pick).select("g", "vec").toArrow().to_pandas()
     trees = {}
@@ -247,12 +200,12 @@ def _with_leaf(df: DataFrame, trees: dict) -> DataFrame:
     def assign(batches):
         for batch in batches:
             vec = batch.column("vec")
-            points = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
             groups = batch.column("g").to_pandas()
             leaf = np.zeros(len(vec), dtype=np.int64)
             for g, rows in groups.groupby(groups).indices.items():
-                if g in trees:
-                    leaf[rows] = _leaf_of(trees[g], points[rows])
+                if g in trees:  # vectors of a group are of one length
+                    flat = vec.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+                    leaf[rows] = _leaf_of(trees[g], flat.reshape(len(rows), -1))
             yield batch.append_column("leaf", pa.array(leaf))
 
     schema = T.StructType([*df.schema.fields, T.StructField("leaf", T.LongType())])
@@ -260,7 +213,7 @@ def _with_leaf(df: DataFrame, trees: dict) -> DataFrame:
 
 
 def _other_leaves(df: DataFrame, trees: dict) -> DataFrame:
-    """One row per query and further leaf within its bound; ``leaf`` is replaced."""
+    """(g, qid, leaf) of each query and further leaf within its bound."""
 
     def route(batches):
         for pdf in batches:
@@ -272,13 +225,13 @@ def _other_leaves(df: DataFrame, trees: dict) -> DataFrame:
                 own = part["leaf"].to_numpy()
                 for hit, leaf in _leaves_within(trees[g], points, bound):
                     other = leaf != own[hit]
-                    yield part.iloc[hit[other]].assign(leaf=leaf[other])
+                    yield part.iloc[hit[other]][["g", "qid"]].assign(leaf=leaf[other])
 
-    return df.mapInPandas(route, df.schema)
+    return df.mapInPandas(route, "g string, qid string, leaf bigint")
 
 
 def _ask_blocks(blocks: DataFrame, asked: DataFrame, k: int, block_queries: int) -> DataFrame:
-    """Answer queries (g, leaf, salt, qid, vec, bound) within their blocks."""
+    """Answer queries (g, leaf, salt, qid, vec) within their blocks."""
     place = ["g", "leaf", "salt"]
     load = asked.groupBy(*place).agg(
         F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("shares")
@@ -292,16 +245,16 @@ def _ask_blocks(blocks: DataFrame, asked: DataFrame, k: int, block_queries: int)
     queries = asked.join(load, place).withColumn(
         "share", F.pmod(F.xxhash64("qid", F.lit("share")), F.col("shares")).cast("int")
     ).drop("shares")
-    keep = [f for f in queries.schema.fields if f.name not in ("vec", "bound")]
+    keep = [f for f in queries.schema.fields if f.name != "vec"]
     extra = [f for f in history.schema.fields if f.name == "hist_id" or f.name.startswith("p_")]
     schema = T.StructType(
         [*keep, *extra, T.StructField("rank", T.IntegerType()), T.StructField("distance", T.DoubleType())]
     )
     at = [*place, "share"]
-    # Spread by block and share; a join above may have left all shares together.
-    # The number is given because AQE would merge by bytes what is costly to compute.
-    groups = load.agg(F.sum("shares")).first()[0] or 1
-    tasks = min(2 * groups, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Spread by block and share; a join above may have left all shares together. As
+    # many tasks as there are groups of work, because AQE would merge by bytes what
+    # is costly to compute.
+    tasks = 2 * (load.agg(F.sum("shares")).first()[0] or 1)
     return (
         history.repartition(tasks, *at)
         .groupBy(*at)
@@ -313,44 +266,20 @@ def _ask_blocks(blocks: DataFrame, asked: DataFrame, k: int, block_queries: int)
     )
 
 
-def _scan_history(points: DataFrame, asked: pa.Table, k: int) -> DataFrame:
-    """Answer a small number of queries without moving the history.
-
-    The queries go to every task; each returns its k best per query, which are
-    few against its rows, and those are merged.
-    """
-    frame = asked.to_pandas().drop_duplicates("qid")
-    sent = {g: (part["qid"].to_numpy(), _matrix(part["vec"])) for g, part in frame.groupby("g")}
-    kept = [c for c in points.columns if c not in ("g", "vec")]
-    schema = T.StructType(
-        [
-            *[T.StructField(c, T.StringType()) for c in ("g", "qid")],
-            *[points.schema[c] for c in kept],
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-    given = points.sparkSession.sparkContext.broadcast(sent)
-    names = schema.names
-    near = points.mapInArrow(lambda b: _best_of_partition(b, given.value, k, kept, names), schema)
-    w = Window.partitionBy("g", "qid").orderBy("distance", "hist_id")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _route(
-    points: DataFrame, asked: DataFrame, dims: int, k: int, block_rows: int, block_queries: int, max_leaves: int
-) -> DataFrame:
-    """Answer any number of queries block by block (steps 1 to 5)."""
+def _answer(points: DataFrame, asked: DataFrame, k: int, block_rows: int, block_queries: int) -> DataFrame:
+    """Answer queries (g, qid, vec) block by block (steps 1 to 5)."""
     same = Window.partitionBy("g", "vec", F.pmod(F.xxhash64("hist_id"), F.lit(COPY_SALTS)))
     points = points.withColumn("copy", F.row_number().over(same.orderBy("hist_id")))
     points = materialise(points.filter(F.col("copy") <= k).drop("copy"))
-    rows = points.count()
-    trees = _fit_trees(points, rows, dims, k, block_rows, max_leaves)
-    points, asked = _with_leaf(points, trees), _with_leaf(asked, trees)
-    if rows <= block_rows:  # one block per group
-        zero = F.lit(0)
-        return _ask_blocks(points.withColumn("salt", zero), asked.withColumn("salt", zero), k, block_queries)
-
-    points, asked = materialise(points), materialise(asked)
+    largest = F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))
+    digits = F.lit(DIGITS) - F.floor(F.log10(F.greatest(largest, F.lit(1e-250))))
+    groups = materialise(points.groupBy("g").agg(
+        digits.cast("int").alias("digits"), F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")
+    ))
+    rows, dims = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("dims"), F.lit(1))).first()
+    trees = _fit_trees(points, rows, dims, k, block_rows)
+    known = groups.select("g", "digits")
+    points, asked = _with_leaf(points.join(known, "g"), trees), _with_leaf(asked.join(known, "g"), trees)
     leaf = ["g", "leaf"]
     salts = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
     sizes = materialise(points.groupBy(*leaf).agg(salts.alias("salts")))
@@ -359,17 +288,24 @@ def _route(
         return df.join(sizes, leaf).withColumn("salt", F.pmod(F.xxhash64(key), F.col("salts")).cast("int"))
 
     blocks, own = salted(points, "hist_id").drop("salts"), salted(asked, "qid")
-    near = materialise(_ask_blocks(blocks, own.drop("salts"), k, block_queries))
+    near = _ask_blocks(blocks, own.drop("salts", "digits"), k, block_queries)
+    if not trees and (sizes.agg(F.max("salts")).first()[0] or 1) == 1:
+        return near  # one block a group: there are no others to visit
+    near = materialise(near)
     reach = near.groupBy("g", "qid").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n"))
-    bound = F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf")))
-    bounded = own.drop("bound").join(reach, ["g", "qid"], "left").withColumn("bound", bound)
+    bound = F.when(F.col("n") >= k, F.col("far") + 4 * F.pow(F.lit(10.0), -F.col("digits"))).otherwise(F.lit(float("inf")))
+    # A query's home may be a leaf without rows; then nothing is near yet and all is visited.
+    home = asked.join(sizes, leaf, "left").withColumn("salt", F.pmod(F.xxhash64("qid"), F.col("salts")).cast("int"))
+    bounded = home.join(reach, ["g", "qid"], "left").withColumn("bound", bound)
+    bounded = materialise(bounded.select("g", "leaf", "qid", "vec", "bound", "salt", "salts"))
+    # Where to ask is found from the vectors, but only numbers are kept of it.
     further = _other_leaves(bounded.select("g", "leaf", "qid", "vec", "bound"), trees).join(sizes, leaf)
-    place = ["g", "leaf", "qid", "vec", "bound", "salt"]
     each = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    rest = further.select(*place[:-1], each).unionByName(
-        bounded.withColumnRenamed("salt", "done").select(*place[:-1], each, "done").filter("salt != done").drop("done")
+    visits = further.select("g", "leaf", "qid", each).unionByName(
+        bounded.filter("salts > 1").withColumnRenamed("salt", "done").select("g", "leaf", "qid", each, "done").filter("salt != done").drop("done")
     )
-    more = _ask_blocks(blocks, materialise(rest), k, block_queries)
+    rest = materialise(visits).join(asked.select("g", "qid", "vec"), ["g", "qid"])
+    more = _ask_blocks(blocks, rest.select("g", "leaf", "qid", "vec", "salt"), k, block_queries)
     w = Window.partitionBy("g", "qid").orderBy("distance", "hist_id")
     found = near.unionByName(more).withColumn("rank", F.row_number().over(w))
     return found.filter(F.col("rank") <= k)
@@ -386,15 +322,12 @@ def knn_join(
     payload: list[str] | None = None,
     block_rows: int = BLOCK_ROWS,
     block_queries: int = BLOCK_QUERIES,
-    max_leaves: int = MAX_LEAVES,
-    scan_queries: int = SCAN_QUERIES,
 ) -> DataFrame:
     """Rows (by, query id, hist_id, payload, rank, distance), rank 1..min(k, n).
 
-    ``features`` are already scaled columns, or one array column of a fixed
-    length. Ids are unique within a group; ties go to the smaller ``hist_id``.
-    Up to ``scan_queries`` distinct queries are sent to the history instead of
-    being routed. No size setting changes the result.
+    ``features`` are already scaled columns, or one array column. Ids are unique within
+    a group; ties go to the smaller ``hist_id``. For vectors that cannot be compared
+    see the module's notes. The size settings do not change the result.
     """
     by, payload = by or [], payload or []
     query_ids = [query_id] if isinstance(query_id, str) else query_id
@@ -405,27 +338,19 @@ def knn_join(
             return F.col(features[0]).cast("array<double>")
         return F.array(*[F.col(f).cast("double") for f in features])
 
-    points = history.select(
+    points = history.withColumn("vec", vector(history)).filter(_usable()).select(
         _group_key(by).alias("g"),
-        vector(history).alias("vec"),
+        "vec",
         F.col(hist_id).alias("hist_id"),
         *[F.col(c).alias(f"p_{c}") for c in payload],
     )
-    named = queries.select(
-        F.struct(*by, *query_ids).alias("ids"), _group_key(by).alias("g"), vector(queries).alias("vec")
+    named = queries.withColumn("vec", vector(queries)).filter(_usable()).select(
+        F.struct(*by, *query_ids).alias("ids"), _group_key(by).alias("g"), "vec"
     )
     named = materialise(named.withColumn("qid", F.md5(F.to_json(F.struct("g", "vec")))))
     # Equal questions have one number, so each is answered once.
-    asked = named.select("g", "qid", "vec")
-    few = asked.limit(scan_queries + 1).toArrow()
-    if len(few) > scan_queries:  # perhaps many equal ones
-        asked = materialise(asked.distinct())
-        few = asked.limit(scan_queries + 1).toArrow()
-    if len(few) <= scan_queries:
-        found = _scan_history(points, few, k)
-    else:
-        asked = asked.withColumn("bound", F.lit(float("inf")))
-        found = _route(points, asked, len(features), k, block_rows, block_queries, max_leaves)
+    asked = materialise(named.select("g", "qid", "vec").distinct())
+    found = _answer(points, asked, k, block_rows, block_queries)
     return named.select("ids", "g", "qid").join(found, ["g", "qid"]).select(
         "ids.*",
         F.col("hist_id").alias(hist_id),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, vocab
@@ -72,13 +72,15 @@ def start_windows(requests: DataFrame, offsets=(0, 7, 14), start: str = "start_d
 
 def window_means(
     asked: DataFrame, forecast: DataFrame, sites: list[str], measures: list[str],
-    duration: str = "duration", date: str = "date",
+    duration: str = "duration", date: str = "date", whole: bool = True,
 ) -> DataFrame:
-    """Mean forecast over ``duration`` days from ``window_start``, and the days known.
+    """Mean forecast over ``duration`` days from ``window_start``, and ``n_days``.
 
-    The range condition becomes an equi join on (site, day): a window lists its
-    days. Windows are made distinct first, so however many requests ask for the
-    same one, it is listed and averaged once.
+    Only whole windows are compared: one of which the forecast lacks a day has no
+    row (``whole=False`` keeps it, averaged over the days known). The range condition
+    becomes an equi join on (site, day): a window lists its days. Windows are made
+    distinct first, so however many requests ask for the same one, it is listed and
+    averaged once. ``forecast`` has one row per site and day.
     """
     window = [*sites, "window_start", duration]
     last = F.date_add("window_start", (F.col(duration) - 1).cast("int"))
@@ -86,7 +88,7 @@ def window_means(
     means = days.join(forecast, [*sites, date]).groupBy(*window).agg(
         F.count(F.lit(1)).alias("n_days"), *[F.avg(m).alias(m) for m in measures]
     )
-    return asked.join(means, window)
+    return asked.join(means.filter(F.col("n_days") == F.col(duration)) if whole else means, window)
 
 
 def recommend_starts(
@@ -105,7 +107,9 @@ def recommend_starts(
     """Later start dates with a strictly higher success probability than the base.
 
     Requests: id, site, crop, start_date, duration. All requests and offsets are
-    scored in one job; requests without a start date have no alternatives.
+    scored in one job. Base and alternatives need whole windows; a request without a
+    start date, or whose own window the forecast does not cover, has none. ``rank``
+    orders the alternatives of a request, the most probable first.
     """
     starts = start_windows(requests.filter(F.col("start_date").isNotNull()), (0, *offsets))
     asked = window_means(starts, forecast, sites, features)
@@ -117,10 +121,9 @@ def recommend_starts(
         F.when(F.col("offset") != 0, F.struct(F.col("window_start").alias("start_date"), "success_probability"))
     )
     # A request has 1 + len(offsets) rows, so its list is short.
-    per_request = scored.groupBy(request_id, crop).agg(
-        F.coalesce(base, F.lit(0.0)).alias("base_probability"), later.alias("_later")
-    )
-    return (
-        per_request.select(request_id, crop, "base_probability", F.inline("_later"))
-        .filter(F.col("success_probability") > F.col("base_probability"))
+    per_request = scored.groupBy(request_id, crop).agg(base.alias("base_probability"), later.alias("_later"))
+    better = per_request.select(request_id, crop, "base_probability", F.inline("_later")).filter(
+        F.col("success_probability") > F.col("base_probability")
     )
+    best_first = Window.partitionBy(request_id, crop).orderBy(F.desc("success_probability"), "start_date")
+    return better.withColumn("rank", F.row_number().over(best_first))

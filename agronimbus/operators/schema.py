@@ -67,9 +67,6 @@ def _doubles(names):
     return [T.StructField(n, T.DoubleType()) for n in names]
 
 
-WEATHER_DAILY = T.StructType(
-    [T.StructField("site_id", T.StringType()), T.StructField("date", T.DateType()), *_doubles(vocab.FEATURES)]
-)
 CROP_HISTORY = T.StructType(
     [
         T.StructField("date", T.DateType()),
@@ -88,9 +85,3 @@ SEASON_DAILY = T.StructType(
         T.StructField("weather_condition", T.StringType()),
     ]
 )
-EXTERNAL_CROPS = T.StructType(
-    [
-        *_doubles(["N", "P", "K", "temperature", "humidity", "ph", "rainfall"]),
-        T.StructField("label", T.StringType()),
-    ]
-)

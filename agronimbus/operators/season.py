@@ -58,9 +58,14 @@ def pad_season(
     df: DataFrame, keys: list[str], order: list[str], duration, day: str = "season_day", last: int = 10
 ) -> DataFrame:
     """Exactly ``duration`` rows per key: the first rows in order, then the last
-    ``last`` of them over and over. ``duration`` is a number or a column."""
+    ``last`` of them over and over. ``duration`` is a number or a column.
+
+    A column's largest value is fetched first: cut to that number, a key leaves only
+    so many rows per task before anything is shuffled.
+    """
     length = F.lit(duration) if isinstance(duration, int) else F.col(duration)
-    head = materialise(first_n(df, keys, order, length, day))
+    most = duration if isinstance(duration, int) else int(df.agg(F.max(length)).first()[0] or 0)
+    head = materialise(first_n(df, keys, order, most, day).filter(F.col(day) <= length))
     sizes = head.groupBy(*keys).agg(F.max(day).alias("_n"), F.max(length).alias("_d"))
     short = sizes.filter(F.col("_n") < F.col("_d")).select(
         *keys, F.explode(F.sequence(F.col("_n") + 1, F.col("_d").cast("int"))).alias("_day"), "_n"

@@ -153,16 +153,19 @@ def forecast_means(forecast: DataFrame, measures: list[str], keys: list[str] | N
     return forecast.groupBy(*(keys or [])).agg(*[F.avg(m).alias(m) for m in measures])
 
 
-def with_candidates(queries: DataFrame, profile: DataFrame, crops, crop: str = "crop") -> DataFrame:
-    """Repeat each query for the crops to compare it with.
+def candidate_table(queries: DataFrame, profile: DataFrame, crops, keys: list[str], crop: str = "crop") -> DataFrame:
+    """The (keys, crop) pairs to compare, as a table to join with.
 
-    ``crops`` is a list of names, or None for every crop with history.
+    ``crops`` is such a table, a list of names, or None for every crop with history.
+    The last two mean every key with every crop; that product is what was asked for,
+    and only keys and names enter it.
     """
-    if crops is None:
-        names = profile.agg(F.sort_array(F.collect_set(crop))).scalar()
-    else:
-        names = F.array(*[F.lit(c) for c in sorted({c.strip().lower() for c in crops})])
-    return queries.withColumn(crop, F.explode(names))
+    if isinstance(crops, DataFrame):
+        return crops.select(*keys, crop).distinct()
+    names = profile.select(crop)
+    if crops is not None:
+        names = names.filter(F.col(crop).isin([c.strip().lower() for c in crops]))
+    return materialise(queries.select(*keys).distinct().crossJoin(names))
 
 
 def compare_crops(
@@ -182,8 +185,9 @@ def compare_crops(
     """All sites and crops in one job: each site's mean forecast against each
     crop's own model, with the crop's medians, ranked by similarity.
 
-    Crops without history drop out. ``measures`` are the columns reported as
-    ``optimal_*`` (medians of history) and ``forecast_*`` (means).
+    ``crops``: see candidate_table; crops without history have no model and no row. A
+    crop without any reading of a measure stays, its median empty. ``measures`` are
+    the columns reported as ``optimal_*`` (medians of history) and ``forecast_*`` (means).
     """
     if not sites:  # one forecast for all
         whole = compare_crops(
@@ -194,7 +198,7 @@ def compare_crops(
     measures = measures or [m for m in ("temp", "humidity", "rainfall") if m in features]
     profile = crop_profile(history, features, crop) if profile is None else profile
     means = materialise(forecast_means(forecast, list(dict.fromkeys([*features, *measures])), sites))
-    asked = with_candidates(means, profile, crops, crop)
+    asked = means.join(candidate_table(means, profile, crops, sites, crop), sites)
     votes = success_probability(
         history, asked, hist_id, sites, features, k, [crop], stats=profile, **blocks
     )
@@ -205,7 +209,7 @@ def compare_crops(
     named = means.select(*sites, *[F.col(m).alias(f"forecast_{m}") for m in measures])
     best_first = Window.partitionBy(*sites).orderBy(F.desc("similarity_score"), F.col(crop))
     return (
-        scored.join(optimal, [crop]).join(named, sites)
+        scored.join(optimal, [crop], "left").join(named, sites)
         .withColumn("rank", F.row_number().over(best_first))
     )
 
@@ -220,20 +224,27 @@ def match_sequence(
     crops: list[str] | None = None,
     crop: str = "crop",
     profile: DataFrame | None = None,
+    shown: list[str] | None = None,
     **blocks,
 ) -> DataFrame:
-    """Best successful history row per (site, crop, forecast day).
+    """Best successful history row per (site, crop, forecast day), with its values.
 
-    A forecast that names its crop is matched with that crop only.
+    ``shown`` (default: the date, if history has one, and the features) names the
+    columns of the matched row that come along as ``matched_*``. A forecast that names
+    its crop is matched with that crop only; for ``crops`` see candidate_table.
     """
     profile = crop_profile(history, features, crop) if profile is None else profile
-    asked = forecast if crop in forecast.columns else with_candidates(forecast, profile, crops, crop)
-    rows = history.join(profile.select(crop, "any_success"), [crop])
-    patterns = rows.filter(~F.col("any_success") | (F.col("result") == 1)).drop("any_success")
+    asked = forecast
+    if crop not in forecast.columns:
+        asked = forecast.join(candidate_table(forecast, profile, crops, sites, crop), sites)
+    shown = [c for c in (date, *features) if c in history.columns] if shown is None else shown
+    # One join with the profile: the mark of success comes along with the scales.
+    rows = history.join(profile, [crop]).filter(~F.col("any_success") | (F.col("result") == 1))
+    patterns = rows.select(*history.columns, *[F.col(c).alias(f"matched_{c}") for c in shown])
     found = knn_join(
         apply_scaler(patterns, profile, features, [crop], mark="_ok"),
         apply_scaler(asked, profile, features, [crop], mark="_ok"),
-        _z(features), hist_id, [*sites, date], 1, [crop], **blocks,
+        _z(features), hist_id, [*sites, date], 1, [crop], payload=[f"matched_{c}" for c in shown], **blocks,
     )
     return found.withColumn("similarity", match_similarity()).drop("rank")
 

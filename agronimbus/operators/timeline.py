@@ -87,7 +87,7 @@ def fill_defaults(df: DataFrame, defaults: dict = vocab.MEASURE_DEFAULTS) -> Dat
 
 
 def replace_sentinels(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Missing-value markers, as numbers or as text, become NULL."""
+    """Missing-value markers become NULL, in text columns every spelling of their number."""
     out = {}
     for f in df.schema.fields:
         if columns is not None and f.name not in columns:
@@ -95,7 +95,8 @@ def replace_sentinels(df: DataFrame, columns: list[str] | None = None) -> DataFr
         if isinstance(f.dataType, T.NumericType):
             out[f.name] = F.when(~F.col(f.name).isin(vocab.SENTINELS), F.col(f.name))
         elif isinstance(f.dataType, T.StringType):
-            out[f.name] = F.when(~F.col(f.name).isin(vocab.SENTINEL_TEXTS), F.col(f.name))
+            number = exprs.to_number(F.trim(f.name))
+            out[f.name] = F.when(~F.coalesce(number.isin(vocab.SENTINELS), F.lit(False)), F.col(f.name))
     return df.withColumns(out) if out else df
 
 

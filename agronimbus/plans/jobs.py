@@ -62,8 +62,10 @@ def season_etl(
         F.max("growth_duration").alias("growth_duration"),
     )
     kept = [c for c in weather.columns if c not in ("soil_ph", "water_requirement", "growth_duration")]
-    observed = materialise(clean(weather.select(*kept).join(means, ["crop"]), ["crop"]))
+    observed = materialise(clean(weather.select(*kept).join(means.select("crop"), ["crop"]), ["crop"]))
     aligned = complete(equalise_length(observed, crop, ["crop"], "date"), ["crop"], "date")
+    # Attached last, so that a crop without any weather has them too.
+    aligned = aligned.join(means, ["crop"])
     return _finish(crop), _finish(aligned)
 
 
@@ -126,16 +128,28 @@ def similarity_requests(
     features: list[str] = vocab.FEATURES,
     measures: list[str] | None = None,
     crops: list[str] | None = None,
+    durations: DataFrame | None = None,
     **blocks,
 ) -> dict[str, DataFrame]:
     """Answer a table of requests: request_id, site_id, crop, start_date, duration.
 
     ``forecast``: one row per site_id and date. A request compares all crops over
-    its own window, looks for better start dates and plans its season.
+    its own window, looks for better start dates and plans its season. The season's
+    length is the request's own ``duration`` (the column may be missing), else the
+    crop's growth_duration in ``durations`` (crop, growth_duration), else the default.
+
+    ``status`` has one row per request: ``answered``, ``partial`` (the forecast lacks
+    days of the window; the comparison covers ``n_days``), ``no_forecast``, or
+    ``no_history`` (its own crop was never seen: others are compared, but nothing is
+    predicted for it).
     """
-    requests = requests.withColumn("crop", exprs.normalise_text("crop")).withColumn(
-        "duration", F.coalesce("duration", F.lit(vocab.DEFAULT_DURATION))
-    )
+    requests = requests.withColumn("crop", exprs.normalise_text("crop"))
+    own = F.col("duration") if "duration" in requests.columns else F.lit(None).cast("int")
+    if durations is not None:
+        known = durations.groupBy(exprs.normalise_text("crop").alias("crop")).agg(F.max("growth_duration").cast("int").alias("_season"))
+        requests = requests.join(known, ["crop"], "left")
+        own = F.coalesce(own, F.when(F.col("_season") > 0, F.col("_season")))
+    requests = requests.withColumn("duration", F.coalesce(own, F.lit(vocab.DEFAULT_DURATION)).cast("int")).drop("_season")
     requests = materialise(requests)
     profile = crop_profile(history, features)
     first = forecast.groupBy("site_id").agg(F.min("date").alias("_first"))
@@ -144,6 +158,17 @@ def similarity_requests(
         "date", F.explode(F.sequence("_from", F.date_add("_from", (F.col("duration") - 1).cast("int"))))
     ).select("request_id", "site_id", F.col("crop").alias("target_crop"), "duration", "date")
     days = materialise(days.join(forecast, ["site_id", "date"]))
+    covered = days.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_days"))
+    grown = profile.select(F.col("crop").alias("_crop"))
+    n_days = F.coalesce("n_days", F.lit(0))
+    status = (
+        F.when(n_days == 0, "no_forecast").when(F.col("_crop").isNull(), "no_history")
+        .when(n_days < F.col("duration"), "partial").otherwise("answered")
+    )
+    status = (
+        requests.join(covered, ["request_id"], "left").join(grown, F.col("crop") == F.col("_crop"), "left")
+        .select("request_id", status.alias("status"), n_days.alias("n_days"), "duration")
+    )
     compared = materialise(
         compare_crops(
             history, days, hist_id, ["request_id"], features, measures, crops=crops, profile=profile, **blocks
@@ -160,6 +185,7 @@ def similarity_requests(
     sequence = materialise(sequence)
     pairs = scaled_pairs(history, target, sequence, hist_id, ["request_id", "date"], features)
     return {
+        "status": status,
         "crop_comparisons": compared,
         "recommendations": starts,
         "schedule": plan,
@@ -169,21 +195,21 @@ def similarity_requests(
 
 
 def response_records(answers: dict[str, DataFrame]) -> DataFrame:
-    """One nested row per request. Its lists hold a row per crop, season day or
-    start offset, so their length does not grow with the data."""
+    """One nested row per request, answered or not. Its lists hold a row per crop,
+    season day or start offset, so their length does not grow with the data. Better
+    starts come most probable first."""
     parts = {
         "crop_comparisons": ["rank", "crop"],
         "schedule": ["day"],
-        "recommendations": ["success_probability"],
+        "recommendations": ["rank"],
         "scaled_pairs": ["date"],
     }
-    out = None
+    out = answers["status"]
     for name, first in parts.items():
         df = answers[name]
         rest = [c for c in df.columns if c not in ("request_id", *first)]
-        rows = F.sort_array(F.collect_list(F.struct(*first, *rest)), asc=name != "recommendations")
-        part = df.groupBy("request_id").agg(rows.alias(name))
-        out = part if out is None else out.join(part, ["request_id"], "left")
+        part = df.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(*first, *rest))).alias(name))
+        out = out.join(part, ["request_id"], "left")
     return out
 
 
@@ -200,13 +226,13 @@ def planting_advice(
 ) -> DataFrame:
     """Advice per request and crop from the grower's inputs; empty fields get defaults.
 
-    The soil reading is a feature of the query; history must carry ``soil_ph``.
+    The soil reading is a feature of the query; history must carry ``soil_ph``. A
+    request has a row for each crop offered: where its site has no forecast or the
+    crop no history, the scores are empty, ``status`` says why and ``recommended`` is no.
     """
     features = features or [*vocab.FEATURES, "soil_ph"]
     defaults = {c: v for c, v in vocab.ADVICE_DEFAULTS.items() if c in requests.columns}
     requests = requests.withColumns({c: exprs.truthy_or(c, v) for c, v in defaults.items()})
-    if "planting_date" in requests.columns:
-        requests = requests.withColumn("planting_date", F.coalesce("planting_date", F.current_date()))
     requests = materialise(requests.withColumn("crop", exprs.normalise_text("crop")))
     weather = [f for f in features if f != "soil_ph"]
     # Mean of a site's first n days for every n; a request picks its n.
@@ -221,16 +247,18 @@ def planting_advice(
     )
     known = means.groupBy("site_id").agg(F.max("_day").alias("_last"))
     placed = requests.join(known, ["site_id"]).withColumn("_day", F.least("forecast_days", "_last"))
-    means = placed.join(means, ["site_id", "_day"]).select(
-        "request_id", F.col("crop").alias("target_crop"), *weather, "soil_ph"
-    )
-    offered = F.array_distinct(F.array(F.col("target_crop"), *[F.lit(c) for c in crops]))
-    asked = means.withColumn("crop", F.explode(offered)).drop("target_crop")
-    scored = predict_viability(history, asked, hist_id, "request_id", features, k, ["crop"], **blocks)
-    best_first = Window.partitionBy("request_id").orderBy(F.desc("similarity_score"), "crop")
+    means = materialise(placed.join(means, ["site_id", "_day"]).select("request_id", *weather, "soil_ph"))
+    listed = F.array_distinct(F.array_compact(F.array(F.col("crop"), *[F.lit(c) for c in crops])))
+    offered = requests.select("request_id", F.explode(listed).alias("crop"))
+    scored = predict_viability(history, means.join(offered, ["request_id"]), hist_id, "request_id", features, k, ["crop"], **blocks)
+    seen = means.select("request_id", F.lit(True).alias("_seen"))
+    scored = offered.join(scored, ["request_id", "crop"], "left").join(seen, ["request_id"], "left")
+    status = F.when(F.col("_seen").isNull(), "no_forecast").when(F.col("similarity_score").isNull(), "no_history").otherwise("answered")
+    best_first = Window.partitionBy("request_id").orderBy(F.desc_nulls_last("similarity_score"), "crop")
     return scored.withColumns(
         {
-            "recommended": exprs.recommendation("similarity_score", "success_probability"),
+            "status": status,
+            "recommended": F.coalesce(exprs.recommendation("similarity_score", "success_probability"), F.lit("no")),
             "rank": F.row_number().over(best_first),
         }
-    )
+    ).drop("_seen")

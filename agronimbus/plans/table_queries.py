@@ -159,9 +159,14 @@ def rename_aliases(spark, folder):
     return S.apply_aliases(S.plain_headers(raw))
 
 
-@query("sentinel_to_null", f"SELECT event_id, temp FROM ({X.GOOD_READINGS})")
+@query("sentinel_to_null", f"""
+SELECT event_id, temp, CASE WHEN event_id % 5 = 0 THEN CAST(event_id AS VARCHAR) WHEN event_id % 5 = 4 THEN 'n/a' END AS typed
+FROM ({X.GOOD_READINGS})""")
 def sentinel_to_null(spark, folder):
-    return L.replace_sentinels(X.readings(spark, folder).select("event_id", "temp"))
+    texts = F.array(F.lit(None).cast("string"), F.lit("-999"), F.lit("-999.0"), F.lit(" -9999"), F.lit("n/a"))
+    part = (F.col("event_id") % 5).cast("int")
+    typed = F.when(part == 0, F.col("event_id").cast("string")).otherwise(F.element_at(texts, part + 1))
+    return L.replace_sentinels(X.readings(spark, folder).select("event_id", "temp", typed.alias("typed")))
 
 
 @query("coerce_numeric", """
@@ -386,7 +391,7 @@ WITH f AS ({X.FORECAST}), q AS ({X.REQUESTS}),
 w AS (SELECT q.*, o AS "offset", start_date + o::INT AS window_start FROM q, (VALUES (0), (7), (14)) v(o))
 SELECT request_id, "offset", window_start, count(*) AS n_days, {r(['temp', 'rainfall', 'humidity']).replace('round_even(', 'round_even(avg(').replace(', 6)', '), 9)')}
 FROM w JOIN f ON f.site_id = w.site_id AND f.date BETWEEN window_start AND window_start + duration - 1
-GROUP BY 1, 2, 3""")
+GROUP BY 1, 2, 3, duration HAVING count(*) = duration""")
 def start_window_join(spark, folder):
     asked = P.start_windows(X.requests(spark, folder))
     means = P.window_means(asked, X.forecast(spark, folder), ["site_id"], X.FEATURES)
@@ -499,8 +504,9 @@ SELECT site_id, date, round_even(coalesce({LERP_T}, 25), 6) AS temp, round_even(
 def clean_series(spark, folder):
     raw = X.readings(spark, folder).select(
         "site_id", "event_id", F.date_format("date", "yyyy-MM-dd").alias("Date "),
-        F.col("temp").alias("T2M"), F.col("humidity").alias("RH2M"),
-        F.concat(F.lit(" "), F.upper("source")).alias("Weather_Condition"),
+        # As a CSV reader gives them: all text, the sentinel without a fraction.
+        F.when(F.col("temp") == -999, F.lit("-999")).otherwise(F.col("temp").cast("string")).alias("T2M"),
+        F.col("humidity").alias("RH2M"), F.concat(F.lit(" "), F.upper("source")).alias("Weather_Condition"),
     )
     return rounded(L.clean(raw, ["site_id"], order="event_id"), "temp", "humidity")
 

@@ -9,11 +9,17 @@ from pyspark.sql import types as T
 from ..functions import exprs
 from ..operators import schema as S
 from ..operators.season import augment_failures, derive_bounds, redate
+from ..operators.timeline import clean_rows
 
 
 def read_csv(spark: SparkSession, path: str, columns: T.StructType | None = None) -> DataFrame:
-    """Rows under their header names, as text unless ``columns`` gives types."""
-    reader = spark.read.options(header=True, escape='"')
+    """Rows under their header names, as text unless ``columns`` gives types.
+
+    All files must have the same header in the same order; Spark compares each
+    file's with the columns and fails where they differ, for columns are read by
+    position. Read files of other headers on their own and ``unionByName`` them.
+    """
+    reader = spark.read.options(header=True, escape='"', enforceSchema=False)
     return (reader.schema(columns) if columns is not None else reader).csv(path)
 
 
@@ -38,8 +44,12 @@ def standardise_history(df: DataFrame, key: list[str], date: str = "date") -> Da
 
 
 def read_history(spark: SparkSession, path: str, key: list[str], failures: bool = True) -> DataFrame:
-    """History from a landed CSV, whichever of the known headers it has."""
-    df = standardise_history(read_csv(spark, path), key)
+    """History from a landed CSV, whichever of the known headers it has.
+
+    Rows are cleaned one by one (sentinels, numbers, text) before the failure
+    samples are made of the crops' means; empty readings stay empty.
+    """
+    df = standardise_history(clean_rows(read_csv(spark, path), key), key)
     return augment_failures(df, ["crop"]) if failures else df
 
 

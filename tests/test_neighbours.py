@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -11,8 +13,10 @@ def brute(history, queries, k):
     """history: (g, id, vector); queries: (g, id, vector)."""
     out = []
     for g, qid, q in queries:
+        largest = max((abs(x) for gg, _, h in history if gg == g for x in h), default=1)
+        digits = N.DIGITS - math.floor(math.log10(largest or 1e-250))
         near = sorted(
-            (round(float(np.sqrt(sum((a - b) ** 2 for a, b in zip(h, q)))), 9), hid) for gg, hid, h in history if gg == g
+            (round(float(np.sqrt(sum((a - b) ** 2 for a, b in zip(h, q)))), digits), hid) for gg, hid, h in history if gg == g
         )
         out += [(g, qid, hid, i + 1, d) for i, (d, hid) in enumerate(near[:k])]
     return sorted(out)
@@ -28,15 +32,21 @@ def run(spark, history, queries, k, **sizes):
 
 
 SIZES = [
-    {},  # queries sent to the history
-    {"scan_queries": 0},  # one block per group
-    {"scan_queries": 0, "block_rows": 40, "block_queries": 7},  # leaves and shares
-    {"scan_queries": 0, "block_rows": 40, "block_queries": 7, "max_leaves": 1},  # salted blocks only
+    {},  # one block per group
+    {"block_rows": 40, "block_queries": 7},  # leaves and shares
+    {"block_rows": 11, "block_queries": 500},
 ]
 
 
+@pytest.fixture(params=[None, 8])
+def sample(request, monkeypatch):
+    """With so few sampled bytes no tree can be fitted, and groups are cut by hash only."""
+    if request.param:
+        monkeypatch.setattr(N, "SAMPLE_BYTES", request.param)
+
+
 @pytest.mark.parametrize("sizes", SIZES)
-def test_every_way_gives_the_brute_force_rows(spark, sizes):
+def test_every_way_gives_the_brute_force_rows(spark, sizes, sample):
     rng = np.random.default_rng(7)
     spread = rng.normal(size=(300, 3)).round(2)
     copies = np.tile([[0.5, 0.5, 0.5]], (150, 1))  # one point is a third of the rows
@@ -82,13 +92,13 @@ def test_payload_travels_with_the_neighbour(spark):
     st.integers(1, 7),
 )
 def test_search_in_a_block_is_exact(points, asked, k):
-    before = N.LEAF_ROWS
-    N.LEAF_ROWS = 4
+    before = N.PAIRS_AT_ONCE
+    N.PAIRS_AT_ONCE = 50
     try:
         p, q = np.array(points, dtype=float), np.array(asked, dtype=float)
-        row, col, dist = N._search(p, q, np.full(len(q), np.inf), k)
+        row, col, dist = N._nearest(p, q, k, 9)
     finally:
-        N.LEAF_ROWS = before
+        N.PAIRS_AT_ONCE = before
     got = sorted(zip(row.tolist(), col.tolist(), dist.tolist()))
     full = np.round(np.sqrt(((q[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)), 9)
     wanted = []
@@ -96,3 +106,40 @@ def test_search_in_a_block_is_exact(points, asked, k):
         order = sorted(range(len(p)), key=lambda j: (full[i, j], j))[:k]
         wanted += [(i, j, full[i, j]) for j in order]
     assert got == sorted(wanted)
+
+
+def test_vectors_that_cannot_be_compared(spark):
+    nan, inf = float("nan"), float("inf")
+    schema = "id long, v array<double>"
+    h = spark.createDataFrame([(1, [1.0, 2.0]), (2, [None, 1.0]), (3, [nan, 4.0]), (4, [9.0, 9.0]), (5, None), (6, []), (7, [1.0]), (8, [inf, 0.0])], schema)
+    q = spark.createDataFrame([(10, [1.0, 2.0]), (11, None), (12, [None, 1.0]), (13, [2.0]), (14, [nan, 1.0]), (15, [])], schema)
+    for sizes in SIZES:
+        out = knn_join(h.withColumnRenamed("id", "hid"), q.withColumnRenamed("id", "qid"), ["v"], "hid", "qid", 3, **sizes).collect()
+        assert sorted((r.qid, r.hid) for r in out) == [(10, 1), (10, 4), (13, 7)]
+
+
+@pytest.mark.parametrize("scale", [1e-10, 1e-3, 1.0, 1e12])
+def test_scale_does_not_change_who_is_near(spark, scale):
+    history = [("a", 1, (9 * scale, 0.0)), ("a", 2, (3 * scale, 0.0)), ("a", 3, (1 * scale, 0.0))]
+    for sizes in SIZES:
+        assert [r[2] for r in run(spark, history, [("a", 1, (1 * scale, 0.0))], 1, **sizes)] == [3]
+
+
+def test_a_block_of_equal_points_needs_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    points = np.vstack([np.tile([[1.0, 2.0, 3.0]], (18_000, 1)), rng.normal(size=(2_000, 3))])
+    asked = rng.normal(size=(400, 3))
+    tracemalloc.start()
+    row, col, dist = N._nearest(points, asked, 5, 9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(row) == 2_000 and peak < 250e6
+
+
+def test_copies_of_a_point_are_cut_before_the_search(spark):
+    history = [("a", i, (0.0, 0.0)) for i in range(3_000)] + [("a", 5_000 + i, (float(i), 1.0)) for i in range(50)]
+    queries = [("a", i, (0.1 * i, 0.0)) for i in range(20)]
+    for sizes in SIZES:
+        assert run(spark, history, queries, 3, **sizes) == brute(history, queries, 3)

@@ -72,6 +72,16 @@ def test_padding_repeats_the_last_ten_rows(rows):
     assert [r.n for r in out.filter("crop = 'b'").collect()] == [1] * 25
     cut = W.pad_season(df, ["crop"], ["n"], "d")
     assert cut.groupBy("crop").count().filter("count <> 5").count() == 0
+    lengths = rows([("a", i, 3) for i in range(9)] + [("b", i, 7) for i in range(9)] + [("c", 0, None)], "crop string, n int, d int")
+    sized = {r.crop: r["count"] for r in W.pad_season(lengths, ["crop"], ["n"], "d").groupBy("crop").count().collect()}
+    assert sized == {"a": 3, "b": 7}
+
+
+def test_padding_to_a_column_cuts_each_key_before_the_shuffle(rows, monkeypatch):
+    seen = []
+    monkeypatch.setattr(W, "materialise", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    W.pad_season(rows([("a", 1, 5), ("b", 2, 3)], "crop string, n int, d int"), ["crop"], ["n"], "d")
+    assert "WindowGroupLimit" in seen[0]
 
 
 def test_bounds_depend_on_the_key_only(spark):
@@ -140,10 +150,28 @@ def test_only_strictly_better_later_starts_are_recommended(rows):
         "request_id string, site_id string, crop string, start_date date, duration int",
     )
     out = P.recommend_starts(history, forecast, requests, "hid", features=["temp"], k=2).collect()
-    assert [(r.request_id, r.start_date) for r in out] == [("r1", day(8))]
+    assert [(r.request_id, r.start_date, r["rank"]) for r in out] == [("r1", day(8), 1)]
     assert out[0].success_probability > out[0].base_probability
 
 
+def test_only_whole_windows_are_compared(rows):
+    history = rows([(1, "rice", 10.0, 1), (2, "rice", 30.0, 0)], "hid long, crop string, temp double, result int")
+    temps = [29.0] * 7 + [11.0] * 9  # the window from day 15 has two days, the whole one from day 8 seven
+    forecast = rows([("s", day(i + 1), t) for i, t in enumerate(temps)] + [("t", day(2), 11.0)], "site_id string, date date, temp double")
+    requests = rows(
+        [("r1", "s", "rice", day(1), 7), ("r2", "s", "rice", day(1), 100), ("r3", "t", "rice", day(1), 1)],
+        "request_id string, site_id string, crop string, start_date date, duration int",
+    )
+    windows = P.window_means(P.start_windows(requests), forecast, ["site_id"], ["temp"])
+    assert sorted((r.request_id, r.offset, r.n_days) for r in windows.collect()) == [("r1", 0, 7), ("r1", 7, 7)]
+    every = P.window_means(P.start_windows(requests), forecast, ["site_id"], ["temp"], whole=False)
+    assert {(r.request_id, r.offset): r.n_days for r in every.collect()} == {
+        ("r1", 0): 7, ("r1", 7): 7, ("r1", 14): 2, ("r2", 0): 16, ("r2", 7): 9, ("r2", 14): 2,
+    }
+    out = P.recommend_starts(history, forecast, requests, "hid", features=["temp"], k=1).collect()
+    assert [(r.request_id, r.start_date) for r in out] == [("r1", day(8))]
+
+
 # --- names -------------------------------------------------------------------------------
 
 def test_crop_resolution_tiers(rows):
@@ -163,6 +191,20 @@ def test_crop_resolution_tiers(rows):
         N.resolve_crop(asked, crops, mode="first")
 
 
+def test_long_names_and_empty_ones_are_resolved(rows):
+    import random
+
+    rng = random.Random(1)
+    long = ["".join(rng.choice("abcdef") for _ in range(1_000)) for _ in range(8)]
+    crops = rows([(x[100:110],) for x in long[:4]] + [("zz",)], "crop string")
+    asked = rows([(x,) for x in long] + [("",), ("z",), (long[0][100:110],)], "requested string")
+    out = {r.requested: (r.resolved, r.tier) for r in N.resolve_crop(asked, crops).collect()}
+    for x in long[:4]:
+        assert out[x] == (x[100:110], "partial")
+    assert out[long[5]] == (None, "none") and out["z"] == ("zz", "partial") and out[long[0][100:110]][1] == "exact"
+    assert out[""][1] == "partial"
+
+
 def test_catalogue_is_sorted_and_has_no_copies(rows):
     out = [r.crop for r in N.crop_catalogue(rows([("RICE",), (" rice",), ("zucchini",)], "crop string")).collect()]
     assert out == sorted(set(out)) and "Zucchini" in out and out.count("Rice") == 1

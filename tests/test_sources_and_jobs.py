@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,11 +74,23 @@ def test_history_csv_in_both_layouts(spark, tmp_path):
     assert 2 <= h[0].temp - h[0].min_temp <= 5
     both = readers.read_history(spark, str(tmp_path / "ext.csv"), ["row_no"])
     assert both.filter("result = 0").count() == 2
+    (tmp_path / "bad.csv").write_text("temperature,humidity,rainfall,ph,label,row_no\n20,50,-999,6,rice,1\n-999,50,3,6,rice,2\n")
+    cleaned = readers.read_history(spark, str(tmp_path / "bad.csv"), ["row_no"]).orderBy("temp").collect()
+    assert [(r.temp, r.rainfall) for r in cleaned] == [(None, 3.0), (5.0, 9.0), (20.0, None), (35.0, 0.0)]
     (tmp_path / "local.csv").write_text("row_no,date,crop,temp,min_temp,max_temp,rainfall,humidity,result\n1,2026-05-01,Wheat,20,15,25,1,60,0\n")
     local = readers.read_history(spark, str(tmp_path / "local.csv"), ["row_no"], failures=False).first()
     assert (local.date, local.crop, local.min_temp, local.result) == (day(1), "wheat", 15.0, 0)
 
 
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("temp,rainfall\n1.0,2.0\n")
+    (tmp_path / "b.csv").write_text("rainfall,temp\n21.0,10.0\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv(spark, str(tmp_path)).collect()
+    one = [readers.read_csv(spark, str(tmp_path / f"{n}.csv")) for n in "ab"]
+    assert sorted((r.temp, r.rainfall) for r in one[0].unionByName(one[1]).collect()) == [("1.0", "2.0"), ("10.0", "21.0")]
+
+
 EXPORT = [("Rice", 92.4, 95.0, "low"), ("Millet", 81.2, 78.0, "medium"), ("Maize", 74.1, 65.0, "medium")]
 
 
@@ -109,6 +122,39 @@ def test_scratch_folder_is_the_one_the_cluster_names(spark):
     assert kept.schema.simpleString() == df.schema.simpleString() and kept.count() == 3
 
 
+def test_scratch_tables_are_gone_after_the_session(tmp_path):
+    import subprocess
+    import sys
+
+    code = """
+import sys
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", sys.argv[1]).getOrCreate())
+from agronimbus.plans import storage
+a, b = storage.materialise(spark.range(3)), storage.materialise(spark.range(4))
+storage.release(a)
+import os
+own = os.path.join(sys.argv[1], spark.sparkContext.applicationId)
+assert b.count() == 4 and len([x for x in os.listdir(own) if x[0] != "."]) == 1, os.listdir(own)
+if len(sys.argv) > 2:
+    spark.stop()
+"""
+    for more in ([], ["stop"]):
+        done = subprocess.run([sys.executable, "-c", code, str(tmp_path), *more], capture_output=True, text=True, timeout=200,
+                              cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        assert done.returncode == 0, done.stderr[-2000:]
+        assert [f for _, _, names in os.walk(tmp_path) for f in names] == []
+
+
+def test_cleanup_drops_the_tables_of_a_session(spark):
+    kept = storage.materialise(spark.range(3))
+    place = kept._agronimbus_path.removeprefix("file:")
+    assert os.path.isdir(place)
+    storage.release(kept)
+    assert not os.path.isdir(place)
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     class Conf(dict):
         def set(self, k, v):
@@ -189,10 +235,50 @@ def test_advice_fills_in_defaults(spark, plains):
     asked = spark.createDataFrame([("r1", "s1", "Maize", None, None, None), ("r2", "s2", "millet", 6.2, 7, None)],
                                   "request_id string, site_id string, crop string, soil_ph double, forecast_days int, land_area double")
     out = jobs.planting_advice(history, forecast, asked).collect()
-    assert sorted((r.request_id, r.crop) for r in out) == [(r, c) for r in ("r1", "r2") for c in ("maize", "rice", "wheat")]
+    answered = sorted((r.request_id, r.crop) for r in out if r.status == "answered")
+    assert answered == [(r, c) for r in ("r1", "r2") for c in ("maize", "rice", "wheat")]
+    assert {(r.request_id, r.crop) for r in out if r.status == "no_history"} == {("r1", "millet"), ("r2", "millet")}
     assert {r.recommended for r in out} <= {"yes", "no", "alternative option like this"}
 
 
+def test_what_cannot_be_answered_is_told(spark, plains):
+    history, forecast = plains
+    asked = spark.createDataFrame(
+        [("r1", "s1", "Wheat", day(1)), ("r2", "nowhere", "rice", day(3)), ("r3", "s1", "kale", day(1)), ("r4", "s2", "rice", day(35))],
+        "request_id string, site_id string, crop string, start_date date",
+    )
+    lengths = spark.createDataFrame([("wheat", 12), ("Rice", 20), ("kale", 0)], "crop string, growth_duration int")
+    out = jobs.similarity_requests(history, forecast, asked, durations=lengths)
+    assert {r.request_id: (r.status, r.n_days, r.duration) for r in out["status"].collect()} == {
+        "r1": ("answered", 12, 12), "r2": ("no_forecast", 0, 20), "r3": ("no_history", 40, 100), "r4": ("partial", 6, 20),
+    }
+    records = {r.request_id: r for r in jobs.response_records(out).collect()}
+    assert set(records) == {"r1", "r2", "r3", "r4"} and records["r2"].crop_comparisons is None
+    advice = jobs.planting_advice(history, forecast, asked.withColumns({"soil_ph": F.lit(6.0), "forecast_days": F.lit(5)}), crops=["rice"]).collect()
+    told = {(r.request_id, r.crop): (r.status, r.recommended) for r in advice}
+    assert told[("r2", "rice")] == ("no_forecast", "no") and told[("r3", "kale")] == ("no_history", "no")
+    assert told[("r1", "wheat")][0] == "answered" and len(told) == 6
+
+
+def test_a_crop_without_readings_of_a_measure_stays(spark, plains):
+    history, forecast = plains
+    empty = history.filter("crop = 'rice'").withColumns({c: F.lit(None).cast("double") for c in ("humidity",)})
+    both = history.filter("crop <> 'rice'").unionByName(empty)
+    out = {r.crop: r for r in compare_crops(both, forecast, "hist_id", ["site_id"]).filter("site_id = 's1'").collect()}
+    assert set(out) == {"wheat", "rice", "maize"} and out["rice"].optimal_humidity is None and out["rice"].optimal_temp > 0
+
+
+def test_candidates_can_be_a_table(spark, plains):
+    history, forecast = plains
+    pairs = spark.createDataFrame([("s1", "wheat"), ("s2", "rice"), ("s2", "wheat"), ("s2", "wheat")], "site_id string, crop string")
+    out = compare_crops(history, forecast, "hist_id", ["site_id"], crops=pairs).collect()
+    assert sorted((r.site_id, r.crop) for r in out) == [("s1", "wheat"), ("s2", "rice"), ("s2", "wheat")]
+    days = match_sequence(history, forecast, "hist_id", ["site_id"], crops=pairs)
+    assert days.groupBy("site_id", "crop").count().filter("count <> 40").count() == 0
+    matched = days.join(history.select(F.col("hist_id"), F.col("temp").alias("t"), F.col("date").alias("d")), "hist_id")
+    assert matched.filter("matched_temp <> t or matched_date <> d").count() == 0
+
+
 def test_season_tables_share_schema_and_dates(spark, plains, tmp_path):
     history, forecast = plains
     raw = history.select("hist_id", "crop", "temp", "rainfall", "humidity", "soil_ph")
