@@ -223,3 +223,14 @@ def embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERY = ("op4_embedding_dedup", embedding_duplicates)
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id < b.vec_id
+         WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, ways.b FROM reach JOIN ways ON ways.a = reach.other)
+SELECT vec_id, (SELECT count(*) FROM ways WHERE ways.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1)"""

@@ -24,16 +24,18 @@ component null.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise
+from ..plans.storage import materialise, new_folder
 from .components import connected_components
+from .shipping import ship
 from .text import mixed, shingles
 
 #: Link where 100 * intersection >= PERCENT * union.
@@ -43,7 +45,7 @@ PAGE, TILE = 32, 1_024
 #: First files under which a row tells where else it is filed.
 FILES = 8
 #: A shingle that this many sets of one batch share may be frequent; so many are kept.
-LOCAL_REPEATS, MOST_FREQUENT = 4, 400_000
+LOCAL_REPEATS, MOST_FREQUENT = 4, 100_000
 #: Parts that a frequent shingle's file is dealt into.
 SALTS = 64
 #: Stands for a null doc_id where the smallest is sought.
@@ -173,18 +175,22 @@ def shingle_sets(docs: DataFrame, text: str = "text") -> tuple[DataFrame, np.nda
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     shown = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), shown).withColumn("key", F.xxhash64("doc_id", "text"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), shown, row_key(docs, text).alias("key"))
 
 
 def first_shingles(found: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The shingles a set is filed under; ``order``: frequent ones sorted, ``rank``: their ranks."""
     first = len(found) - (-(-PERCENT * len(found) // 100)) + 1
-    at = np.searchsorted(order, found)
-    at[at == len(order)] = 0
-    late = np.zeros(len(found), np.int64)
+    usual, late = found, found[:0]
     if len(order):
-        late = np.where(order[at] == found, rank[at] + 1, 0)
-    return found[np.lexsort((mixed(found), late))[:first]]
+        at = np.searchsorted(order, found)
+        at[at == len(order)] = 0
+        known = order[at] == found
+        late = found[known][np.argsort(rank[at[known]])]
+        usual = found[~known]
+    if len(usual) > first:  # the numbers compared are as different as the shingles
+        usual = usual[np.argpartition(mixed(usual), first - 1)[:first]]
+    return np.concatenate([usual, late[: first - len(usual)]])
 
 
 def filed_sets(docs: DataFrame, frequent: np.ndarray, text: str = "text") -> DataFrame:
@@ -267,16 +273,31 @@ def _bound_stage(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             sizes = np.concatenate([b.column("n_a").to_numpy(), b.column("n_b").to_numpy()])
             vectors = b.column("v_a").to_pylist() + b.column("v_b").to_pylist()
             keep = bounded(np.arange(k), np.arange(k, 2 * k), sizes, vectors)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            yield b.select(["a", "b", "key_a", "key_b"]).filter(pa.array(keep))
 
     for side in "ab":
-        known = classes.select(F.col("cls").alias(f"_{side}"), F.col("n").alias(f"n_{side}"), F.col("counts").alias(f"v_{side}"))
+        known = classes.select(
+            F.col("cls").alias(f"_{side}"), F.col("least.key").alias(f"key_{side}"), F.col("n").alias(f"n_{side}"), F.col("counts").alias(f"v_{side}")
+        )
         pairs = pairs.join(known, F.col(side) == F.col(f"_{side}")).drop(f"_{side}")
-    return pairs.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(run, "a bigint, b bigint")
+    rows = pairs.select("a", "b", "key_a", "key_b", "n_a", "n_b", "v_a", "v_b")
+    return rows.mapInArrow(run, "a bigint, b bigint, key_a bigint, key_b bigint")
+
+
+def _with_keys(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) with the row keys of both classes."""
+    for side in "ab":
+        known = classes.select(F.col("cls").alias(f"_{side}"), F.col("least.key").alias(f"key_{side}"))
+        pairs = pairs.join(known, F.col(side) == F.col(f"_{side}")).drop(f"_{side}")
+    return pairs
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link; ``texts``: cls, text."""
+    """The pairs (a, b) whose sets link.
+
+    ``pairs``: a, b, key_a, key_b; ``texts``: key, text, in buckets by key, so that only
+    pairs move.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -290,8 +311,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(100 * common >= PERCENT * (len(own) + len(other) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
+    both = pairs
+    for side in "ba":
+        there = texts.select(F.col("key").alias(f"_{side}"), F.col("text").alias(f"text_{side}"))
+        both = both.join(there, F.col(f"key_{side}") == F.col(f"_{side}")).drop(f"_{side}")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -400,6 +423,25 @@ def _search(tiles: DataFrame) -> DataFrame:
     return tiles.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "cls").mapInArrow(run, "a bigint, b bigint")
 
 
+class Buckets:
+    """A table written in buckets by ``key``: joins by the key leave it where it is."""
+
+    def __init__(self, df: DataFrame, key: str):
+        self.spark, self.name = df.sparkSession, f"agronimbus_{uuid.uuid4().hex}"
+        count = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(count, key).option("path", new_folder(self.spark)).saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        """Forget the name; the files go with the session's other tables."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+
+
+def row_key(docs: DataFrame, text: str = "text") -> Column:
+    """The row_key of a document, from its doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def _labels(links: DataFrame) -> DataFrame:
     found = connected_components(links)
     return materialise(found.select(F.col("node").alias("cls"), F.col("component").alias("comp")))
@@ -413,6 +455,7 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     component_id (of equal doc_ids the least row_key, a hash of doc_id and text; equal
     rows share the mark), and every row without words.
     """
+    ship(docs.sparkSession)
     sets, frequent = shingle_sets(docs, text)
     worded = sets.filter("cls is not null")
     place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("key").alias("key"))
@@ -423,16 +466,17 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     keys = filed.select("cls").distinct().join(classes.select("cls", F.col("least.key").alias("_key")), "cls")
     # Joined and thinned by the same key, so that texts are shuffled once.
     texts = _keyed(docs, text).select("key", "text").join(keys, F.col("key") == F.col("_key"))
-    texts = materialise(texts.select("key", "cls", "text").dropDuplicates(["key"]).select("cls", "text"))
+    texts = Buckets(texts.select("key", "text").dropDuplicates(["key"]), "key")
 
     # First each file's hub, then hubs of what is still apart, then all the rest.
-    links = materialise(verified(_bound_stage(_pairs(filed, "hub", "n_hub"), classes), texts))
+    links = materialise(verified(_bound_stage(_pairs(filed, "hub", "n_hub"), classes), texts.table))
     still_open = _open_files(filed, _labels(links))
-    more = materialise(verified(_bound_stage(_pairs(still_open, "hub.cls", "hub.n"), classes), texts))
+    more = materialise(verified(_bound_stage(_pairs(still_open, "hub.cls", "hub.n"), classes), texts.table))
     links = links.unionByName(more)
     still_open = _open_files(still_open, _labels(links))
     rest = materialise(_search(_tiles(still_open, classes)).distinct())
-    labels = _labels(links.unionByName(materialise(verified(rest, texts))))
+    labels = _labels(links.unionByName(materialise(verified(_with_keys(rest, classes), texts.table))))
+    texts.drop()
 
     member = classes.select("cls", "least").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     first = member.groupBy(F.col("comp").alias("_comp")).agg(F.min("least").alias("first"))
@@ -453,3 +497,15 @@ def document_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERY = ("op2_jaccard_join", document_components)
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared WHERE 100 * k >= 75 * (n + m - k)),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.other)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""

@@ -21,7 +21,7 @@ def words(text: str | None) -> list[bytes]:
 
 def hashes(found: list[bytes]) -> np.ndarray:
     """64-bit hash of each word."""
-    return np.fromiter(map(xxhash.xxh64_intdigest, found), dtype=np.uint64, count=len(found))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
