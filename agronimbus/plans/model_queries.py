@@ -188,15 +188,15 @@ def crop_ranking(spark, folder):
 WITH {COMPARED} SELECT crop AS "Crop", site_id AS "Site Id", similarity_score AS "Similarity Score",
   success_probability AS "Success Probability", risk_level AS "Risk Level",
   row_number() OVER (PARTITION BY site_id ORDER BY similarity_score DESC, crop)::INT AS "Rank",
-  '{{' || concat_ws(',', {', '.join(f"""'"{m}":"' || printf('%.4f', optimal_{m}) || '"'""" for m in FEATURES)}) || '}}' AS "Optimal Weather",
-  '{{' || concat_ws(',', {', '.join(f"""'"{m}":"' || printf('%.4f', forecast_{m}) || '"'""" for m in FEATURES)}) || '}}' AS "Forecast Weather"
+  '{{' || concat_ws(',', {', '.join(f"""'"{m}":"' || printf('%.4f', round_even(optimal_{m}, 4)) || '"'""" for m in FEATURES)}) || '}}' AS "Optimal Weather",
+  '{{' || concat_ws(',', {', '.join(f"""'"{m}":"' || printf('%.4f', round_even(forecast_{m}, 4)) || '"'""" for m in FEATURES)}) || '}}' AS "Forecast Weather"
 FROM score JOIN opt USING (crop) JOIN fm USING (site_id)""")
 def export_crop_comparisons(spark, folder):
     """Every column of the export, the nested ones as JSON text (numbers as fixed text,
     because Spark and SQL write doubles differently)."""
     flat = _compared(spark, folder)
     weather = {
-        f"{side}_weather": F.struct(*[F.format_string("%.4f", f"{side}_{m}").alias(m) for m in FEATURES])
+        f"{side}_weather": F.struct(*[F.format_string("%.4f", exprs.half_even(f"{side}_{m}", 4)).alias(m) for m in FEATURES])
         for side in ("optimal", "forecast")
     }
     return sinks.comparison_export(flat.withColumns(weather).drop(*[f"{s}_{m}" for s in ("optimal", "forecast") for m in FEATURES]))
