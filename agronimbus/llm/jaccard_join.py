@@ -13,9 +13,9 @@ first quarter (and one) of its shingles in any fixed order of shingles. Each suc
 shingle has a tree of the sets filed under it. Frequent shingles come last in the
 order, so that common passages file nothing unless a text consists of little else.
 
-Large groups of near copies are joined to a few hubs first, and the trees then only
-look for pairs of different components: what is left over is exact, as every pair of
-sets in a common tree is in one component, or bounded away, or verified.
+Files of one page give all their pairs. In larger ones sets are joined to a few hubs
+first, and the trees then only look for pairs of different components. That is exact:
+every two sets of a file are in one component, or bounded away, or verified.
 
 Copies (equal sets) are one class. Texts null or without words link with nothing and
 are their own component. Rows with doc_id null take part; such a row alone has the
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -193,12 +194,14 @@ def first_shingles(found: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np
     return np.concatenate([usual, late[: first - len(usual)]])
 
 
-def filed_sets(docs: DataFrame, frequent: np.ndarray, text: str = "text") -> DataFrame:
-    """(grp, cls, n, hub, n_hub) of every set and shingle it is filed under together with others.
+def filed_sets(docs: DataFrame, frequent: np.ndarray, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Pairs of sets that share a file, and the files too large for that.
 
-    n is the set's size; the hub is one of the sets in the file. Files are gathered
-    once, in order, and a task holds one batch of rows at a time. Frequent shingles are
-    known to be shared: their files are dealt out in SALTS parts with a hub each.
+    A file of one page gives its pairs (a, b) whose sizes allow a link. Larger ones, and
+    those of frequent shingles, give rows (grp, cls, n, hub, n_hub): n is a set's size, the
+    hub one of the sets in the file. Files are gathered once, in order, and a task holds
+    one batch of rows at a time; files of frequent shingles are dealt out in SALTS parts
+    with a hub each.
     """
     by_value = np.argsort(frequent)
     order, rank = frequent[by_value], by_value
@@ -225,43 +228,59 @@ def filed_sets(docs: DataFrame, frequent: np.ndarray, text: str = "text") -> Dat
                 )
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted; one stays if a neighbour has its file and another set."""
         names = ["grp", "salt", "cls", "n"]
-        held: dict | None = None  # the last row, not given out yet, and what is known of its file
-
-        def out(rows: dict[str, np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
-            kept = ["grp", "cls", "n", "hub", "n_hub"]
-            return pa.record_batch([pa.array(rows[k][keep]) for k in kept], kept)
-
-        for b in batches:
-            rows = {k: b.column(k).to_numpy() for k in names}
-            if held is not None:
-                rows = {k: np.concatenate([held[k], rows[k]]) for k in names}
+        held = {k: np.empty(0, np.int64) for k in names}  # rows of a file that may not be whole
+        going: dict | None = None  # a large file whose rows still come
+        for b in chain(batches, [None]):
+            rows = held if b is None else {k: np.concatenate([held[k], b.column(k).to_numpy()]) for k in names}
+            held = {k: v[:0] for k, v in rows.items()}
             if not len(rows["grp"]):
                 continue
             same = (rows["grp"][1:] == rows["grp"][:-1]) & (rows["salt"][1:] == rows["salt"][:-1])
             fresh = np.r_[True, ~(same & (rows["cls"][1:] == rows["cls"][:-1]))]
-            start = np.r_[True, ~same]
-            first = np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))
-            rows["hub"], rows["n_hub"] = rows["cls"][first], rows["n"][first]
-            if held is not None:
-                rows["hub"][first == 0], rows["n_hub"][first == 0] = held["hub"][0], held["n_hub"][0]
+            start = np.r_[True, ~same][fresh]
             rows = {k: v[fresh] for k, v in rows.items()}
-            joined = ~start[fresh]
-            if held is not None:
-                joined[0] = held["joined"]
-            keep = joined | np.r_[joined[1:], False] | (rows["salt"] > 0)
-            held = {k: v[-1:] for k, v in rows.items()} | {"joined": bool(joined[-1])}
-            keep[-1] = False
-            yield out(rows, keep)
-        if held is not None and (held["joined"] or held["salt"][0] > 0):
-            yield out(held, np.array([True]))
+            run, first = np.cumsum(start) - 1, np.flatnonzero(start)
+            size = np.diff(np.r_[first, len(run)])
+            large = (size > PAGE) | (rows["salt"][first] > 0)
+            hub, n_hub = rows["cls"][first], rows["n"][first]
+            if going is not None and (going["grp"], going["salt"]) == (rows["grp"][0], rows["salt"][0]):
+                large[0], hub[0], n_hub[0] = True, going["hub"], going["n_hub"]
+            going = None
+            ready = np.ones(len(run), bool)
+            if b is not None and large[-1]:
+                going = {"grp": rows["grp"][-1], "salt": rows["salt"][-1], "hub": hub[-1], "n_hub": n_hub[-1]}
+            elif b is not None:
+                ready = run < run[-1]
+                held = {k: v[~ready] for k, v in rows.items()}
+            a = np.flatnonzero(ready & large[run])
+            found = [(rows["grp"][a], rows["cls"][a], rows["n"][a], hub[run[a]], n_hub[run[a]])]
+            small = ready & ~large[run]
+            pairs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for d in range(1, min(PAGE, len(run))):
+                i = np.flatnonzero((run[d:] == run[:-d]) & small[d:])
+                i = i[sizes_fit(rows["n"][i], rows["n"][i + d])]
+                pairs[0].append(rows["cls"][i])  # the smaller one: rows are sorted
+                pairs[1].append(rows["cls"][i + d])
+            left, right = map(np.concatenate, pairs)
+            order = np.lexsort((right, left))
+            left, right = left[order], right[order]
+            new = np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])][: len(left)]
+            left, right = left[new], right[new]
+            columns = [np.concatenate([x, y]) for x, y in zip(found[0], (0 * left, left, 0 * left, right, 0 * left))]
+            is_pair = np.r_[np.zeros(len(a), bool), np.ones(len(left), bool)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.record_batch(
+                [pa.array(is_pair), *(pa.array(c.astype(np.int64), pa.int64()).cast(k) for c, k in zip(columns, kinds))],
+                ["pair", "grp", "cls", "n", "hub", "n_hub"],
+            )
 
     filed = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(
         run, "grp bigint, cls bigint, n int, salt int"
     )
     rows = filed.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "cls")
-    return materialise(rows.mapInArrow(shared, "grp bigint, cls bigint, n int, hub bigint, n_hub int"))
+    both = materialise(rows.mapInArrow(shared, "pair boolean, grp bigint, cls bigint, n int, hub bigint, n_hub int"))
+    return both.filter("pair").select(F.col("cls").alias("a"), F.col("hub").alias("b")), both.filter("not pair").drop("pair")
 
 
 def _bound_stage(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -462,15 +481,18 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = materialise(
         worded.groupBy("cls").agg(F.min(place).alias("least"), F.first("n").alias("n"), F.first("counts").alias("counts"))
     )
-    filed = filed_sets(docs, frequent, text)
-    keys = filed.select("cls").distinct().join(classes.select("cls", F.col("least.key").alias("_key")), "cls")
+    pairs, large = filed_sets(docs, frequent, text)
+    # The pairs of small files, and of large ones first each set with its hub.
+    first = materialise(_bound_stage(pairs.unionByName(_pairs(large, "hub", "n_hub")).distinct(), classes))
+    keys = classes.select("cls", F.col("least.key").alias("_key")).join(large.select("cls").distinct(), "cls").select("_key")
+    keys = keys.unionByName(first.select(F.explode(F.array("key_a", "key_b")).alias("_key"))).distinct()
     # Joined and thinned by the same key, so that texts are shuffled once.
-    texts = _keyed(docs, text).select("key", "text").join(keys, F.col("key") == F.col("_key"))
+    texts = _keyed(docs, text).select("key", "text").join(keys, F.col("key") == F.col("_key"), "left_semi")
     texts = Buckets(texts.select("key", "text").dropDuplicates(["key"]), "key")
 
-    # First each file's hub, then hubs of what is still apart, then all the rest.
-    links = materialise(verified(_bound_stage(_pairs(filed, "hub", "n_hub"), classes), texts.table))
-    still_open = _open_files(filed, _labels(links))
+    # Of the large files then hubs of what is still apart, and all the rest by trees.
+    links = materialise(verified(first, texts.table))
+    still_open = _open_files(large, _labels(links))
     more = materialise(verified(_bound_stage(_pairs(still_open, "hub.cls", "hub.n"), classes), texts.table))
     links = links.unionByName(more)
     still_open = _open_files(still_open, _labels(links))
