@@ -31,7 +31,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialise, new_folder
@@ -49,6 +49,8 @@ FILES = 8
 LOCAL_REPEATS, MOST_FREQUENT = 4, 100_000
 #: Parts that a frequent shingle's file is dealt into.
 SALTS = 64
+#: Sets that those of a large file are compared with before all others, and how often.
+HUBS, TURNS = 16, 2
 #: Stands for a null doc_id where the smallest is sought.
 NO_ID = (1 << 63) - 1
 
@@ -198,10 +200,9 @@ def filed_sets(docs: DataFrame, frequent: np.ndarray, text: str = "text") -> tup
     """Pairs of sets that share a file, and the files too large for that.
 
     A file of one page gives its pairs (a, b) whose sizes allow a link. Larger ones, and
-    those of frequent shingles, give rows (grp, cls, n, hub, n_hub): n is a set's size, the
-    hub one of the sets in the file. Files are gathered once, in order, and a task holds
-    one batch of rows at a time; files of frequent shingles are dealt out in SALTS parts
-    with a hub each.
+    those of frequent shingles, give rows (grp, cls, n), n being a set's size. Files are
+    gathered once, in order, and a task holds one batch of rows at a time; files of
+    frequent shingles are dealt out in SALTS parts.
     """
     by_value = np.argsort(frequent)
     order, rank = frequent[by_value], by_value
@@ -230,7 +231,7 @@ def filed_sets(docs: DataFrame, frequent: np.ndarray, text: str = "text") -> tup
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["grp", "salt", "cls", "n"]
         held = {k: np.empty(0, np.int64) for k in names}  # rows of a file that may not be whole
-        going: dict | None = None  # a large file whose rows still come
+        going: tuple | None = None  # a large file whose rows still come
         for b in chain(batches, [None]):
             rows = held if b is None else {k: np.concatenate([held[k], b.column(k).to_numpy()]) for k in names}
             held = {k: v[:0] for k, v in rows.items()}
@@ -243,18 +244,16 @@ def filed_sets(docs: DataFrame, frequent: np.ndarray, text: str = "text") -> tup
             run, first = np.cumsum(start) - 1, np.flatnonzero(start)
             size = np.diff(np.r_[first, len(run)])
             large = (size > PAGE) | (rows["salt"][first] > 0)
-            hub, n_hub = rows["cls"][first], rows["n"][first]
-            if going is not None and (going["grp"], going["salt"]) == (rows["grp"][0], rows["salt"][0]):
-                large[0], hub[0], n_hub[0] = True, going["hub"], going["n_hub"]
+            large[0] |= going == (rows["grp"][0], rows["salt"][0])
             going = None
             ready = np.ones(len(run), bool)
             if b is not None and large[-1]:
-                going = {"grp": rows["grp"][-1], "salt": rows["salt"][-1], "hub": hub[-1], "n_hub": n_hub[-1]}
+                going = (rows["grp"][-1], rows["salt"][-1])
             elif b is not None:
                 ready = run < run[-1]
                 held = {k: v[~ready] for k, v in rows.items()}
             a = np.flatnonzero(ready & large[run])
-            found = [(rows["grp"][a], rows["cls"][a], rows["n"][a], hub[run[a]], n_hub[run[a]])]
+            found = rows["grp"][a], rows["cls"][a], rows["n"][a]
             small = ready & ~large[run]
             pairs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for d in range(1, min(PAGE, len(run))):
@@ -267,20 +266,16 @@ def filed_sets(docs: DataFrame, frequent: np.ndarray, text: str = "text") -> tup
             left, right = left[order], right[order]
             new = np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])][: len(left)]
             left, right = left[new], right[new]
-            columns = [np.concatenate([x, y]) for x, y in zip(found[0], (0 * left, left, 0 * left, right, 0 * left))]
+            columns = [np.concatenate([x, y]).astype(np.int64) for x, y in zip(found, (right, left, 0 * left))]
             is_pair = np.r_[np.zeros(len(a), bool), np.ones(len(left), bool)]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.record_batch(
-                [pa.array(is_pair), *(pa.array(c.astype(np.int64), pa.int64()).cast(k) for c, k in zip(columns, kinds))],
-                ["pair", "grp", "cls", "n", "hub", "n_hub"],
-            )
+            yield pa.record_batch([pa.array(is_pair), *map(pa.array, columns)], ["pair", "grp", "cls", "n"])
 
     filed = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(
         run, "grp bigint, cls bigint, n int, salt int"
     )
     rows = filed.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "cls")
-    both = materialise(rows.mapInArrow(shared, "pair boolean, grp bigint, cls bigint, n int, hub bigint, n_hub int"))
-    return both.filter("pair").select(F.col("cls").alias("a"), F.col("hub").alias("b")), both.filter("not pair").drop("pair")
+    both = materialise(rows.mapInArrow(shared, "pair boolean, grp bigint, cls bigint, n bigint"))
+    return both.filter("pair").select(F.col("cls").alias("a"), F.col("grp").alias("b")), both.filter("not pair").drop("pair")
 
 
 def _bound_stage(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -303,14 +298,6 @@ def _bound_stage(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint, key_a bigint, key_b bigint")
 
 
-def _with_keys(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) with the row keys of both classes."""
-    for side in "ab":
-        known = classes.select(F.col("cls").alias(f"_{side}"), F.col("least.key").alias(f"key_{side}"))
-        pairs = pairs.join(known, F.col(side) == F.col(f"_{side}")).drop(f"_{side}")
-    return pairs
-
-
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link.
 
@@ -338,37 +325,41 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _open_files(filed: DataFrame, labels: DataFrame) -> DataFrame:
-    """(grp, cls, n, comp, k, hub) of the files with two components or more.
-
-    k is the number of sets in the file, hub the (comp, cls, n) of its first component.
-    """
+    """(grp, cls, n, comp, k) of the files with two components or more; k is their size."""
     rows = filed.select("grp", "cls", "n").join(labels.withColumnRenamed("cls", "_cls"), F.col("cls") == F.col("_cls"), "left")
     rows = rows.select("grp", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
-    files = rows.groupBy("grp").agg(
-        F.count("cls").alias("k"), F.min(F.struct("comp", "cls", "n")).alias("hub"), F.max("comp").alias("_last")
-    )
-    files = files.filter(F.col("hub.comp") != F.col("_last")).select(F.col("grp").alias("_grp"), "k", "hub")
-    return materialise(rows.join(files, F.col("grp") == F.col("_grp")).select("grp", "cls", "n", "comp", "k", "hub"))
+    files = rows.groupBy(F.col("grp").alias("_grp")).agg(F.count("cls").alias("k"), F.min("comp").alias("_x"), F.max("comp").alias("_y"))
+    files = files.filter("_x <> _y").select("_grp", "k")
+    return materialise(rows.join(files, F.col("grp") == F.col("_grp")).select("grp", "cls", "n", "comp", "k"))
 
 
-def _pairs(rows: DataFrame, hub: str, n_hub: str) -> DataFrame:
-    """Distinct (a, b) of each row's set and its hub, where the sizes allow a link."""
-    fits = 100 * F.least("n", F.col(n_hub)) >= PERCENT * F.greatest("n", F.col(n_hub))
-    rows = rows.filter((F.col("cls") != F.col(hub)) & fits)
-    return rows.select(F.least("cls", hub).alias("a"), F.greatest("cls", hub).alias("b")).distinct()
+def _hub_pairs(files: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each set with the HUBS sets that come first in one of its files.
+
+    Which file and which sets is drawn by a hash that differs from turn to turn but not
+    from file to file, so that sets with many common files meet the same hubs. Only
+    sets of different components, whose sizes allow a link, are paired.
+    """
+    draw = F.xxhash64("cls", F.lit(turn))
+    hubs = files.withColumn("_rank", F.row_number().over(Window.partitionBy("grp").orderBy(draw))).filter(F.col("_rank") <= HUBS)
+    hubs = hubs.select(F.col("grp").alias("_grp"), F.col("cls").alias("hub"), F.col("n").alias("n_hub"), F.col("comp").alias("_comp"))
+    one = files.groupBy("cls").agg(F.min_by("grp", F.xxhash64("grp", F.lit(turn))).alias("grp"), F.first("n").alias("n"), F.first("comp").alias("comp"))
+    fits = 100 * F.least("n", "n_hub") >= PERCENT * F.greatest("n", "n_hub")
+    pairs = one.join(hubs, (F.col("grp") == F.col("_grp")) & (F.col("comp") != F.col("_comp")) & fits)
+    return pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
 
 
 def _tiles(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of every tile pair of open files: what the trees need."""
     first = _first_files(rows)
-    known = classes.select(F.col("cls").alias("_cls"), "counts").join(first, F.col("_cls") == F.col("_c")).drop("_c")
-    rows = rows.select("grp", "cls", F.col("n").cast("bigint").alias("n"), "comp", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
+    known = classes.select(F.col("cls").alias("_cls"), F.col("least.key").alias("key"), "counts").join(first, F.col("_cls") == F.col("_c")).drop("_c")
+    rows = rows.select("grp", "cls", "n", "comp", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
     rows = rows.join(known, F.col("cls") == F.col("_cls")).drop("_cls")
     rows = rows.withColumn("t", F.pmod(F.xxhash64("cls", "grp"), F.col("tiles")).cast("int"))
     # Each tile meets the later ones and itself; with one tile that is one row.
     meets = F.explode(F.expr("transform(sequence(0, tiles - 1), o -> struct(least(t, o) as i, greatest(t, o) as j))")).alias("at")
-    rows = rows.select("grp", meets, "t", "cls", "comp", "n", "counts", "files")
-    return rows.select("grp", "at.i", "at.j", "t", "cls", "comp", "n", "counts", "files")
+    rows = rows.select("grp", meets, "t", "cls", "comp", "n", "key", "counts", "files")
+    return rows.select("grp", "at.i", "at.j", "t", "cls", "comp", "n", "key", "counts", "files")
 
 
 def _first_files(rows: DataFrame) -> DataFrame:
@@ -411,20 +402,22 @@ def _search(tiles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        told: set[tuple[int, int]] = set()
+        told: set[tuple] = set()
 
         def out(table: pa.Table) -> pa.RecordBatch:
-            rows = {c: table.column(c).to_numpy() for c in ("grp", "i", "j", "t", "cls", "comp", "n")}
+            rows = {c: table.column(c).to_numpy() for c in ("grp", "i", "j", "t", "cls", "comp", "n", "key")}
             change = np.zeros(len(rows["grp"]), bool)
             for c in ("grp", "i", "j"):
                 change[1:] |= rows[c][1:] != rows[c][:-1]
             rows["tile"] = np.cumsum(change)
             a, b = block(rows, table.column("counts").to_pylist(), table.column("files").to_pylist())
-            pairs = {(min(x, y), max(x, y)) for x, y in zip(rows["cls"][a].tolist(), rows["cls"][b].tolist())} - told
+            a, b = np.where(rows["cls"][a] < rows["cls"][b], a, b), np.where(rows["cls"][a] < rows["cls"][b], b, a)
+            pairs = set(zip(*(rows[c][i].tolist() for c in ("cls", "key") for i in (a, b)))) - told
             if len(told) > 500_000:
                 told.clear()
             told.update(pairs)
-            return pa.record_batch([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+            columns = list(zip(*pairs)) or [()] * 4
+            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["a", "b", "key_a", "key_b"])
 
         for b in batches:
             new = pa.Table.from_batches([b])
@@ -439,7 +432,9 @@ def _search(tiles: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield out(held)
 
-    return tiles.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "cls").mapInArrow(run, "a bigint, b bigint")
+    return tiles.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "cls").mapInArrow(
+        run, "a bigint, b bigint, key_a bigint, key_b bigint"
+    )
 
 
 class Buckets:
@@ -483,7 +478,8 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     pairs, large = filed_sets(docs, frequent, text)
     # The pairs of small files, and of large ones first each set with its hub.
-    first = materialise(_bound_stage(pairs.unionByName(_pairs(large, "hub", "n_hub")).distinct(), classes))
+    hubs = _hub_pairs(large.withColumn("comp", F.col("cls")), 0)
+    first = materialise(_bound_stage(pairs.unionByName(hubs).distinct(), classes))
     keys = classes.select("cls", F.col("least.key").alias("_key")).join(large.select("cls").distinct(), "cls").select("_key")
     keys = keys.unionByName(first.select(F.explode(F.array("key_a", "key_b")).alias("_key"))).distinct()
     # Joined and thinned by the same key, so that texts are shuffled once.
@@ -493,11 +489,12 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     # Of the large files then hubs of what is still apart, and all the rest by trees.
     links = materialise(verified(first, texts.table))
     still_open = _open_files(large, _labels(links))
-    more = materialise(verified(_bound_stage(_pairs(still_open, "hub.cls", "hub.n"), classes), texts.table))
-    links = links.unionByName(more)
-    still_open = _open_files(still_open, _labels(links))
+    for turn in range(1, TURNS):
+        more = materialise(verified(_bound_stage(_hub_pairs(still_open, turn).distinct(), classes), texts.table))
+        links = links.unionByName(more)
+        still_open = _open_files(still_open, _labels(links))
     rest = materialise(_search(_tiles(still_open, classes)).distinct())
-    labels = _labels(links.unionByName(materialise(verified(_with_keys(rest, classes), texts.table))))
+    labels = _labels(links.unionByName(materialise(verified(rest, texts.table))))
     texts.drop()
 
     member = classes.select("cls", "least").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
