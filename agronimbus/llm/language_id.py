@@ -102,10 +102,10 @@ def separate(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 60)
                 alpha[i] = new
         if moved < 1e-4:
             break
-    return (alpha * y) @ x, float((alpha * y).sum())
+    return (alpha * y).astype(x.dtype) @ x, float((alpha * y).sum())
 
 
-def train(docs: DataFrame, rows: int = 400, most_places: int = 2_000) -> Model:
+def train(docs: DataFrame, rows: int = 300, most_places: int = 2_000) -> Model:
     """Learn from at most ``rows`` documents of each language.
 
     ``docs`` (doc_id, text, lang) must hold only what may be learned from. The sample
@@ -142,6 +142,7 @@ def train(docs: DataFrame, rows: int = 400, most_places: int = 2_000) -> Model:
     x = np.zeros((len(langs), PLACES), np.float32)
     for row, at, share in zip(x, table.column("at"), table.column("share")):
         row[at.values.to_numpy()] = share.values.to_numpy()
+    del table
     # Rare places weigh as much as frequent ones; the scale goes into the planes.
     scale = 1 / (x.std(axis=0) + 1e-4)
     x *= scale
@@ -154,7 +155,7 @@ def train(docs: DataFrame, rows: int = 400, most_places: int = 2_000) -> Model:
     for f in model.families:
         model.languages[f] = sorted(set(langs_at[fams_at == f]))
         one = len(model.families) == 1
-        columns.append((np.zeros(PLACES), 1.0) if one else separate(x, np.where(fams_at == f, 1.0, -1.0)))
+        columns.append((np.zeros(PLACES, np.float32), 1.0) if one else separate(x, np.where(fams_at == f, 1.0, -1.0)))
     for f in model.families:
         for i, a in enumerate(model.languages[f]):
             for b in model.languages[f][i + 1 :]:
