@@ -35,10 +35,11 @@ from .shipping import ship
 #: Words whose ids a worker remembers, each of at most so many bytes; when full it starts anew.
 MEMO_WORDS, MEMO_BYTES = 1_500_000, 64
 #: Documents whose new words are encoded together.
-ENCODED_AT_ONCE = 128
+ENCODED_AT_ONCE = 256
 #: ASCII signs at a word's end that the tokenizer always parts from letters before them.
 SIGNS = b".,;:!?*&%$#|\"()[]{}<>/-_+=@~^`"
 _memo: dict[bytes, bytes] = {}
+_memo_of: list = []
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -48,7 +49,6 @@ def _tokenizer(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         _tokenizers.clear()
-        _memo.clear()
         found = Tokenizer.from_file(path)
         last = np.zeros(found.get_vocab_size(), bool)
         last[[i for token, i in found.get_vocab().items() if token.endswith("</w>")]] = True
@@ -56,39 +56,39 @@ def _tokenizer(path: str) -> tuple:
     return _tokenizers[path]
 
 
-def _encode_words(path: str, found: list[bytes]) -> list[bytes]:
+def _encode_words(path: str, kind: str, found: list[bytes]) -> list[bytes]:
     encoded = _tokenizer(path)[0].encode_batch_fast([w.decode() for w in found], add_special_tokens=False)
-    return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+    return [np.array(e.ids, kind).tobytes() for e in encoded]
 
 
-def _encode_letters(path: str, found: list[bytes], at_once: int = 2_000) -> list[bytes]:
+def _encode_letters(path: str, kind: str, found: list[bytes], at_once: int = 2_000) -> list[bytes]:
     """Ids of words of letters only: encoded as one text, cut after each word's last token."""
     tokenizer, last = _tokenizer(path)
-    out: list[bytes] = []
+    width, out = np.dtype(kind).itemsize, []
     for i in range(0, len(found), at_once):
         part = found[i : i + at_once]
-        ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * (np.flatnonzero(last[ids]) + 1)).tolist()
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, kind)
+        ends = (width * (np.flatnonzero(last[ids]) + 1)).tolist()
         if len(ends) == len(part):
             body = ids.tobytes()
             out.extend([body[a:b] for a, b in zip([0, *ends], ends)])
         else:  # a letter that becomes more than letters
-            out.extend(_encode_words(path, part))
+            out.extend(_encode_words(path, kind, part))
     return out
 
 
 def _letters(core: bytes) -> bool:
     """Whether a word is nothing but letters, also after the tokenizer's normal form and lower case."""
-    return core.isalpha() or not core.isascii() and unicodedata.normalize("NFC", core.decode()).lower().isalpha()
+    return not core.isascii() and unicodedata.normalize("NFC", core.decode()).lower().isalpha()
 
 
-def _learn(path: str, new: set[bytes]) -> dict[bytes, bytes]:
+def _learn(path: str, kind: str, new: set[bytes]) -> dict[bytes, bytes]:
     """Ids of new words; letters and the signs that follow them are encoded apart."""
     cores = {w: w.rstrip(SIGNS) for w in new}
-    plain = {c for c in cores.values() if _letters(c)}
+    plain = {c for c in cores.values() if c.isalpha() or _letters(c)}
     rest = {w[len(c) :] if c in plain else w for w, c in cores.items()}
     letters, others = list(plain.difference(_memo)), list(rest.difference(_memo, [b""]))
-    ids = dict(zip(letters, _encode_letters(path, letters))) | dict(zip(others, _encode_words(path, others)))
+    ids = dict(zip(letters, _encode_letters(path, kind, letters))) | dict(zip(others, _encode_words(path, kind, others)))
     known = ChainMap(ids, _memo, {b"": b""})
     for w, c in cores.items():
         if c in plain and w is not c:
@@ -96,17 +96,19 @@ def _learn(path: str, new: set[bytes]) -> dict[bytes, bytes]:
     return ids
 
 
-def encode(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
-    """Ids of each text and the end id, as little-endian unsigned 32-bit numbers.
+def encode(texts: list[bytes | str | None], path: str, end_id: int, kind: str = "<u4") -> list[bytes]:
+    """Ids of each text and the end id, as unsigned numbers of the given kind.
 
     The tokenizer must split at white space, drop it and lower-case (as the word
     vocabularies do); each word is then encoded once per worker.
     """
-    _tokenizer(path)
-    end = np.array([end_id], dtype="<u4").tobytes()
+    if _memo_of != [path, kind]:
+        _memo.clear()
+        _memo_of[:] = [path, kind]
+    end = np.array([end_id], dtype=kind).tobytes()
     split = []
     for text in texts:
-        body = (text or "").encode("utf-8")
+        body = text.encode("utf-8") if isinstance(text, str) else text or b""
         # The names of special tokens, in <| and |>, are told by their case.
         split.append((body if b"<|" in body else body.lower()).split())
     known, new = _memo, set().union(*split).difference(_memo)
@@ -114,7 +116,7 @@ def encode(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
         _memo.clear()
         new = set().union(*split)
     if new:
-        learned = _learn(path, new)
+        learned = _learn(path, kind, new)
         if max(map(len, new)) > MEMO_BYTES:
             known = ChainMap(learned, _memo)
             _memo.update((w, ids) for w, ids in learned.items() if len(w) <= MEMO_BYTES)
@@ -123,7 +125,7 @@ def encode(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
     return [b"".join(map(known.__getitem__, found)) + end for found in split]
 
 
-def _sample(docs: DataFrame, path: str, end_id: int, width: int, rows: int, ids: int) -> list[bytes]:
+def _sample(docs: DataFrame, path: str, end_id: int, kind: str, rows: int, ids: int) -> list[bytes]:
     """Serialised ids of at most ``rows`` documents, at most ``ids`` of each.
 
     The documents with the smallest hash of their id; all when there are no more.
@@ -133,17 +135,13 @@ def _sample(docs: DataFrame, path: str, end_id: int, width: int, rows: int, ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = encode(b.column(0).to_pylist(), path, end_id)
-            yield pa.record_batch([pa.array([_narrow(x, width)[: ids * width] for x in found], pa.binary())], ["ids"])
+            found = encode(b.column(0).to_pylist(), path, end_id, kind)
+            yield pa.record_batch([pa.array([x[: ids * np.dtype(kind).itemsize] for x in found], pa.binary())], ["ids"])
 
     sampled = docs.filter(keep).select("text").limit(rows).mapInArrow(run, "ids binary")
     return [bytes(x) for x in sampled.toArrow().column(0).to_pylist()]
 
 
-def _narrow(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
-
-
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
     """A Zstandard dictionary; the samples themselves where they are too few to train."""
     try:
@@ -177,9 +175,10 @@ def write_tokens(
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     width = 2 if _tokenizer(tokenizer_path)[0].get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-    body = train_dictionary(_sample(docs, tokenizer_path, end_id, width, sample_rows, sample_ids), dictionary_bytes)
+    kind = f"<u{width}"
+    body = train_dictionary(_sample(docs, tokenizer_path, end_id, kind, sample_rows, sample_ids), dictionary_bytes)
     digest = hashlib.sha256(body).hexdigest()
     spark.createDataFrame([(digest, width, bytearray(body))], "hash string, width int, body binary").write.parquet(
         f"{folder}/dictionary"
@@ -202,11 +201,11 @@ def write_tokens(
         packer, weight = zstandard.ZstdCompressor(level=level, dict_data=_loaded(body), write_dict_id=False), 0
         parts = (b.slice(i, ENCODED_AT_ONCE) for b in batches for i in range(0, b.num_rows, ENCODED_AT_ONCE))
         for b in parts:
-            found = encode(b.column("text").to_pylist(), tokenizer_path, end_id)
+            found = encode(b.column("text").to_pylist(), tokenizer_path, end_id, kind)
             for doc_id, encoded in zip(b.column("doc_id").to_pylist(), found):
                 ids.append(doc_id)
-                counts.append(len(encoded) // 4)
-                bodies.append(packer.compress(_narrow(encoded, width)))
+                counts.append(len(encoded) // width)
+                bodies.append(packer.compress(encoded))
                 weight += len(bodies[-1])
                 if len(ids) >= block_docs or weight >= block_bytes:
                     yield made()
