@@ -47,6 +47,8 @@ PAGE, TILE = 32, 1_024
 FILES = 8
 #: A shingle that this many sets of one batch share may be frequent; so many are kept.
 LOCAL_REPEATS, MOST_FREQUENT = 4, 100_000
+#: Documents that are filed at once.
+AT_ONCE = 2_048
 #: Parts that a frequent shingle's file is dealt into.
 SALTS = 64
 #: Sets that those of a large file are compared with before all others, and how often.
@@ -208,7 +210,9 @@ def filed_sets(docs: DataFrame, frequent: np.ndarray, text: str = "text") -> tup
     order, rank = frequent[by_value], by_value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # Few documents at a time: what is gathered of them is all that a worker holds.
+        parts = (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE))
+        for b in parts:
             groups, classes, sizes, seen = [], [], [], set()
             for x in b.column("text").to_pylist():
                 found = shingles(x)
