@@ -5,7 +5,8 @@ the exponent at which the mixture's entropy reaches a share of its maximum, or t
 largest repetition of any source meets a limit. The weights then become budgets:
 each source's stream is one hash permutation of its documents after another (a
 pass), cut where its budget ends, and laid out in blocks of a fixed token budget
-in each of which every source has its weight.
+in each of which every source has its weight. With exponent 1 budgets are whole
+numbers from whole numbers, so that without ``tokens`` every document comes once.
 
 Only keys and counts are ordered, over range partitions, so a source may hold any
 share of the rows. Text null counts as empty, source null is a source of its own;
@@ -131,7 +132,12 @@ def source_budgets(docs: DataFrame, target: Target) -> DataFrame:
     power = F.pow(F.col("tokens") / F.lit(float(max(total, 1))), F.lit(a))
     z = sources.agg(F.sum(power)).first()[0] or 1.0
     weighed = sources.withColumn("weight", F.round(power / F.lit(z), 12))
-    weighed = weighed.withColumn("budget", F.floor(F.col("weight") * F.lit(budget)).cast("bigint"))
+    if a == 1.0:  # the shares as they are, without rounding
+        weighed = weighed.withColumn("budget", F.expr(f"cast(tokens as decimal(19, 0)) * cast({int(budget)} as decimal(19, 0)) div {max(total, 1)}"))
+    else:
+        wanted = power / F.lit(z) * F.lit(budget)
+        # What doubles lose must not take the last token of a whole pass.
+        weighed = weighed.withColumn("budget", F.floor(wanted * F.lit(1 + 1e-12)).cast("bigint"))
     return materialise(
         weighed.withColumn("passes", F.floor(F.col("budget") / F.col("tokens")).cast("int"))
         .withColumn("rest", F.col("budget") - F.col("passes") * F.col("tokens"))

@@ -315,6 +315,26 @@ def test_mixture_meets_its_target(spark, rows, target):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter(r.doc_id for r in found)
 
 
+@pytest.mark.parametrize("target", [mixing.Target(entropy=None), mixing.Target(entropy=0.5)])
+def test_mixture_that_stays_as_it_is_has_every_document_once(rows, target):
+    rng = random.Random(11)
+    # A long tail: most sources have one document.
+    data = [(i, " ".join(["w"] * rng.randint(0, 300)), f"s{i if i < 150 else i % 7}", 7) for i in range(400)]
+    df = rows(data, SOURCED).repartition(3)
+    found = mixing.mix_schedule(df, target).collect()
+    assert Counter((r.doc_id, r["pass"]) for r in found) == Counter((i, 0) for i, *_ in data)
+    assert Counter(r.doc_id for r in mixing.mix_documents(df, target).collect()) == Counter(i for i, *_ in data)
+
+
+def test_even_mixture_keeps_whole_passes(rows):
+    # Nineteen alike: 1 / 19 rounds down, each budget is one whole pass.
+    data = [(i, "w " * 699, f"s{i % 19}", 7) for i in range(190)]
+    df = rows(data, SOURCED)
+    for target in (mixing.Target(entropy=1.0), mixing.Target(entropy=None, tokens=2 * 190 * 700)):
+        each = 2 if target.tokens else 1
+        assert Counter(r.doc_id for r in mixing.mix_documents(df, target).collect()) == Counter({i: each for i in range(190)})
+
+
 def test_blocks_hold_every_source_by_its_weight(rows):
     target = mixing.Target(entropy=None, repeats=None, block_tokens=400)
     found = mixing.mix_schedule(rows(sourced(), SOURCED), target).collect()
