@@ -220,13 +220,19 @@ def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose language can be told, with all their columns."""
+    """The rows of ``docs`` whose language can be told, with all their columns.
+
+    Without a trained model that is every row with a letter.
+    """
     ship(docs.sparkSession)
 
+    def known(text: str | None) -> bool:
+        return has_letter(text) if model.planes is None else predict(model, text)[0] != UNDETERMINED
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([predict(model, x)[0] != UNDETERMINED for x in texts], pa.bool_()))
+            yield b.filter(pa.array([known(x) for x in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -427,6 +427,25 @@ def test_stages_of_the_pipeline(spark, tmp_path):
     assert len(good & set(kept["language"].doc_id)) >= 0.9 * len(good)
 
 
+def test_language_stage_without_a_labelled_language(rows):
+    import corpus_pipeline
+
+    docs = rows([(1, "the house", None), (2, None, None), (3, "", None), (4, "42 !", None), (5, "дом", None)], DOCS + ", lang string")
+    out = corpus_pipeline.language_stage(docs.sparkSession, docs, FOLDER)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 5]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables here")
+def test_pipeline_without_any_language(spark, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{FOLDER}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0.5 * docs.count()
+
+
 def test_held_out_rows_are_not_learned_from(spark, rows, monkeypatch):
     seen = {}
     monkeypatch.setattr(quality, "train", lambda docs, labels: seen.update(d=docs.collect(), l=labels.collect()) or quality.Network())
