@@ -149,39 +149,38 @@ def class_segments(docs: DataFrame, model: Model) -> DataFrame:
 
 def expected_counts(model: Model, obs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and gives of segments x places, and their log likelihood."""
-    k = len(model.start)
-    moves, start = model.moves.astype(np.float32), model.start.astype(np.float32)
-    real = obs != NOTHING
-    gives = np.concatenate([model.gives.T, np.ones((1, k))]).astype(np.float32)
-    seen = gives[np.where(real, obs, len(gives) - 1)]  # segments x places x states
-    seen = np.ascontiguousarray(seen.transpose(1, 0, 2))
-    places, segments = seen.shape[:2]
-    forward = np.empty_like(seen)
-    scale = np.empty((places, segments), np.float32)
-    alpha = start * seen[0]
-    for t in range(places):
-        if t:
-            alpha = (forward[t - 1] @ moves) * seen[t]
-        scale[t] = alpha.sum(axis=1)
-        forward[t] = alpha / scale[t][:, None]
-    beta = np.ones((segments, k), np.float32)
-    moved = np.zeros((k, k))
-    posterior = forward  # overwritten from the end
-    keep = real.T
-    for t in range(places - 1, -1, -1):
-        if t < places - 1:
-            ahead = seen[t + 1] * beta / scale[t + 1][:, None]
-            moved += (forward[t] * keep[t + 1][:, None]).T @ ahead
-            beta = ahead @ moves.T
-            # Where nothing follows, the future says nothing.
-            beta[~keep[t + 1]] = 1.0
-        posterior[t] = forward[t] * beta
+    moves, start, gives = (np.ascontiguousarray(x, np.float32) for x in (model.moves, model.start, model.gives))
+    lengths = (obs != NOTHING).sum(axis=1)
+    order = np.argsort(-lengths, kind="stable")
+    # Longest first: the segments that reach a place are the first ones. States x segments per place.
+    reach = np.searchsorted(-lengths[order], -np.arange(lengths.max()), side="left").tolist()
+    symbols = [row[:n].astype(np.int64) for row, n in zip(np.ascontiguousarray(obs[order].T), reach)]
+    seen = [gives.take(s, axis=1, mode="clip") for s in symbols]
+    forward, loglik = [], 0.0
+    for t, n in enumerate(reach):
+        alpha = seen[t] * (moves.T @ forward[t - 1][:, :n] if t else start[:, None])
+        scale = alpha.sum(axis=0)
+        alpha /= scale
+        seen[t] /= scale
+        forward.append(alpha)
+        loglik += float(np.log(scale).sum(dtype=np.float64))
+    # Where nothing follows, the future says nothing.
+    beta = np.ones_like(forward[0])
+    moved = np.zeros_like(model.moves)
+    for t in range(len(reach) - 1, -1, -1):
+        if t + 1 < len(reach):
+            n = reach[t + 1]
+            ahead = seen[t + 1] * beta[:, :n]
+            moved += forward[t][:, :n] @ ahead.T
+            beta[:, :n] = moves @ ahead
+        forward[t] *= beta[:, : reach[t]]
     moved *= moves
-    weights = posterior[keep]
-    weights /= weights.sum(axis=1, keepdims=True)
-    symbols = obs.T[keep].astype(np.int64)
-    given = np.stack([np.bincount(symbols, weights[:, s], model.gives.shape[1]) for s in range(k)])
-    return posterior[0].sum(axis=0), moved, given, float(np.log(scale[keep]).sum())
+    starts = forward[0].sum(axis=1, dtype=np.float64)
+    weights = np.concatenate(forward, axis=1)
+    weights /= weights.sum(axis=0)
+    every = np.concatenate(symbols)
+    given = np.stack([np.bincount(every, w, gives.shape[1]) for w in weights])
+    return starts, moved, given, loglik
 
 
 def improved(model: Model, segments: DataFrame) -> Model:
@@ -226,23 +225,17 @@ def untrained(model: Model, states: int = STATES, seed: int = 5) -> Model:
     return model
 
 
-def train(docs: DataFrame, warm_rounds: int = 8, rounds: int = 2, warm_tokens: int = 3_000_000) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, warm_rounds: int = 8) -> tuple[Model, DataFrame]:
     """The model and its word table (word, c), learned from all ``docs`` (text).
 
-    The first ``warm_rounds`` of Baum-Welch see about ``warm_tokens`` tokens, to come
-    near; the last ``rounds`` see all.
+    Each of the ``warm_rounds`` of Baum-Welch sees all segments, at every size.
     """
     ship(docs.sparkSession)
     vocabulary = materialise(count_words(docs))
     model = untrained(class_model(vocabulary))
     if model.tokens:
         segments = materialise(class_segments(docs, model))
-        share = min(1.0, warm_tokens / model.tokens)
-        some = segments.filter(F.pmod(F.xxhash64("segments"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-        some = materialise(some) if share < 1 else segments
         for _ in range(warm_rounds):
-            model = improved(model, some)
-        for _ in range(rounds if share < 1 else 0):
             model = improved(model, segments)
     return model, vocabulary
 

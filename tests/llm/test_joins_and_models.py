@@ -245,6 +245,16 @@ def test_scores_of_a_small_corpus(spark, rows, monkeypatch):
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
 
 
+def test_every_round_sees_all_segments_of_a_large_corpus(rows, monkeypatch):
+    seen = []
+    monkeypatch.setattr(hidden_markov, "improved", lambda model, segments: seen.append(segments) or model)
+    docs = rows([(i, f"w{i} x " * 80_000) for i in range(20)], DOCS).repartition(5)
+    model, _ = hidden_markov.train(docs)
+    assert model.tokens == 20 * 160_001
+    wanted = 20 * -(-160_001 // hidden_markov.SEGMENT) * 2 * hidden_markov.SEGMENT
+    assert [s.selectExpr("sum(octet_length(segments))").first()[0] for s in seen] == [wanted] * 8
+
+
 def test_scores_without_training_rows(spark, rows):
     docs = rows([(1, "a b"), (2, None)], DOCS)
     model, vocabulary = hidden_markov.train(docs.limit(0))
