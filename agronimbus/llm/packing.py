@@ -8,6 +8,10 @@ to the shortest permitted length that holds its contents.
 Documents longer than the longest length are cut into pieces of that length and a
 rest. Nothing is dropped. Text null counts as empty (its end alone). Equal rows are
 counted first and dealt out by copy, so that no shard grows with repeated rows.
+
+``pack_documents`` packs whatever count it is given. The query and the pipeline give it
+white-space separated words and one, so their lengths are in words: a bin of 8192 may
+hold more ids of a tokenizer, many more of a text without blanks (zh, ja, th).
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from ..plans.storage import materialise
 from .mixing import words_and_end
 from .shipping import ship
 
-#: Permitted sequence lengths.
+#: Permitted sequence lengths, in the unit of the sizes.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 
 
