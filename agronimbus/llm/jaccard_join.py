@@ -10,7 +10,7 @@ Boxes over all groups of unrelated texts of one size nearly coincide, so one tre
 all points would compare everything with everything. The points are therefore filed
 first: sets that link share at least three quarters of the larger, hence one of the
 first quarter (and one) of its shingles in any fixed order of shingles. Each such
-shingle has a tree of the sets filed under it. Frequent shingles come last in the
+shingle has one level of pages of the sets filed under it, without inner nodes. Frequent shingles come last in the
 order, so that common passages file nothing unless a text consists of little else.
 
 Files of one page give all their pairs. In larger ones sets are joined to a few hubs
