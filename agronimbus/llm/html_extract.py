@@ -3,7 +3,10 @@
 Paragraphs give points for their length and commas to their ancestors, link
 density discounts them, and the best container is kept with those siblings that
 score well beside it. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are cut off before scoring.
+scripts, styles and reader comments are cut off before scoring. A class, id or itemprop
+cuts an element off only if all words of one of its names say so, and not if the element
+holds the page's main, all its articles or, without these, most of its unlinked text
+(comments: only if it holds main). If nothing is left, names are not looked at.
 
 html null or without text gives an empty text. Broken markup never fails: missing
 end tags are implied, stray ones ignored. Repeated pages are all returned.
@@ -23,7 +26,7 @@ from .shipping import ship
 
 # Element and attribute names of HTML and usual names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section "
@@ -31,7 +34,7 @@ BLOCKS = frozenset(
 )
 DROPPED = frozenset(
     "head nav aside footer form button select input label fieldset menu dialog object canvas audio video search "
-    "option datalist".split()
+    "option datalist annotation annotation-xml".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 DROPPED_NAMES = frozenset(
@@ -42,6 +45,13 @@ DROPPED_NAMES = frozenset(
     "recommendations comment comments commentlist disqus reply replies respond responses discussion pagination pager "
     "skip legal copyright disclaimer paywall outbrain taboola form search".split()
 )
+#: Words beside them in names such as site-footer or left-sidebar.
+PLACE_NAMES = frozenset(
+    "site page main global top bottom left right primary secondary post entry article container wrapper wrap box area "
+    "list inner outer section block bar slot unit item items link links title text mobile desktop sticky fixed".split()
+)
+#: Comments are often longer than the article and marked up like one.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond responses discussion".split())
 #: An end tag of these closes the paragraphs and list items opened inside.
 CLOSERS = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
@@ -132,7 +142,7 @@ def _closed(top: Node, names: frozenset, stop: frozenset) -> Node:
 
 
 def unwanted(node: Node) -> bool:
-    """Whether an element is not part of the article, by its name and attributes."""
+    """Whether an element is not part of the article, by its kind, role and visibility."""
     if node.name in DROPPED or node.name in RAW:
         return True
     a = node.attributes
@@ -142,10 +152,48 @@ def unwanted(node: Node) -> bool:
         return True
     if node.name == "header":
         return not _inside(node, ("article", "main"))
+    return False
+
+
+def _unwanted_names(node: Node) -> set[str]:
+    """The words for which an element's class, id or itemprop cuts it off."""
     if node.name in ("main", "body", "html"):
-        return False
-    parts = set(NAME.findall(f"{a.get('class', '')} {a.get('id', '')} {a.get('itemprop', '')}".lower()))
-    return bool(parts & DROPPED_NAMES)
+        return set()
+    a, out = node.attributes, set()
+    for name in f"{a.get('class', '')} {a.get('id', '')} {a.get('itemprop', '')}".lower().split() if a else ():
+        parts = set(NAME.findall(name))
+        if parts <= DROPPED_NAMES | PLACE_NAMES:
+            out |= parts & DROPPED_NAMES
+    return out
+
+
+def cut_by_name(root: Node) -> set[int]:
+    """Ids of the elements that their names cut off."""
+    order, held, named = [], {}, []
+    stack = [(root, False)]
+    while stack:
+        node, link = stack.pop()
+        order.append(node)
+        text = 0 if link else sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        held[id(node)] = [text, node.name == "article", node.name == "main"]
+        if names := _unwanted_names(node):
+            named.append((node, names))
+        stack.extend((c, link or c.name == "a") for c in node.children if isinstance(c, Node) and not unwanted(c))
+    if not named:
+        return set()
+    for node in reversed(order[1:]):
+        above, own = held[id(node.parent)], held[id(node)]
+        for i in range(3):
+            above[i] += own[i]
+    all_text, all_articles, all_mains = held[id(root)]
+
+    def spared(node: Node, names: set[str]) -> bool:
+        text, articles, mains = held[id(node)]
+        if mains or names & COMMENT_NAMES:
+            return bool(mains)
+        return articles == all_articles if articles else not all_articles and not all_mains and 2 * text > all_text
+
+    return {id(node) for node, names in named if not spared(node, names)}
 
 
 def _inside(node: Node, names: tuple[str, ...]) -> bool:
@@ -157,8 +205,8 @@ def _inside(node: Node, names: tuple[str, ...]) -> bool:
     return False
 
 
-def paragraphs(root: Node) -> list[tuple[Node, str, int]]:
-    """(element, text, characters inside links) of each block of running text."""
+def paragraphs(root: Node, cut: set[int] | frozenset[int] = frozenset()) -> list[tuple[Node, str, int]]:
+    """(element, text, characters inside links) of each block of running text outside ``cut``."""
     out: list[tuple[Node, str, int]] = []
     pieces: list[str] = []
     linked = 0
@@ -181,7 +229,7 @@ def paragraphs(root: Node) -> list[tuple[Node, str, int]]:
                 linked += len(child) * link
             elif child.name in ("br", "wbr", "img"):
                 pieces.append(" " * (child.name != "wbr"))
-            elif unwanted(child):
+            elif id(child) in cut or unwanted(child):
                 if child.name in BLOCKS:
                     flush(block)
             elif child.name in BLOCKS:
@@ -200,7 +248,11 @@ def paragraphs(root: Node) -> list[tuple[Node, str, int]]:
 
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by two line ends; empty if there is none."""
-    found = paragraphs(parse(page)) if page else []
+    if not page:
+        return ""
+    root = parse(page)
+    cut = cut_by_name(root)
+    found = paragraphs(root, cut) or (paragraphs(root) if cut else [])
     if not found:
         return ""
     scored: dict[int, Node] = {}

@@ -175,6 +175,21 @@ def test_main_text_of_odd_pages(page, wanted):
     assert html_extract.main_text(page) == wanted
 
 
+LONG = ("Long, text. " * 20).strip()
+
+
+@pytest.mark.parametrize("page, wanted", [
+    (f'<div class="content has-sidebar"><p>{LONG}</p></div>', LONG), (f'<div id="page" class="no-sidebar"><p>{LONG}</p></div>', LONG),
+    (f'<article class="side-by-side"><p>{LONG}</p></article>', LONG), (f'<div class="widget"><article><p>{LONG}</p></article></div>', LONG),
+    (f'<div class="banner"><p>{LONG}</p></div><div><p>x</p></div>', LONG), ('<p class="notice">one</p>', "one"),
+    (f'<article><p>{LONG}</p><section class="related-work"><p>b, c</p></section></article>', f"{LONG}\n\nb, c"),
+    (f'<article><p>{LONG}</p><div class="left-sidebar"><p>no</p></div><div id="post-comments"><p>{LONG * 3}</p></div></article>', LONG),
+    ("<article><p>as <math><mi>x</mi><annotation>\\x</annotation></math> is</p></article>", "as x is"),
+])
+def test_names_do_not_cut_the_article(page, wanted):
+    assert html_extract.main_text(page) == wanted
+
+
 def test_pages_keep_their_number(rows):
     pages = rows([(1, "u", ARTICLE, 3), (1, "u", ARTICLE, 3), (2, None, None, 4), (None, "v", "<p>x" * 20_000, 5)], "page_id bigint, url string, html string, n_chars int")
     found = html_extract.extract_pages(pages).collect()
