@@ -5,6 +5,7 @@ can say it, ``SQL``.
 """
 
 from . import (
+    chat_format,
     embedding_dedup,
     fingerprints,
     hidden_markov,
@@ -13,11 +14,16 @@ from . import (
     language_id,
     mixing,
     packing,
+    periodic_runs,
     quality,
     token_output,
+    whitening,
 )
 
-MODULES = (language_id, jaccard_join, hidden_markov, embedding_dedup, token_output, fingerprints, html_extract, mixing, quality, packing)
+MODULES = (
+    language_id, jaccard_join, hidden_markov, embedding_dedup, token_output, fingerprints, html_extract, mixing, quality, packing,
+    whitening, chat_format, periodic_runs,
+)
 
 
 def queries() -> dict:
