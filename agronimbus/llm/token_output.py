@@ -19,9 +19,10 @@ kept, ordered by doc_id and a hash of the text. An empty table gives empty files
 from __future__ import annotations
 
 import hashlib
+import json
 import unicodedata
-from collections import ChainMap
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,37 @@ MEMO_WORDS, MEMO_BYTES = 1_500_000, 64
 ENCODED_AT_ONCE = 256
 #: ASCII signs at a word's end that the tokenizer always parts from letters before them.
 SIGNS = b".,;:!?*&%$#|\"()[]{}<>/-_+=@~^`"
-_memo: dict[bytes, bytes] = {}
-_memo_of: list = []
 _tokenizers: dict[str, tuple] = {}
 
 
+class _Memo(dict):
+    """Ids of words. A word asked for the first time is noted and gets an empty place to be filled."""
+
+    def __init__(self):
+        super().__init__()
+        self.new, self.places, self.of = [], [], None
+
+    def __missing__(self, word: bytes) -> bytearray:
+        place = self[word] = bytearray()
+        self.new.append(word)
+        self.places.append(place)
+        return place
+
+    def forget(self) -> None:
+        self.clear()
+        self.new.clear()
+        self.places.clear()
+
+
+_memo = _Memo()
+
+
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer and, by id, whether the token ends a word."""
+    """The tokenizer; the same for words of plain letters; by id, whether the token ends a word.
+
+    The second one leaves out the normal form, the lower case and the search for words,
+    which plain letters, each word already parted by a blank, do not need.
+    """
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
@@ -52,7 +77,11 @@ def _tokenizer(path: str) -> tuple:
         found = Tokenizer.from_file(path)
         last = np.zeros(found.get_vocab_size(), bool)
         last[[i for token, i in found.get_vocab().items() if token.endswith("</w>")]] = True
-        _tokenizers[path] = (found, last)
+        form = json.loads(found.to_str())
+        steps = form["pre_tokenizer"].get("pretokenizers", [form["pre_tokenizer"]])
+        form["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *[x for x in steps if x["type"] != "Split"]]}
+        form["normalizer"] = None
+        _tokenizers[path] = (found, Tokenizer.from_str(json.dumps(form)), last)
     return _tokenizers[path]
 
 
@@ -61,68 +90,93 @@ def _encode_words(path: str, kind: str, found: list[bytes]) -> list[bytes]:
     return [np.array(e.ids, kind).tobytes() for e in encoded]
 
 
-def _encode_letters(path: str, kind: str, found: list[bytes], at_once: int = 2_000) -> list[bytes]:
-    """Ids of words of letters only: encoded as one text, cut after each word's last token."""
-    tokenizer, last = _tokenizer(path)
+def _encode_letters(path: str, kind: str, found: list[bytes], forms: list[str] | None = None, at_once: int = 4_000) -> list[bytes]:
+    """Ids of words of plain letters: encoded as one text, cut after each word's last token.
+
+    ``forms``: the words in normal form and lower case; None: as they are.
+    """
+    _, tokenizer, last = _tokenizer(path)
     width, out = np.dtype(kind).itemsize, []
     for i in range(0, len(found), at_once):
         part = found[i : i + at_once]
-        ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, kind)
+        text = b" ".join(part).decode() if forms is None else " ".join(forms[i : i + at_once])
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind)
         ends = (width * (np.flatnonzero(last[ids]) + 1)).tolist()
         if len(ends) == len(part):
             body = ids.tobytes()
-            out.extend([body[a:b] for a, b in zip([0, *ends], ends)])
+            out += [body[a:b] for a, b in zip([0, *ends], ends)]
         else:  # a letter that becomes more than letters
-            out.extend(_encode_words(path, kind, part))
+            out += _encode_words(path, kind, part)
     return out
 
 
-def _letters(core: bytes) -> bool:
-    """Whether a word is nothing but letters, also after the tokenizer's normal form and lower case."""
-    return not core.isascii() and unicodedata.normalize("NFC", core.decode()).lower().isalpha()
+def _forms(found: list[bytes]) -> list[str | None]:
+    """Of each word its normal form in lower case if that is nothing but letters."""
+    whole = unicodedata.normalize("NFC", b" ".join(found).decode())
+    # Capital sigma is the one letter whose lower case hangs on its place.
+    words = whole.split(" ") if "\u03a3" in whole else whole.lower().split(" ")
+    return [w if w.isalpha() and "\u03a3" not in w and not w.isascii() else None for w in words]
 
 
-def _learn(path: str, kind: str, new: set[bytes]) -> dict[bytes, bytes]:
+def _learn(path: str, kind: str, new: list[bytes]) -> dict[bytes, bytes]:
     """Ids of new words; letters and the signs that follow them are encoded apart."""
-    cores = {w: w.rstrip(SIGNS) for w in new}
-    plain = {c for c in cores.values() if c.isalpha() or _letters(c)}
-    rest = {w[len(c) :] if c in plain else w for w, c in cores.items()}
-    letters, others = list(plain.difference(_memo)), list(rest.difference(_memo, [b""]))
-    ids = dict(zip(letters, _encode_letters(path, kind, letters))) | dict(zip(others, _encode_words(path, kind, others)))
-    known = ChainMap(ids, _memo, {b"": b""})
-    for w, c in cores.items():
-        if c in plain and w is not c:
-            ids[w] = known[c] + known[w[len(c) :]]
-    return ids
+    plain, known = [w for w in new if w.isalpha() and w.islower()], _memo.get
+    learned = dict.fromkeys(plain)
+    rest = [w for w in new if w not in learned]
+    cores = [w.rstrip(SIGNS) for w in rest]
+    far = [c for c in dict.fromkeys(cores) if not c.isascii()]
+    form = {c: f for c, f in zip(far, _forms(far)) if f}
+    letters = [c.isalpha() and c.islower() or c in form for c in cores]
+    parted, others = list(compress(rest, letters)), [w for w, x in zip(rest, letters) if not x]
+    cores = list(compress(cores, letters))
+    unmet = [c for c in dict.fromkeys(cores) if c not in learned and not known(c)]
+    plain += [c for c in unmet if c not in form]
+    learned.update(zip(plain, _encode_letters(path, kind, plain)))
+    far = [c for c in unmet if c in form]
+    learned.update(zip(far, _encode_letters(path, kind, far, [form[c] for c in far])))
+    others += [x for x in {w[len(c) :] for w, c in zip(parted, cores)} if x and not known(x)]
+    learned.update(zip(others, _encode_words(path, kind, others)))
+    for w, core in zip(parted, cores):
+        if len(w) > len(core):
+            signs = w[len(core) :]
+            learned[w] = (learned.get(core) or known(core)) + (learned.get(signs) or known(signs))
+    return learned
 
 
 def encode(texts: list[bytes | str | None], path: str, end_id: int, kind: str = "<u4") -> list[bytes]:
     """Ids of each text and the end id, as unsigned numbers of the given kind.
 
     The tokenizer must split at white space, drop it and lower-case (as the word
-    vocabularies do); each word is then encoded once per worker.
+    vocabularies do); each word is then looked up once and encoded once per worker.
     """
-    if _memo_of != [path, kind]:
-        _memo.clear()
-        _memo_of[:] = [path, kind]
-    end = np.array([end_id], dtype=kind).tobytes()
-    split = []
-    for text in texts:
-        body = text.encode("utf-8") if isinstance(text, str) else text or b""
-        # The names of special tokens, in <| and |>, are told by their case.
-        split.append((body if b"<|" in body else body.lower()).split())
-    known, new = _memo, set().union(*split).difference(_memo)
-    if len(_memo) + len(new) > MEMO_WORDS:
-        _memo.clear()
-        new = set().union(*split)
-    if new:
-        learned = _learn(path, kind, new)
-        if max(map(len, new)) > MEMO_BYTES:
-            known = ChainMap(learned, _memo)
-            _memo.update((w, ids) for w, ids in learned.items() if len(w) <= MEMO_BYTES)
-        else:
-            _memo.update(learned)
-    return [b"".join(map(known.__getitem__, found)) + end for found in split]
+    if _memo.of != (path, kind) or len(_memo) > MEMO_WORDS:
+        _memo.forget()
+        _memo.of = (path, kind)
+    end, rows = np.array([end_id], dtype=kind).tobytes(), []
+    try:
+        for text in texts:
+            body = text.encode("utf-8") if isinstance(text, str) else text or b""
+            # The names of special tokens, in <| and |>, are told by their case.
+            rows.append(list(map(_memo.__getitem__, (body if b"<|" in body else body.lower()).split())))
+        new = _memo.new
+        if new:
+            learned = _learn(path, kind, new)
+            bodies = [learned[w] for w in new]
+            for place, body in zip(_memo.places, bodies):
+                place += body
+        out = [b"".join(row) + end for row in rows]
+        if new:
+            _memo.update(zip(new, bodies))
+            if max(map(len, new)) > MEMO_BYTES:
+                for w in new:
+                    if len(w) > MEMO_BYTES:
+                        del _memo[w]
+            new.clear()
+            _memo.places.clear()
+        return out
+    except BaseException:
+        _memo.forget()  # some places may be empty yet
+        raise
 
 
 def _sample(docs: DataFrame, path: str, end_id: int, kind: str, rows: int, ids: int) -> list[bytes]:
@@ -135,7 +189,9 @@ def _sample(docs: DataFrame, path: str, end_id: int, kind: str, rows: int, ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = encode(b.column(0).to_pylist(), path, end_id, kind)
+            # A word has one id at least, so the first words hold the first ids.
+            starts = [b" ".join((x or b"").split(None, ids)[:ids]) for x in b.column(0).to_pylist()]
+            found = encode(starts, path, end_id, kind)
             yield pa.record_batch([pa.array([x[: ids * np.dtype(kind).itemsize] for x in found], pa.binary())], ["ids"])
 
     sampled = docs.filter(keep).select("text").limit(rows).mapInArrow(run, "ids binary")
