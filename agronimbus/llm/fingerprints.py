@@ -3,8 +3,9 @@
 A fingerprint keeps every five-word shingle hash below a fixed fraction of the
 hash range, so its size follows the document's and the union of two fingerprints
 is the fingerprint of both documents together. Shares of common hashes estimate
-likeness and containment, also between a page and a book. The smallest hash is
-always kept, so that a short document has one too.
+likeness and containment, also between a page and a book. A short document without a
+hash below the fraction keeps its smallest one, so that it has a fingerprint too; that
+hash is left out where a union is made or containment is asked for.
 
 Text null counts as empty; a document without words has the empty fingerprint,
 which is like (1.0) only other empty ones. Texts of fewer than five words are one
@@ -28,7 +29,7 @@ SHINGLE_WORDS = 5
 
 def sketch(text: str, fraction: float = FRACTION, size: int = SHINGLE_WORDS) -> Column:
     """Sorted hashes below the fraction, and the smallest, of the text column's shingles."""
-    words = f"split(btrim(lower(coalesce({text}, '')), ' \\t\\n\\u000B\\f\\r'), '[\\\\x20\\\\x09-\\\\x0D]+')"
+    words = f"split(btrim(lower(coalesce({text}, '')), ' \\t\\n\\u000B\\u000C\\r'), '[\\\\x20\\\\x09-\\\\x0D]+')"
     parts = ", ".join(f"get(w, i + {j})" for j in range(size))
     hashes = (
         f"transform({words_of(words)}, w -> transform(sequence(0, greatest(size(w) - {size}, 0)), "
@@ -38,7 +39,7 @@ def sketch(text: str, fraction: float = FRACTION, size: int = SHINGLE_WORDS) ->
         f"transform(array({hashes}), h -> array_sort(array_distinct(concat("
         f"filter(h, x -> x < {int(fraction * (1 << BITS))}L), array(array_min(h))))))[0]"
     )
-    return F.expr(f"if(btrim(coalesce({text}, ''), ' \\t\\n\\u000B\\f\\r') = '', cast(array() as array<bigint>), {kept})")
+    return F.expr(f"if(btrim(coalesce({text}, ''), ' \\t\\n\\u000B\\u000C\\r') = '', cast(array() as array<bigint>), {kept})")
 
 
 def words_of(words: str) -> str:
@@ -51,9 +52,16 @@ def as_text(hashes: str) -> Column:
     return F.expr(f"array_join(transform({hashes}, h -> lpad(hex(h), {BITS // 4}, '0')), '')")
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of both documents together."""
-    return F.array_sort(F.array_union(a, b))
+def below(hashes: str, fraction: float = FRACTION) -> str:
+    """The hashes of a sketch below the fraction, that is without the smallest of a text that has none there."""
+    return f"filter({hashes}, x -> x < {int(fraction * (1 << BITS))}L)"
+
+
+def merged(a: str, b: str, fraction: float = FRACTION) -> Column:
+    """The sketch of both documents together, just as ``sketch`` would make it of all their shingles."""
+    both = f"array_union({a}, {b})"
+    some = below(both, fraction)
+    return F.expr(f"array_sort(if(size({both}) = 0 or size({some}) > 0, {some}, array(array_min({both}))))")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -62,9 +70,14 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"if(size({a}) = 0 and size({b}) = 0, 1D, {common} / (size({a}) + size({b}) - {common}))")
 
 
-def containment(a: str, b: str) -> Column:
-    """Share of ``a``'s hashes that ``b`` has; 1 for an empty ``a``."""
-    return F.expr(f"if(size({a}) = 0, 1D, size(array_intersect({a}, {b})) / size({a}))")
+def containment(a: str, b: str, fraction: float = FRACTION) -> Column:
+    """Share of ``a``'s hashes below the fraction that ``b`` has too; 1 for an empty ``a``.
+
+    Null for a text with words but no hash below the fraction: its sketch is one hash
+    that a longer text, which has others below the fraction, does not keep.
+    """
+    some = below(a, fraction)
+    return F.expr(f"if(size({a}) = 0, 1D, if(size({some}) = 0, null, size(array_intersect({some}, {b})) / size({some})))")
 
 
 def with_next(docs: DataFrame) -> DataFrame:

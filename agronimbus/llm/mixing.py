@@ -47,7 +47,7 @@ class Target:
 
 def words_and_end(text: str = "text") -> Column:
     """Number of white-space separated words, and one."""
-    blank = "' \\t\\n\\u000B\\f\\r'"
+    blank = "' \\t\\n\\u000B\\u000C\\r'"
     return F.expr(
         f"cast(if(btrim(coalesce({text}, ''), {blank}) = '', 0, "
         f"size(split(btrim({text}, {blank}), '[\\\\x20\\\\x09-\\\\x0D]+'))) + 1 as bigint)"
