@@ -12,7 +12,8 @@ Equal vectors are one class with a count, so copies are never compared. A task
 returns link counts and a spanning forest, not all pairs. Vectors are only compared
 under equal labels; label null, and vectors that are null, empty, zero or hold null
 or non-finite numbers, link with nothing, nor do vectors of different length. Rows
-with vec_id null link with nothing either and are not kept.
+with vec_id null link with nothing either and are not kept. Numbers of any size count:
+rows are scaled by a power of two before they are squared.
 """
 
 from __future__ import annotations
@@ -46,6 +47,11 @@ def _units(raw: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def _shrunk(raw: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest number near 1: no digit is lost, no square overflows."""
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1, keepdims=True))[1]) if raw.size else raw
+
+
 def _by_size(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     sizes = table.column("size").to_numpy()
     for size in np.unique(sizes):
@@ -108,7 +114,7 @@ def near_pairs(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarra
         bound = total + (suffix[0][i, end] * suffix[1][j, end] if end < size else 0.0)
         left = bound >= threshold - ROUNDING
         i, j, total, at = i[left], j[left], total[left], end
-    x, y = raw_a[i], raw_b[j]
+    x, y = _shrunk(raw_a)[i], _shrunk(raw_b)[j]
     cosine = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
     return i[cosine >= threshold], j[cosine >= threshold]
 
