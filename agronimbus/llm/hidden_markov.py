@@ -36,8 +36,9 @@ from .text import words
 STATES, FREQUENT, ENDINGS = 8, 1_000, 1_024
 #: The end of a text as a word; no word has a blank.
 END = b" "
-#: Tokens per training segment; what fills up the last one.
-SEGMENT, NOTHING = 64, 65_535
+#: Tokens per training segment; what fills up the last one; what marks, on its first
+#: token, a segment that goes on from the one before, whose last token that is.
+SEGMENT, NOTHING, CONTINUED = 64, 65_535, 1 << 15
 #: Bytes of text per block that is scored at once.
 BLOCK_BYTES = 6 << 20
 
@@ -130,6 +131,20 @@ def class_model(vocabulary: DataFrame) -> Model:
     return Model(often.column("word").to_numpy().copy(), totals, kinds, tokens, words_known)
 
 
+def cut_segments(seq: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Texts laid end to end as segments that share one token, so that every move lies in just one."""
+    pieces = 1 + np.maximum(0, -(-(lengths - SEGMENT) // (SEGMENT - 1)))
+    text = np.repeat(np.arange(len(lengths)), pieces)
+    ahead = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * (SEGMENT - 1)
+    first, left = (np.cumsum(lengths) - lengths)[text] + ahead, lengths[text] - ahead
+    out = np.full((len(text), SEGMENT), NOTHING, "<u2")
+    for j in range(SEGMENT):
+        some = np.flatnonzero(left > j)
+        out[some, j] = seq[first[some] + j]
+    out[ahead > 0, 0] |= CONTINUED
+    return out
+
+
 def class_segments(docs: DataFrame, model: Model) -> DataFrame:
     """Class sequences cut into segments: one row per batch, 16-bit numbers."""
 
@@ -137,33 +152,44 @@ def class_segments(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             found, at, lengths = word_ids(b.column("text").to_pylist())
             seq = model.classes(found, word_hashes(found))[at].astype("<u2")
-            pieces = -(-lengths // SEGMENT)
-            out = np.full((int(pieces.sum()), SEGMENT), NOTHING, "<u2")
-            first = np.repeat((np.cumsum(pieces) - pieces) * SEGMENT - (np.cumsum(lengths) - lengths), lengths)
-            out.ravel()[first + np.arange(len(seq))] = seq
+            out = cut_segments(seq, lengths)
             for rows in np.array_split(out, max(1, -(-len(out) // 8_192))):
                 yield pa.record_batch([pa.array([rows.tobytes()], pa.binary())], ["segments"])
 
     return docs.select("text").mapInArrow(run, "segments binary")
 
 
+def long_run(moves: np.ndarray) -> np.ndarray:
+    """Shares of the states after many moves."""
+    return np.linalg.matrix_power(moves, 1 << 12).mean(axis=0)
+
+
 def expected_counts(model: Model, obs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and gives of segments x places, and their log likelihood."""
+    """Expected starts, moves and gives of segments x places, and their log likelihood.
+
+    A segment that goes on begins in the long run's shares of the states; its first
+    token, the last of the segment before, counts neither as a start nor as given.
+    """
     moves, start, gives = (np.ascontiguousarray(x, np.float32) for x in (model.moves, model.start, model.gives))
     lengths = (obs != NOTHING).sum(axis=1)
     order = np.argsort(-lengths, kind="stable")
+    continued = (obs[order, 0] & CONTINUED) != 0
+    if continued.any():
+        obs = obs.copy()
+        obs[:, 0] &= CONTINUED - 1
+    begin = np.where(continued, long_run(model.moves).astype(np.float32)[:, None], start[:, None])
     # Longest first: the segments that reach a place are the first ones. States x segments per place.
     reach = np.searchsorted(-lengths[order], -np.arange(lengths.max()), side="left").tolist()
     symbols = [row[:n].astype(np.int64) for row, n in zip(np.ascontiguousarray(obs[order].T), reach)]
     seen = [gives.take(s, axis=1, mode="clip") for s in symbols]
     forward, loglik = [], 0.0
     for t, n in enumerate(reach):
-        alpha = seen[t] * (moves.T @ forward[t - 1][:, :n] if t else start[:, None])
+        alpha = seen[t] * (moves.T @ forward[t - 1][:, :n] if t else begin)
         scale = alpha.sum(axis=0)
         alpha /= scale
         seen[t] /= scale
         forward.append(alpha)
-        loglik += float(np.log(scale).sum(dtype=np.float64))
+        loglik += float(np.log(scale if t else scale[~continued]).sum(dtype=np.float64))
     # Where nothing follows, the future says nothing.
     beta = np.ones_like(forward[0])
     moved = np.zeros_like(model.moves)
@@ -175,9 +201,10 @@ def expected_counts(model: Model, obs: np.ndarray) -> tuple[np.ndarray, np.ndarr
             beta[:, :n] = moves @ ahead
         forward[t] *= beta[:, : reach[t]]
     moved *= moves
-    starts = forward[0].sum(axis=1, dtype=np.float64)
+    starts = forward[0][:, ~continued].sum(axis=1, dtype=np.float64)
     weights = np.concatenate(forward, axis=1)
     weights /= weights.sum(axis=0)
+    weights[:, : len(continued)][:, continued] = 0
     every = np.concatenate(symbols)
     given = np.stack([np.bincount(every, w, gives.shape[1]) for w in weights])
     return starts, moved, given, loglik
