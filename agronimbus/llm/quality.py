@@ -29,6 +29,8 @@ VECTOR, FILTERS, STEP, HALF = 8, 48, 4, 24
 BLANK = 32
 #: Bytes that are convolved at a time, so that long texts need little memory.
 SLAB = STEP * HALF * 1024
+#: Chunks whose gradients are found at a time.
+SLICE_CHUNKS = 256
 
 
 @dataclass
@@ -99,10 +101,59 @@ def filled(chunks: np.ndarray) -> np.ndarray:
     return ~chunks.reshape(len(chunks), -1, STEP)[:, 1:].any(axis=2)
 
 
+def gradients(net: Network, samples: list[np.ndarray], labels: np.ndarray, total: int) -> dict:
+    """Sums of the gradients of some documents' log loss, each divided by ``total``."""
+    half = STEP * VECTOR
+    chunks = np.concatenate(samples)
+    owner = np.repeat(np.arange(len(samples)), [len(x) for x in samples])
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    count = np.diff(np.r_[first, len(owner)])
+    both = np.concatenate([net.filters[:half], net.filters[half:]], axis=1)
+    y = (np.take(net.vectors, chunks.ravel(), axis=0).reshape(-1, half) @ both).reshape(len(chunks), -1, 2 * FILTERS)
+    answers = y[:, :-1, :FILTERS] + y[:, 1:, FILTERS:]
+    answers[filled(chunks)] = -1e9
+    where = answers.argmax(axis=1)  # chunks x filters
+    top = np.take_along_axis(answers, where[:, None], axis=1)[:, 0] + net.offsets
+    kept = np.maximum(top, 0)
+    most, least = np.maximum.reduceat(kept, first, axis=0), np.minimum.reduceat(kept, first, axis=0)
+    seen_by = np.concatenate([most, np.add.reduceat(kept, first, axis=0) / count[:, None], least], axis=1)
+    p = 1 / (1 + np.exp(-np.clip(seen_by @ net.out + net.bias, -30, 30)))
+    error = ((p - labels) / total).astype(np.float32)
+    back = error[:, None] * net.out
+    g = back[owner, FILTERS : 2 * FILTERS] / count[owner, None]
+    g += back[owner, :FILTERS] * (kept == most[owner]) + back[owner, 2 * FILTERS :] * (kept == least[owner])
+    g *= top > 0
+    # Only the places where a filter answered most take part.
+    spans = (where[:, :, None] * STEP + np.arange(2 * STEP)).astype(np.int64)
+    seen = np.take_along_axis(chunks[:, None, :], spans, axis=2)  # chunks x filters x 8
+    values = net.vectors[seen].reshape(len(chunks), FILTERS, -1)
+    spread = (g[:, :, None] * net.filters.T[None]).reshape(-1, VECTOR)
+    return {
+        "vectors": np.stack([np.bincount(seen.ravel(), weights=spread[:, j], minlength=256) for j in range(VECTOR)], axis=1),
+        "filters": np.einsum("cf,cfk->kf", g, values),
+        "offsets": g.sum(axis=0),
+        "out": seen_by.T @ error,
+        "bias": error.sum(),
+    }
+
+
+def slices(sizes: list[int], most: int = SLICE_CHUNKS) -> Iterator[slice]:
+    """Runs of documents of at most ``most`` chunks together, or of one document."""
+    begin, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += n
+    if held:
+        yield slice(begin, len(sizes))
+
+
 def fit(samples: list[np.ndarray], labels: np.ndarray, steps: int = 600, batch: int = 64, seed: int = 7) -> Network:
     """Train on documents given as chunks x bytes (each chunk with its overlap).
 
-    Batches hold as many documents of either label; Adam on the mean log loss.
+    Batches hold as many documents of either label; Adam on the mean log loss. The
+    gradients of a batch are added up over slices, so that memory stays small.
     """
     rng = np.random.default_rng(seed)
     half = STEP * VECTOR
@@ -116,41 +167,12 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, steps: int = 600, batch:
     state: dict[str, list] = {}
     for t in range(1, steps + 1):
         rows = np.concatenate([rng.choice(s, batch // 2) for s in sides])
-        chunks = np.concatenate([samples[i] for i in rows])
-        owner = np.repeat(np.arange(len(rows)), [len(samples[i]) for i in rows])
-        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        count = np.diff(np.r_[first, len(owner)])
-        both = np.concatenate([net.filters[:half], net.filters[half:]], axis=1)
-        y = (np.take(net.vectors, chunks.ravel(), axis=0).reshape(-1, half) @ both).reshape(len(chunks), -1, 2 * FILTERS)
-        answers = y[:, :-1, :FILTERS] + y[:, 1:, FILTERS:]
-        answers[filled(chunks)] = -1e9
-        where = answers.argmax(axis=1)  # chunks x filters
-        top = np.take_along_axis(answers, where[:, None], axis=1)[:, 0] + net.offsets
-        kept = np.maximum(top, 0)
-        most, least = np.maximum.reduceat(kept, first, axis=0), np.minimum.reduceat(kept, first, axis=0)
-        seen_by = np.concatenate([most, np.add.reduceat(kept, first, axis=0) / count[:, None], least], axis=1)
-        p = 1 / (1 + np.exp(-np.clip(seen_by @ net.out + net.bias, -30, 30)))
-        error = ((p - labels[rows]) / len(rows)).astype(np.float32)
-        back = error[:, None] * net.out
-        g = back[owner, FILTERS : 2 * FILTERS] / count[owner, None]
-        g += back[owner, :FILTERS] * (kept == most[owner]) + back[owner, 2 * FILTERS :] * (kept == least[owner])
-        g *= top > 0
-        # Only the places where a filter answered most take part.
-        spans = (where[:, :, None] * STEP + np.arange(2 * STEP)).astype(np.int64)
-        seen = np.take_along_axis(chunks[:, None, :], spans, axis=2)  # chunks x filters x 8
-        values = net.vectors[seen].reshape(len(chunks), FILTERS, -1)
-        d_filters = np.einsum("cf,cfk->kf", g, values)
-        d_vectors = np.zeros_like(net.vectors)
-        spread = (g[:, :, None] * net.filters.T[None]).reshape(-1, VECTOR)
-        for j in range(VECTOR):
-            d_vectors[:, j] = np.bincount(seen.ravel(), weights=spread[:, j], minlength=256)
-        grads = {
-            "vectors": d_vectors,
-            "filters": d_filters + 1e-4 * net.filters,
-            "offsets": g.sum(axis=0),
-            "out": seen_by.T @ error + 1e-4 * net.out,
-            "bias": error.sum(),
-        }
+        grads: dict = {}
+        for part in slices([len(samples[i]) for i in rows]):
+            for name, d in gradients(net, [samples[i] for i in rows[part]], labels[rows[part]], len(rows)).items():
+                grads[name] = grads.get(name, 0.0) + d
+        grads["filters"] += 1e-4 * net.filters
+        grads["out"] += 1e-4 * net.out
         rate = 0.01 * min(1.0, 2 * (1 - t / (steps + 1)))
         for name, d in grads.items():
             m, v = state.get(name, [0.0, 0.0])
@@ -171,9 +193,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 1_500, chunks: int = 3
     """Train on at most ``rows`` documents of either label and ``chunks`` chunks of each.
 
     ``docs`` (doc_id, text) and ``labels`` (doc_id, quality) must hold only what may be
-    learned from. The sample is that with the smallest hashes of doc_id; of a document
-    with more chunks, evenly spaced ones are taken. So the driver gets at most
-    2 x rows x chunks x 196 bytes. Scores are set to the true share of label 1.
+    learned from. The sample is that with the smallest hashes of doc_id; of several rows
+    of a doc_id the least text counts, however often it is there; of a document with more
+    chunks, evenly spaced ones are taken. So the driver gets at most 2 x rows documents
+    and 2 x rows x chunks x 196 bytes. Scores are set to the true share of label 1.
     """
     ship(docs.sparkSession)
     marked = labels.filter("quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
@@ -193,12 +216,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 1_500, chunks: int = 3
             yield pa.record_batch([b.column("doc_id"), b.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "chunks"])
 
     # At most 2 x rows keys, so the marked side is small whatever the corpus.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     table = found.mapInArrow(cut, "doc_id bigint, label int, chunks binary").toArrow().sort_by("doc_id")
     y = table.column("label").to_numpy()
     if len(set(y.tolist())) < 2:
         return Network(bias=float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     samples = [np.frombuffer(x, np.uint8).reshape(-1, STEP * (2 * HALF + 1)) for x in table.column("chunks").to_pylist()]
+    del table
     net = fit(samples, y)
     net.bias += float(np.log(share / (1 - share)))
     return net
