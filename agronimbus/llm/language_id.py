@@ -5,7 +5,8 @@ one-versus-one linear support vector machines, one for each pair, vote on the cl
 related languages. Features are shares of byte pairs and triples of the lower-cased
 letters, hashed into a fixed number of places.
 
-Training takes a bounded sample of labelled documents (see ``train``). Text null or
+Training takes a bounded sample of labelled documents (see ``train``), in which equal
+rows count once. Text null or
 without a letter is ``und`` with score 0. Without any labelled document everything is
 ``und``; with one language all others texts are that language.
 """
@@ -17,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,35 +107,54 @@ def separate(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 60)
     return (alpha * y).astype(x.dtype) @ x, float((alpha * y).sum())
 
 
-def train(docs: DataFrame, rows: int = 300, most_places: int = 2_000) -> Model:
+def least_per_language(known: DataFrame, rows: int) -> DataFrame:
+    """lang and tie of the ``rows`` least distinct ties of each language.
+
+    Tasks hand on no more than that many of each language, each once, so copies of a
+    row neither travel nor take the places of others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            langs = b.column("lang").dictionary_encode()
+            codes, ties = langs.indices.to_numpy(), b.column("tie").to_numpy()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                held[lang] = np.unique(np.concatenate([held.get(lang, ties[:0]), ties[codes == code]]))[:rows]
+        for lang, ties in held.items():
+            yield pa.record_batch([pa.array([lang] * len(ties), pa.string()), pa.array(ties, pa.int64())], ["lang", "tie"])
+
+    least = known.select("lang", "tie").mapInArrow(run, "lang string, tie bigint").distinct()
+    return first_n(least, ["lang"], ["tie"], rows).select("lang", "tie")
+
+
+def train(docs: DataFrame, rows: int = 300) -> Model:
     """Learn from at most ``rows`` documents of each language.
 
     ``docs`` (doc_id, text, lang) must hold only what may be learned from. The sample
-    has the smallest hashes of doc_id of each language, whole texts; a document gives
-    the driver its ``most_places`` most frequent places.
+    has the smallest hashes of doc_id and text of each language, whole texts, equal rows
+    once. The driver gets the counted places of each, at most PLACES x 8 bytes a document.
     """
     ship(docs.sparkSession)
-    known = docs.select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("tie")).filter(
-        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
-    )
-    chosen = first_n(known, ["lang"], ["tie", "doc_id"], rows).select("doc_id", "tie")
+    known = docs.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("tie"))
+    known = known.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    chosen = least_per_language(known, rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, share = [], []
             for text in b.column("text").to_pylist():
                 n = np.bincount(places(text), minlength=PLACES)
-                top = np.sort(np.argsort(-n, kind="stable")[: min(most_places, np.count_nonzero(n))])
-                at.append(top.astype(np.int32))
-                share.append((n[top] / n.sum()).astype(np.float32))
+                some = np.flatnonzero(n)
+                at.append(some.astype(np.int32))
+                share.append((n[some] / n.sum()).astype(np.float32))
             yield pa.record_batch(
                 [b.column("lang"), b.column("tie"), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))],
                 ["lang", "tie", "at", "share"],
             )
 
     # At most ``rows`` keys per language, so the chosen side is small whatever the corpus.
-    sample = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("tie")).filter("lang is not null")
-    sample = sample.join(F.broadcast(chosen.distinct()), ["doc_id", "tie"]).select("text", "lang", "tie")
+    sample = known.join(F.broadcast(chosen), ["lang", "tie"]).groupBy("lang", "tie").agg(F.min("text").alias("text"))
     table = sample.mapInArrow(count, "lang string, tie bigint, at array<int>, share array<float>").toArrow()
     table = table.sort_by([("lang", "ascending"), ("tie", "ascending")])
     langs = table.column("lang").to_pylist()
@@ -222,17 +243,22 @@ def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose language can be told, with all their columns.
 
-    Without a trained model that is every row with a letter.
+    A null in ``lang`` becomes the language told; a language that is given stays.
+    Without a trained model the rows are those with a letter, as they are.
     """
     ship(docs.sparkSession)
 
-    def known(text: str | None) -> bool:
-        return has_letter(text) if model.planes is None else predict(model, text)[0] != UNDETERMINED
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([known(x) for x in texts], pa.bool_()))
+            if model.planes is None:
+                yield b.filter(pa.array([has_letter(x) for x in texts], pa.bool_()))
+                continue
+            told = pa.array([predict(model, x)[0] for x in texts], pa.string())
+            at = b.schema.get_field_index("lang")
+            if at >= 0:
+                b = b.set_column(at, b.schema.field(at), pc.coalesce(b.column(at), told.cast(b.schema.field(at).type)))
+            yield b.filter(pc.not_equal(told, UNDETERMINED))
 
     return docs.mapInArrow(run, docs.schema)
 
