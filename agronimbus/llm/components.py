@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialise, release
@@ -38,9 +38,12 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             pairs.select("a", F.col("m").alias("b"))
         )
-        older, links = links, materialise(small.filter("a <> b").distinct())
+        # Counted while it is written, so a round is one job.
+        seen, older = Observation(), links
+        sums = F.count("a").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
+        links = materialise(small.filter("a <> b").distinct().observe(seen, *sums))
         release(older)
-        state = links.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = seen.get
         if state == before:
             break
         before = state
