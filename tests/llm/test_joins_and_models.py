@@ -181,6 +181,13 @@ def test_vector_links_equal_brute_force(spark, rows, tile, axes):
             assert (r.n_links, r.component_id, r.kept) == (count[r.vec_id], root[r.vec_id], root[r.vec_id] == r.vec_id)
 
 
+def test_links_of_very_large_and_very_small_numbers(spark):
+    data = [(1, [1e200, 2e200]), (2, [1e200, 2.002e200]), (3, [1e-200, 2e-200]), (4, [1e-200, 2.001e-200]), (5, [1.0, 2.0]), (6, [1e300, -1e300]), (7, [5e-324, 1e-323])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in data], "vec_id bigint, embedding array<double>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert found == {**{i: (5, 1) for i in (1, 2, 3, 4, 5, 7)}, 6: (0, 6)}
+
+
 def test_no_vectors(rows):
     assert embedding_dedup.near_duplicates(rows([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
@@ -221,6 +228,30 @@ def test_forward_and_baum_welch_equal_all_paths():
     assert len(hidden_markov.forward_log10(model, np.empty(0, np.int64), np.empty(0, np.int64))) == 0
 
 
+def test_segments_hold_every_move_once(monkeypatch):
+    monkeypatch.setattr(hidden_markov, "SEGMENT", 5)
+    rng = np.random.default_rng(1)
+    lengths = np.array([1, 4, 5, 6, 9, 10, 13, 40, 1])
+    seq = rng.integers(0, 7, lengths.sum()).astype("<u2")
+    out = hidden_markov.cut_segments(seq, lengths)
+    first = (out[:, 0] & hidden_markov.CONTINUED) == 0
+    assert first.sum() == len(lengths)
+    back = []
+    for goes_on, row in zip(~first, out):
+        row = [int(x) & (hidden_markov.CONTINUED - 1) for x in row if x != hidden_markov.NOTHING]
+        if goes_on:
+            assert back[-1][-1] == row[0] and len(row) > 1
+            back[-1] += row[1:]
+        else:
+            back.append(row)
+    assert back == [x.tolist() for x in np.split(seq, np.cumsum(lengths)[:-1])]
+    # Each token is given once, each text starts once and moves between all its neighbours.
+    model = hidden_markov.untrained(hidden_markov.Model(np.empty(0, np.int64), np.arange(1.0, 8.0), np.ones(7), 28, 7), states=3)
+    starts, moved, given_, _ = hidden_markov.expected_counts(model, out)
+    assert np.isclose(starts.sum(), len(lengths)) and np.isclose(moved.sum(), (lengths - 1).sum())
+    assert np.allclose(given_.sum(axis=0), np.bincount(seq, minlength=7))
+
+
 def test_scores_of_a_small_corpus(spark, rows, monkeypatch):
     monkeypatch.setattr(hidden_markov, "BLOCK_BYTES", 4_000)
     rng = random.Random(8)
@@ -251,7 +282,7 @@ def test_every_round_sees_all_segments_of_a_large_corpus(rows, monkeypatch):
     docs = rows([(i, f"w{i} x " * 80_000) for i in range(20)], DOCS).repartition(5)
     model, _ = hidden_markov.train(docs)
     assert model.tokens == 20 * 160_001
-    wanted = 20 * -(-160_001 // hidden_markov.SEGMENT) * 2 * hidden_markov.SEGMENT
+    wanted = 20 * (1 + -(-(160_001 - hidden_markov.SEGMENT) // (hidden_markov.SEGMENT - 1))) * 2 * hidden_markov.SEGMENT
     assert [s.selectExpr("sum(octet_length(segments))").first()[0] for s in seen] == [wanted] * 8
 
 
@@ -445,6 +476,18 @@ def test_language_stage_without_a_labelled_language(rows):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 5]
 
 
+def test_language_stage_fills_in_languages(rows):
+    import corpus_pipeline
+
+    docs = [(i, "the house and the water of the town " * 5, "en") for i in range(20)] + [(100 + i, "la casa y el agua de la ciudad " * 5, "es") for i in range(20)]
+    docs += [(200, "the town and the house", None), (201, "el agua y la casa", None), (202, "42", None), (203, "la casa", "en")]
+    docs = rows([(i, t, v, "s", len(t)) for i, t, v in docs], DOCS + ", lang string, source string, n_chars bigint")
+    out = corpus_pipeline.language_stage(docs.sparkSession, docs, FOLDER)
+    found = {r.doc_id: r.lang for r in out.collect()}
+    assert out.columns == docs.columns and len(found) == 43 and 202 not in found
+    assert (found[200], found[201], found[203]) == ("en", "es", "en")
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables here")
 def test_pipeline_without_any_language(spark, tmp_path):
     import corpus_pipeline

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -105,6 +106,25 @@ def edited(docs):
     return out
 
 
+def spark_xxhash64(parts):
+    """Spark's hash of several strings: each one's is the seed of the next."""
+    seed = 42
+    for p in parts:
+        seed = xxhash.xxh64_intdigest(p.encode(), seed=seed)
+    return seed
+
+
+def plain_sketch(text, fraction=fingerprints.FRACTION):
+    found = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    hashes = {spark_xxhash64(found[i : i + 5]) >> 16 for i in range(max(len(found) - 4, 1))} if found else set()
+    some = {h for h in hashes if h < int(fraction * (1 << 48))}
+    return some or set(sorted(hashes)[:1])
+
+
+def plain_likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_edited_texts_and_likeness(spark, rows):
     rng = random.Random(1)
     docs = [(7 * i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(rng.randint(0, 200)))) for i in range(40)]
@@ -112,10 +132,15 @@ def test_edited_texts_and_likeness(spark, rows):
     found = fingerprints.fingerprint_edits(rows(docs, DOCS).repartition(5)).collect()
     wanted, texts = edited(docs), dict(docs)
     assert len(found) == len(docs)
+    order = [i for i, _ in sorted(docs, reverse=True)]
+    plain = {i: plain_sketch(t or "") for i, t in docs}
     for r in found:
+        changed, ahead = plain_sketch(wanted[r.doc_id]), plain[order[(order.index(r.doc_id) + 1) % len(order)]]
+        assert r.near_edited == plain_likeness(plain[r.doc_id], changed) and r.near_next == plain_likeness(plain[r.doc_id], ahead)
+        assert r.fingerprint == "".join(f"{h:012X}" for h in sorted(plain[r.doc_id]))
         assert r.edited_sha256 == hashlib.sha256(wanted[r.doc_id].encode()).hexdigest()
         assert r.n_chars == len(texts[r.doc_id] or "")
-        assert all(0 <= x <= 1 for x in (r.near_edited, r.near_next, r.contained_edited, r.contained_next))
+        assert all(x is None or 0 <= x <= 1 for x in (r.contained_edited, r.contained_next))
     by_text = {}
     for r in found:
         by_text.setdefault(texts[r.doc_id] or "", set()).add(r.fingerprint)
@@ -136,11 +161,29 @@ def test_sketches_merge(rows):
     df = rows([(a, b, "")], "a string, b string, none string").select(
         *[fingerprints.sketch(c, fraction=1.0).alias(c) for c in ("a", "b", "none")]
     )
-    df = df.withColumn("both", fingerprints.merged(df.a, df.b))
-    r = df.select("*", fingerprints.containment("a", "both").alias("c"), fingerprints.likeness("a", "b").alias("l")).first()
+    df = df.withColumn("both", fingerprints.merged("a", "b", 1.0))
+    r = df.select("*", fingerprints.containment("a", "both", 1.0).alias("c"), fingerprints.likeness("a", "b").alias("l")).first()
     assert len(r.a) == 4 and len(r.b) == 5 and len(r.both) == 9 and r.c == 1.0 and r.l == 0.0 and r.none == []
 
 
+def test_short_texts_held_whole_and_unions_of_sketches(rows):
+    rng, held = random.Random(4), []
+    for i in range(400):
+        words = [f"w{i}x{j}" for j in range(608)]
+        at = rng.randrange(600)
+        held.append((i, " ".join(words[at : at + 8]), " ".join(words), " ".join(words[:at]), " ".join(words[max(at - 4, 0) :])))
+    df = rows(held, "i int, short string, whole string, head string, tail string")
+    df = df.select("*", *[fingerprints.sketch(c).alias(f"{c}_s") for c in ("short", "whole", "head", "tail")])
+    df = df.withColumns({"both": fingerprints.merged("head_s", "tail_s"), "c": fingerprints.containment("short_s", "whole_s")})
+    found = df.collect()
+    told = [r for r in found if r.c is not None]
+    assert len(told) > 200 and all(r.c == 1.0 for r in told)
+    # Null just where no shingle of the short text has a hash below the fraction.
+    low = int(fingerprints.FRACTION * (1 << 48))
+    assert all((r.c is None) == (min(r.short_s) >= low) for r in found)
+    assert all(r.both == r.whole_s for r in found if len(r.head.split()) > 4)
+
+
 def test_fingerprints_use_no_python(spark, rows):
     plan = fingerprints.fingerprint_edits(rows([(1, "a b"), (2, "c d")], DOCS))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -227,6 +270,17 @@ def test_language_in_two_levels(spark, taught, odd):
     assert all((i, "und") in found for i in (1, 9, 2)) and (6, "und") not in found
 
 
+def test_language_is_learned_from_distinct_rows(spark, rows):
+    rng = random.Random(8)
+    docs = [(i, speech(lang, rng), lang) for i, lang in enumerate(list(WORDS) * 30)]
+    table = rows(docs, DOCS + ", lang string")
+    copied = table.unionByName(rows([docs[0]], DOCS + ", lang string").crossJoin(spark.range(20_000).select()))
+    keys = lambda t: language_id.least_per_language(t.selectExpr("lang", "xxhash64(doc_id, text) as tie"), 10)
+    assert sorted(keys(copied).collect()) == sorted(keys(table).collect()) and keys(copied).count() == 10 * len(WORDS)
+    one, other = language_id.train(copied.repartition(7), rows=10), language_id.train(table, rows=10)
+    assert one.pairs == other.pairs and np.array_equal(one.planes, other.planes)
+
+
 def test_language_without_or_with_one_language(spark, rows, odd):
     none = language_id.train(odd.limit(0))
     assert {r.lang_pred for r in language_id.identify(odd, none).collect()} == {"und"}
@@ -265,6 +319,38 @@ def test_quality_learns_and_scores_whole_texts(spark, odd):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in found.items() if s >= 0.5}
 
 
+def test_quality_is_learned_from_a_document_once_and_in_slices(spark, rows, monkeypatch):
+    rng = random.Random(9)
+    docs = [(i, junk(rng) if i % 2 else speech("en", rng, rng.randint(5, 400))) for i in range(40)]
+    table, labels = rows(docs, DOCS), rows([(i, 1 - i % 2) for i in range(40)], "doc_id bigint, quality int")
+    copied = table.unionByName(rows([docs[3]], DOCS).crossJoin(spark.range(20_000).select()))
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda samples, y: seen.append([x.tobytes() for x in samples]) or quality.Network())
+    quality.train(copied.repartition(6), labels, rows=15)
+    quality.train(table, labels, rows=15)
+    assert seen[0] == seen[1] and len(seen[0]) == 30
+
+
+def test_gradients_add_up_over_slices():
+    rng = np.random.default_rng(2)
+    half = quality.STEP * quality.VECTOR
+    net = quality.Network(
+        rng.normal(size=(256, quality.VECTOR)).astype(np.float32), rng.normal(size=(2 * half, quality.FILTERS)).astype(np.float32),
+        np.zeros(quality.FILTERS, np.float32), rng.normal(size=3 * quality.FILTERS).astype(np.float32),
+    )
+    sizes = [1, 32, 7, 3, 32, 1, 20]
+    samples = [rng.integers(1, 256, (n, quality.STEP * (2 * quality.HALF + 1))).astype(np.uint8) for n in sizes]
+    y = np.array([0, 1, 0, 1, 1, 0, 1])
+    whole, total = quality.gradients(net, samples, y, 7), {}
+    parts = list(quality.slices(sizes, 33))
+    assert [x for p in parts for x in sizes[p]] == sizes and len(parts) > 2 and all(sum(sizes[p]) <= 33 for p in parts)
+    for p in parts:
+        for name, d in quality.gradients(net, samples[p], y[p], 7).items():
+            total[name] = total.get(name, 0) + d
+    for name, d in whole.items():
+        assert np.allclose(d, total[name], rtol=1e-3, atol=1e-6), name
+
+
 def test_quality_of_a_long_text_does_not_depend_on_the_slab(monkeypatch):
     rng = np.random.default_rng(1)
     net = quality.Network(
