@@ -5,7 +5,8 @@ Parquet and read again as the next stage's docs. All but the last return the col
 of documents. Stages work on all rows they are given:
 
 1. quality: a document that the byte-level network scores below one half goes;
-2. language: a document whose language cannot be told (no text, no letter) goes;
+2. language: a document whose language cannot be told (no text, no letter) goes; where
+   lang is null it becomes the language told;
 3. near_duplicates: of each group of documents that links of 75 % of their five-word
    shingles connect, the one with the smallest doc_id stays (ties: the smallest text
    hash); documents without words are all kept; of rows equal in doc_id and text one stays;
