@@ -2,9 +2,11 @@
 
 Outline, the same for every size:
 1. Copies of a point are cut to the smallest ids: as ties go to the smaller id, a
-   copy beyond the k-th is nobody's neighbour. Equal queries are asked once.
-2. A k-d tree over a bounded sample cuts the space into leaves of similar size.
-   Rows go to leaves; large leaves are split by hash into blocks.
+   copy beyond the k-th is nobody's neighbour. Points with more than k copies are found
+   by counting hashes, so only their rows are sorted. Equal queries are asked once.
+2. A k-d tree over a bounded sample, turned to its principal axes, cuts the space into
+   leaves of similar size, along the axes of largest spread first. Rows go to leaves;
+   large leaves are split by hash into blocks.
 3. Each query is answered within one block of its own leaf. The distance of its
    k-th neighbour there is a bound no true neighbour exceeds.
 4. The query visits only those other blocks whose region lies within the bound
@@ -12,8 +14,9 @@ Outline, the same for every size:
 5. The best k of what the blocks returned (k rows per query and block) are kept.
 
 A block and the queries sent to it have a target size, so no task grows with
-the data, with a hot group or with a hot region. With few features most leaves are
-out of reach; with many (some tens) a query reaches nearly all of them, and the join
+the data, with a hot group or with a hot region. With few features, or many whose
+spread lies along a few directions (clusters), most leaves are out of reach. Of many
+that spread alike in all directions a query reaches nearly all leaves, and the join
 becomes a comparison in blocks of all queries with all rows.
 
 Vectors that are null or empty or hold a null, NaN or infinite number are nobody's
@@ -23,6 +26,7 @@ neighbour and have none; vectors of different length are not compared.
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.storage import materialise
 
@@ -66,8 +71,20 @@ def _cut(points: np.ndarray, leaves: int, least: int) -> list | None:
     return None
 
 
+def _fitted(points: np.ndarray, leaves: int, least: int) -> tuple[np.ndarray, list] | None:
+    """Principal axes (columns) of the points and a tree over the turned points."""
+    centred = points - points.mean(axis=0)
+    size = np.abs(centred).max(initial=0.0)
+    if not 0 < size < float("inf"):
+        return None
+    centred /= size
+    axes = np.ascontiguousarray(np.linalg.eigh(centred.T @ centred)[1][:, ::-1])
+    tree = _cut(points @ axes, leaves, least)
+    return tree and (axes, tree)
+
+
 def _leaf_of(tree, points: np.ndarray) -> np.ndarray:
-    """Leaf number of each point; a node's children are 2n+1 and 2n+2."""
+    """Leaf number of each (turned) point; a node's children are 2n+1 and 2n+2."""
     out = np.zeros(len(points), dtype=np.int64)
     todo = [(tree, 0, np.arange(len(points)))]
     while todo:
@@ -82,7 +99,11 @@ def _leaf_of(tree, points: np.ndarray) -> np.ndarray:
 
 
 def _leaves_within(tree, points: np.ndarray, bound: np.ndarray):
-    """(row, leaf) pairs where the leaf's region is no further than the bound."""
+    """(row, leaf) pairs where the leaf's region is no further than the bound.
+
+    A leaf is bounded along the axes it was cut on, so the gap on these alone is less
+    than any distance to its points. What turning rounds is far below the bound's room.
+    """
     todo = [(tree, 0, np.arange(len(points)), np.zeros_like(points))]
     while todo:
         node, number, rows, gap = todo.pop()
@@ -146,32 +167,42 @@ def _first_k(row, col, dist, k):
 
 
 def _matrix(vectors) -> np.ndarray:
-    return np.concatenate(vectors.to_numpy()).reshape(len(vectors), -1)
+    """Rows of a list column of one length, of pandas or Arrow."""
+    if isinstance(vectors, pd.Series):
+        return np.concatenate(vectors.to_numpy()).reshape(len(vectors), -1)
+    vectors = vectors.combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
-def _nearest_in_block(history: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+def _nearest_in_block(history: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     """k nearest rows of one block per query, ranked."""
-    history = history.sort_values("hist_id", kind="stable").reset_index(drop=True)
-    digits = int(history["digits"].iloc[0])
-    row, col, dist = _nearest(_matrix(history["vec"]), _matrix(queries["vec"]), k, digits)
-    out = queries.drop(columns=["vec"]).iloc[row].reset_index(drop=True)
-    for name in ["hist_id", *[c for c in history.columns if c.startswith("p_")]]:
-        out[name] = history[name].to_numpy()[col]
-    out["rank"] = (_place(row) + 1).astype(np.int32)
-    out["distance"] = dist
-    return out
+    history = history.sort_by("hist_id")
+    digits = history.column("digits")[0].as_py()
+    row, col, dist = _nearest(_matrix(history.column("vec")), _matrix(queries.column("vec")), k, digits)
+    out = queries.drop_columns(["vec"]).take(pa.array(row))
+    for name in ["hist_id", *[c for c in history.column_names if c.startswith("p_")]]:
+        out = out.append_column(name, history.column(name).take(pa.array(col)))
+    out = out.append_column("rank", pa.array((_place(row) + 1).astype(np.int32)))
+    return out.append_column("distance", pa.array(dist))
 
 
 # --- the plan ----------------------------------------------------------------
 
 def _group_key(by: list[str]) -> Column:
     """Group and vector length as text."""
-    return F.to_json(F.struct(*by, F.size("vec").alias("_size")))
+    size = F.size("vec")
+    return F.to_json(F.struct(*by, size.alias("_size"))) if by else size.cast("string")
+
+
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
-def _usable() -> Column:
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.col("vec").isNotNull() & (F.size("vec") > 0) & finite
+def _usable(features: list[Column] | None) -> Column:
+    """Whether ``vec`` can be compared; ``features`` are the columns that it is made of, if any."""
+    if features is None:
+        return F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", _finite)
+    return reduce(lambda a, b: a & b, map(_finite, features), F.lit(len(features) > 0))
 
 
 def _fit_trees(history: DataFrame, rows: int, dims: int, k: int, block_rows: int):
@@ -187,7 +218,7 @@ def _fit_trees(history: DataFrame, rows: int, dims: int, k: int, block_rows: int
     for g, part in sample.groupby("g"):
         points = np.unique(_matrix(part["vec"]), axis=0)
         budget = max(1, round(leaves * len(part) / len(sample)))
-        tree = _cut(points, 1 << (budget - 1).bit_length(), max(2 * k, SAMPLE_PER_LEAF // 4))
+        tree = _fitted(points, 1 << (budget - 1).bit_length(), max(2 * k, SAMPLE_PER_LEAF // 4))
         if tree is not None:
             trees[g] = tree
     return trees
@@ -205,7 +236,8 @@ def _with_leaf(df: DataFrame, trees: dict) -> DataFrame:
             for g, rows in groups.groupby(groups).indices.items():
                 if g in trees:  # vectors of a group are of one length
                     flat = vec.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-                    leaf[rows] = _leaf_of(trees[g], flat.reshape(len(rows), -1))
+                    axes, tree = trees[g]
+                    leaf[rows] = _leaf_of(tree, flat.reshape(len(rows), -1) @ axes)
             yield batch.append_column("leaf", pa.array(leaf))
 
     schema = T.StructType([*df.schema.fields, T.StructField("leaf", T.LongType())])
@@ -223,7 +255,8 @@ def _other_leaves(df: DataFrame, trees: dict) -> DataFrame:
                 part = pdf.iloc[rows].reset_index(drop=True)
                 points, bound = _matrix(part["vec"]), part["bound"].to_numpy(dtype=float)
                 own = part["leaf"].to_numpy()
-                for hit, leaf in _leaves_within(trees[g], points, bound):
+                axes, tree = trees[g]
+                for hit, leaf in _leaves_within(tree, points @ axes, bound):
                     other = leaf != own[hit]
                     yield part.iloc[hit[other]][["g", "qid"]].assign(leaf=leaf[other])
 
@@ -250,7 +283,7 @@ def _ask_blocks(blocks: DataFrame, asked: DataFrame, k: int, block_queries: int)
     schema = T.StructType(
         [*keep, *extra, T.StructField("rank", T.IntegerType()), T.StructField("distance", T.DoubleType())]
     )
-    at = [*place, "share"]
+    at, empty = [*place, "share"], to_arrow_schema(schema).empty_table()
     # Spread by block and share; a join above may have left all shares together. As
     # many tasks as there are groups of work, because AQE would merge by bytes what
     # is costly to compute.
@@ -259,19 +292,35 @@ def _ask_blocks(blocks: DataFrame, asked: DataFrame, k: int, block_queries: int)
         history.repartition(tasks, *at)
         .groupBy(*at)
         .cogroup(queries.repartition(tasks, *at).groupBy(*at))
-        .applyInPandas(
-            lambda h, q: _nearest_in_block(h, q, k) if len(h) and len(q) else pd.DataFrame(columns=schema.names),
+        .applyInArrow(
+            lambda h, q: _nearest_in_block(h, q, k) if len(h) and len(q) else empty,
             schema,
         )
     )
 
 
+def _without_extra_copies(points: DataFrame, k: int) -> DataFrame:
+    """Points with at most k * COPY_SALTS copies of each vector, the smallest ids of each salt.
+
+    Counts of hashes, added up in each task before they move, find the vectors with more
+    than k copies; two vectors of one hash are merely looked at. No other row is sorted.
+    """
+    h = F.xxhash64("g", "vec")
+    counts = points.select(h.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    heavy = materialise(counts.filter(F.col("n") > k).select("h"))
+    if heavy.isEmpty():
+        return points
+    known = points.withColumn("h", h)
+    same = Window.partitionBy("g", "vec", F.pmod(F.xxhash64("hist_id"), F.lit(COPY_SALTS)))
+    copies = known.join(heavy, "h", "left_semi").withColumn("copy", F.row_number().over(same.orderBy("hist_id")))
+    kept = copies.filter(F.col("copy") <= k).select(*points.columns)
+    return materialise(known.join(heavy, "h", "left_anti").select(*points.columns).unionByName(kept))
+
+
 def _answer(points: DataFrame, asked: DataFrame, k: int, block_rows: int, block_queries: int) -> DataFrame:
     """Answer queries (g, qid, vec) block by block (steps 1 to 5)."""
-    same = Window.partitionBy("g", "vec", F.pmod(F.xxhash64("hist_id"), F.lit(COPY_SALTS)))
-    points = points.withColumn("copy", F.row_number().over(same.orderBy("hist_id")))
-    points = materialise(points.filter(F.col("copy") <= k).drop("copy"))
-    largest = F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))
+    points = _without_extra_copies(materialise(points), k)
+    largest = F.max(F.greatest(F.array_max("vec"), -F.array_min("vec")))
     digits = F.lit(DIGITS) - F.floor(F.log10(F.greatest(largest, F.lit(1e-250))))
     groups = materialise(points.groupBy("g").agg(
         digits.cast("int").alias("digits"), F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")
@@ -333,18 +382,17 @@ def knn_join(
     query_ids = [query_id] if isinstance(query_id, str) else query_id
     single = len(features) == 1 and isinstance(history.schema[features[0]].dataType, T.ArrayType)
 
-    def vector(df):
-        if single:
-            return F.col(features[0]).cast("array<double>")
-        return F.array(*[F.col(f).cast("double") for f in features])
-
-    points = history.withColumn("vec", vector(history)).filter(_usable()).select(
+    parts = None if single else [F.col(f).cast("double") for f in features]
+    vec = F.col(features[0]).cast("array<double>") if single else F.array(*parts)
+    points = history.filter(_usable(parts)) if parts is not None else history.withColumn("vec", vec).filter(_usable(None))
+    points = points.withColumn("vec", vec).select(
         _group_key(by).alias("g"),
         "vec",
         F.col(hist_id).alias("hist_id"),
         *[F.col(c).alias(f"p_{c}") for c in payload],
     )
-    named = queries.withColumn("vec", vector(queries)).filter(_usable()).select(
+    named = queries.filter(_usable(parts)) if parts is not None else queries.withColumn("vec", vec).filter(_usable(None))
+    named = named.withColumn("vec", vec).select(
         F.struct(*by, *query_ids).alias("ids"), _group_key(by).alias("g"), "vec"
     )
     named = materialise(named.withColumn("qid", F.md5(F.to_json(F.struct("g", "vec")))))

@@ -76,19 +76,52 @@ def window_means(
 ) -> DataFrame:
     """Mean forecast over ``duration`` days from ``window_start``, and ``n_days``.
 
-    Only whole windows are compared: one of which the forecast lacks a day has no
-    row (``whole=False`` keeps it, averaged over the days known). The range condition
-    becomes an equi join on (site, day): a window lists its days. Windows are made
-    distinct first, so however many requests ask for the same one, it is listed and
-    averaged once. ``forecast`` has one row per site and day.
+    Only whole windows are compared: one of which the forecast lacks a day has no row.
+    A site's running totals are looked up at the window's first and last day, so a
+    window costs two lookups however long it is; it is whole if as many days lie
+    between the two as it has. ``whole=False`` keeps the others, averaged over the days
+    known; these list their days. Windows are made distinct first, so however many
+    requests ask for the same one, it is averaged once. ``forecast`` has one row per
+    site and day; nulls of a measure are left out of its mean, and a window with a NaN or
+    infinite value has the mean NaN.
     """
     window = [*sites, "window_start", duration]
+    windows = asked.select(*window).distinct()
     last = F.date_add("window_start", (F.col(duration) - 1).cast("int"))
-    days = asked.select(*window).distinct().withColumn(date, F.explode(F.sequence("window_start", last)))
-    means = days.join(forecast, [*sites, date]).groupBy(*window).agg(
-        F.count(F.lit(1)).alias("n_days"), *[F.avg(m).alias(m) for m in measures]
+    if not whole:
+        days = windows.withColumn(date, F.explode(F.sequence("window_start", last)))
+        means = days.join(forecast, [*sites, date]).groupBy(*window).agg(
+            F.count(F.lit(1)).alias("n_days"), *[F.avg(m).alias(m) for m in measures]
+        )
+        return asked.join(means, window)
+    upto = Window.partitionBy(*sites).orderBy(date).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = {"_day": F.row_number().over(Window.partitionBy(*sites).orderBy(date))}
+    odd = lambda m: F.coalesce(F.isnan(m) | (F.abs(m) == float("inf")), F.lit(False))
+    # Totals are exact decimals, so a difference of two large ones loses nothing. NaN and
+    # infinite values would spoil all later totals and are counted instead.
+    exact = lambda m: F.when(~odd(m), F.col(m)).cast("decimal(38,15)")
+    forecast = forecast.select(*sites, date, *[F.col(m).cast("double").alias(m) for m in measures])
+    for m in measures:
+        totals[f"_s_{m}"] = F.coalesce(F.sum(exact(m)).over(upto), F.lit(0).cast("decimal(38,15)"))
+        totals[f"_n_{m}"] = F.count(m).over(upto)
+        totals[f"_q_{m}"] = F.count(F.when(odd(m), 1)).over(upto)
+    running = forecast.select(*sites, date, *measures).withColumns(totals)
+    kept = ["_day", *[c for c in totals if c != "_day"]]
+    at_end = running.select(*sites, F.col(date).alias("_last"), F.struct(*kept).alias("_to"))
+    # Totals before the first day are those of that day less its own values.
+    before = {"_day": F.col("_day") - 1}
+    for m in measures:
+        before[f"_s_{m}"] = F.col(f"_s_{m}") - F.coalesce(exact(m), F.lit(0).cast("decimal(38,15)"))
+        before[f"_n_{m}"] = F.col(f"_n_{m}") - F.col(m).isNotNull().cast("int")
+        before[f"_q_{m}"] = F.col(f"_q_{m}") - odd(m).cast("int")
+    at_start = running.select(*sites, F.col(date).alias("window_start"), F.struct(*[v.alias(n) for n, v in before.items()]).alias("_from"))
+    found = windows.withColumn("_last", last).join(at_end, [*sites, "_last"]).join(at_start, [*sites, "window_start"])
+    of = lambda c: F.col(f"_to.{c}") - F.col(f"_from.{c}")
+    means = found.filter((of("_day") == F.col(duration)) & (F.col(duration) > 0)).select(
+        *window, of("_day").cast("bigint").alias("n_days"),
+        *[F.when(of(f"_q_{m}") > 0, F.lit(float("nan"))).when(of(f"_n_{m}") > 0, of(f"_s_{m}").cast("double") / of(f"_n_{m}")).alias(m) for m in measures],
     )
-    return asked.join(means.filter(F.col("n_days") == F.col(duration)) if whole else means, window)
+    return asked.join(means, window)
 
 
 def recommend_starts(

@@ -136,7 +136,8 @@ def similarity_requests(
     ``forecast``: one row per site_id and date. A request compares all crops over
     its own window, looks for better start dates and plans its season. The season's
     length is the request's own ``duration`` (the column may be missing), else the
-    crop's growth_duration in ``durations`` (crop, growth_duration), else the default.
+    crop's growth_duration in ``durations`` (crop, growth_duration; without it the
+    history's own column, if it has one), else the default.
 
     ``status`` has one row per request: ``answered``, ``partial`` (the forecast lacks
     days of the window; the comparison covers ``n_days``), ``no_forecast``, or
@@ -145,6 +146,8 @@ def similarity_requests(
     """
     requests = requests.withColumn("crop", exprs.normalise_text("crop"))
     own = F.col("duration") if "duration" in requests.columns else F.lit(None).cast("int")
+    if durations is None and "growth_duration" in history.columns:
+        durations = history
     if durations is not None:
         known = durations.groupBy(exprs.normalise_text("crop").alias("crop")).agg(F.max("growth_duration").cast("int").alias("_season"))
         requests = requests.join(known, ["crop"], "left")

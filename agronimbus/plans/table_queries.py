@@ -16,10 +16,11 @@ from ..operators import timeline as L
 from ..operators.scaling import attach_group_means, fit_scaler, min_max_scale
 from ..operators.scaling import apply_scaler
 from ..operators.suitability import forecast_means, success_or_all
-from ..sources import payloads, selection
+from ..sources import payloads, readers, selection, sinks
 from . import fixtures as X
 from .fixtures import table
 from .registry import query
+from .storage import new_folder
 
 
 def rounded(df, *names, digits=6):
@@ -400,6 +401,47 @@ def start_window_join(spark, folder):
     )
 
 
+# --- files written and read back ---------------------------------------------------------
+
+@query("csv_folder_of_several_headers", """
+SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment,
+       CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS c_nationkey
+FROM customer""")
+def csv_folder_of_several_headers(spark, folder):
+    """Three kinds of files in one folder: other columns, another order, inner folders."""
+    customers, path = table(spark, folder, "customer"), new_folder(spark)
+    headers = [["c_custkey", "c_name", "c_acctbal", "c_nationkey"], ["c_mktsegment", "c_acctbal", "c_custkey", "c_name"], ["c_name", "c_mktsegment", "c_custkey", "c_acctbal"]]
+    for i, names in enumerate(headers):
+        sinks.write_csv(customers.filter(F.col("c_custkey") % 3 == i).select(*names), f"{path}/part{i}")
+    return readers.read_csv(spark, path, T.StructType([customers.schema[c] for c in ("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey")]))
+
+
+@query("season_tables_round_trip", f"""
+WITH f AS ({X.FORECAST}) SELECT site_id::VARCHAR AS crop, date, {r(['temp', 'rainfall'])} FROM f""")
+def season_tables_round_trip(spark, folder):
+    """Aligned tables written by crop as CSV and read back with the crop from the folder names."""
+    path = new_folder(spark)
+    days = rounded(X.forecast(spark, folder), "temp", "rainfall").select(F.col("site_id").cast("string").alias("crop"), "date", "temp", "rainfall")
+    sinks.write_season(days, days, path, "csv")
+    kinds = T.StructType([T.StructField(n, t) for n, t in (("crop", T.StringType()), ("date", T.DateType()), ("temp", T.DoubleType()), ("rainfall", T.DoubleType()))])
+    return readers.read_csv(spark, f"{path}/weather_data", kinds)
+
+
+@query("run_log_round_trip", """
+SELECT c_mktsegment AS target_crop, count(*) AS n, max(c_custkey) AS top FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1""")
+def run_log_round_trip(spark, folder):
+    """A record for each segment, appended one after the other, read back by a nested equality."""
+    path, customers = f"{new_folder(spark)}/runs", table(spark, folder, "customer")
+    records = customers.groupBy(F.col("c_mktsegment").alias("target_crop")).agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.max("c_custkey").alias("top")).alias("summary"),
+        F.when(F.col("target_crop") != "BUILDING", "kept").otherwise("left").alias("mark"),
+    )
+    for mark in ("kept", "left"):
+        sinks.append_runs(records.filter(F.col("mark") == mark), path)
+    found = sinks.read_runs(spark, path, {"mark": "kept"})
+    return found.select("target_crop", "summary.n", "summary.top")
+
+
 # --- summaries -----------------------------------------------------------------------
 
 @query("daily_resample", f"SELECT site_id, date, {r(DAILY)} FROM ({X.FORECAST})")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,15 +15,70 @@ from ..operators.season import augment_failures, derive_bounds, redate
 from ..operators.timeline import clean_rows
 
 
+def header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line -> files that have it, of a file, folder or glob; compressed ones too.
+
+    Only names and first lines are read here, in threads, as Spark lists files on the
+    driver too. Files without a line, and names beginning with ``_`` or ``.``, are left out.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    todo, files = list(fs.globStatus(place) or []), []
+    if not todo:
+        raise FileNotFoundError(path)
+    while todo:
+        status = todo.pop()
+        inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        for x in inner:
+            if not x.getPath().getName().startswith(("_", ".")) or x is status:
+                (todo if x.isDirectory() else files).append(x)
+
+    def first_line(status) -> tuple[str | None, str]:
+        stream = fs.open(status.getPath())
+        try:
+            codec = codecs.getCodec(status.getPath())
+            opened = codec.createInputStream(stream) if codec else stream
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(opened, "UTF-8"))
+            return reader.readLine(), status.getPath().toString()
+        finally:
+            stream.close()
+
+    groups: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for line, name in sorted(pool.map(first_line, files), key=lambda x: x[1]):
+            if line is not None:
+                groups.setdefault(line.removeprefix("\ufeff"), []).append(name)
+    return groups
+
+
 def read_csv(spark: SparkSession, path: str, columns: T.StructType | None = None) -> DataFrame:
-    """Rows under their header names, as text unless ``columns`` gives types.
+    """Rows under their header names, as text unless ``columns`` gives names and types.
 
-    All files must have the same header in the same order; Spark compares each
-    file's with the columns and fails where they differ, for columns are read by
-    position. Read files of other headers on their own and ``unionByName`` them.
+    Files may have different headers: each distinct header is one scan of its files, and
+    the scans are united by name, a column that a file lacks being null. A header must be
+    one line. Without any line there are no rows, and only ``columns`` names columns.
     """
-    reader = spark.read.options(header=True, escape='"', enforceSchema=False)
-    return (reader.schema(columns) if columns is not None else reader).csv(path)
+    groups = header_groups(spark, path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    options = {"header": True, "escape": '"'}
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    if len(found) == 1 and found[0].isDirectory():
+        options["basePath"] = found[0].getPath().toString()  # columns that are in the names of inner folders
+    out = None
+    for header, files in groups.items():
+        names = [n.strip() if columns is not None else n for n in next(csv.reader([header], escapechar=None))]
+        known = {f.name: f.dataType for f in columns} if columns is not None else {}
+        if len(set(names)) == len(names):
+            fields = [T.StructField(n, known.get(n, T.StringType())) for n in names]
+            part = spark.read.options(**options).schema(T.StructType(fields)).csv(files)
+        else:  # Spark tells equal names apart by their places
+            part = spark.read.options(**options).csv(files)
+        if columns is not None:
+            part = part.select(*[(F.col(f"`{n}`") if n in part.columns else F.lit(None)).cast(t).alias(n) for n, t in known.items()])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return spark.createDataFrame([], columns or T.StructType()) if out is None else out
 
 
 def standardise_history(df: DataFrame, key: list[str], date: str = "date") -> DataFrame:

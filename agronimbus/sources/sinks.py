@@ -11,11 +11,11 @@ from .selection import equality_filter
 
 
 def write_season(crop: DataFrame, weather: DataFrame, folder: str, fmt: str = "parquet") -> None:
-    """The two aligned tables, replaced, one folder per crop."""
+    """The two aligned tables, one folder per crop; the crops given are replaced, others stay."""
     S.require_same_schema(crop, weather)
     for name, df in (("crop_data", crop), ("weather_data", weather)):
         spread = df.repartition("crop", "date")  # a crop may be most of the rows
-        writer = spread.write.mode("overwrite").partitionBy("crop")
+        writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("crop")
         (writer.options(header=True, escape='"') if fmt == "csv" else writer).format(fmt).save(f"{folder}/{name}")
 
 

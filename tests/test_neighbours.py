@@ -143,3 +143,32 @@ def test_copies_of_a_point_are_cut_before_the_search(spark):
     queries = [("a", i, (0.1 * i, 0.0)) for i in range(20)]
     for sizes in SIZES:
         assert run(spark, history, queries, 3, **sizes) == brute(history, queries, 3)
+
+
+def test_clusters_of_many_features_are_pruned():
+    from agronimbus.operators import neighbours as N
+
+    rng = np.random.default_rng(5)
+    turn = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    middles = rng.normal(size=(40, 64)) * np.r_[np.full(4, 30.0), np.full(60, 0.01)] @ turn
+    points = (middles[:, None] + rng.normal(size=(40, 100, 64)) * 0.05).reshape(-1, 64)
+    axes, tree = N._fitted(points[::3], 64, 8)
+    leaf = N._leaf_of(tree, points @ axes)
+    asked = points[::7] + 0.01
+    exact = np.sqrt(((asked[:, None] - points[None]) ** 2).sum(axis=2))
+    bound = np.sort(exact, axis=1)[:, 4] + 1e-9
+    visits = {(r, v) for rows, leaves in N._leaves_within(tree, asked @ axes, bound) for r, v in zip(rows.tolist(), leaves.tolist())}
+    near = {(i, int(leaf[j])) for i, j in zip(*np.nonzero(exact <= bound[:, None] - 1e-9))}
+    assert near <= visits  # no neighbour lies in a leaf that is not visited
+    assert len(np.unique(leaf)) > 30 and len(visits) < 0.1 * len(asked) * len(np.unique(leaf))
+
+
+def test_only_rows_of_vectors_with_more_than_k_copies_are_sorted(spark, rows):
+    from agronimbus.operators import neighbours as N
+
+    points = rows([("g", [float(i), 0.0], i) for i in range(50)] + [("g", [1.0, 0.0], 100 + i) for i in range(300)], "g string, vec array<double>, hist_id int")
+    kept = N._without_extra_copies(points, 3).collect()
+    copies = sorted(r.hist_id for r in kept if r.vec == [1.0, 0.0])
+    assert copies[:3] == [1, 100, 101] and len(copies) <= 3 * N.COPY_SALTS and len(kept) == 49 + len(copies)
+    light = points.filter("hist_id < 50")
+    assert N._without_extra_copies(light, 3) is light

@@ -224,3 +224,33 @@ HINTS = [
 def test_hints(rows):
     out = N.extract_hints(rows([(t,) for t, _, _ in HINTS], "t string"), "t").collect()
     assert [(r.duration_hint, r.temperature_hint) for r in out] == [(d, t) for _, d, t in HINTS]
+
+
+def test_window_means_by_running_totals_equal_brute_force(spark, rows):
+    import datetime
+    import math
+    import random
+
+    rng, first = random.Random(3), datetime.date(2026, 1, 1)
+    days = [(s, first + datetime.timedelta(i), rng.choice([None, float("nan"), 1e15, rng.uniform(-50, 50)] + [rng.uniform(-50, 50)] * 30), rng.uniform(0, 9))
+            for s in range(4) for i in range(120) if rng.random() > 0.02]
+    asked = [(i, rng.randrange(5), first + datetime.timedelta(rng.randrange(-3, 118)), rng.choice([1, 2, 7, 30])) for i in range(400)]
+    asked += [(1000, 0, asked[0][2], 0), (1001, 0, asked[0][2], None)]
+    given = rows(asked, "request_id int, site_id int, window_start date, duration int")
+    means = P.window_means(given, rows(days, "site_id int, date date, temp double, rainfall double"), ["site_id"], ["temp", "rainfall"])
+    plan = means._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    known, wanted = {(s, d): (t, r) for s, d, t, r in days}, {}
+    for i, s, d, n in asked:
+        window = [known.get((s, d + datetime.timedelta(j))) for j in range(n or 0)]
+        if window and all(window):
+            wanted[i] = [[x for x in v if x is not None] for v in zip(*window)]
+    found = {r.request_id: r for r in means.collect()}
+    assert found.keys() == wanted.keys() and len(found) > 50
+    for i, parts in wanted.items():
+        assert found[i].n_days == asked[i][3]
+        for got, values in zip((found[i].temp, found[i].rainfall), parts):
+            if not values or any(map(math.isnan, values)):
+                assert got is None if not values else math.isnan(got)
+            else:
+                assert math.isclose(got, math.fsum(values) / len(values), rel_tol=1e-12, abs_tol=1e-13)

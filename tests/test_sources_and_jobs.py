@@ -4,6 +4,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agronimbus.operators import schema as S
 from agronimbus.operators.aggregates import daily_resample
@@ -82,13 +83,26 @@ def test_history_csv_in_both_layouts(spark, tmp_path):
     assert (local.date, local.crop, local.min_temp, local.result) == (day(1), "wheat", 15.0, 0)
 
 
-def test_files_with_other_headers_are_refused(spark, tmp_path):
+def test_files_of_several_headers_are_read_by_name(spark, tmp_path):
+    import gzip
+
     (tmp_path / "a.csv").write_text("temp,rainfall\n1.0,2.0\n")
-    (tmp_path / "b.csv").write_text("rainfall,temp\n21.0,10.0\n")
-    with pytest.raises(Exception, match="header"):
-        readers.read_csv(spark, str(tmp_path)).collect()
-    one = [readers.read_csv(spark, str(tmp_path / f"{n}.csv")) for n in "ab"]
-    assert sorted((r.temp, r.rainfall) for r in one[0].unionByName(one[1]).collect()) == [("1.0", "2.0"), ("10.0", "21.0")]
+    (tmp_path / "b.csv").write_text('\ufeffrainfall,temp,"note, long"\n21.0,10.0,"x, ""y"""\n')
+    (tmp_path / "crop=rice").mkdir()
+    (tmp_path / "crop=rice" / "c.csv.gz").write_bytes(gzip.compress(b"temp\n5.0\n"))
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "_SUCCESS").write_text("no table")
+    found = readers.read_csv(spark, str(tmp_path)).collect()
+    assert sorted((r.temp, r.rainfall, r["note, long"], r.crop) for r in found) == [
+        ("1.0", "2.0", None, None), ("10.0", "21.0", 'x, "y"', None), ("5.0", None, None, "rice"),
+    ]
+    kinds = T.StructType([T.StructField("rainfall", T.DoubleType()), T.StructField("temp", T.DoubleType()), T.StructField("ph", T.DoubleType())])
+    typed = readers.read_csv(spark, str(tmp_path / "*.csv"), kinds)
+    assert typed.schema == kinds and sorted(map(tuple, typed.collect())) == [(2.0, 1.0, None), (21.0, 10.0, None)]
+    assert len(readers.header_groups(spark, str(tmp_path))) == 3
+    assert readers.read_csv(spark, str(tmp_path / "empty.csv"), kinds).collect() == []
+    with pytest.raises(FileNotFoundError):
+        readers.read_csv(spark, str(tmp_path / "none.csv"))
 
 
 EXPORT = [("Rice", 92.4, 95.0, "low"), ("Millet", 81.2, 78.0, "medium"), ("Maize", 74.1, 65.0, "medium")]
@@ -298,5 +312,9 @@ def test_season_tables_share_schema_and_dates(spark, plains, tmp_path):
     assert spark.read.parquet(str(tmp_path / "crop_data")).count() == 105
     sinks.write_season(crop, seen, str(tmp_path / "text"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "text" / "weather_data")).count() == 105
+    # Only the crops given are replaced.
+    sinks.write_season(crop.filter("crop = 'rice'").limit(5), seen.filter("crop = 'rice'").limit(4), str(tmp_path))
+    again = spark.read.parquet(str(tmp_path / "crop_data"))
+    assert {(r.crop, r["count"]) for r in again.groupBy("crop").count().collect()} == {("wheat", 30), ("rice", 5)}
     with pytest.raises(ValueError):
         sinks.write_season(crop, seen.drop("soil_ph"), str(tmp_path))
