@@ -133,14 +133,17 @@ def class_model(vocabulary: DataFrame) -> Model:
 
 def cut_segments(seq: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Texts laid end to end as segments that share one token, so that every move lies in just one."""
-    pieces = 1 + np.maximum(0, -(-(lengths - SEGMENT) // (SEGMENT - 1)))
-    text = np.repeat(np.arange(len(lengths)), pieces)
-    ahead = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * (SEGMENT - 1)
-    first, left = (np.cumsum(lengths) - lengths)[text] + ahead, lengths[text] - ahead
-    out = np.full((len(text), SEGMENT), NOTHING, "<u2")
-    for j in range(SEGMENT):
-        some = np.flatnonzero(left > j)
-        out[some, j] = seq[first[some] + j]
+    step = SEGMENT - 1
+    pieces = 1 + np.maximum(0, -(-(lengths - SEGMENT) // step))
+    begin, before = np.cumsum(lengths) - lengths, np.cumsum(pieces) - pieces
+    out = np.full((int(pieces.sum()), SEGMENT), NOTHING, "<u2")
+    # A token's segment is the first that holds it ...
+    place = np.arange(len(seq), dtype=np.int64) - np.repeat(begin, lengths)
+    piece = np.maximum(place - 1, 0) // step
+    out.ravel()[(np.repeat(before, lengths) + piece) * SEGMENT + place - piece * step] = seq
+    # ... and the last token of a segment also the first of the next.
+    ahead = np.arange(len(out)) - np.repeat(before, pieces)
+    out[ahead > 0, 0] = out[np.flatnonzero(ahead > 0) - 1, step]
     out[ahead > 0, 0] |= CONTINUED
     return out
 
