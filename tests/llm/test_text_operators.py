@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -233,6 +234,25 @@ def test_names_do_not_cut_the_article(page, wanted):
     assert html_extract.main_text(page) == wanted
 
 
+@pytest.mark.parametrize("page", [
+    "<div>x" * 5_000, "<b>x" * 10_000 + "</i>" * 10_000, "<a " * 50_000, "<b>" * 5_000 + "<h1>t</h1>" * 5_000,
+    "<div>" * 5_000 + "<header>x</header>" * 5_000, "<p><button>" + "<b>" * 5_000 + "<h1>x</h1>" * 5_000,
+], ids=["nested", "stray", "no end", "inline", "headers", "open paragraph"])
+def test_broken_pages_take_time_by_their_length(page):
+    start = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - start < 2  # quadratic code took 7 to 60 seconds
+
+
+@pytest.mark.parametrize("page, wanted", [
+    ("<p>one, two<!-- cut", "one, two"), ("<p>one<!-- cut --> two", "one two"), ("<p>a > b <!--", "a > b"),
+    ("<p>x<!-->y", "x"), ("<p>x <c", "x <c"), ("<p>one</b></html> two", "one two"),
+    ("<div><p>one<ul><li>two<li>three</ul>four</div>", "one\n\ntwo\n\nthree\n\nfour"),
+])
+def test_comments_and_implied_ends(page, wanted):
+    assert html_extract.main_text(page) == wanted
+
+
 def test_pages_keep_their_number(rows):
     pages = rows([(1, "u", ARTICLE, 3), (1, "u", ARTICLE, 3), (2, None, None, 4), (None, "v", "<p>x" * 20_000, 5)], "page_id bigint, url string, html string, n_chars int")
     found = html_extract.extract_pages(pages).collect()
