@@ -173,27 +173,35 @@ def nearest_known(df: DataFrame, keys: list[str], order: str, columns: list[str]
     return both.withColumns(fill).drop("_b", *[f"{c}__{s}" for c in columns for s in ("in", "out")])
 
 
-def exact_median(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
-    """Exact medians per key, one row per key.
+def exact_median(df: DataFrame, keys: list[str], measures: list[str], accuracy: int = 10_000) -> DataFrame:
+    """Exact medians per key, one row per key; null and NaN are not counted.
 
-    Equal values are counted first, then the counts are accumulated in value
-    order; no task holds a key's values.
+    A first pass takes, by a sketch of proven error (1 / ``accuracy`` of the ranks), two
+    values with the median between them. A second pass counts what lies below and the
+    equal values in between, some 6 / ``accuracy`` of the rows. Only those counts are put in
+    order, over range partitions, and the middle is read off.
     """
+    by, step = [*keys, "_measure"], 2 / accuracy
     pairs = [c for m in measures for c in (F.lit(m), F.col(m).cast("double"))]
     long = df.select(*keys, F.stack(F.lit(len(measures)), *pairs).alias("_measure", "_value"))
+    known = long.filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    ends = F.percentile_approx("_value", [0.5 - step, 0.5 + step], accuracy)
+    around = materialise(known.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), ends.alias("_ends")))
+    least, most = F.col("_ends")[0], F.col("_ends")[1]
     counts = (
-        long.filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
-        .groupBy(*keys, "_measure", "_value")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        match_on(known, around, by)
+        .filter(F.col("_value") <= most)
+        .groupBy(*by, F.when(F.col("_value") >= least, F.col("_value")).alias("_value"))  # NULL: below, and first in order
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("_all").alias("_all"))
     )
-    run = running_total(counts, [*keys, "_measure"], ["_value"], "_n", "_upto", total="_all")
+    run = running_total(counts, by, ["_value"], "_n", "_upto")
     low = F.floor((F.col("_all") - 1) / 2)
     high = F.floor(F.col("_all") / 2)
     covers = lambda pos: (F.col("_upto") - F.col("_n") <= pos) & (pos < F.col("_upto"))
-    middle = [
-        (F.max(F.when((F.col("_measure") == m) & covers(low), F.col("_value")))
-         + F.max(F.when((F.col("_measure") == m) & covers(high), F.col("_value"))))
-        / 2.0
-        for m in measures
-    ]
-    return run.groupBy(*keys).agg(*[x.alias(m) for x, m in zip(middle, measures)])
+    out = []
+    for m in measures:
+        mine = F.col("_measure") == m
+        middle = F.max(F.when(mine & covers(low), F.col("_value"))) + F.max(F.when(mine & covers(high), F.col("_value")))
+        lost = F.raise_error(F.lit(f"the median of {m} is not between the sketch's values"))
+        out.append(F.when(middle.isNotNull() | ~F.coalesce(F.bool_or(mine), F.lit(False)), middle / 2.0).otherwise(lost).alias(m))
+    return run.groupBy(*keys).agg(*out)

@@ -41,6 +41,27 @@ def test_median_agrees_with_the_built_in_one(spark, many_blocks):
     assert got == {r.k: r.x for r in df.groupBy("k").agg(F.median("x").alias("x")).collect()}
 
 
+def test_median_of_small_groups_hot_key_and_continuous_values(spark, many_blocks):
+    """Every group size up to 40, infinite and widely spread values, a key with most rows."""
+    small = spark.range(1, 41).select(F.col("id").cast("string").alias("k"), F.explode(F.sequence(F.lit(1), F.col("id").cast("int"))).alias("i"))
+    hot = spark.range(60_000).select(F.when(F.col("id") % 6 > 0, "hot").alias("k"), F.col("id").cast("int").alias("i"))
+    x = F.when(F.col("i") % 11 == 0, F.lit(float("-inf"))).otherwise(F.pow(F.lit(10.0), F.xxhash64("k", "i") % 40) * F.xxhash64("i"))
+    df = small.unionByName(hot).withColumn("x", x)
+    want = {r.k: r.x for r in df.groupBy("k").agg(F.median("x").alias("x")).collect()}
+    assert len(want) == 42 and {r.k: r.x for r in O.exact_median(df, ["k"], ["x"]).collect()} == want
+    assert {r.k: r.x for r in O.exact_median(df, ["k"], ["x"], accuracy=100).collect()} == want
+
+
+def test_median_sorts_only_what_lies_around_it(spark, many_blocks, monkeypatch):
+    seen = []
+    plain = O.running_total
+    monkeypatch.setattr(O, "running_total", lambda df, *a: seen.append(df.count()) or plain(df, *a))
+    df = spark.range(200_000).select(F.lit(1).alias("k"), (F.xxhash64("id") * 1.0).alias("x"))
+    got = O.exact_median(df, ["k"], ["x"], accuracy=1_000).first().x
+    assert got == df.agg(F.median("x")).first()[0]
+    assert seen[0] <= 200_000 * 8 / 1_000
+
+
 def test_first_n_per_key_with_number_or_column(rows):
     df = rows([(k, i, n) for k, n in (("a", 2), ("b", 9)) for i in range(5)], "k string, o int, n int")
     assert sorted((r.k, r.o) for r in O.first_n(df, ["k"], ["o"], 1).collect()) == [("a", 0), ("b", 0)]
