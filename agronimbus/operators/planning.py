@@ -149,6 +149,11 @@ def recommend_starts(
     scored = predict_viability(
         history, asked, hist_id, [request_id, "offset", "window_start"], features, k, [crop], **blocks
     )
+    return better_starts(scored, request_id, crop)
+
+
+def better_starts(scored: DataFrame, request_id: str = "request_id", crop: str = "crop") -> DataFrame:
+    """Of scored windows (request, offset), the later ones that beat offset 0."""
     base = F.max(F.when(F.col("offset") == 0, F.col("success_probability")))
     later = F.collect_list(
         F.when(F.col("offset") != 0, F.struct(F.col("window_start").alias("start_date"), "success_probability"))

@@ -202,7 +202,13 @@ def compare_crops(
     votes = success_probability(
         history, asked, hist_id, sites, features, k, [crop], stats=profile, **blocks
     )
-    scored = viability(votes, prob_scale)
+    return ranked_comparison(history, means, viability(votes, prob_scale), sites, measures, crop)
+
+
+def ranked_comparison(
+    history: DataFrame, means: DataFrame, scored: DataFrame, sites: list[str], measures: list[str], crop: str = "crop"
+) -> DataFrame:
+    """Scored (site, crop) pairs with the crop's medians and the site's means, ranked."""
     optimal = exact_median(history, [crop], measures).select(
         crop, *[F.col(m).alias(f"optimal_{m}") for m in measures]
     )
@@ -238,17 +244,70 @@ def match_sequence(
     if crop not in forecast.columns:
         asked = forecast.join(candidate_table(forecast, profile, crops, sites, crop), sites)
     shown = [c for c in (date, *features) if c in history.columns] if shown is None else shown
-    # One join with the profile: the mark of success comes along with the scales.
-    rows = history.join(profile, [crop]).filter(~F.col("any_success") | (F.col("result") == 1))
-    patterns = rows.select(*history.columns, *[F.col(c).alias(f"matched_{c}") for c in shown])
+    patterns = successful_patterns(history, profile, features, shown, crop)
     found = knn_join(
-        apply_scaler(patterns, profile, features, [crop], mark="_ok"),
+        patterns,
         apply_scaler(asked, profile, features, [crop], mark="_ok"),
         _z(features), hist_id, [*sites, date], 1, [crop], payload=[f"matched_{c}" for c in shown], **blocks,
     )
     return found.withColumn("similarity", match_similarity()).drop("rank")
 
 
+def successful_patterns(
+    history: DataFrame, profile: DataFrame, features: list[str], shown: list[str], crop: str = "crop"
+) -> DataFrame:
+    """Each crop's successful rows (all, where none is), scaled by them, with their
+    ``shown`` columns once more as ``matched_*``."""
+    # One join with the profile: the mark of success comes along with the scales.
+    rows = history.join(profile, [crop]).filter(~F.col("any_success") | (F.col("result") == 1))
+    patterns = rows.select(*history.columns, *[F.col(c).alias(f"matched_{c}") for c in shown])
+    return apply_scaler(patterns, profile, features, [crop], mark="_ok")
+
+
+def search_models(
+    models: dict[str, DataFrame],
+    questions: dict[str, tuple[str, DataFrame, list[str]]],
+    features: list[str],
+    hist_id: str,
+    k: int = 5,
+    crop: str = "crop",
+    payload: list[str] | None = None,
+    **blocks,
+) -> dict[str, DataFrame]:
+    """Neighbours of several sets of questions in several models of history, by one search.
+
+    ``models``: name -> scaled history; one without the column ``crop`` is a single
+    group. ``questions``: name -> (model, scaled questions, their id columns). All
+    points are written, sampled and cut into blocks once, whatever the number of
+    models and sets. Returns (crop, id columns, hist_id, payload, rank, distance) for
+    each set; ``payload`` columns that a model lacks are empty.
+    """
+    z, payload = _z(features), payload or []
+    grouped = {name: crop in df.columns for name, df in models.items()}
+
+    def stack(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part, allowMissingColumns=True)
+        return out
+
+    points = stack([
+        df.select(F.lit(name).alias("_model"), *[c for c in (crop, hist_id, *z, *payload) if c in df.columns])
+        for name, df in models.items()
+    ])
+    asked = stack([
+        df.select(F.lit(model).alias("_model"), F.lit(name).alias("_set"), *[crop] * grouped[model], *ids, *z)
+        for name, (model, df, ids) in questions.items()
+    ])
+    all_ids = list(dict.fromkeys(i for _, _, ids in questions.values() for i in ids))
+    by = ["_model", *[crop] * any(grouped.values())]
+    found = materialise(knn_join(points, asked, z, hist_id, ["_set", *all_ids], k, by, payload, **blocks))
+    return {
+        name: found.filter(F.col("_set") == name).select(*[crop] * grouped[model], *ids, hist_id, *payload, "rank", "distance")
+        for name, (model, _, ids) in questions.items()
+    }
+
+
 def nested_comparisons(
     compared: DataFrame, sequence: DataFrame, keys: list[str], measures: list[str], date: str = "date"
 ) -> DataFrame:

@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import exprs, vocab
 from ..operators import schema as S
 from ..operators.aggregates import water_requirement
-from ..operators.planning import irrigation_schedule, recommend_starts
+from ..operators.planning import better_starts, irrigation_schedule, start_windows, window_means
+from ..operators.scaling import apply_scaler, fit_scaler
 from ..operators.season import derive_bounds, pad_season
 from ..operators.suitability import (
+    candidate_table,
     compare_crops,
     crop_profile,
+    forecast_means,
     knn_similarity,
-    match_sequence,
+    match_similarity,
     predict_viability,
+    ranked_comparison,
     scaled_pairs,
+    search_models,
+    successful_patterns,
+    viability,
+    vote,
 )
 from ..operators.timeline import clean, clean_rows, complete, equalise_length
 from ..sources import sinks
@@ -134,7 +142,8 @@ def similarity_requests(
     """Answer a table of requests: request_id, site_id, crop, start_date, duration.
 
     ``forecast``: one row per site_id and date. A request compares all crops over
-    its own window, looks for better start dates and plans its season. The season's
+    its own window, looks for better start dates and plans its season; all four kinds
+    of questions are answered by one search. The season's
     length is the request's own ``duration`` (the column may be missing), else the
     crop's growth_duration in ``durations`` (crop, growth_duration; without it the
     history's own column, if it has one), else the default.
@@ -172,20 +181,36 @@ def similarity_requests(
         requests.join(covered, ["request_id"], "left").join(grown, F.col("crop") == F.col("_crop"), "left")
         .select("request_id", status.alias("status"), n_days.alias("n_days"), "duration")
     )
-    compared = materialise(
-        compare_crops(
-            history, days, hist_id, ["request_id"], features, measures, crops=crops, profile=profile, **blocks
-        )
+    measures = measures or [m for m in ("temp", "humidity", "rainfall") if m in features]
+    means = materialise(forecast_means(days, list(dict.fromkeys([*features, *measures])), ["request_id"]))
+    offered = means.join(candidate_table(means, profile, crops, ["request_id"]), ["request_id"])
+    windows = window_means(
+        start_windows(requests.filter(F.col("start_date").isNotNull())), forecast, ["site_id"], features
     )
-    starts = recommend_starts(history, forecast, requests, hist_id, features=features, **blocks)
     target = days.withColumnRenamed("target_crop", "crop")
-    day = ["request_id", "date"]
-    daily = predict_viability(history, target, hist_id, day, features, **blocks)
-    plan = irrigation_schedule(target.join(daily, day, "left"), ["request_id"], "duration")
-    sequence = match_sequence(
-        history, target, hist_id, ["request_id"], "date", features, profile=profile, **blocks
+    whole = materialise(fit_scaler(history, features))
+    shown = [c for c in ("date", *features) if c in history.columns]
+    day, window, pair = ["request_id", "date"], ["request_id", "offset", "window_start"], ["request_id"]
+    found = search_models(
+        {
+            "crop": apply_scaler(history, profile, features, ["crop"]),
+            "all": apply_scaler(history.drop("crop"), whole, features),
+            "successes": successful_patterns(history, profile, features, shown),
+        },
+        {
+            "pairs": ("crop", apply_scaler(offered, profile, features, ["crop"]), pair),
+            "windows": ("crop", apply_scaler(windows, profile, features, ["crop"]), window),
+            "days": ("all", apply_scaler(target, whole, features), day),
+            "matches": ("successes", apply_scaler(target, profile, features, ["crop"], mark="_ok"), day),
+        },
+        features, hist_id, payload=["result", *[f"matched_{c}" for c in shown]], **blocks,
     )
-    sequence = materialise(sequence)
+    scored = viability(vote(found["pairs"], ["crop", *pair]))
+    compared = materialise(ranked_comparison(history, means, scored, ["request_id"], measures))
+    starts = better_starts(viability(vote(found["windows"], ["crop", *window])))
+    daily = viability(vote(found["days"], day))
+    plan = irrigation_schedule(target.join(daily, day, "left"), ["request_id"], "duration")
+    sequence = found["matches"].filter("rank = 1").drop("rank", "result").withColumn("similarity", match_similarity())
     pairs = scaled_pairs(history, target, sequence, hist_id, ["request_id", "date"], features)
     return {
         "status": status,
