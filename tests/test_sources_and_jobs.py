@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agronimbus.operators import schema as S
+from agronimbus.operators import suitability
 from agronimbus.operators.aggregates import daily_resample
+from agronimbus.operators.planning import recommend_starts
 from agronimbus.operators.suitability import compare_crops, match_sequence, nested_comparisons, predict_viability
 from agronimbus.plans import jobs, storage
 from agronimbus.sources import payloads, readers, selection, sinks
@@ -232,6 +234,29 @@ def test_requests_as_a_table(spark, plains):
     assert [c["rank"] for c in nested["r3"].crop_comparisons] == [1, 2, 3] and nested["r3"].scaled_pairs is None
 
 
+def test_requests_take_one_search_and_agree_with_single_ones(spark, plains, monkeypatch):
+    history, forecast = plains
+    asked = spark.createDataFrame(
+        [("r1", "s1", "wheat", day(1), 10), ("r2", "s2", "rice", day(3), 9)],
+        "request_id string, site_id string, crop string, start_date date, duration int",
+    )
+    calls, search = [], suitability.knn_join
+    monkeypatch.setattr(suitability, "knn_join", lambda *a, **b: calls.append(1) or search(*a, **b))
+    out = jobs.similarity_requests(history, forecast, asked)
+    assert len(calls) == 1
+    span = F.datediff("date", "start_date").between(0, F.col("duration") - 1)
+    days = asked.join(forecast, "site_id").filter(span)
+    wanted = {
+        "crop_comparisons": compare_crops(history, days.drop("crop"), "hist_id", ["request_id"]),
+        "match_sequence": match_sequence(history, days, "hist_id", ["request_id"]),
+        "recommendations": recommend_starts(history, forecast, asked, "hist_id"),
+    }
+    for name, single in wanted.items():
+        assert sorted(out[name].columns) == sorted(single.columns)
+        order = sorted(single.columns)
+        assert sorted(map(str, out[name].select(order).collect())) == sorted(map(str, single.select(order).collect())), name
+
+
 def test_comparisons_in_nested_form_can_be_exported(spark, plains, tmp_path):
     history, forecast = plains
     flat = compare_crops(history, forecast, "hist_id", ["site_id"])
