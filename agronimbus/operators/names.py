@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs, vocab
@@ -11,22 +11,48 @@ from ..plans.storage import materialise
 TIERS = {1: "exact", 2: "synonym", 3: "partial"}
 
 
-def _lengths(df: DataFrame, name: str) -> list[int]:
-    """The lengths that occur; as many as the longest name has letters at most."""
-    return sorted(r[0] for r in df.select(F.length(name)).distinct().collect())
+#: Letters of the pieces under which names are filed.
+PIECE = 3
 
 
-def _substrings(df: DataFrame, name: str, lengths: list[int]) -> DataFrame:
-    """Every substring of a name that has one of the ``lengths``.
+def _pieces(df: DataFrame, name: str, sizes: list) -> DataFrame:
+    """Each name's digest as ``name`` with every distinct piece of one of the ``sizes`` as ``_piece``.
 
-    One row per name and length is cut into its pieces, so that an array holds no
-    more than one piece per letter.
+    Digests travel in place of names, so that rows grow with a name's length and not
+    with its square. A size is a number or a column; size 0 gives the empty piece.
     """
-    sized = df.select(name, F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.lit(None).cast("array<int>")).alias("_n"))
-    sized = sized.filter(F.length(name) >= F.col("_n"))
-    last = F.when(F.col("_n") == 0, F.lit(1)).otherwise(F.length(name) - F.col("_n") + 1)
-    pieces = F.transform(F.sequence(F.lit(1), last), lambda s: F.substr(name, s, F.col("_n")))
-    return sized.select(name, F.explode(F.array_distinct(pieces)).alias("_piece"))
+    letters = F.split(name, "")
+
+    def cut(size) -> Column:
+        size = F.lit(size) if isinstance(size, int) else size
+        last = F.length(name) - size + 1
+        found = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(letters, i, size), ""))
+        return F.when(last >= 1, found).otherwise(F.array().cast("array<string>"))
+
+    pieces = F.array_distinct(F.flatten(F.array(*[cut(n) for n in sizes])))
+    return df.select(F.md5(name).alias("_digest"), F.explode(pieces).alias("_piece")).withColumnRenamed("_digest", name)
+
+
+def contained_names(short: DataFrame, needle: str, long: DataFrame, hay: str) -> DataFrame:
+    """Pairs of distinct names of which ``hay`` contains ``needle``.
+
+    An inverted index: each hay is filed under all its pieces of three letters, each
+    needle asks only for that of its own pieces which the fewest hays have, and not at
+    all where some piece is in none. What is found is verified on the names. Needles of
+    less than three letters are one piece; hays are filed under such lengths only where
+    they occur. Columns: ``needle`` and ``hay``.
+    """
+    few = short.select(F.length(needle).alias("n")).filter(F.col("n") < PIECE).distinct()
+    sizes = [*sorted(r[0] for r in few.collect()), PIECE]  # four at most
+    filed = materialise(_pieces(long, hay, sizes))
+    held = filed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_held"))
+    asks = _pieces(short, needle, [F.least(F.length(needle), F.lit(PIECE))]).join(held, "_piece", "left")
+    rarest = asks.groupBy(needle).agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("held"), "_piece")).alias("_least"))
+    rarest = materialise(rarest.filter("_least.held > 0").select(needle, F.col("_least._piece").alias("_piece")))
+    pairs = filed.join(rarest, "_piece").select(F.col(needle).alias("_a"), F.col(hay).alias("_b"))
+    pairs = pairs.join(short.select(needle, F.md5(needle).alias("_a")), "_a")
+    pairs = pairs.join(long.select(hay, F.md5(hay).alias("_b")), "_b")
+    return pairs.filter(F.contains(hay, needle)).select(needle, hay)
 
 
 def resolve_crop(
@@ -41,11 +67,10 @@ def resolve_crop(
     """Requests with ``resolved`` crop and ``tier``: exact, synonym, partial, none.
 
     Tiers are tried in turn: only what neither the name nor a synonym resolves goes
-    on to partial matches. One holds when either name contains the other. It is found
-    by equi joins on the substrings of the distinct names that are as long as a name
-    of the other side, not by comparing every request with every crop. Of several, ``mode="longest"`` takes the longest
-    name, then the first in the alphabet; ``mode="first"`` the one with the
-    smallest ``position``.
+    on to partial matches. One holds when either name contains the other; it is found
+    by ``contained_names`` and not by comparing every request with every crop. Of
+    several, ``mode="longest"`` takes the longest name, then the first in the alphabet;
+    ``mode="first"`` the one with the smallest ``position``.
     """
     if mode not in ("longest", "first"):
         raise ValueError(f"mode is 'longest' or 'first', not {mode!r}")
@@ -67,9 +92,7 @@ def resolve_crop(
     )
     known = exact.unionByName(synonym).select(F.col("_asked").alias("_known")).distinct()
     rest = materialise(asked.join(known, F.col("_asked") == F.col("_known"), "left_anti"))
-    inside = _substrings(crops, "_crop", _lengths(rest, "_asked")).join(rest, F.col("_piece") == F.col("_asked"))
-    around = _substrings(rest, "_asked", _lengths(crops, "_crop")).join(crops, F.col("_piece") == F.col("_crop"))
-    names = inside.select("_asked", "_crop").unionByName(around.select("_asked", "_crop"))
+    names = contained_names(rest, "_asked", crops, "_crop").unionByName(contained_names(crops, "_crop", rest, "_asked"))
     partial = names.join(crops, "_crop").withColumn("_tier", F.lit(3))
 
     # Best candidate per distinct request: an aggregate, combined map-side.

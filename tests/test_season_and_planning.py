@@ -226,6 +226,32 @@ def test_long_names_and_empty_ones_are_resolved(rows):
     assert out[""][1] == "partial"
 
 
+def test_contained_names_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    name = lambda n: "".join(rng.choice("ab é") for _ in range(n))
+    short = {name(rng.randint(0, 7)) for _ in range(150)} | {"", "a", "zz"}
+    long = {name(rng.randint(0, 30)) for _ in range(150)} | {"", "a"}
+    pairs = N.contained_names(
+        spark.createDataFrame([(x,) for x in short], "a string"), "a", spark.createDataFrame([(x,) for x in long], "b string"), "b"
+    )
+    found = [tuple(r) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == {(x, y) for x in short for y in long if x in y}
+
+
+def test_long_names_are_filed_once_per_letter(spark):
+    import random
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(1_000)) for _ in range(40)]
+    df = spark.createDataFrame([(x,) for x in names], "a string")
+    assert N._pieces(df, "a", [N.PIECE]).count() <= 40 * 998
+    # Names as long as all of the other side ask under one piece each.
+    found = N.contained_names(df.withColumnRenamed("a", "b"), "b", df, "a")
+    assert sorted(tuple(r) for r in found.collect()) == sorted((x, x) for x in names)
+
+
 def test_catalogue_is_sorted_and_has_no_copies(rows):
     out = [r.crop for r in N.crop_catalogue(rows([("RICE",), (" rice",), ("zucchini",)], "crop string")).collect()]
     assert out == sorted(set(out)) and "Zucchini" in out and out.count("Rice") == 1
