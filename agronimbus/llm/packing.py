@@ -10,14 +10,14 @@ rest. Nothing is dropped. Text null counts as empty (its end alone). Equal rows
 counted first and dealt out by copy, so that no shard grows with repeated rows.
 
 ``pack_documents`` packs whatever count it is given. The query and the pipeline give it
-white-space separated words and one, so their lengths are in words: a bin of 8192 may
-hold more ids of a tokenizer, many more of a text without blanks (zh, ja, th).
+the ids of a tokenizer and the end id (``token_sizes``), so that a bin of 8192 holds 8192
+ids, also of texts without blanks (zh, ja, th).
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +25,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialise
-from .mixing import words_and_end
 from .shipping import ship
+from .token_output import ENCODED_AT_ONCE, encode
 
 #: Permitted sequence lengths, in the unit of the sizes.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 
 
+def token_sizes(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``n_tokens``: the ids of each whole text, the end id included.
+
+    One row per row of ``docs``, whose other columns stay behind; null counts as empty.
+    The ids are those that ``token_output`` writes. Texts are encoded where they are read.
+    """
+    ship(docs.sparkSession)
+    read = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    kind = dict(docs.select(key).dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, ENCODED_AT_ONCE) for i in range(0, whole.num_rows, ENCODED_AT_ONCE)):
+                found = encode(b.column("text").to_pylist(), tokenizer_path, end_id, "<u4")
+                yield pa.record_batch([b.column("key"), pa.array([len(x) // 4 for x in found], pa.int64())], ["key", "n_tokens"])
+
+    return read.mapInArrow(run, f"key {kind}, n_tokens bigint").withColumnRenamed("key", key)
+
+
 def attention_cost(length: int) -> float:
     """Cost of a sequence in tokens: its own, attention over them, and a fixed part."""
     return length + length * length / 32_768 + 32
@@ -134,8 +153,10 @@ def pack_documents(
 
 
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack_documents(docs.select("doc_id", words_and_end().alias("n_tokens")))
+    return pack_documents(token_sizes(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
 QUERY = ("op10_packing", packed_documents)

@@ -12,7 +12,8 @@ of documents. Stages work on all rows they are given:
    hash); documents without words are all kept; of rows equal in doc_id and text one stays;
 4. mixing: sources get their target weights; a document comes once per pass, so rows
    may repeat, and the end of a source's budget leaves documents out;
-5. packing: one row per piece of a document, with its bin, offset and sequence length.
+5. packing: one row per piece of a document, with its bin, offset and sequence length,
+   all counted in ids of the tokenizer.
 
 Models are trained in their stage on the labelled rows that may be learned from.
 """
@@ -52,7 +53,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs.select("doc_id", mixing.words_and_end().alias("n_tokens")))
+    import public_tokenizers
+
+    return packing.pack_documents(packing.token_sizes(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
 STAGES = [

@@ -436,6 +436,34 @@ def test_packing_keeps_every_token(spark, rows):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def whole_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_sizes_are_ids_and_bins_hold_as_many(spark, rows):
+    import public_tokenizers
+
+    texts = ["", None, " \t", "Plain words, and signs!", "机器学习需要大量的文本数据" * 40, "ภาษาไทยไม่มีช่องว่าง" * 30, "long " * 3_000, "long " * 3_000]
+    df = rows([(i if i != 3 else None, t, "x", 5) for i, t in enumerate(texts)], "doc_id bigint, text string, key string, n_tokens int")
+    sizes = packing.token_sizes(df, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    assert sizes.columns == ["doc_id", "n_tokens"]
+    wanted = {
+        (i if i != 3 else None): len(whole_tokenizer().encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)
+    }
+    assert {r.doc_id: r.n_tokens for r in sizes.collect()} == wanted
+    assert wanted[4] > 100  # one word by blanks
+    used, length = Counter(), {}
+    for r in packing.pack_documents(sizes, lengths=(64, 512)).collect():
+        wanted[r.doc_id] -= r.n_tokens
+        used[r.shard, r.bin] += r.n_tokens
+        length[r.shard, r.bin] = r.length
+    assert set(wanted.values()) == {0} and all(n <= length[b] for b, n in used.items())
+    assert packing.token_sizes(df.limit(0), public_tokenizers.path("word_bpe_49k.json"), end_id=2).count() == 0
+
+
 # --- pipeline -------------------------------------------------------------------------------------
 
 FOLDER = os.environ.get("AGRONIMBUS_TABLES", "/root/testdata/sf0.001")
@@ -458,10 +486,10 @@ def test_stages_of_the_pipeline(spark, tmp_path):
     rows = list(zip(kept["language"].doc_id.tolist(), kept["language"].text.tolist()))
     groups = linked_components(rows)
     assert sorted(kept["near_duplicates"].doc_id) == sorted({c for _, n, c in groups if n} | {i for i, n, _ in groups if not n})
-    # Packing: every token of every row that mixing kept.
+    # Packing: every id of every row that mixing kept, and one end each.
     wanted = Counter()
     for i, t in zip(kept["mixing"].doc_id, kept["mixing"].text):
-        wanted[i] += tokens(t)
+        wanted[i] += len(whole_tokenizer().encode(t or "", add_special_tokens=False).ids) + 1
     assert Counter(dict(kept["packing"].groupby("doc_id").n_tokens.sum())) == wanted
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet").filter("quality = 1").select("doc_id").toPandas().doc_id
     good = set(labels) & set(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").toPandas().doc_id)
