@@ -2,7 +2,7 @@
 
 The shingles of a text are hashed into groups; the counts per group are a point.
 For two sets the summed minima of their points bound the size of the intersection
-from above, and the minima of the largest corners of two tree pages bound it for all
+from above, and the minima of the largest corners of two tree nodes bound it for all
 sets below them. Two sets link when 100 * |A and B| >= 75 * |A or B|, which needs an
 intersection of at least 3/7 (|A| + |B|).
 
@@ -10,10 +10,12 @@ Boxes over all groups of unrelated texts of one size nearly coincide, so one tre
 all points would compare everything with everything. The points are therefore filed
 first: sets that link share at least three quarters of the larger, hence one of the
 first quarter (and one) of its shingles in any fixed order of shingles. Each such
-shingle has one level of pages of the sets filed under it, without inner nodes. Frequent shingles come last in the
-order, so that common passages file nothing unless a text consists of little else.
+shingle has trees of the sets filed under it, one per tile of TILE sets, loaded from
+above into halves down to pages; two trees are walked down together. Frequent shingles
+come last in the order, so that common passages file nothing unless a text consists of
+little else.
 
-Files of one page give all their pairs. In larger ones sets are joined to a few hubs
+Files of up to PAGE sets give all their pairs. In larger ones sets are joined to a few hubs
 first, and the trees then only look for pairs of different components. That is exact:
 every two sets of a file are in one component, or bounded away, or verified.
 
@@ -41,8 +43,10 @@ from .text import mixed, shingles
 
 #: Link where 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Sets that a page of a tree holds, and that one side of a comparison holds.
+#: Sets of a file that gives all its pairs, and those that one side of a comparison holds.
 PAGE, TILE = 32, 1_024
+#: Sets that a page of a tree holds: corners of many sets reach as far as any set.
+LEAF = 16
 #: First files under which a row tells where else it is filed.
 FILES = 8
 #: A shingle that this many sets of one batch share may be frequent; so many are kept.
@@ -101,38 +105,72 @@ def bounded(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, vectors: lis
     return keep
 
 
+class Node:
+    """A node of a count-vector R-tree: its sets, the corner of their points, their range of sizes.
+
+    Bulk-loaded from above: halves, whole pages each, by size while sizes alone can keep
+    sets apart, else by the group whose counts differ the most. Nodes of at most LEAF
+    sets are pages and keep the points.
+    """
+
+    def __init__(self, sets: np.ndarray, sizes: np.ndarray, vectors: list[bytes]):
+        own = sizes[sets]
+        self.sets, self.low, self.high = sets, int(own.min()), int(own.max())
+        self.points = folded([vectors[i] for i in sets], own, int(group_count(self.low)))
+        self.corner, self.children = self.points.max(axis=0), ()
+        if len(sets) > LEAF:
+            apart = 100 * self.low < PERCENT * self.high
+            order = sets[np.argsort(own if apart else self.points[:, self.points.var(axis=0).argmax()], kind="stable")]
+            half = -(-len(sets) // LEAF) // 2 * LEAF
+            self.points, self.children = None, (Node(order[:half], sizes, vectors), Node(order[half:], sizes, vectors))
+
+    def may_link(self, other: Node) -> bool:
+        """Whether sizes and the summed minima of the corners leave a link possible."""
+        if 100 * self.high < PERCENT * other.low or 100 * other.high < PERCENT * self.low:
+            return False
+        groups = min(len(self.corner), len(other.corner))
+        reach = np.minimum(self.corner.reshape(-1, groups).sum(axis=0), other.corner.reshape(-1, groups).sum(axis=0)).sum()
+        return bool(reach >= needed(np.int64(self.low), np.int64(other.low)))
+
+
+def near_pages(one: Node, other: Node) -> Iterator[tuple[Node, Node]]:
+    """Pairs of pages, one below each node, that no pair of corners above them rules out."""
+    rest = [(one, other)]
+    while rest:
+        x, y = rest.pop()
+        if x is not y and not x.may_link(y):
+            continue
+        if not x.children and not y.children:
+            yield x, y
+        elif x is y:
+            u, v = x.children
+            rest += [(u, u), (u, v), (v, v)]
+        elif len(x.sets) >= len(y.sets):
+            rest += [(u, y) for u in x.children]
+        else:
+            rest += [(x, v) for v in y.children]
+
+
 def tree_pairs(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, vectors: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs, one of each side, that page corners and summed minima leave possible.
+    """Index pairs, one of each side, that node corners and summed minima leave possible.
 
-    Both sides are packed into pages by size and first counts. ``left is right`` asks
-    for pairs inside one side, each once.
+    Each side is one tree; both are walked down together. ``left is right`` asks for
+    pairs inside one side, each once.
     """
-    same = left is right
-
-    def packed(side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        order = side[np.lexsort(([vectors[i][:8] for i in side], sizes[side]))]
-        pages = [order[i : i + PAGE] for i in range(0, len(order), PAGE)]
-        return [(p, folded([vectors[i] for i in p], sizes[p], int(group_count(sizes[p].min())))) for p in pages]
-
-    pages, others = packed(left), None
-    others = pages if same else packed(right)
-    found_i, found_j = [], []
-    for x, (p, points) in enumerate(pages):
-        for q, more in others[x:] if same else others:
-            if 100 * sizes[q].max() < PERCENT * sizes[p].min() or 100 * sizes[p].max() < PERCENT * sizes[q].min():
-                continue
-            groups = min(points.shape[1], more.shape[1])
-            a, b = (v.reshape(len(v), -1, groups).sum(axis=1) for v in (points, more))
-            least = needed(sizes[p][:, None], sizes[q][None])
-            if np.minimum(a.max(axis=0), b.max(axis=0)).sum() < least.min():
-                continue
+    found_i, found_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if len(left) and len(right):
+        one = Node(left, sizes, vectors)
+        other = one if left is right else Node(right, sizes, vectors)
+        for x, y in near_pages(one, other):
+            p, q = x.sets, y.sets
+            groups = min(x.points.shape[1], y.points.shape[1])
+            a, b = (v.points.reshape(len(v.points), -1, groups).sum(axis=1) for v in (x, y))
             reach = np.minimum(a[:, None], b[None]).sum(axis=2)
-            fits = (reach >= least) & sizes_fit(sizes[p][:, None], sizes[q][None])
-            i, j = np.nonzero(np.triu(fits, 1) if p is q else fits)
+            fits = (reach >= needed(sizes[p][:, None], sizes[q][None])) & sizes_fit(sizes[p][:, None], sizes[q][None])
+            i, j = np.nonzero(np.triu(fits, 1) if x is y else fits)
             found_i.append(p[i])
             found_j.append(q[j])
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
 def shingle_sets(docs: DataFrame, text: str = "text") -> tuple[DataFrame, np.ndarray]:
@@ -201,7 +239,7 @@ def first_shingles(found: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np
 def filed_sets(docs: DataFrame, frequent: np.ndarray, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Pairs of sets that share a file, and the files too large for that.
 
-    A file of one page gives its pairs (a, b) whose sizes allow a link. Larger ones, and
+    A file of up to PAGE sets gives its pairs (a, b) whose sizes allow a link. Larger ones, and
     those of frequent shingles, give rows (grp, cls, n), n being a set's size. Files are
     gathered once, in order, and a task holds one batch of rows at a time; files of
     frequent shingles are dealt out in SALTS parts.

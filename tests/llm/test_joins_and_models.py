@@ -137,6 +137,36 @@ def test_bounds_never_lose_a_link(sets):
     assert all(filed[i] & filed[j] for i, j in linked)
 
 
+def test_trees_compare_few_pages_and_lose_no_link():
+    rng = np.random.default_rng(11)
+    sets = []
+    for _ in range(64):
+        base = rng.integers(1, 1 << 62, rng.integers(40, 900), dtype=np.uint64)
+        for _ in range(40):
+            sets.append(np.unique(np.where(rng.random(len(base)) < 0.02, rng.integers(1, 1 << 62, len(base), dtype=np.uint64), base)))
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    sizes, vectors = np.array([len(h) for h in sets]), [jaccard_join.count_vector(h) for h in sets]
+    root = jaccard_join.Node(np.arange(len(sets)), sizes, vectors)
+    pages = -(-len(sets) // jaccard_join.LEAF)
+    assert len(list(jaccard_join.near_pages(root, root))) < 0.2 * pages * (pages + 1) / 2
+
+    def links(pairs):
+        out = set()
+        for i, j in pairs:
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                out.add((min(i, j), max(i, j)))
+        return out
+
+    some = np.arange(500)
+    rest = np.arange(500, 1_300)
+    x, y = jaccard_join.tree_pairs(some, some, sizes, vectors)
+    assert len(set(zip(x, y))) == len(x)
+    assert links(zip(x.tolist(), y.tolist())) == links(itertools.combinations(range(500), 2))
+    x, y = jaccard_join.tree_pairs(some, rest, sizes, vectors)
+    assert links(zip(x.tolist(), y.tolist())) == links(itertools.product(range(500), range(500, 1_300)))
+
+
 def test_large_counts_need_more_bytes():
     many = np.arange(1, 3_000_000, dtype=np.uint64)
     vector = jaccard_join.count_vector(text.mixed(many))
