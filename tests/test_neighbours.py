@@ -172,3 +172,48 @@ def test_only_rows_of_vectors_with_more_than_k_copies_are_sorted(spark, rows):
     assert copies[:3] == [1, 100, 101] and len(copies) <= 3 * N.COPY_SALTS and len(kept) == 49 + len(copies)
     light = points.filter("hist_id < 50")
     assert N._without_extra_copies(light, 3) is light
+
+
+def test_shares_of_blocks_are_not_written_through_memory(spark):
+    """Beyond 200 partitions a task holds what it writes: blocks times shares, from few tasks."""
+    import re
+
+    rng = np.random.default_rng(11)
+    h = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(900, 2)))], "hid long, x double, y double")
+    q = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(300, 2)))], "qid long, x double, y double")
+    found = knn_join(h, q, ["x", "y"], "hid", "qid", 2, block_rows=4, block_queries=1)
+    plan = found._jdf.queryExecution().toString()
+    assert max(map(int, re.findall(r"hashpartitioning\([^\n]*, (\d+)\)", plan))) <= 200
+    assert "BroadcastExchange" not in plan or not re.search(r"Join \[qid[^\n]*BuildLeft|Join \[qid[^\n]*BuildRight", plan)
+
+
+def test_queries_far_from_all_rows_visit_few_leaves():
+    rng = np.random.default_rng(12)
+    points = rng.normal(size=(4_000, 3))
+    axes, tree = N._fitted(points, 64, 8)
+    turned = points @ axes
+    leaf = N._leaf_of(tree, turned)
+    boxes = N._node_boxes(tree, {int(n): (turned[leaf == n].min(axis=0), turned[leaf == n].max(axis=0)) for n in np.unique(leaf)})
+    asked = rng.normal(size=(50, 3)) * 40
+    exact = np.sqrt(((asked[:, None] - points[None]) ** 2).sum(axis=2))
+    bound = np.sort(exact, axis=1)[:, 4] + 1e-9
+    visits = {(r, v) for rows, leaves in N._leaves_within(tree, asked @ axes, bound, boxes) for r, v in zip(rows.tolist(), leaves.tolist())}
+    near = {(i, int(leaf[j])) for i, j in zip(*np.nonzero(exact <= bound[:, None] - 1e-9))}
+    assert near <= visits and len(visits) < 0.15 * len(asked) * len(np.unique(leaf))
+    unbounded = sum(len(rows) for rows, _ in N._leaves_within(tree, asked @ axes, bound))
+    assert len(visits) < unbounded / 2
+    assert set(N._nearest_leaf(tree, asked @ axes, boxes).tolist()) <= set(leaf.tolist())
+
+
+@pytest.mark.parametrize("dims", [1, 3, 20])
+def test_small_leaves_inside_a_block_lose_no_neighbour(dims):
+    rng = np.random.default_rng(13)
+    points = np.vstack([rng.normal(size=(3_000, dims)).round(1), np.zeros((1_500, dims))])
+    asked = np.vstack([rng.normal(size=(40, dims)).round(1), rng.normal(size=(10, dims)) * 100, np.zeros((2, dims))])
+    row, col, dist = N._nearest(points, asked, 5, 9)
+    full = np.round(np.sqrt(((asked[:, None] - points[None]) ** 2).sum(axis=2)), 9)
+    wanted = [(i, j) for i in range(len(asked)) for j in np.lexsort((np.arange(len(points)), full[i]))[:5].tolist()]
+    assert list(zip(row.tolist(), col.tolist())) == wanted
+    bound = full[row, col].reshape(-1, 5)[:, 4]
+    again = N._nearest(points, asked, 5, 9, N._beyond(bound, 9))
+    assert list(zip(again[0].tolist(), again[1].tolist())) == wanted
