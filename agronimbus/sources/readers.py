@@ -53,14 +53,41 @@ def header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return groups
 
 
+def _only_header(spark: SparkSession, path: str) -> str | None:
+    """The header of a folder whose files have all the same one and lie all in it or all in
+    inner folders of the same names (crop=...); None, if that is not so.
+
+    Found by Spark's tasks, which list and open the files, however many there are.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    if not found or len(found) != 1 or not found[0].isDirectory():
+        return None
+    root = found[0].getPath().toUri().getRawPath().rstrip("/")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", "_metadata.file_path", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("start")
+    )
+    first = lines.filter("start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
+    inner = F.split(F.regexp_replace("file_path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/")
+    inner = F.slice(inner, root.count("/") + 2, 1_000)
+    folders = F.slice(inner, 1, F.size(inner) - 1)
+    usual = F.forall(folders, lambda x: F.instr(x, "=") > 1) & ~F.exists(inner, lambda x: x.startswith("_") | x.startswith("."))
+    keys = F.when(usual, F.transform(folders, lambda x: F.substring_index(x, "=", 1)))
+    kinds = first.select("header", keys.alias("keys")).distinct().limit(2).collect()
+    if len(kinds) != 1 or kinds[0].keys is None:
+        return None
+    return kinds[0].header.removeprefix("\ufeff")
+
+
 def read_csv(spark: SparkSession, path: str, columns: T.StructType | None = None) -> DataFrame:
     """Rows under their header names, as text unless ``columns`` gives names and types.
 
-    Files may have different headers: each distinct header is one scan of its files, and
-    the scans are united by name, a column that a file lacks being null. A header must be
+    Files may have different headers: each distinct header is one scan of its files (of the
+    folder, if there is but one), and the scans are united by name, a column that a file lacks being null. A header must be
     one line. Without any line there are no rows, and only ``columns`` names columns.
     """
-    groups = header_groups(spark, path)
+    header = _only_header(spark, path)
+    groups = header_groups(spark, path) if header is None else {header: path}
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     options = {"header": True, "escape": '"'}
     found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)

@@ -7,16 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import schema as S
+from ..plans.storage import materialise, release
 from .selection import equality_filter
 
+FILE_ROWS = 1_000_000  # of a file of season tables
+
 
 def write_season(crop: DataFrame, weather: DataFrame, folder: str, fmt: str = "parquet") -> None:
-    """The two aligned tables, one folder per crop; the crops given are replaced, others stay."""
+    """The two aligned tables, one folder per crop; the crops given are replaced, others stay.
+
+    A crop has one file per FILE_ROWS rows, so there are hardly more files than crops.
+    """
     S.require_same_schema(crop, weather)
     for name, df in (("crop_data", crop), ("weather_data", weather)):
-        spread = df.repartition("crop", "date")  # a crop may be most of the rows
-        writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("crop")
+        spark = df.sparkSession
+        df = materialise(df)
+        files = F.ceil(F.count(F.lit(1)) / FILE_ROWS).cast("int")
+        large = materialise(df.groupBy(F.col("crop").alias("_crop")).agg(files.alias("_files")).filter("_files > 1"))
+        part = F.pmod(F.xxhash64(*[f.name for f in df.schema.fields if f.name != "crop"]), F.coalesce("_files", F.lit(1)))
+        # The number of tasks is given: AQE would merge by bytes what is costly by files.
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+        spread = df.join(large, F.col("crop").eqNullSafe(F.col("_crop")), "left").repartition(tasks, "crop", part).select(*df.columns)
+        # Files move to a staging folder with each task's commit and to their place with the job's.
+        writer = spread.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **{"mapreduce.fileoutputcommitter.algorithm.version": 2})
+        writer = writer.partitionBy("crop")
         (writer.options(header=True, escape='"') if fmt == "csv" else writer).format(fmt).save(f"{folder}/{name}")
+        release(df, large)
 
 
 def comparison_export(comparisons: DataFrame) -> DataFrame:

@@ -343,3 +343,26 @@ def test_season_tables_share_schema_and_dates(spark, plains, tmp_path):
     assert {(r.crop, r["count"]) for r in again.groupBy("crop").count().collect()} == {("wheat", 30), ("rice", 5)}
     with pytest.raises(ValueError):
         sinks.write_season(crop, seen.drop("soil_ph"), str(tmp_path))
+
+
+def test_a_crop_is_written_to_few_files_and_read_as_one_scan(spark, rows, tmp_path, monkeypatch):
+    days = rows([(c, f"2024-01-{d:02d}", float(d)) for c in ("a b", "7", None) for d in range(1, 29)], "crop string, date string, temp double")
+    sinks.write_season(days, days, str(tmp_path), "csv")
+    assert sorted(len(list(x.glob("*.csv"))) for x in (tmp_path / "weather_data").glob("crop=*")) == [1, 1, 1]
+    monkeypatch.setattr(readers, "header_groups", None)  # no list of files on the driver
+    back = readers.read_csv(spark, str(tmp_path / "weather_data"))
+    assert sorted(map(tuple, back.select("crop", "date", "temp").collect()), key=str) == sorted(((c, d, str(t)) for c, d, t in days.collect()), key=str)
+    monkeypatch.setattr(sinks, "FILE_ROWS", 7)
+    sinks.write_season(days, days, str(tmp_path / "large"), "csv")
+    assert readers.read_csv(spark, str(tmp_path / "large" / "crop_data")).count() == 84
+    assert 3 < len(list((tmp_path / "large" / "crop_data").rglob("*.csv"))) <= 12
+
+
+def test_folders_of_other_headers_or_depths_are_read_by_lists_of_files(spark, rows, tmp_path):
+    for name, text in (("x/a.csv", "p,q\n1,2\n"), ("y/k=3/b.csv", "p,q\n3,4\n"), ("z/a.csv", "p,q\n5,6\n"), ("z/b.csv", "q\n7\n"), ("z/_c.csv", "r\n8\n")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert readers._only_header(spark, str(tmp_path)) is None
+    assert readers._only_header(spark, str(tmp_path / "x")) == readers._only_header(spark, str(tmp_path / "y")) == "p,q"
+    assert readers._only_header(spark, str(tmp_path / "z")) is None
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "y")).select("p", "q", "k").collect()] == [("3", "4", 3)]
