@@ -217,3 +217,36 @@ def test_small_leaves_inside_a_block_lose_no_neighbour(dims):
     bound = full[row, col].reshape(-1, 5)[:, 4]
     again = N._nearest(points, asked, 5, 9, N._beyond(bound, 9))
     assert list(zip(again[0].tolist(), again[1].tolist())) == wanted
+
+
+def test_spread_alike_in_all_directions_is_cut_along_the_features():
+    """Queries beyond a side of a cube reach the leaves at that side only."""
+    rng = np.random.default_rng(14)
+    points = rng.uniform(-1, 1, size=(16_000, 3))
+    axes, tree = N._fitted(points[::4], 32, 8)
+    turned = points @ axes
+    leaf = N._leaf_of(tree, turned)
+    boxes = N._node_boxes(tree, {int(n): (turned[leaf == n].min(axis=0), turned[leaf == n].max(axis=0)) for n in np.unique(leaf)})
+    asked = np.column_stack([rng.uniform(2, 6, 200), rng.uniform(-1, 1, (200, 2))])
+    exact = np.sqrt(((asked[:, None] - points[None]) ** 2).sum(axis=2))
+    bound = N._beyond(exact.min(axis=1), 9)
+    visits = [(r, v) for rows, leaves in N._leaves_within(tree, asked @ axes, bound, boxes) for r, v in zip(rows.tolist(), leaves.tolist())]
+    assert set(zip(range(200), leaf[exact.argmin(axis=1)].tolist())) <= set(visits)
+    assert len(visits) < 3 * len(asked)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 20, "block_queries": 30}])
+def test_answers_meet_bounded_shares_of_the_rows_that_asked(spark, monkeypatch, sizes):
+    """Also where most rows ask the same; tasks are not merged by their bytes on disk."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(N, "ASKED_ROWS", 50, raising=False)
+    rng = np.random.default_rng(15)
+    history = [("a", i, tuple(v)) for i, v in enumerate(rng.normal(size=(200, 2)).round(2).tolist())]
+    queries = [("a", i, (0.5, 0.25) if i % 4 else tuple(v)) for i, v in enumerate(rng.normal(size=(800, 2)).round(2).tolist())]
+    assert run(spark, history, queries, 3, **sizes) == sorted(brute(history, queries, 3))
+    h = spark.createDataFrame([(i, *v) for _, i, v in history], "hid long, x double, y double")
+    q = spark.createDataFrame([(i, *v) for _, i, v in queries], "qid long, x double, y double")
+    found = knn_join(h, q, ["x", "y"], "hid", "qid", 3, **sizes)
+    each = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(each) == 2_400 and max(each) < 1_000
