@@ -250,3 +250,20 @@ def test_answers_meet_bounded_shares_of_the_rows_that_asked(spark, monkeypatch,
     found = knn_join(h, q, ["x", "y"], "hid", "qid", 3, **sizes)
     each = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(each) == 2_400 and max(each) < 1_000
+
+
+def test_copies_are_cut_in_tasks_of_bounded_rows(spark, rows, monkeypatch):
+    import re
+
+    monkeypatch.setattr(N, "TASK_ROWS", 100)
+    monkeypatch.setattr(N, "COPY_ROWS", 50)
+    written, write = [], N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df: written.append(df) or write(df))
+    many = [("g", [1.0, 0.0], i) for i in range(900)] + [("g", [float(i % 100), 2.0], 900 + i) for i in range(700)]
+    points = rows(many + [("g", [7.0, 7.0], 5000), ("h", [1.0, 0.0], 1)], "g string, vec array<double>, hist_id int").coalesce(1)
+    kept = sorted((r.g, *r.vec, r.hist_id) for r in N._without_extra_copies(points, 3).collect())
+    few = [("g", 1.0, 0.0, i) for i in range(3)] + [("g", float(i % 100), 2.0, 900 + i) for i in range(300)]
+    assert kept == sorted([*few, ("g", 7.0, 7.0, 5000), ("h", 1.0, 0.0, 1)])
+    plan = written[-1]._jdf.queryExecution().executedPlan().toString()
+    tasks = re.findall(r"hashpartitioning\(g[^\n]*, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert max(map(int, tasks)) == 16  # of 1,600 copies
