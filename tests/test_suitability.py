@@ -132,6 +132,22 @@ def test_nested_view_has_ranked_matches_and_the_best(history, forecast):
     assert out.best_match.hist_id == out.matched_patterns[0].hist_id
 
 
+def test_matches_are_nested_in_tasks_of_bounded_rows(history, rows, monkeypatch):
+    import re
+
+    from agronimbus.operators import neighbours as N
+
+    monkeypatch.setattr(N, "TASK_ROWS", 10)
+    ids = [r.hist_id for r in history.select("hist_id").limit(3).collect()]
+    found = [(day, hid, 1 + at, float(at), 90.0) for day in range(40) for at, hid in enumerate(ids)]
+    matches = rows(found, "day int, hist_id long, rank int, distance double, similarity double").coalesce(1)
+    nested = U.nested_matches(matches, history, "hist_id", "day", FEATURES)
+    got = {r.day: [m.hist_id for m in r.matched_patterns] for r in nested.collect()}
+    assert got == {day: ids for day in range(40)}
+    plan = nested._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(day[^\n]*, 12\), REPARTITION_BY_NUM", plan)
+
+
 def test_scaled_pairs_share_one_scaler(history, forecast):
     found = U.knn_similarity(history, forecast, "hist_id", "date", k=1)
     out = U.scaled_pairs(history, forecast, found, "hist_id", "date").first()
