@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import materialise, new_folder
 from .components import connected_components
 from .shipping import ship
-from .text import mixed, shingles
+from .text import TEXTS_AT_ONCE, mixed, shingles
 
 #: Link where 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -173,6 +173,16 @@ def tree_pairs(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, vectors:
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
+def repeated(sets: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that at least so many of the sets hold, ascending, and how many do. Empties ``sets``."""
+    every = np.concatenate([np.empty(0, np.uint64), *sets])
+    sets.clear()
+    every.sort()
+    found = every[least - 1 :][every[least - 1 :] == every[: max(len(every) - least + 1, 0)]]
+    found = found[np.r_[True, found[1:] != found[:-1]][: len(found)]]
+    return found, np.searchsorted(every, found, "right") - np.searchsorted(every, found, "left")
+
+
 def shingle_sets(docs: DataFrame, text: str = "text") -> tuple[DataFrame, np.ndarray]:
     """(doc_id, key, n, cls, counts) of each document, and the frequent shingles.
 
@@ -183,25 +193,27 @@ def shingle_sets(docs: DataFrame, text: str = "text") -> tuple[DataFrame, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[int, np.ndarray] = {}
+            seen: set[int] = set()
+            sets: list[np.ndarray] = []
             n, cls, counts = [], [], []
-            for x in b.column("text").to_pylist():
+            texts = (b.column("text").slice(i, TEXTS_AT_ONCE) for i in range(0, b.num_rows, TEXTS_AT_ONCE))
+            for x in chain.from_iterable(part.to_pylist() for part in texts):
                 found = shingles(x)
                 n.append(len(found))
                 c = xxhash.xxh3_64_intdigest(found.tobytes()) if len(found) else None
                 cls.append(None if c is None else c - (1 << 64) * (c >> 63))
                 counts.append(count_vector(found) if len(found) else None)
-                if c is not None:
-                    seen[c] = found
-            hashes, times = np.unique(np.concatenate([np.empty(0, np.uint64), *seen.values()]), return_counts=True)
-            often = np.flatnonzero(times >= LOCAL_REPEATS)
+                if c is not None and c not in seen:
+                    seen.add(c)
+                    sets.append(found)
+            often, times = repeated(sets, LOCAL_REPEATS)
             yield pa.record_batch(
                 [
                     pa.array([False] * len(n) + [True] * len(often), pa.bool_()),
                     pa.concat_arrays([b.column("doc_id").cast(pa.int64()), pa.nulls(len(often), pa.int64())]),
                     pa.concat_arrays([b.column("key"), pa.nulls(len(often), pa.int64())]),
-                    pa.concat_arrays([pa.array(n, pa.int64()), pa.array(times[often], pa.int64())]),
-                    pa.concat_arrays([pa.array(cls, pa.int64()), pa.array(hashes[often].view(np.int64), pa.int64())]),
+                    pa.concat_arrays([pa.array(n, pa.int64()), pa.array(times, pa.int64())]),
+                    pa.concat_arrays([pa.array(cls, pa.int64()), pa.array(often.view(np.int64), pa.int64())]),
                     pa.concat_arrays([pa.array(counts, pa.binary()), pa.nulls(len(often), pa.binary())]),
                 ],
                 ["frequent", "doc_id", "key", "n", "cls", "counts"],

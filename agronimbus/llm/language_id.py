@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..operators.ordering import first_n
 from .quality import held_out
 from .shipping import ship
+from .text import in_parts
 
 UNDETERMINED = "und"
 #: Places that byte pairs and triples are hashed into.
@@ -223,15 +224,14 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     ship(docs.sparkSession)
     kind = dict(docs.select(key).dtypes)[key]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [predict(model, x) for x in b.column(1).to_pylist()]
-            yield pa.record_batch(
-                [b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                ["key", "lang_pred", "score"],
-            )
+    def told(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [predict(model, x) for x in b.column(1).to_pylist()]
+        return pa.record_batch(
+            [b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
+            ["key", "lang_pred", "score"],
+        )
 
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return docs.select(key, text).mapInArrow(in_parts(told), f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,19 +248,17 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            if model.planes is None:
-                yield b.filter(pa.array([has_letter(x) for x in texts], pa.bool_()))
-                continue
-            told = pa.array([predict(model, x)[0] for x in texts], pa.string())
-            at = b.schema.get_field_index("lang")
-            if at >= 0:
-                b = b.set_column(at, b.schema.field(at), pc.coalesce(b.column(at), told.cast(b.schema.field(at).type)))
-            yield b.filter(pc.not_equal(told, UNDETERMINED))
-
-    return docs.mapInArrow(run, docs.schema)
+    def known(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column(b.schema.get_field_index("text")).to_pylist()
+        if model.planes is None:
+            return b.filter(pa.array([has_letter(x) for x in texts], pa.bool_()))
+        told = pa.array([predict(model, x)[0] for x in texts], pa.string())
+        at = b.schema.get_field_index("lang")
+        if at >= 0:
+            b = b.set_column(at, b.schema.field(at), pc.coalesce(b.column(at), told.cast(b.schema.field(at).type)))
+        return b.filter(pc.not_equal(told, UNDETERMINED))
+
+    return docs.mapInArrow(in_parts(known), docs.schema)
 
 
 QUERY = ("op1_language_id", document_languages)

@@ -30,6 +30,8 @@ from .token_output import ENCODED_AT_ONCE, encode
 
 #: Permitted sequence lengths, in the unit of the sizes.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
+#: Words whose ids a worker remembers: they stay while it lives, beside what other stages need.
+MEMO_WORDS = 400_000
 
 
 def token_sizes(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -45,7 +47,7 @@ def token_sizes(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, ENCODED_AT_ONCE) for i in range(0, whole.num_rows, ENCODED_AT_ONCE)):
-                found = encode(b.column("text").to_pylist(), tokenizer_path, end_id, "<u4")
+                found = encode(b.column("text").to_pylist(), tokenizer_path, end_id, "<u4", MEMO_WORDS)
                 yield pa.record_batch([b.column("key"), pa.array([len(x) // 4 for x in found], pa.int64())], ["key", "n_tokens"])
 
     return read.mapInArrow(run, f"key {kind}, n_tokens bigint").withColumnRenamed("key", key)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shipping import ship
+from .text import in_parts
 
 #: Numbers per byte, filters, bytes per step (a filter sees two), steps per half chunk.
 VECTOR, FILTERS, STEP, HALF = 8, 48, 4, 24
@@ -233,12 +234,11 @@ def score(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text"
     ship(docs.sparkSession)
     kind = dict(docs.select(key).dtypes)[key]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [probability(net, (x or "").encode("utf-8", "surrogatepass")) for x in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(found, pa.float64())], ["key", "score"])
+    def scored(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [probability(net, (x or "").encode("utf-8", "surrogatepass")) for x in b.column(1).to_pylist()]
+        return pa.record_batch([b.column(0), pa.array(found, pa.float64())], ["key", "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return docs.select(key, text).mapInArrow(in_parts(scored), f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def learnable(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -260,13 +260,11 @@ def keep_good(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
     ship(docs.sparkSession)
     kinds = docs.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            good = [probability(net, (x or "").encode("utf-8", "surrogatepass")) >= least for x in texts]
-            yield b.filter(pa.array(good, pa.bool_()))
+    def good(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column(b.schema.get_field_index("text")).to_pylist()
+        return b.filter(pa.array([probability(net, (x or "").encode("utf-8", "surrogatepass")) >= least for x in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(in_parts(good), kinds)
 
 
 QUERY = ("op9_quality", quality_scores)

@@ -1,12 +1,17 @@
-"""Words and their hashes, shared by the text operators."""
+"""Words and their hashes, and batches in parts, shared by the text operators."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Words of a shingle.
 SHINGLE_WORDS = 5
+#: Rows of a batch whose texts a worker holds as Python objects at a time.
+TEXTS_AT_ONCE = 256
 #: Odd multipliers that tell the places in a shingle apart.
 _PLACES = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
@@ -14,6 +19,23 @@ _PLACES = np.array(
 )
 
 
+def in_parts(
+    change: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = TEXTS_AT_ONCE
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``change`` for mapInArrow, given a few rows of a batch at a time, in order.
+
+    What it makes of the texts of a part is gone before the next part comes, so that a
+    worker holds the batch that Spark sends and little else.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, rows):
+                yield change(b.slice(i, rows))
+
+    return run
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; bytes split at just these."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

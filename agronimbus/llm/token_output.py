@@ -22,7 +22,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import new_folder
 from .shipping import ship
 
-#: Words whose ids a worker remembers, each of at most so many bytes; when full it starts anew.
+#: Words whose ids a worker remembers, each of at most so many bytes; when full the later half goes.
 MEMO_WORDS, MEMO_BYTES = 1_500_000, 64
 #: Documents whose new words are encoded together.
 ENCODED_AT_ONCE = 256
@@ -55,6 +55,12 @@ class _Memo(dict):
         self.places.append(place)
         return place
 
+    def thin(self, words: int) -> None:
+        """Keep the words met first: frequent ones are met early."""
+        kept = list(islice(self.items(), words))
+        self.clear()
+        self.update(kept)
+
     def forget(self) -> None:
         self.clear()
         self.new.clear()
@@ -143,15 +149,18 @@ def _learn(path: str, kind: str, new: list[bytes]) -> dict[bytes, bytes]:
     return learned
 
 
-def encode(texts: list[bytes | str | None], path: str, end_id: int, kind: str = "<u4") -> list[bytes]:
+def encode(texts: list[bytes | str | None], path: str, end_id: int, kind: str = "<u4", memo_words: int = MEMO_WORDS) -> list[bytes]:
     """Ids of each text and the end id, as unsigned numbers of the given kind.
 
     The tokenizer must split at white space, drop it and lower-case (as the word
-    vocabularies do); each word is then looked up once and encoded once per worker.
+    vocabularies do); each word is then looked up once and encoded once per worker, as
+    long as a worker meets no more than ``memo_words``.
     """
-    if _memo.of != (path, kind) or len(_memo) > MEMO_WORDS:
+    if _memo.of != (path, kind):
         _memo.forget()
         _memo.of = (path, kind)
+    elif len(_memo) > memo_words:
+        _memo.thin(memo_words // 2)
     end, rows = np.array([end_id], dtype=kind).tobytes(), []
     try:
         for text in texts:

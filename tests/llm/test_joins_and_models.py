@@ -108,6 +108,15 @@ def test_jaccard_components_equal_brute_force(spark, rows, monkeypatch, seed, ti
     assert all(r.doc_id == r.component_id for r in worded if r.kept) and all(r.kept for r in found if not r.n_shingles)
 
 
+@given(st.lists(st.sets(st.integers(0, 12)), max_size=12), st.integers(1, 5))
+def test_repeated_shingles_are_counted_in_place(sets, least):
+    counts = Counter(itertools.chain.from_iterable(sets))
+    given_sets = [np.array(sorted(x), np.uint64) for x in sets]
+    found, times = jaccard_join.repeated(given_sets, least)
+    assert list(zip(found.tolist(), times.tolist())) == sorted((x, n) for x, n in counts.items() if n >= least)
+    assert not given_sets
+
+
 def test_jaccard_of_nothing(spark, rows):
     assert jaccard_join.jaccard_components(rows([], DOCS)).count() == 0
     blank = jaccard_join.jaccard_components(rows([(1, None), (2, "")], DOCS)).collect()

@@ -5,8 +5,10 @@ import random
 import re
 import time
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -31,6 +33,51 @@ def odd(rows):
     return rows([(i, t, 1, "x", "en", 0, 1, 2) for i, t in ODD], clash)
 
 
+# --- memory of workers ------------------------------------------------------------
+
+
+class Caught:
+    """Stands for a DataFrame and keeps the function that Spark's tasks would run."""
+
+    sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(_agronimbus_shipped=True))
+    schema, dtypes = "", [("doc_id", "bigint")]
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+    def withColumnRenamed(self, *_):
+        return self
+
+
+@pytest.mark.parametrize("operator", ["keep_good", "score", "keep_known", "identify"])
+def test_texts_of_a_batch_are_taken_a_few_at_a_time(operator):
+    n = 3 * text.TEXTS_AT_ONCE + 5
+    batch = pa.record_batch([pa.array(range(n)), pa.array([None, "", "a word"] * (n // 3) + ["b"] * (n % 3))], ["doc_id", "text"])
+    caught = Caught()
+    if operator in ("keep_good", "score"):
+        getattr(quality, operator)(caught, quality.Network(bias=1.0))
+    else:
+        getattr(language_id, operator)(caught, language_id.Model())
+    found = list(caught.run(iter([batch, batch.slice(0, 0), batch.slice(0, 7)])))
+    assert max(b.num_rows for b in found) <= text.TEXTS_AT_ONCE
+    every = [*range(n), *range(7)]
+    wanted = [i for i in every if batch.column(1)[i].as_py()] if operator == "keep_known" else every
+    assert [i for b in found for i in b.column(0).to_pylist()] == wanted
+
+
+def test_remembered_words_stay_few_and_ids_right():
+    token_output._memo.forget()
+    texts = [" ".join(f"w{i}x{j}," for j in range(50)) + " the the" for i in range(40)]
+    for t in texts:
+        assert token_output.encode([t], WORD_BPE, 2, memo_words=120) == expected_ids([(0, t)])
+        assert len(token_output._memo) <= 120 + 60
+    token_output._memo.forget()
+
+
 # --- words ------------------------------------------------------------------------
 
 
