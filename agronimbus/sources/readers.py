@@ -13,6 +13,7 @@ from ..functions import exprs
 from ..operators import schema as S
 from ..operators.season import augment_failures, derive_bounds, redate
 from ..operators.timeline import clean_rows
+from . import local_files
 
 
 def header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
@@ -63,6 +64,10 @@ def _only_header(spark: SparkSession, path: str) -> str | None:
     found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
     if not found or len(found) != 1 or not found[0].isDirectory():
         return None
+    local = local_files.local_path(spark, found[0].getPath().toString())
+    lines = local_files.first_lines(spark, local) if local else None
+    if lines is not None:
+        return lines[0][0] if len(lines) == 1 and lines[0][1] is not None else None
     root = found[0].getPath().toUri().getRawPath().rstrip("/")
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
         "value", "_metadata.file_path", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("start")

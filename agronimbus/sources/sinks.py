@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators import schema as S
 from ..plans.storage import materialise, release
+from . import local_files
 from .selection import equality_filter
 
 FILE_ROWS = 1_000_000  # of a file of season tables
@@ -28,6 +29,11 @@ def write_season(crop: DataFrame, weather: DataFrame, folder: str, fmt: str = "p
         # The number of tasks is given: AQE would merge by bytes what is costly by files.
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
         spread = df.join(large, F.col("crop").eqNullSafe(F.col("_crop")), "left").repartition(tasks, "crop", part).select(*df.columns)
+        place = local_files.local_path(spark, f"{folder}/{name}") if fmt == "csv" else None
+        if local_files.can_write(df, "crop", place):
+            local_files.write_csv_by(spread, "crop", place, tasks)
+            release(df, large)
+            continue
         # Files move to a staging folder with each task's commit and to their place with the job's.
         writer = spread.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **{"mapreduce.fileoutputcommitter.algorithm.version": 2})
         writer = writer.partitionBy("crop")
