@@ -54,21 +54,28 @@ def header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return groups
 
 
-def _only_header(spark: SparkSession, path: str) -> str | None:
+def _one_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder that a path or glob stands for, if it is a folder and only one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return found[0].getPath().toString() if found and len(found) == 1 and found[0].isDirectory() else None
+
+
+def _look(spark: SparkSession, path: str) -> tuple[str | None, local_files.Folder | None]:
     """The header of a folder whose files have all the same one and lie all in it or all in
-    inner folders of the same names (crop=...); None, if that is not so.
+    inner folders of the same names (crop=...); None, if that is not so. Of a local folder,
+    also what else was seen.
 
-    Found by Spark's tasks, which list and open the files, however many there are.
+    Found by tasks, which list and open the files, however many there are.
     """
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
-    if not found or len(found) != 1 or not found[0].isDirectory():
-        return None
-    local = local_files.local_path(spark, found[0].getPath().toString())
-    lines = local_files.first_lines(spark, local) if local else None
-    if lines is not None:
-        return lines[0][0] if len(lines) == 1 and lines[0][1] is not None else None
-    root = found[0].getPath().toUri().getRawPath().rstrip("/")
+    folder = _one_folder(spark, path)
+    if folder is None:
+        return None, None
+    local = local_files.local_path(spark, folder)
+    seen = local_files.look(spark, local) if local else None
+    if seen is not None:
+        return seen.header, seen
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getRawPath().rstrip("/")
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
         "value", "_metadata.file_path", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("start")
     )
@@ -80,8 +87,12 @@ def _only_header(spark: SparkSession, path: str) -> str | None:
     keys = F.when(usual, F.transform(folders, lambda x: F.substring_index(x, "=", 1)))
     kinds = first.select("header", keys.alias("keys")).distinct().limit(2).collect()
     if len(kinds) != 1 or kinds[0].keys is None:
-        return None
-    return kinds[0].header.removeprefix("\ufeff")
+        return None, None
+    return kinds[0].header.removeprefix("\ufeff"), None
+
+
+def _only_header(spark: SparkSession, path: str) -> str | None:
+    return _look(spark, path)[0]
 
 
 def read_csv(spark: SparkSession, path: str, columns: T.StructType | None = None) -> DataFrame:
@@ -91,7 +102,7 @@ def read_csv(spark: SparkSession, path: str, columns: T.StructType | None = None
     folder, if there is but one), and the scans are united by name, a column that a file lacks being null. A header must be
     one line. Without any line there are no rows, and only ``columns`` names columns.
     """
-    header = _only_header(spark, path)
+    header, seen = _look(spark, path)
     groups = header_groups(spark, path) if header is None else {header: path}
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     options = {"header": True, "escape": '"'}
@@ -104,7 +115,10 @@ def read_csv(spark: SparkSession, path: str, columns: T.StructType | None = None
         known = {f.name: f.dataType for f in columns} if columns is not None else {}
         if len(set(names)) == len(names):
             fields = [T.StructField(n, known.get(n, T.StringType())) for n in names]
-            part = spark.read.options(**options).schema(T.StructType(fields)).csv(files)
+            if columns is not None and local_files.can_read(seen, names, known):
+                part = local_files.read_csv_by(spark, seen, fields)
+            else:
+                part = spark.read.options(**options).schema(T.StructType(fields)).csv(files)
         else:  # Spark tells equal names apart by their places
             part = spark.read.options(**options).csv(files)
         if columns is not None:

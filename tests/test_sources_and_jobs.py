@@ -366,3 +366,77 @@ def test_folders_of_other_headers_or_depths_are_read_by_lists_of_files(spark, ro
     assert readers._only_header(spark, str(tmp_path / "x")) == readers._only_header(spark, str(tmp_path / "y")) == "p,q"
     assert readers._only_header(spark, str(tmp_path / "z")) is None
     assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "y")).select("p", "q", "k").collect()] == [("3", "4", 3)]
+
+
+def test_season_files_are_those_of_sparks_writer(spark, rows, tmp_path):
+    crops = ["a b", "7", None, "", "x=1/2%", "é'\"", "wheat", "[q]^{r}:*?\\#"]
+    texts = ["plain", "", None, " lead ", 'q"uo"te', "com,ma", "new\nline", "back\\slash", "\t", "-"]
+    days = rows([(c, t, None if t == "-" else len(t or "") / 3, day(i + 1), i % 2 == 0) for c in crops for i, t in enumerate(texts)], "crop string, `no te` string, temp double, date date, ok boolean")
+    days = days.withColumns({"at": F.to_timestamp("date"), "price": F.col("temp").cast("decimal(9,3)")})
+    sinks.write_season(days, days, str(tmp_path / "now"), "csv")
+    days.repartition(1).write.partitionBy("crop").options(header=True, escape='"').csv(str(tmp_path / "then"))
+
+    def files(folder):
+        return {x.name: [sorted(y.read_bytes().split(b"\n")) for y in x.glob("*.csv")] for x in folder.glob("crop=*")}
+
+    for name in ("crop_data", "weather_data"):
+        now, then = files(tmp_path / "now" / name), files(tmp_path / "then")
+        assert set(now) == set(then) and len(now) == 7  # no value and an empty one share a folder
+        shared = "crop=__HIVE_DEFAULT_PARTITION__"
+        cells = lambda found: sorted(x for file in found for x in file if x and not x.startswith(b"no te,"))
+        assert cells(now.pop(shared)) == cells(then.pop(shared)) and now == then
+        # Hadoop's file system, which starts processes for each file, would have made sums.
+        assert not list((tmp_path / "now").rglob("*.crc")) and not list((tmp_path / "now").rglob(".staging*"))
+
+
+def test_season_files_of_the_crops_given_are_replaced(spark, rows, tmp_path):
+    days = rows([(c, f"2024-01-{d:02d}", float(d)) for c in ("a", "b", None) for d in range(1, 9)], "crop string, date string, temp double")
+    sinks.write_season(days, days, str(tmp_path), "csv")
+    old = tmp_path / "crop_data" / "crop=a" / "deeper"
+    old.mkdir()
+    (old / "part.csv").write_text("date,temp\n1,2\n")
+    few = days.filter("crop = 'a' or crop is null").filter("temp < 3")
+    sinks.write_season(few, few, str(tmp_path), "csv")
+    kinds = T.StructType([T.StructField(n, T.StringType()) for n in ("crop", "date", "temp")])
+    back = readers.read_csv(spark, str(tmp_path / "crop_data"), kinds).groupBy("crop").count()
+    assert {tuple(r) for r in back.collect()} == {("a", 2), ("b", 8), (None, 2)}
+    none = days.filter("temp > 99")
+    sinks.write_season(none, none, str(tmp_path / "none"), "csv")
+    assert readers.read_csv(spark, str(tmp_path / "none" / "crop_data"), kinds).collect() == []
+
+
+ODD_LINES = "id,note, v,d\r\n1,a,1.5,2024-01-02\n\n2,\"x, \"\"y\"\"\",bad,2024-13-01\r3,short\n4,long,4,2024-01-04,more\n , ,,\n5,é,5,"
+
+
+def test_folders_by_key_are_read_as_sparks_reader_reads_them(spark, tmp_path, monkeypatch):
+    kinds = T.StructType([T.StructField(n, t) for n, t in (("crop", T.StringType()), ("id", T.IntegerType()), ("v", T.DoubleType()), ("d", T.DateType()), ("note", T.StringType()), ("other", T.LongType()))])
+    for name, crops, scanned in (("text", ["a%3Db", "7", "007", "__HIVE_DEFAULT_PARTITION__"], False), ("whole", ["7", "-12", "0"], False), ("padded", ["007", "8"], True), ("split", ["1.50", "2"], True), ("times", ["2024-01-02", "T3"], True)):
+        for i, crop in enumerate(crops):
+            folder = tmp_path / name / f"crop={crop}" / f"year={i}"
+            folder.mkdir(parents=True)
+            (folder / "a.csv").write_text(ODD_LINES, newline="")
+            (folder / "empty.csv").write_text("")
+            (folder / "_b.csv").write_text("x\n1\n")
+        (tmp_path / name / "_SUCCESS").write_text("")
+        now = readers.read_csv(spark, str(tmp_path / name), kinds)
+        # A file scan costs Spark 2 ms a file, and its driver a list of all files.
+        assert ("FileScan csv" in now._jdf.queryExecution().toString()) == scanned, name
+        with monkeypatch.context() as m:
+            m.setattr(readers.local_files, "local_path", lambda *x: None)
+            then = readers.read_csv(spark, str(tmp_path / name), kinds)
+        assert "FileScan csv" in then._jdf.queryExecution().toString() and now.schema == then.schema
+        found = sorted(map(tuple, now.collect()), key=str)
+        assert found == sorted(map(tuple, then.collect()), key=str) and len(found) == 6 * len(crops)
+
+
+def test_files_read_by_workers_are_cut_into_batches(spark, tmp_path, monkeypatch):
+    for k in (1, 2):
+        (tmp_path / f"k={k}").mkdir()
+        for i in range(3):
+            (tmp_path / f"k={k}" / f"{i}.csv").write_text("p,q\n" + "".join(f"{j},{'z' * j}\n" for j in range(100)))
+    kinds = T.StructType([T.StructField("k", T.StringType()), T.StructField("p", T.IntegerType()), T.StructField("q", T.StringType())])
+    monkeypatch.setattr(readers.local_files, "BATCH_LINES", 7)
+    found = readers.read_csv(spark, str(tmp_path), kinds).collect()
+    assert sorted(map(tuple, found)) == sorted((k, j, "z" * j if j else None) for k in "12" for j in range(100) for _ in range(3))
+    monkeypatch.setattr(readers.local_files, "LARGEST", 99)  # a large file is one that Spark splits
+    assert "FileScan csv" in readers.read_csv(spark, str(tmp_path), kinds)._jdf.queryExecution().toString()
