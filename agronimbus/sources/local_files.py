@@ -1,9 +1,11 @@
 """Folders of very many small CSV files, where tasks reach them as local files.
 
 Hadoop's local file system starts a process (chmod) twice for each file that it makes, and
-Spark's writer lets the driver move the folders of a partitioned table one by one. Here
-Spark makes the lines, and Python workers make and move the files. Other file systems
-(``local_path`` is None) are left to Spark's writer.
+Spark's writer lets the driver move the folders of a partitioned table one by one. Its
+file scan copies Hadoop's settings for each file, and its driver lists all files and finds
+types for the values in all folders' names. Here Spark makes lines and takes them apart, and
+Python workers make, move, list and read the files. What they would do in another way, and
+other file systems (``local_path`` is None), is left to Spark's writer and reader.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def can_write(df: DataFrame, key: str, path: str | None) -> bool:
     It must be given lines of several plain columns, and names that the JVM can read again.
     """
     kinds = [f.dataType for f in df.schema.fields if f.name != key]
-    if path is None or len(kinds) < 2 or not all(isinstance(k, PLAIN) for k in kinds):
+    if path is None or key not in df.columns or len(kinds) < 2 or not all(isinstance(k, PLAIN) for k in kinds):
         return False
     if df.sparkSession._jvm.System.getProperty("sun.jnu.encoding") == "UTF-8":
         return True
@@ -86,8 +88,8 @@ def write_csv_by(df: DataFrame, key: str, path: str, tasks: int) -> None:
         return F.concat(F.to_csv(F.struct(*cells), {"escape": '"'}), F.lit("\n"))
 
     header = spark.range(1).select(line([F.lit(c).alias(c) for c in names])).first()[0].encode()
-    root, staging = path.encode(), f"{path}/.staging-{job}"
-    at = staging.encode()
+    root = path.encode()
+    at = f"{path}/.staging-{job}".encode()
 
     def make(batches):
         task = TaskContext.get()
@@ -136,17 +138,15 @@ def write_csv_by(df: DataFrame, key: str, path: str, tasks: int) -> None:
                         raise
         yield from ()
 
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(place)
+    os.makedirs(root, exist_ok=True)
     try:
-        lines = df.select(F.col(key).cast("string").alias("_key"), line([F.col(f"`{c}`") for c in names]).alias("_line"))
+        lines = df.select(F.col(key).cast("string").alias("_key"), line([F.col(f"`{c.replace('`', '``')}`") for c in names]).alias("_line"))
         made = materialise(lines.sortWithinPartitions("_key").mapInArrow(make, "folder binary, file binary, name string"))
         dealt = made.repartition(tasks, "folder").sortWithinPartitions("folder")
         dealt.mapInArrow(move, "n int").write.format("noop").mode("overwrite").save()
         release(made)
     finally:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(staging), True)
+        shutil.rmtree(at, ignore_errors=True)
 
 
 @dataclass
